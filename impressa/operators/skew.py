@@ -63,3 +63,12 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     cols += [F.col(f"_b.{c}") for c in big.columns if c not in keys]
     cols += [F.col(f"_s.{c}") for c in small.columns if c not in keys]
     return out.select(*cols)
+
+
+def lookup_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Join a big fact table to a dimension: broadcast the dimension when it is proven small,
+    otherwise a shuffle join with hot keys salted."""
+    if fits(dim, max_broadcast_rows):
+        return big.join(F.broadcast(dim), keys, how)
+    return skew_join(big, dim, keys, how)

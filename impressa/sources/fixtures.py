@@ -209,9 +209,19 @@ SQL = {
   SELECT token, CAST(CAST(('0x' || substr(md5('lex|' || token), 1, 8)) AS BIGINT) % 9 - 4 AS DOUBLE) AS valence
   FROM fx_bench_tokens
   WHERE CAST(('0x' || substr(md5('lex|' || token), 1, 8)) AS BIGINT) % 9 <> 4)""",
+    "fx_raw": """fx_raw AS (
+  SELECT i.imp_id, 'U' || CAST(i.user_id AS VARCHAR) AS user_id,
+         strftime(i.time, '%-m/%-d/%Y %-I:%M:%S %p') AS time,
+         coalesce(h.history, '') AS history, c.impressions, i.split
+  FROM fx_impressions i
+  LEFT JOIN (SELECT imp_id, string_agg('N' || CAST(news_id AS VARCHAR), ' ' ORDER BY hpos) AS history
+             FROM fx_history GROUP BY imp_id) h USING (imp_id)
+  JOIN (SELECT imp_id, string_agg('N' || CAST(news_id AS VARCHAR) || '-' || CAST(label AS VARCHAR), ' ' ORDER BY pos) AS impressions
+        FROM fx_candidates GROUP BY imp_id) c USING (imp_id))""",
 }
 
 DEPENDS = {
+    "fx_raw": ["fx_impressions", "fx_history", "fx_candidates"],
     "fx_impressions": [],
     "fx_candidates": [],
     "fx_clicks": ["fx_candidates", "fx_impressions"],
