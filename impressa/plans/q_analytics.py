@@ -55,7 +55,7 @@ def g3_history_length(spark, d):
     return finish(_parsed_train(spark, d).select("imp_id", "history_len"))
 
 
-@query("g4_title_word_length_counts", with_views(["fx_articles"], f"""
+@query("g4_abstract_word_length_counts", with_views(["fx_articles"], f"""
 SELECT CAST({WLEN.format(c='abstract')} AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n FROM {TRAIN_ART} GROUP BY 1"""))
 def g4_length_counts(spark, d):
     # abstracts: titles are two-word part names, so their histogram has one bar
