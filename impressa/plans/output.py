@@ -33,3 +33,8 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def bias_sql(sql: str) -> str:
     """Apply the rounding bias to every ``round(`` of an oracle query."""
     return re.sub(r"\bround\(", "round(1e-11 + ", sql, flags=re.IGNORECASE)
+
+
+def rnd(col, digits: int):
+    """Rounding with the same bias as ``finish`` (for the few outputs kept at other precision)."""
+    return F.round(col.cast("double") + F.lit(BIAS), digits)

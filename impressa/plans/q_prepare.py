@@ -10,7 +10,7 @@ from impressa.functions.text import tokenize
 from impressa.operators import parse as P
 from impressa.operators import sample as D
 from impressa.operators import vocab as V
-from impressa.plans.output import finish
+from impressa.plans.output import finish, rnd
 from impressa.plans.registry import query
 from impressa.sources import fixtures as fx
 from impressa.sources.fixtures import with_views
@@ -275,7 +275,7 @@ FROM word2int w JOIN fx_word_vectors v ON v.token = w.key""", extra=[ART_TOKENS_
 def v9_embedding_matrix(spark, d):
     m = V.gather_vectors(_word2int(spark, d), fx.word_vectors(spark, d))
     return finish(m.select("idx", F.size("vec").alias("dims"),
-                           F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+                           rnd(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
                            .alias("vec_sum")))
 
 

@@ -1 +1,263 @@
-"""Registered queries."""
+"""Queries for batch scoring with supplied vectors and weights."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from impressa.functions.scalar import dot
+from impressa.operators import scoring as B
+from impressa.operators import vocab as V
+from impressa.plans.output import finish
+from impressa.plans.registry import query
+from impressa.sources import fixtures as fx
+from impressa.sources.fixtures import with_views
+
+H = 50
+DIM = 64
+ATT = 4
+
+# A tiny deterministic "trained model" (weights are parameters, data come from tables).
+_rng = np.random.RandomState(11)
+W_ATT = _rng.normal(0, 0.2, (ATT, DIM)).round(4)
+B_ATT = _rng.normal(0, 0.1, ATT).round(4)
+Q_ATT = _rng.normal(0, 1.0, ATT).round(4)
+W_CAT = _rng.normal(0, 0.2, (ATT, DIM)).round(4)
+B_CAT = _rng.normal(0, 0.1, ATT).round(4)
+W_SENT = _rng.normal(0, 0.2, (ATT, DIM + 1)).round(4)
+W_PRED = _rng.normal(0, 0.2, DIM).round(4)
+B_PRED = 0.05
+
+
+def _dl(v) -> str:
+    return "CAST([" + ", ".join(repr(float(x)) for x in v) + "] AS DOUBLE[])"
+
+
+def _logit_sql(x: str, w=W_ATT, b=B_ATT, q=Q_ATT) -> str:
+    return " + ".join(f"({float(q[a])!r}) * tanh(list_dot_product(CAST({x} AS DOUBLE[]), {_dl(w[a])}) + ({float(b[a])!r}))"
+                      for a in range(len(q)))
+
+
+def _pool_sql(name: str, src: str, group: str, logit_of: str, out: str) -> list[str]:
+    """attention pooling of (group, vec) rows of ``src`` in DuckDB."""
+    return [f"""{name}_a AS (
+  SELECT {group}, vec, exp(lg - max(lg) OVER (PARTITION BY {group})) AS e FROM (SELECT {group}, vec, {logit_of} AS lg FROM {src}))""",
+            f"""{name}_w AS (SELECT {group}, vec, e / SUM(e) OVER (PARTITION BY {group}) AS alpha FROM {name}_a)""",
+            f"""{name} AS (
+  SELECT {group}, list(v ORDER BY d) AS {out} FROM (
+    SELECT {group}, d, SUM(alpha * vec[d]) AS v FROM {name}_w, generate_series(1, len(vec)) AS t(d) GROUP BY {group}, d)
+  GROUP BY {group})"""]
+
+
+HIST_ITEMS_SQL = """hist_items AS (SELECT h.imp_id, v.vec FROM fx_history h JOIN fx_vectors v USING (news_id))"""
+
+
+def _user_vecs(spark, d, weighted=True):
+    hist = fx.history(spark, d, H)
+    if weighted:
+        return B.user_vectors(hist, fx.vectors(spark, d), W_ATT, B_ATT, Q_ATT)
+    return B.user_vectors(hist, fx.vectors(spark, d))
+
+
+def _vec_summary(col):
+    return [F.aggregate(col, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("vec_sum"),
+            F.element_at(col, 1).cast("double").alias("v1")]
+
+
+VEC_SUM_SQL = "round(list_sum(CAST({c} AS DOUBLE[])), 6) AS vec_sum, round(CAST({c}[1] AS DOUBLE), 6) AS v1"
+
+
+@query("b1_embed_tokens", with_views(["fx_bench_tokens"], f"""
+SELECT b.item_id, b.tpos, CAST(v.idx AS BIGINT) AS idx, {VEC_SUM_SQL.format(c='w.vec')}
+FROM bench_tok b JOIN vocab v ON v.key = b.token JOIN weights w ON w.idx = v.idx""",
+                                     extra=["""bench_tok AS (
+  SELECT item_id, unnest(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS token,
+         generate_subscripts(regexp_extract_all(lower(trim(text)), '[a-z]+'), 1) - 1 AS tpos FROM benchmark)""",
+                                            """vocab AS (SELECT token AS key, ROW_NUMBER() OVER (ORDER BY token) AS idx FROM fx_bench_tokens)""",
+                                            """weights AS (SELECT v.idx, e.embedding AS vec FROM vocab v
+  JOIN embeddings e ON e.vec_id = CAST(('0x' || substr(md5(v.key), 1, 8)) AS BIGINT) % (SELECT count(*) FROM embeddings))"""]))
+def b1_embed_tokens(spark, d):
+    b = fx.table(spark, d, "benchmark")
+    vocab = V.sorted_ids(b.select(F.explode(B_tokens("text")).alias("key")))
+    weights = V.gather_vectors(vocab, fx.word_vectors(spark, d))
+    toks = V.tokens_long(b, "item_id", "text").join(vocab.withColumnRenamed("key", "token"), "token")
+    out = B.embed_tokens(toks.select("item_id", "tpos", "idx"), weights)
+    return finish(out.select("item_id", "tpos", "idx", *_vec_summary(F.col("vec"))))
+
+
+def B_tokens(c):
+    from impressa.functions.text import tokenize
+    return tokenize(c)
+
+
+@query("b2_attention_pool_history", with_views(["fx_history", "fx_vectors"], f"""
+SELECT imp_id, {VEC_SUM_SQL.format(c='user_vec')} FROM uv""",
+                                               extra=[HIST_ITEMS_SQL] + _pool_sql("uv", "hist_items", "imp_id",
+                                                                                  _logit_sql("vec"), "user_vec")))
+def b2_attention_pool_history(spark, d):
+    return finish(_user_vecs(spark, d).select("imp_id", *_vec_summary(F.col("user_vec"))))
+
+
+@query("b3_encode_catalogue")
+def b3_encode_catalogue(spark, d):
+    """B3 with a caller kernel (tanh of a projected mean) over the tokens of every abstract."""
+    w = W_ATT.T  # (64, 4)
+
+    def kernel(mat):
+        return np.tanh(mat.mean(axis=0) @ w)
+
+    arts = fx.articles(spark, d)
+    vec = fx.word_vectors(spark, d)
+    w2i = V.word_ids(arts, vec, ["row_key"])
+    weights = V.gather_vectors(w2i, vec)
+    toks = V.tokens_long(arts, "news_id", "abstract").join(w2i.withColumnRenamed("key", "token"), "token")
+    enc = B.encode_catalogue(toks.select("news_id", "tpos", "idx"), weights, kernel, ATT)
+    return finish(enc.select("news_id", *_vec_summary(F.col("vec"))))
+
+
+CAT_EMB_SQL = """cat_emb AS (
+  SELECT c.category, e.embedding AS vec FROM (SELECT DISTINCT category FROM fx_news) c
+  JOIN embeddings e ON e.vec_id = CAST(('0x' || substr(md5(c.category), 1, 8)) AS BIGINT) % (SELECT count(*) FROM embeddings))"""
+
+
+def _cat_emb(spark, d, col="category"):
+    from impressa.functions.scalar import hash_int32
+    e = fx.table(spark, d, "embeddings")
+    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("_n")))
+    c = fx.news(spark, d).select(F.col(col).alias("category")).distinct().crossJoin(n) \
+        .withColumn("vec_id", F.pmod(hash_int32("category"), F.col("_n")))
+    return c.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("category", "vec")
+
+
+def _relu_lin_sql(x, w, b):
+    return "[" + ", ".join(f"greatest(0.0, list_dot_product(CAST({x} AS DOUBLE[]), {_dl(w[a])}) + ({float(b[a])!r}))"
+                           for a in range(len(b))) + "]"
+
+
+@query("b4_category_vectors", with_views(["fx_news"], f"""
+SELECT category, {VEC_SUM_SQL.format(c='v')} FROM (SELECT category, {_relu_lin_sql('vec', W_CAT, B_CAT)} AS v FROM cat_emb)""",
+                                         extra=[CAT_EMB_SQL]))
+def b4_category_vectors(spark, d):
+    cv = B.category_vectors(_cat_emb(spark, d), W_CAT, B_CAT)
+    return finish(cv.select("category", *_vec_summary(F.col("vec"))))
+
+
+@query("b5_fuse_views", with_views(["fx_news", "fx_vectors"], f"""
+SELECT news_id, {VEC_SUM_SQL.format(c='vec')} FROM fused""",
+                                   extra=[CAT_EMB_SQL.replace("cat_emb AS", "cat_emb0 AS"),
+                                          CAT_EMB_SQL.replace("cat_emb AS", "sub_emb0 AS").replace("category", "subcategory"),
+                                          """views AS (
+  SELECT news_id, vec FROM fx_vectors
+  UNION ALL SELECT n.news_id, c.vec FROM fx_news n JOIN cat_emb0 c ON c.category = n.category
+  UNION ALL SELECT n.news_id, s.vec FROM fx_news n JOIN sub_emb0 s ON s.subcategory = n.subcategory)"""]
+                                   + _pool_sql("fused", "views", "news_id", _logit_sql("vec"), "vec")))
+def b5_fuse_views(spark, d):
+    n = fx.news(spark, d)
+    cat = n.select("news_id", "category").join(_cat_emb(spark, d), "category").select("news_id", "vec")
+    sub = n.select("news_id", F.col("subcategory").alias("category")).join(_cat_emb(spark, d, "subcategory"),
+                                                                           "category").select("news_id", "vec")
+    views = fx.vectors(spark, d).select("news_id", "vec").unionByName(cat).unionByName(sub)
+    fused = B.fuse_views(views, W_ATT, B_ATT, Q_ATT)
+    return finish(fused.select("news_id", *_vec_summary(F.col("vec"))))
+
+
+@query("b6_sentiment_aware_vectors", with_views(["fx_news", "fx_vectors"], f"""
+SELECT news_id, {VEC_SUM_SQL.format(c='v')} FROM (
+  SELECT v.news_id, [{", ".join(f"list_dot_product(list_concat(CAST(v.vec AS DOUBLE[]), [n.senti_a]), {_dl(W_SENT[a])})" for a in range(ATT))}] AS v
+  FROM fx_vectors v JOIN fx_news n USING (news_id))"""))
+def b6_sentiment_aware_vectors(spark, d):
+    nv = fx.vectors(spark, d).join(fx.news(spark, d).select("news_id", "senti_a"), "news_id")
+    out = B.sentiment_aware(nv, "senti_a", W_SENT)
+    return finish(out.select("news_id", *_vec_summary(F.col("vec"))))
+
+
+@query("b7_predict_sentiment", with_views(["fx_vectors"], f"""
+SELECT news_id, round(list_dot_product(CAST(vec AS DOUBLE[]), {_dl(W_PRED)}) + {B_PRED}, 6) AS s_hat FROM fx_vectors"""))
+def b7_predict_sentiment(spark, d):
+    return finish(B.predict_sentiment(fx.vectors(spark, d), W_PRED, B_PRED).select("news_id", "s_hat"))
+
+
+@query("b8_mean_user_vectors", with_views(["fx_history", "fx_vectors"], f"""
+SELECT imp_id, {VEC_SUM_SQL.format(c='user_vec')} FROM (
+  SELECT imp_id, list(v ORDER BY d) AS user_vec FROM (
+    SELECT imp_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS v FROM hist_items, generate_series(1, len(vec)) AS t(d) GROUP BY imp_id, d)
+  GROUP BY imp_id)""", extra=[HIST_ITEMS_SQL]))
+def b8_mean_user_vectors(spark, d):
+    return finish(_user_vecs(spark, d, weighted=False).select("imp_id", *_vec_summary(F.col("user_vec"))))
+
+
+@query("b9_long_term_users", with_views(["fx_impressions", "fx_history", "fx_vectors"], f"""
+SELECT i.imp_id, CAST(128 AS BIGINT) AS dims,
+       round(coalesce(list_sum(CAST(e.embedding AS DOUBLE[])), 0) + coalesce(list_sum(r.user_vec), 0), 6) AS vec_sum
+FROM fx_impressions i LEFT JOIN embeddings e ON e.vec_id = i.user_id % (SELECT count(*) FROM embeddings) AND i.user_id % 3 <> 0
+LEFT JOIN (SELECT imp_id, list(v ORDER BY d) AS user_vec FROM (
+    SELECT imp_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS v FROM hist_items, generate_series(1, len(vec)) AS t(d) GROUP BY imp_id, d)
+  GROUP BY imp_id) r USING (imp_id)""", extra=[HIST_ITEMS_SQL]))
+def b9_long_term_users(spark, d):
+    """Users with user_id % 3 == 0 have no long-term vector (unknown -> zeros)."""
+    imps = fx.impressions(spark, d).withColumnRenamed("user_id", "user")
+    e = fx.table(spark, d, "embeddings")
+    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("_n")))
+    users = imps.select("user").distinct().where(F.col("user") % 3 != 0).crossJoin(n) \
+        .withColumn("vec_id", F.pmod("user", "_n")).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id") \
+        .select("user", "vec")
+    out = B.long_term_users(imps, users, _user_vecs(spark, d, weighted=False), "con")
+    return finish(out.select("imp_id", F.size("user_vec").alias("dims"),
+                             F.aggregate("user_vec", F.lit(0.0), lambda a, x: a + x).alias("vec_sum")))
+
+
+@query("b10_score_candidates", with_views(["fx_candidates", "fx_history", "fx_vectors"], """
+SELECT c.imp_id, c.pos, round(coalesce(list_dot_product(CAST(v.vec AS DOUBLE[]), u.user_vec), 0.0), 6) AS score
+FROM fx_candidates c LEFT JOIN fx_vectors v USING (news_id) LEFT JOIN uv u USING (imp_id)""",
+                                          extra=[HIST_ITEMS_SQL] + _pool_sql("uv", "hist_items", "imp_id",
+                                                                             _logit_sql("vec"), "user_vec")))
+def b10_score_candidates(spark, d):
+    s = B.score_candidates(fx.candidates(spark, d), fx.vectors(spark, d), _user_vecs(spark, d))
+    return finish(s.select("imp_id", "pos", "score"))
+
+
+@query("b10_dot_product_pairs", with_views(["fx_vectors"], """
+SELECT a.news_id, round(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS dot
+FROM fx_vectors a JOIN embeddings e ON e.vec_id = (7 * a.news_id) % (SELECT count(*) FROM embeddings)"""))
+def b10_dot_product_pairs(spark, d):
+    e = fx.table(spark, d, "embeddings")
+    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("_n")))
+    a = fx.vectors(spark, d).crossJoin(n).withColumn("vec_id", F.pmod(F.col("news_id") * 7, F.col("_n")))
+    j = a.join(e.select("vec_id", F.col("embedding").alias("other")), "vec_id")
+    return finish(j.select("news_id", dot("vec", "other").alias("dot")))
+
+
+@query("b11_adhoc_scores", with_views(["fx_word_vectors"], """
+SELECT c.item_id, round(list_dot_product(c.v, h.v), 6) AS score FROM
+  (SELECT item_id, list(x ORDER BY d) AS v FROM (
+     SELECT item_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS x FROM tv, generate_series(1, len(vec)) AS t(d)
+     WHERE item_id % 2 = 0 GROUP BY item_id, d) GROUP BY item_id) c,
+  (SELECT list(x ORDER BY d) AS v FROM (
+     SELECT d, AVG(CAST(vec[d] AS DOUBLE)) AS x FROM tv, generate_series(1, len(vec)) AS t(d) WHERE item_id % 2 = 1 GROUP BY d)) h""",
+                                      extra=["""tv AS (
+  SELECT b.item_id, w.vec FROM (SELECT item_id, unnest(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS token FROM benchmark) b
+  JOIN fx_word_vectors w USING (token))"""]))
+def b11_adhoc_scores(spark, d):
+    """Ad-hoc texts: even benchmark items are candidates, odd ones one reader's history."""
+    b = fx.table(spark, d, "benchmark")
+    toks = V.tokens_long(b, "item_id", "text").join(fx.word_vectors(spark, d), "token")
+    cand = B.mean_pool(toks.where(F.col("item_id") % 2 == 0), "item_id", "vec", "vec")
+    hist = B.mean_pool(toks.where(F.col("item_id") % 2 == 1).withColumn("g", F.lit(0)), "g", "vec", "user_vec")
+    s = cand.crossJoin(F.broadcast(hist.select("user_vec")))  # one row
+    return finish(s.select("item_id", dot("vec", "user_vec").alias("score")))
+
+
+@query("b12_click_model")
+def b12_click_model(spark, d):
+    """Logistic click model on (dot score, sentiments) fit on train-period candidates,
+    evaluated on test-period impressions."""
+    from impressa.operators import metrics as M
+    cands = fx.candidates(spark, d).join(fx.impressions(spark, d).select("imp_id", "split"), "imp_id")
+    s = B.score_candidates(cands, fx.vectors(spark, d), _user_vecs(spark, d, weighted=False))
+    s = s.withColumnRenamed("score", "dot").join(fx.news(spark, d).select("news_id", "senti_a", "senti_b"),
+                                                 "news_id", "left")
+    va, model = B.fit_click_model(s.where(F.col("split") == "train"), ["dot", "senti_a", "senti_b"])
+    scored = B.apply_click_model(s.where(F.col("split") == "test"), va, model)
+    per = M.performance(scored, ks=(5, 10))
+    per = per.select("imp_id", "auc", "mrr", F.col("`ndcg@5`").alias("ndcg_at_5"))
+    return finish(M.summarize(per, ["auc", "mrr", "ndcg_at_5"]))
