@@ -39,28 +39,33 @@ def best_k_runs(log: DataFrame, metric: str, k: int = 3, mode: str = "max",
 
 def early_stop_epoch(log: DataFrame, metric: str, patience: int = 5, min_delta: float = 1e-4,
                      mode: str = "max", run: str = "run", step: str = "epoch") -> DataFrame:
-    """The epoch at which early stopping fires (or the last epoch), per run.
+    """The epoch at which early stopping fires (or the last epoch), per run, plus the epoch
+    of the last improvement.
 
-    An epoch improves when it beats the best so far by more than ``min_delta``; stopping fires
-    at the first epoch that is ``patience`` epochs after the last improvement.  The running best
-    is a window max, so no per-run list is collected.
+    An epoch improves when it beats the best *recorded* value by more than ``min_delta`` (the
+    best is only updated on improvement); stopping fires once ``patience`` epochs in a row did
+    not improve.  This is a sequential fold, run with ``aggregate`` over the run's epochs in
+    order — one short list per run (runs have at most a few hundred epochs).
     """
-    m = log.where(F.col("metric") == metric).select(run, step, F.col("value").cast("double").alias("v"))
     sign = 1.0 if mode == "max" else -1.0
-    m = m.withColumn("v", F.col("v") * F.lit(sign))
-    w = Window.partitionBy(run).orderBy(step)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("best_before", F.max("v").over(before))
-    m = m.withColumn("improved", F.col("best_before").isNull() | (F.col("v") > F.col("best_before") + min_delta))
-    m = m.withColumn("last_improved", F.max(F.when(F.col("improved"), F.col(step))).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.withColumn("wait", F.col(step) - F.col("last_improved"))
-    fired = m.where(F.col("wait") >= patience).groupBy(run).agg(F.min(step).alias("stop_epoch"))
-    last = m.groupBy(run).agg(F.max(step).alias("last_epoch"),
-                              F.max_by(F.col(step), F.col("v")).alias("best_epoch"))
-    return last.join(fired, run, "left").select(
-        run, F.coalesce("stop_epoch", "last_epoch").alias("stop_epoch"), "best_epoch",
-        F.col("stop_epoch").isNotNull().alias("stopped_early"))
+    m = log.where(F.col("metric") == metric).select(run, F.struct(F.col(step).cast("long").alias("e"),
+                                                                  (F.col("value").cast("double") * sign).alias("v")).alias("x"))
+    g = m.groupBy(run).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_e"),
+                    F.lit(0).cast("long").alias("wait"), F.lit(None).cast("long").alias("stop"))
+
+    def step_fn(acc, x):
+        improved = acc["best"].isNull() | (x["v"] > acc["best"] + F.lit(min_delta))
+        wait = F.when(improved, F.lit(0).cast("long")).otherwise(acc["wait"] + 1)
+        nxt = F.struct(F.when(improved, x["v"]).otherwise(acc["best"]).alias("best"),
+                       F.when(improved, x["e"]).otherwise(acc["best_e"]).alias("best_e"),
+                       wait.alias("wait"),
+                       F.when(wait >= patience, x["e"]).otherwise(F.lit(None).cast("long")).alias("stop"))
+        return F.when(acc["stop"].isNotNull(), acc).otherwise(nxt)
+
+    folded = g.select(run, F.aggregate("xs", init, step_fn).alias("s"), F.element_at("xs", -1)["e"].alias("last"))
+    return folded.select(run, F.coalesce(F.col("s.stop"), F.col("last")).alias("stop_epoch"),
+                         F.col("s.best_e").alias("best_epoch"), F.col("s.stop").isNotNull().alias("stopped_early"))
 
 
 def union_ids(*dfs: DataFrame, col: str = "news_id") -> DataFrame:
