@@ -70,7 +70,7 @@ def read_lines_strict(spark: SparkSession, path, cols, strip: bool = True) -> tu
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S12 (and the TSV form of S7): header-less tab-separated text, no quoting."""
     (df.write.mode(mode).option("sep", "\t").option("header", "false").option("quote", "")
-     .option("escape", "").csv(path))
+     .option("escape", "").option("emptyValue", "").option("nullValue", "").csv(path))
 
 
 def write_dictionary(d: DataFrame, path: str, fmt: str = "parquet") -> None:
