@@ -31,12 +31,16 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
 
 
 def _with_ranks(scored: DataFrame) -> DataFrame:
-    return scored.withColumns({
-        "rank": F.row_number().over(_w().orderBy(F.desc(SCORE), F.asc(POS))),
-        "ideal_rank": F.row_number().over(_w().orderBy(F.desc(LABEL), F.asc(POS))),
-        # average rank in ascending score order (ties share the mean of their ranks)
-        "avg_rank": F.rank().over(_w().orderBy(F.asc(SCORE)))
-        + (F.count(F.lit(1)).over(Window.partitionBy(IMP, SCORE)) - 1) / F.lit(2.0),
+    """rank (row_number by score desc, pos), plus the tie data AUC needs.
+
+    The row_number window is applied first, so its sort (imp, score desc, pos) also satisfies
+    the (imp, score desc) order of ``rank`` and of the peer count (a RANGE frame of the current
+    row): one sort per partition serves all three."""
+    r = scored.withColumn("rank", F.row_number().over(_w().orderBy(F.desc(SCORE), F.asc(POS))))
+    ws = _w().orderBy(F.desc(SCORE))
+    return r.withColumns({
+        "_rmin": F.rank().over(ws),
+        "_peers": F.count(F.lit(1)).over(ws.rangeBetween(Window.currentRow, Window.currentRow)),
     })
 
 
@@ -44,16 +48,25 @@ def _gain(label, r):
     return (F.pow(F.lit(2.0), label.cast("double")) - 1) / F.log2(r.cast("double") + 1)
 
 
+def _ideal_dcg(labels, k: int):
+    """IDCG@k from the impression's labels (a bounded list: one log line)."""
+    srt = F.sort_array(labels, asc=False)
+    top = F.slice(srt, 1, k)
+    return F.aggregate(F.transform(top, lambda l, i: _gain(l, i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
 def performance_parts(ranked: DataFrame, ks=(5, 10), mrr_ks=()) -> list:
     lab = F.col(LABEL).cast("double")
-    r, ri = F.col("rank"), F.col("ideal_rank")
+    r = F.col("rank")
+    desc_avg = F.col("_rmin") + (F.col("_peers") - 1) / F.lit(2.0)  # mean descending rank of the tie group
     parts = [F.count(F.lit(1)).alias("n_cand"), F.count(F.when(F.col(LABEL) > 0, 1)).alias("n_pos"),
              F.sum(lab).alias("_sum_label"),
-             F.sum(F.when(F.col(LABEL) > 0, F.col("avg_rank")).otherwise(0.0)).alias("_sum_pos_rank"),
+             F.sum(F.when(F.col(LABEL) > 0, desc_avg).otherwise(0.0)).alias("_sum_pos_desc"),
              F.sum(lab / r).alias("_rr")]
+    if ks:
+        parts.append(F.collect_list(F.col(LABEL)).alias("_labels"))
     for k in ks:
         parts.append(F.sum(F.when(r <= k, _gain(F.col(LABEL), r)).otherwise(0.0)).alias(f"_dcg{k}"))
-        parts.append(F.sum(F.when(ri <= k, _gain(F.col(LABEL), ri)).otherwise(0.0)).alias(f"_idcg{k}"))
     for k in mrr_ks:
         parts.append(F.sum(F.when(r <= k, lab / r).otherwise(0.0)).alias(f"_rr{k}"))
         parts.append(F.sum(F.when(r <= k, lab).otherwise(0.0)).alias(f"_pos{k}"))
@@ -62,15 +75,18 @@ def performance_parts(ranked: DataFrame, ks=(5, 10), mrr_ks=()) -> list:
 
 def performance_finish(g: DataFrame, ks=(5, 10), mrr_ks=()) -> DataFrame:
     n, p = F.col("n_cand"), F.col("n_pos")
+    # ascending average rank of a candidate = n + 1 - its mean descending rank
+    sum_pos_asc = p * (n + 1) - F.col("_sum_pos_desc")
     cols = {
-        "auc": F.when((p > 0) & (p < n), (F.col("_sum_pos_rank") - p * (p + 1) / 2) / (p * (n - p))),
+        "auc": F.when((p > 0) & (p < n), (sum_pos_asc - p * (p + 1) / 2) / (p * (n - p))),
         "mrr": F.when(F.col("_sum_label") > 0, F.col("_rr") / F.col("_sum_label")),
     }
     for k in ks:
-        cols[f"ndcg@{k}"] = F.when(F.col(f"_idcg{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_idcg{k}"))
+        idcg = _ideal_dcg(F.col("_labels"), k)
+        cols[f"ndcg@{k}"] = F.when(idcg > 0, F.col(f"_dcg{k}") / idcg)
     for k in mrr_ks:
         cols[f"mrr@{k}"] = F.when(F.col(f"_pos{k}") > 0, F.col(f"_rr{k}") / F.col(f"_pos{k}"))
-    own = ["_sum_pos_rank", "_rr", "_sum_label"] + [f"_dcg{k}" for k in ks] + [f"_idcg{k}" for k in ks] \
+    own = ["_sum_pos_desc", "_rr", "_sum_label"] + (["_labels"] if ks else []) + [f"_dcg{k}" for k in ks] \
         + [f"_rr{k}" for k in mrr_ks] + [f"_pos{k}" for k in mrr_ks]
     return g.withColumns(cols).drop(*own)
 
@@ -101,23 +117,6 @@ def mrr(scored: DataFrame, k: int | None = None) -> DataFrame:
 
 # --- sentiment (M4, M5, M8, M-H1) --------------------------------------------------------------
 
-def history_sentiment(history: DataFrame, news: DataFrame, cols, max_history: int = 50,
-                      denominator: str = "max_history") -> DataFrame:
-    """M-H1: (imp_id, s_mean_<col>...) over the first ``max_history`` history items.
-
-    ``denominator='max_history'`` divides by the padded length like the reference (Q4);
-    ``'actual'`` by the number of items.  Impressions without history are absent (mean 0).
-    """
-    h = history.where(F.col("hpos") <= max_history).join(news.select("news_id", *cols), "news_id")
-    if denominator == "max_history":
-        aggs = [(F.sum(F.col(c)) / F.lit(float(max_history))).alias(f"s_mean_{c}") for c in cols]
-    elif denominator == "actual":
-        aggs = [F.avg(F.col(c)).alias(f"s_mean_{c}") for c in cols]
-    else:
-        raise ValueError("denominator must be 'max_history' or 'actual'")
-    return h.groupBy(IMP).agg(*aggs)
-
-
 def sentiment_parts(col: str, ks=(5, 10)) -> list:
     s, r = F.col(col).cast("double"), F.col("rank")
     parts = [F.sum(s / r).alias(f"_srr_{col}")]
@@ -134,144 +133,165 @@ def sentiment_finish(g: DataFrame, col: str, ks=(5, 10), name: str | None = None
     return g.withColumns(cols).drop(f"_srr_{col}", *[f"_s{k}_{col}" for k in ks])
 
 
-def ils_senti_parts(col: str, k: int) -> list:
-    """Pieces of ILS-senti@k: needs ``_srank{k}_<col>`` = rank by sentiment inside the top k."""
-    s, r = F.col(col).cast("double"), F.col("rank")
-    nk = F.col(f"_nk{k}")
-    return [F.sum(F.when(r <= k, s * (2 * F.col(f"_srank{k}_{col}") - nk - 1)).otherwise(0.0))
-            .alias(f"_ils_{k}_{col}")]
+def ils_senti_parts(cols, kmax: int) -> list:
+    """ILS-senti input: the top-``kmax`` candidates' (rank, sentiments) — at most kmax per impression."""
+    return [F.collect_list(F.when(F.col("rank") <= kmax, F.struct(F.col("rank").alias("r"),
+                                                                  *[F.col(c).cast("double").alias(c) for c in cols])))
+            .alias("_topk")]
+
+
+def _pairwise_abs_mean(values):
+    """mean over pairs of |x_i - x_j| / 2 from the sorted identity sum_j x_(j) (2j - n - 1)."""
+    srt = F.array_sort(values)
+    n = F.size(srt).cast("double")
+    total = F.aggregate(F.transform(srt, lambda x, i: x * (2 * (i + 1) - n - 1)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n >= 2, total / (n * (n - 1)))
 
 
 def ils_senti_finish(g: DataFrame, col: str, k: int, name: str | None = None) -> DataFrame:
     name = name or col
-    nk = F.least(F.col("n_cand"), F.lit(k)).cast("double")
-    return g.withColumn(f"ils_senti@{k}_{name}",
-                        F.when(nk >= 2, F.col(f"_ils_{k}_{col}") / (nk * (nk - 1)))).drop(f"_ils_{k}_{col}")
+    vals = F.transform(F.filter("_topk", lambda x: x["r"] <= k), lambda x: x[col])
+    return g.withColumn(f"ils_senti@{k}_{name}", _pairwise_abs_mean(vals))
 
 
-def _add_sentiment_order(df: DataFrame, cols, ks) -> DataFrame:
-    """rank by sentiment inside the top k, and the size of the top k, per impression."""
-    adds = {}
-    for k in ks:
-        adds[f"_nk{k}"] = F.least(F.count(F.lit(1)).over(_w()), F.lit(k))
-        for c in cols:
-            topk_first = F.when(F.col("rank") <= k, 0).otherwise(1)
-            adds[f"_srank{k}_{c}"] = F.row_number().over(_w().orderBy(topk_first, F.asc(c), F.asc("rank")))
-    return df.withColumns(adds)
+# --- topics (M6, M7, M9, M-H2) -----------------------------------------------------------------
 
+def topic_array(news: DataFrame, category="category", subcategory="subcategory"):
+    """Distinct non-null topics of an item (category and subcategory share one id space, so an
+    equal pair counts once)."""
+    return F.array_distinct(F.filter(F.array(F.col(category).cast("string"), F.col(subcategory).cast("string")),
+                                     lambda x: x.isNotNull()))
 
-# --- topics (M6, M7, M9, M-H2) -----------------------------------------------------------------
 
-def item_topics(news: DataFrame, category="category", subcategory="subcategory") -> DataFrame:
-    """(news_id, topic, n_topics): the distinct non-null topics of each item (category and
-    subcategory share one id space, so equal values count once)."""
-    t = news.select("news_id", F.array_distinct(F.filter(F.array(F.col(category).cast("string"),
-                                                                 F.col(subcategory).cast("string")),
-                                                         lambda x: x.isNotNull())).alias("_t"))
-    return t.select("news_id", F.explode("_t").alias("topic"), F.size("_t").alias("n_topics"))
+def history_profile(history: DataFrame, news: DataFrame, senti_cols=(), max_history: int = 50,
+                    denominator: str = "max_history", topics: bool = True) -> DataFrame:
+    """M-H1 + M-H2, one row per impression: ``s_mean_<col>`` (Q4: divided by the padded length
+    by default), ``_utopic`` = map topic -> number of history items with it, ``_unorm`` = L2 norm
+    of those counts.  Impressions without history are absent (their means and vectors are 0)."""
+    h = history.where(F.col("hpos") <= max_history)
+    cols = list(senti_cols)
+    attrs = news.select("news_id", *cols, *([topic_array(news).alias("_t")] if topics else []))
+    hj = h.join(attrs, "news_id")
+    out = None
+    if cols:
+        if denominator == "max_history":
+            aggs = [(F.sum(F.col(c)) / F.lit(float(max_history))).alias(f"s_mean_{c}") for c in cols]
+        elif denominator == "actual":
+            aggs = [F.avg(F.col(c)).alias(f"s_mean_{c}") for c in cols]
+        else:
+            raise ValueError("denominator must be 'max_history' or 'actual'")
+        out = hj.groupBy(IMP).agg(*aggs)
+    if topics:
+        cnt = hj.select(IMP, F.explode("_t").alias("topic")).groupBy(IMP, "topic").agg(
+            F.count(F.lit(1)).cast("double").alias("cnt"))
+        # at most 2 * max_history topics per impression
+        tm = cnt.groupBy(IMP).agg(F.map_from_entries(F.collect_list(F.struct("topic", "cnt"))).alias("_utopic"),
+                                  F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_unorm"))
+        out = tm if out is None else out.join(tm, IMP, "full")
+    return out
 
 
-def user_topics(history: DataFrame, topics: DataFrame, max_history: int = 50) -> DataFrame:
-    """M-H2 user side: (imp_id, topic, u) with u = L2-normalised count of history items per topic."""
-    c = (history.where(F.col("hpos") <= max_history).join(topics, "news_id")
-         .groupBy(IMP, "topic").agg(F.count(F.lit(1)).cast("double").alias("cnt")))
-    return c.withColumn("u", F.col("cnt") / F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(_w()))).drop("cnt")
+def history_sentiment(history: DataFrame, news: DataFrame, cols, max_history: int = 50,
+                      denominator: str = "max_history") -> DataFrame:
+    """M-H1 alone: (imp_id, s_mean_<col>...)."""
+    return history_profile(history, news, cols, max_history, denominator, topics=False)
 
 
-def topic_scores(ranked_topics: DataFrame, utopics: DataFrame, ks=(5, 10)) -> DataFrame:
-    """M6/M7/M9 per impression from (imp_id, rank, n_cand, topic, n_topics) rows.
+def user_topics(history: DataFrame, news: DataFrame, max_history: int = 50) -> DataFrame:
+    """M-H2 user side in long form: (imp_id, topic, u) with u the L2-normalised topic counts."""
+    p = history_profile(history, news, (), max_history, topics=True)
+    return p.select(IMP, F.explode("_utopic").alias("topic", "cnt"), "_unorm") \
+        .select(IMP, "topic", (F.col("cnt") / F.col("_unorm")).alias("u"))
 
-    TopicMRR = <u, normalise(sum_c onehot_c / r_c)>, Topic@k = same with weight 1 on r <= k,
-    ILS-topic@k = mean pairwise cosine of the top-k candidates' topic vectors.
-    """
+
+def _topic_candidate_parts(ks) -> list:
+    """per-impression sums over candidates of the user-topic weight of each candidate's topics."""
+    u_c = F.aggregate(F.transform(F.coalesce(F.col("_topics"), F.array().cast("array<string>")),
+                                  lambda t: F.coalesce(F.col("_utopic")[t], F.lit(0.0))),
+                      F.lit(0.0), lambda a, x: a + x)
+    r = F.col("rank")
+    parts = [F.sum(u_c / r).alias("_udot_mrr"), F.max("_unorm").alias("_unorm")]
+    parts += [F.sum(F.when(r <= k, u_c).otherwise(0.0)).alias(f"_udot{k}") for k in ks]
+    parts += [F.sum(F.when((r <= k) & (F.size("_topics") > 0), 1.0).otherwise(0.0)).alias(f"_nz{k}") for k in ks]
+    return parts
+
+
+def _topic_norms(ranked: DataFrame, ks) -> DataFrame:
+    """|v|^2 of the candidate topic vectors (weights 1/r, or 1 on the top k) and |sum of the
+    normalised top-k vectors|^2, by (impression, topic) then impression — both grouped on the
+    ranked table's existing partitioning, so no exchange."""
     r = F.col("rank")
-    inv_sqrt = F.lit(1.0) / F.sqrt(F.col("n_topics").cast("double"))
-    per_topic = ranked_topics.groupBy(IMP, "topic").agg(
+    x = ranked.select(IMP, "rank", F.explode("_topics").alias("topic"), F.size("_topics").alias("m"))
+    inv = F.lit(1.0) / F.sqrt(F.col("m").cast("double"))
+    pt = x.groupBy(IMP, "topic").agg(
         F.sum(F.lit(1.0) / r).alias("v_mrr"),
         *[F.sum(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"v{k}") for k in ks],
-        *[F.sum(F.when(r <= k, inv_sqrt).otherwise(0.0)).alias(f"w{k}") for k in ks])
-    joined = per_topic.join(utopics, [IMP, "topic"], "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
-    g = joined.groupBy(IMP).agg(
-        F.sum(F.col("u") * F.col("v_mrr")).alias("_dot_mrr"), F.sum(F.col("v_mrr") ** 2).alias("_nn_mrr"),
-        *[F.sum(F.col("u") * F.col(f"v{k}")).alias(f"_dot{k}") for k in ks],
+        *[F.sum(F.when(r <= k, inv).otherwise(0.0)).alias(f"w{k}") for k in ks])
+    return pt.groupBy(IMP).agg(
+        F.sum(F.col("v_mrr") ** 2).alias("_nn_mrr"),
         *[F.sum(F.col(f"v{k}") ** 2).alias(f"_nn{k}") for k in ks],
         *[F.sum(F.col(f"w{k}") ** 2).alias(f"_ww{k}") for k in ks])
-    cols = {"topic_mrr": F.when(F.col("_nn_mrr") > 0, F.col("_dot_mrr") / F.sqrt("_nn_mrr")).otherwise(0.0)}
-    for k in ks:
-        cols[f"topic_div@{k}"] = F.when(F.col(f"_nn{k}") > 0, F.col(f"_dot{k}") / F.sqrt(f"_nn{k}")).otherwise(0.0)
-    out = g.withColumns(cols)
-    return out.select(IMP, *cols.keys(), *[f"_ww{k}" for k in ks])
 
 
-def ils_topic_finish(df: DataFrame, ks=(5, 10)) -> DataFrame:
-    """needs ``_ww{k}`` (|sum of normalised vectors|^2), ``_nz{k}`` (non-empty vectors), n_cand."""
-    cols = {}
+def _topic_finish(df: DataFrame, ks) -> DataFrame:
+    un = F.col("_unorm")
+
+    def cosine(dot, nn):
+        return F.when((un > 0) & (F.col(nn) > 0), F.col(dot) / (un * F.sqrt(nn))).otherwise(0.0)
+
+    cols = {"topic_mrr": cosine("_udot_mrr", "_nn_mrr")}
     for k in ks:
+        cols[f"topic_div@{k}"] = cosine(f"_udot{k}", f"_nn{k}")
         nk = F.least(F.col("n_cand"), F.lit(k)).cast("double")
-        cols[f"ils_topic@{k}"] = F.when(nk >= 2, (F.coalesce(F.col(f"_ww{k}"), F.lit(0.0))
-                                                  - F.col(f"_nz{k}")) / (nk * (nk - 1)))
-    out = df.withColumns(cols)
-    return out.drop(*[f"_ww{k}" for k in ks], *[f"_nz{k}" for k in ks])
+        cols[f"ils_topic@{k}"] = F.when(nk >= 2, (F.coalesce(F.col(f"_ww{k}"), F.lit(0.0)) - F.col(f"_nz{k}"))
+                                        / (nk * (nk - 1)))
+    drop = ["_udot_mrr", "_nn_mrr", "_unorm"] + [f"_{p}{k}" for k in ks for p in ("udot", "nn", "ww", "nz")]
+    return df.withColumns(cols).drop(*drop)
 
 
 # --- everything at once (M10, M11) -------------------------------------------------------------
 
-def topic_array(news: DataFrame, category="category", subcategory="subcategory"):
-    """Distinct non-null topics of an item (category and subcategory share one id space)."""
-    return F.array_distinct(F.filter(F.array(F.col(category).cast("string"), F.col(subcategory).cast("string")),
-                                     lambda x: x.isNotNull()))
-
-
 def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history: DataFrame | None = None,
                        senti_cols=(), ks=(5, 10), max_history: int = 50, denominator: str = "max_history",
                        topics: bool = True) -> DataFrame:
     """One row per impression with every metric as a column (null where undefined).
 
     ``news`` supplies ``senti_cols`` and category/subcategory; ``history`` is (imp_id, hpos, news_id).
-    Item attributes are attached *before* ranking, so a single exchange by impression serves the
-    rank windows, the per-impression sums and the per-(impression, topic) sums.
+    Plan: item attributes (broadcast-sized catalogue) and the per-impression history profile
+    are attached to the candidates *before* ranking, so a single exchange by impression serves
+    the rank window, the per-impression aggregate and the per-(impression, topic) aggregate.
     """
     senti_cols = list(senti_cols)
     topics = topics and news is not None
     base = scored
     if news is not None:
-        attach = news.select("news_id", *senti_cols,
-                             *([topic_array(news).alias("_topics")] if topics else []))
-        base = base.join(attach, "news_id", "left")
+        base = base.join(news.select("news_id", *senti_cols, *([topic_array(news).alias("_topics")] if topics else [])),
+                         "news_id", "left")
+    if history is not None and (senti_cols or topics):
+        prof = history_profile(history, news, senti_cols, max_history, denominator, topics)
+        base = base.join(prof, IMP, "left")
+    else:
+        base = base.withColumns({f"s_mean_{c}": F.lit(0.0) for c in senti_cols})
+        if topics:
+            base = base.withColumns({"_utopic": F.create_map().cast("map<string,double>"),
+                                     "_unorm": F.lit(None).cast("double")})
     ranked = _with_ranks(base)
-    if senti_cols:
-        ranked = _add_sentiment_order(ranked, senti_cols, ks)
     parts = performance_parts(None, ks)
     for c in senti_cols:
         parts += sentiment_parts(c, ks)
-        for k in ks:
-            parts += ils_senti_parts(c, k)
+        parts.append(F.max(F.col(f"s_mean_{c}")).alias(f"s_mean_{c}"))
+    if senti_cols:
+        parts += ils_senti_parts(senti_cols, max(ks))
     if topics:
-        parts += [F.sum(F.when((F.col("rank") <= k) & (F.size("_topics") > 0), 1.0).otherwise(0.0))
-                  .alias(f"_nz{k}") for k in ks]
+        parts += _topic_candidate_parts(ks)
     out = performance_finish(ranked.groupBy(IMP).agg(*parts), ks)
-    if senti_cols:
-        if history is not None:
-            out = out.join(history_sentiment(history, news, senti_cols, max_history, denominator), IMP, "left")
-        else:
-            out = out.withColumns({f"s_mean_{c}": F.lit(0.0) for c in senti_cols})
-        for c in senti_cols:
-            out = sentiment_finish(out, c, ks)
-            for k in ks:
-                out = ils_senti_finish(out, c, k)
-        out = out.drop(*[f"s_mean_{c}" for c in senti_cols])
+    for c in senti_cols:
+        out = sentiment_finish(out, c, ks)
+        for k in ks:
+            out = ils_senti_finish(out, c, k)
+    out = out.drop(*[f"s_mean_{c}" for c in senti_cols], *(["_topk"] if senti_cols else []))
     if topics:
-        rk = ranked.select(IMP, "rank", F.explode("_topics").alias("topic"), F.size("_topics").alias("n_topics"))
-        if history is not None:
-            ut = user_topics(history, news.select("news_id", F.explode(topic_array(news)).alias("topic")),
-                             max_history)
-        else:
-            ut = rk.limit(0).select(IMP, "topic", F.lit(0.0).alias("u"))
-        ts = topic_scores(rk, ut, ks)
-        out = out.join(ts, IMP, "left") \
-            .withColumns({c: F.coalesce(F.col(c), F.lit(0.0))
-                          for c in ["topic_mrr"] + [f"topic_div@{k}" for k in ks]})
-        out = ils_topic_finish(out, ks)
+        out = _topic_finish(out.join(_topic_norms(ranked, ks), IMP, "left"), ks)
     return out
 
 

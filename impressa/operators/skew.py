@@ -39,13 +39,37 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = DEFAULT_HOT_ROWS,
             .groupBy(*keys).count().where(F.col("count") >= min_sampled).select(*keys))
 
 
+SKEW_MODE_CONF = "impressa.skew.mode"  # "aqe" (default) or "salt"
+
+
+def skew_mode(spark) -> str:
+    return (spark.conf.get(SKEW_MODE_CONF, "aqe") or "aqe").lower()
+
+
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-              condition=None, hot_rows: int = DEFAULT_HOT_ROWS, salts: int = DEFAULT_SALTS) -> DataFrame:
-    """Equi-join on ``keys`` (plus an optional extra condition) with hot keys salted.
+              condition=None, hot_rows: int = DEFAULT_HOT_ROWS, salts: int = DEFAULT_SALTS,
+              mode: str | None = None) -> DataFrame:
+    """Equi-join on ``keys`` (plus an optional extra condition) that survives hot keys.
+
+    ``mode='aqe'`` (default, session conf ``impressa.skew.mode``) plans a plain shuffle join and
+    lets adaptive execution split oversized partitions of the big side at runtime (no extra
+    pass over the data).  ``mode='salt'`` spreads keys found hot on a 1% sample over ``salts``
+    buckets and copies the small side's rows of those keys to every bucket — for engines or
+    join shapes where runtime splitting is not available.
 
     ``condition`` is a Column over non-key columns, which must have distinct names on the
     two sides.
     """
+    mode = mode or skew_mode(big.sparkSession)
+    if mode == "aqe":
+        if condition is None:
+            return big.join(small, keys, how)
+        b, s = big.alias("_b"), small.alias("_s")
+        cond = [F.col(f"_b.{k}") == F.col(f"_s.{k}") for k in keys] + [condition]
+        cols = [F.col(f"_b.{k}").alias(k) for k in keys]
+        cols += [F.col(f"_b.{c}") for c in big.columns if c not in keys]
+        cols += [F.col(f"_s.{c}") for c in small.columns if c not in keys]
+        return b.join(s, cond, how).select(*cols)
     hot = F.broadcast(hot_keys(big, keys, hot_rows).withColumn("_hot", F.lit(True)))
     b = (big.join(hot, keys, "left")
          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]),

@@ -38,10 +38,14 @@ def candidates(spark, sf_dir) -> DataFrame:
         Window.partitionBy("imp_id").orderBy("news_id")).cast("long"))
 
 
-def impressions(spark, sf_dir) -> DataFrame:
-    """(imp_id, user_id, time, split) for orders that have candidates."""
+def impressions(spark, sf_dir, cands: DataFrame | None = None) -> DataFrame:
+    """(imp_id, user_id, time, split) for orders that have candidates.
+
+    The ids come from the candidate view, which is already partitioned by order, so the
+    semi-join shuffles only ``orders``."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    has = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    cands = cands if cands is not None else candidates(spark, sf_dir)
+    has = cands.select(F.col("imp_id").alias("o_orderkey"))
     o = o.join(has, "o_orderkey", "left_semi")
     return o.select(F.col("o_orderkey").alias("imp_id"), F.col("o_custkey").alias("user_id"),
                     F.col("o_orderdate").alias("time"),
@@ -58,8 +62,8 @@ def history(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY, imps: DataFra
     first ``max_history`` clicks can ever appear; a per-user top-k (partially evaluated before
     the shuffle) finds them, and the join to impressions salts hot users.
     """
-    imps = imps if imps is not None else impressions(spark, sf_dir)
     cands = cands if cands is not None else candidates(spark, sf_dir)
+    imps = imps if imps is not None else impressions(spark, sf_dir, cands)
     clicks = (cands.where(F.col("label") == 1).select("imp_id", "news_id")
               .join(imps.select("imp_id", "user_id", F.col("time").alias("click_time")), "imp_id"))
     w = Window.partitionBy("user_id").orderBy("click_time", "imp_id", "news_id")
@@ -144,8 +148,8 @@ def lexicon(spark, sf_dir) -> DataFrame:
 
 def raw_behaviors(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY) -> DataFrame:
     """fx_raw: the views rendered back to log strings (imp_id, user_id, time, history, impressions)."""
-    imps = impressions(spark, sf_dir)
     cands = candidates(spark, sf_dir)
+    imps = impressions(spark, sf_dir, cands)
     hist = history(spark, sf_dir, max_history, imps, cands)
     hs = (hist.groupBy("imp_id")
           .agg(F.array_sort(F.collect_list(F.struct("hpos", "news_id"))).alias("h"))
