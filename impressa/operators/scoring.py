@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +29,23 @@ def _lit_mat(m) -> Column:
     return F.array(*[_lit_vec(row) for row in m])
 
 
+def _stack(series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
+
+
 def linear(x, weight, bias=None) -> Column:
-    """W x + b for an array column and a small literal matrix (rows = outputs)."""
-    xs = F.col(x) if isinstance(x, str) else x
-    w = np.asarray(weight, dtype=float)
-    b = np.zeros(w.shape[0]) if bias is None else np.asarray(bias, dtype=float)
-    return F.array(*[dot(xs, _lit_vec(w[i])) + F.lit(float(b[i])) for i in range(w.shape[0])])
+    """W x + b for an array column and a small fixed matrix (rows = outputs), evaluated on Arrow
+    batches with one matrix product per batch."""
+    w = np.asarray(weight, dtype=np.float64)
+    b = np.zeros(w.shape[0]) if bias is None else np.asarray(bias, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def _linear(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        return pd.Series(list(_stack(v) @ w.T + b))
+
+    return _linear(F.col(x) if isinstance(x, str) else x)
 
 
 def embed_tokens(token_ids: DataFrame, weights: DataFrame, idx: str = "idx") -> DataFrame:
@@ -42,34 +54,61 @@ def embed_tokens(token_ids: DataFrame, weights: DataFrame, idx: str = "idx") ->
 
 
 def attention_logit(x, weight, bias, query) -> Column:
-    """q . tanh(W x + b) for one row (B2's score)."""
-    h = linear(x, weight, bias)
-    return dot(F.transform(h, lambda v: F.tanh(v)), _lit_vec(query))
+    """q . tanh(W x + b) per row (B2's score), one matrix product per Arrow batch."""
+    w = np.asarray(weight, dtype=np.float64)
+    b = np.asarray(bias, dtype=np.float64)
+    q = np.asarray(query, dtype=np.float64)
+
+    @F.pandas_udf("double")
+    def _logit(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=np.float64)
+        return pd.Series(np.tanh(_stack(v) @ w.T + b) @ q)
+
+    return _logit(F.col(x) if isinstance(x, str) else x)
+
+
+def _weighted_fold():
+
+    @F.pandas_udf("array<double>")
+    def _fold(ws: pd.Series, vs: pd.Series) -> pd.Series:
+        out = []
+        for w, v in zip(ws, vs):
+            out.append(np.asarray(w, dtype=np.float64) @ _stack(v))
+        return pd.Series(out, dtype=object)
+
+    return _fold
 
 
 def attention_pool(items: DataFrame, group: str, vec: str, weight, bias, query, order: str | None = None,
                    out: str = "vec") -> DataFrame:
     """B2: additive-attention pooling inside each group: alpha = softmax(q . tanh(W x + b)),
-    pooled = sum(alpha x).  Groups are a news item's tokens or views, or one history line."""
-    w = Window.partitionBy(group)
+    pooled = sum(alpha x).  Groups are a news item's tokens or views, or one history line —
+    bounded — so each group is collected once (one exchange, no window, no per-dimension rows);
+    the softmax weights are array expressions, the weighted sum one vector product per group."""
     s = items.withColumn("_logit", attention_logit(vec, weight, bias, query))
-    e = F.exp(F.col("_logit") - F.max("_logit").over(w))
-    s = s.withColumn("_alpha", e / F.sum(e).over(w))
-    return weighted_sum(s, group, vec, "_alpha", out)
+    g = s.groupBy(group).agg(F.max("_logit").alias("_m"),
+                             F.collect_list(F.struct(F.col("_logit").alias("l"), F.col(vec).alias("v"))).alias("_xs"))
+    e = F.transform("_xs", lambda x: F.exp(x["l"] - F.col("_m")))
+    g = g.withColumn("_e", e).withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    w = F.transform("_e", lambda x: x / F.col("_z"))
+    return g.select(group, _weighted_fold()(w, F.transform("_xs", lambda x: x["v"])).alias(out))
 
 
 def weighted_sum(items: DataFrame, group: str, vec: str, weight: str, out: str = "vec") -> DataFrame:
-    """sum_i w_i x_i per group via long (group, dim) aggregation, back to an array."""
-    long = items.select(group, F.col(weight).alias("_w"), F.posexplode(vec).alias("_d", "_x"))
-    agg = long.groupBy(group, "_d").agg(F.sum(F.col("_w") * F.col("_x").cast("double")).alias("_v"))
-    back = agg.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_d", "_v"))).alias("_s"))
-    return back.select(group, F.transform("_s", lambda s: s["_v"]).alias(out))
+    """sum_i w_i x_i per (bounded) group."""
+    g = items.groupBy(group).agg(F.collect_list(F.struct(F.col(weight).cast("double").alias("w"),
+                                                         F.col(vec).alias("v"))).alias("_xs"))
+    return g.select(group, _weighted_fold()(F.transform("_xs", lambda x: x["w"]),
+                                            F.transform("_xs", lambda x: x["v"])).alias(out))
 
 
 def mean_pool(items: DataFrame, group: str, vec: str, out: str = "vec") -> DataFrame:
-    """Plain mean of the vectors of a group (the zero-weight baseline of B2)."""
-    return weighted_sum(items.withColumn("_one", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(group))),
-                        group, vec, "_one", out)
+    """Plain mean of the vectors of a (bounded) group."""
+    g = items.groupBy(group).agg(F.collect_list(F.col(vec)).alias("_xs"))
+    n = F.size("_xs").cast("double")
+    w = F.transform("_xs", lambda x: F.lit(1.0) / n)
+    return g.select(group, _weighted_fold()(w, F.col("_xs")).alias(out))
 
 
 def encode_catalogue(news_tokens: DataFrame, weights: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
@@ -83,7 +122,6 @@ def encode_catalogue(news_tokens: DataFrame, weights: DataFrame, kernel: Callabl
     schema = T.StructType([g.schema[key], T.StructField("vec", T.ArrayType(T.FloatType()))])
 
     def run(batches):
-        import pandas as pd
         for pdf in batches:
             vecs = [np.asarray(kernel(np.vstack(m).astype(np.float32)), dtype=np.float32).tolist()
                     for m in pdf["mat"]]

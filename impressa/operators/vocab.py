@@ -67,7 +67,7 @@ def word_ids(news: DataFrame, vectors: DataFrame, row_order: list[str], fields=(
              pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """V5: ids for tokens that have a vector, by first appearance (title tokens before abstract)."""
     toks = field_tokens(news, row_order, fields, pattern)
-    known = toks.join(vectors.select("token").distinct(), "token", "left_semi")  # J7
+    known = lookup_join(toks, vectors.select("token").distinct(), ["token"], "left_semi")  # J7
     return first_seen_ids(known, "token", [*row_order, "_field", "tpos"])
 
 
