@@ -74,9 +74,8 @@ def sample_exact(df: DataFrame, k: int, seed: int = 1234, key: str = "imp_id",
     level at a time until the boundary bucket is small; rows below it are kept by a filter and
     only the boundary bucket is ranked.
     """
-    n = df.count()
-    if k < 1 or k > n:
-        raise ValueError(f"k must be in [1, {n}], got {k}")
+    if k < 1:
+        raise ValueError(f"k must be at least 1, got {k}")
     h = df.withColumn("_h", _sort_key(seed, key))
     total_bits = HEX60 * 4
     lo_prefix, prev_shift, shift, need = None, total_bits, total_bits, k
@@ -86,6 +85,10 @@ def sample_exact(df: DataFrame, k: int, seed: int = 1234, key: str = "imp_id",
         in_prefix = F.lit(True) if lo_prefix is None else (F.shiftright("_h", prev_shift) == lo_prefix)
         hist = (h.where(in_prefix).groupBy(F.shiftright("_h", shift).alias("b")).count()
                 .orderBy("b").collect())  # at most 2^bits_per_level rows
+        if lo_prefix is None:  # the first level also counts every row
+            n = sum(row["count"] for row in hist)
+            if k > n:
+                raise ValueError(f"k must be at most {n}, got {k}")
         acc = 0
         for row in hist:
             if acc + row["count"] >= need:
