@@ -167,28 +167,32 @@ def history_profile(history: DataFrame, news: DataFrame, senti_cols=(), max_hist
                     denominator: str = "max_history", topics: bool = True) -> DataFrame:
     """M-H1 + M-H2, one row per impression: ``s_mean_<col>`` (Q4: divided by the padded length
     by default), ``_utopic`` = map topic -> number of history items with it, ``_unorm`` = L2 norm
-    of those counts.  Impressions without history are absent (their means and vectors are 0)."""
-    h = history.where(F.col("hpos") <= max_history)
+    of those counts.  Impressions without history are absent (their means and vectors are 0).
+
+    One pass over the history: items are exploded to their topics (an item without topics keeps
+    one row), sentiment is summed on each item's first row only, and the per-(impression, topic)
+    counts are folded into a map per impression (at most 2 * max_history entries)."""
+    if denominator not in ("max_history", "actual"):
+        raise ValueError("denominator must be 'max_history' or 'actual'")
     cols = list(senti_cols)
-    attrs = news.select("news_id", *cols, *([topic_array(news).alias("_t")] if topics else []))
-    hj = h.join(attrs, "news_id")
-    out = None
-    if cols:
-        if denominator == "max_history":
-            aggs = [(F.sum(F.col(c)) / F.lit(float(max_history))).alias(f"s_mean_{c}") for c in cols]
-        elif denominator == "actual":
-            aggs = [F.avg(F.col(c)).alias(f"s_mean_{c}") for c in cols]
-        else:
-            raise ValueError("denominator must be 'max_history' or 'actual'")
-        out = hj.groupBy(IMP).agg(*aggs)
+    h = history.where(F.col("hpos") <= max_history)
+    t_arr = topic_array(news) if topics else F.array().cast("array<string>")
+    hj = h.join(news.select("news_id", *cols, t_arr.alias("_t")), "news_id")
+    x = hj.select(IMP, *cols, F.posexplode_outer("_t").alias("_ti", "topic"))
+    first = F.coalesce(F.col("_ti"), F.lit(0)) == 0
+    pt = x.groupBy(IMP, "topic").agg(F.count(F.col("_ti")).cast("double").alias("cnt"),
+                                     F.sum(F.when(first, 1).otherwise(0)).alias("_items"),
+                                     *[F.sum(F.when(first, F.col(c))).alias(f"_s_{c}") for c in cols])
+    aggs = []
+    for c in cols:
+        total = F.sum(f"_s_{c}")
+        aggs.append((total / F.lit(float(max_history)) if denominator == "max_history"
+                     else total / F.sum("_items")).alias(f"s_mean_{c}"))
     if topics:
-        cnt = hj.select(IMP, F.explode("_t").alias("topic")).groupBy(IMP, "topic").agg(
-            F.count(F.lit(1)).cast("double").alias("cnt"))
-        # at most 2 * max_history topics per impression
-        tm = cnt.groupBy(IMP).agg(F.map_from_entries(F.collect_list(F.struct("topic", "cnt"))).alias("_utopic"),
-                                  F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_unorm"))
-        out = tm if out is None else out.join(tm, IMP, "full")
-    return out
+        aggs += [F.map_from_entries(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("topic", "cnt"))))
+                 .alias("_utopic"),
+                 F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_unorm")]
+    return pt.groupBy(IMP).agg(*aggs)
 
 
 def history_sentiment(history: DataFrame, news: DataFrame, cols, max_history: int = 50,

@@ -140,7 +140,7 @@ WHERE h.news_id IN (SELECT c.news_id FROM fx_candidates c JOIN fx_impressions i
 def p13_clean_history(spark, d):
     cands, imps = fx.candidates(spark, d), fx.impressions(spark, d)
     catalogue = cands.join(imps.where(F.col("split") == "train").select("imp_id"), "imp_id").select("news_id")
-    return finish(P.clean_history(fx.history(spark, d, H, imps, cands), catalogue))
+    return finish(P.clean_history(fx.history(spark, d, H), catalogue))
 
 
 @query("p16_prune_fill", with_views(["fx_impressions", "fx_history"], """

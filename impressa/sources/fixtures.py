@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from impressa.functions.scalar import hash_int32, signed_sentiment
 from impressa.functions.text import tokenize
 from impressa.operators.skew import skew_join
+from impressa.session import cut_lineage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -53,8 +54,25 @@ def impressions(spark, sf_dir, cands: DataFrame | None = None) -> DataFrame:
                     .otherwise("test").alias("split"))
 
 
+_MATERIALIZED: dict = {}
+
+
+def clear_cache() -> None:
+    """Forget materialized fixture views (the checkpoint files stay in the shared folder)."""
+    _MATERIALIZED.clear()
+
+
 def history(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY, imps: DataFrame | None = None,
-            cands: DataFrame | None = None) -> DataFrame:
+            cands: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+    if materialize and imps is None and cands is None:
+        key = (spark.sparkContext.applicationId, sf_dir, max_history)
+        if key not in _MATERIALIZED:
+            _MATERIALIZED[key] = _history(spark, sf_dir, max_history, None, None, True)
+        return _MATERIALIZED[key]
+    return _history(spark, sf_dir, max_history, imps, cands, materialize)
+
+
+def _history(spark, sf_dir, max_history, imps, cands, materialize) -> DataFrame:
     """(imp_id, hpos, news_id): the user's clicks in strictly earlier dated orders, first
     ``max_history`` of them kept (the reference keeps the *first* items, Q2).
 
@@ -72,7 +90,10 @@ def history(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY, imps: DataFra
              .select("user_id", "click_time", F.col("hpos").cast("long").alias("hpos"), "news_id"))
     joined = skew_join(imps.select("imp_id", "user_id", "time"), first, ["user_id"],
                        condition=F.col("click_time") < F.col("time"))
-    return joined.select("imp_id", "hpos", "news_id")
+    out = joined.select("imp_id", "hpos", "news_id")
+    # The history feeds several branches of most plans; Spark does not share sub-plans whose
+    # column pruning differs, so it is written once to the shared checkpoint folder.
+    return cut_lineage(out) if materialize else out
 
 
 def news(spark, sf_dir) -> DataFrame:
@@ -150,7 +171,7 @@ def raw_behaviors(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY) -> Data
     """fx_raw: the views rendered back to log strings (imp_id, user_id, time, history, impressions)."""
     cands = candidates(spark, sf_dir)
     imps = impressions(spark, sf_dir, cands)
-    hist = history(spark, sf_dir, max_history, imps, cands)
+    hist = history(spark, sf_dir, max_history)
     hs = (hist.groupBy("imp_id")
           .agg(F.array_sort(F.collect_list(F.struct("hpos", "news_id"))).alias("h"))
           .select("imp_id", F.array_join(F.transform("h", lambda x: F.concat(F.lit("N"), x["news_id"].cast("string"))),
