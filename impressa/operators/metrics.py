@@ -30,7 +30,7 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(_w().orderBy(F.desc(SCORE), F.asc(POS))).cast("long"))
 
 
-def _with_ranks(scored: DataFrame) -> DataFrame:
+def _with_ranks(scored: DataFrame, graded: bool = False) -> DataFrame:
     """rank (row_number by score desc, pos), plus the tie data AUC needs.
 
     The row_number window is applied first, so its sort (imp, score desc, pos) also satisfies
@@ -38,24 +38,31 @@ def _with_ranks(scored: DataFrame) -> DataFrame:
     row): one sort per partition serves all three."""
     r = scored.withColumn("rank", F.row_number().over(_w().orderBy(F.desc(SCORE), F.asc(POS))))
     ws = _w().orderBy(F.desc(SCORE))
-    return r.withColumns({
+    r = r.withColumns({
         "_rmin": F.rank().over(ws),
         "_peers": F.count(F.lit(1)).over(ws.rangeBetween(Window.currentRow, Window.currentRow)),
     })
+    if graded:
+        r = r.withColumn("_ideal", F.row_number().over(_w().orderBy(F.desc(LABEL), F.asc(POS))))
+    return r
 
 
 def _gain(label, r):
     return (F.pow(F.lit(2.0), label.cast("double")) - 1) / F.log2(r.cast("double") + 1)
 
 
-def _ideal_dcg(labels, k: int):
-    """IDCG@k from the impression's labels (a bounded list: one log line)."""
-    srt = F.sort_array(labels, asc=False)
-    top = F.slice(srt, 1, k)
-    return F.aggregate(F.transform(top, lambda l, i: _gain(l, i + 1)), F.lit(0.0), lambda a, x: a + x)
+def _ideal_dcg_binary(n_pos, k: int):
+    """IDCG@k of click labels (0/1): the first min(k, clicks) discounts, from a constant table."""
+    import math
+    prefix, acc = [0.0], 0.0
+    for j in range(1, k + 1):
+        acc += 1.0 / math.log2(j + 1)
+        prefix.append(acc)
+    table = F.array(*[F.lit(v) for v in prefix])
+    return F.get(table, F.least(n_pos, F.lit(k)).cast("int"))
 
 
-def performance_parts(ranked: DataFrame, ks=(5, 10), mrr_ks=()) -> list:
+def performance_parts(ranked: DataFrame, ks=(5, 10), mrr_ks=(), graded: bool = False) -> list:
     lab = F.col(LABEL).cast("double")
     r = F.col("rank")
     desc_avg = F.col("_rmin") + (F.col("_peers") - 1) / F.lit(2.0)  # mean descending rank of the tie group
@@ -63,17 +70,19 @@ def performance_parts(ranked: DataFrame, ks=(5, 10), mrr_ks=()) -> list:
              F.sum(lab).alias("_sum_label"),
              F.sum(F.when(F.col(LABEL) > 0, desc_avg).otherwise(0.0)).alias("_sum_pos_desc"),
              F.sum(lab / r).alias("_rr")]
-    if ks:
-        parts.append(F.collect_list(F.col(LABEL)).alias("_labels"))
+    parts.append(F.max(F.col(LABEL)).alias("_max_label"))
     for k in ks:
         parts.append(F.sum(F.when(r <= k, _gain(F.col(LABEL), r)).otherwise(0.0)).alias(f"_dcg{k}"))
+        if graded:
+            ideal = F.col("_ideal")
+            parts.append(F.sum(F.when(ideal <= k, _gain(F.col(LABEL), ideal)).otherwise(0.0)).alias(f"_idcg{k}"))
     for k in mrr_ks:
         parts.append(F.sum(F.when(r <= k, lab / r).otherwise(0.0)).alias(f"_rr{k}"))
         parts.append(F.sum(F.when(r <= k, lab).otherwise(0.0)).alias(f"_pos{k}"))
     return parts
 
 
-def performance_finish(g: DataFrame, ks=(5, 10), mrr_ks=()) -> DataFrame:
+def performance_finish(g: DataFrame, ks=(5, 10), mrr_ks=(), graded: bool = False) -> DataFrame:
     n, p = F.col("n_cand"), F.col("n_pos")
     # ascending average rank of a candidate = n + 1 - its mean descending rank
     sum_pos_asc = p * (n + 1) - F.col("_sum_pos_desc")
@@ -82,19 +91,27 @@ def performance_finish(g: DataFrame, ks=(5, 10), mrr_ks=()) -> DataFrame:
         "mrr": F.when(F.col("_sum_label") > 0, F.col("_rr") / F.col("_sum_label")),
     }
     for k in ks:
-        idcg = _ideal_dcg(F.col("_labels"), k)
-        cols[f"ndcg@{k}"] = F.when(idcg > 0, F.col(f"_dcg{k}") / idcg)
+        if graded:
+            idcg = F.col(f"_idcg{k}")
+            cols[f"ndcg@{k}"] = F.when(idcg > 0, F.col(f"_dcg{k}") / idcg)
+        else:
+            # click labels: the ideal list is all clicks first (graded labels need graded=True)
+            idcg = _ideal_dcg_binary(p, k)
+            cols[f"ndcg@{k}"] = F.when((idcg > 0) & (F.col("_max_label") <= 1), F.col(f"_dcg{k}") / idcg)
     for k in mrr_ks:
         cols[f"mrr@{k}"] = F.when(F.col(f"_pos{k}") > 0, F.col(f"_rr{k}") / F.col(f"_pos{k}"))
-    own = ["_sum_pos_desc", "_rr", "_sum_label"] + (["_labels"] if ks else []) + [f"_dcg{k}" for k in ks] \
-        + [f"_rr{k}" for k in mrr_ks] + [f"_pos{k}" for k in mrr_ks]
+    own = ["_sum_pos_desc", "_rr", "_sum_label", "_max_label"] + [f"_dcg{k}" for k in ks] \
+        + ([f"_idcg{k}" for k in ks] if graded else []) + [f"_rr{k}" for k in mrr_ks] + [f"_pos{k}" for k in mrr_ks]
     return g.withColumns(cols).drop(*own)
 
 
-def performance(scored: DataFrame, ks=(5, 10), mrr_ks=()) -> DataFrame:
-    """M1-M3 per impression: (imp_id, n_cand, n_pos, auc, mrr, ndcg@k..., mrr@k...)."""
-    g = _with_ranks(scored).groupBy(IMP).agg(*performance_parts(None, ks, mrr_ks))
-    return performance_finish(g, ks, mrr_ks)
+def performance(scored: DataFrame, ks=(5, 10), mrr_ks=(), graded: bool = False) -> DataFrame:
+    """M1-M3 per impression: (imp_id, n_cand, n_pos, auc, mrr, ndcg@k..., mrr@k...).
+
+    ``graded=True`` ranks labels for the ideal DCG (labels above 1); click labels use the
+    closed form."""
+    g = _with_ranks(scored, graded).groupBy(IMP).agg(*performance_parts(None, ks, mrr_ks, graded))
+    return performance_finish(g, ks, mrr_ks, graded)
 
 
 def auc(scored: DataFrame) -> DataFrame:
@@ -133,28 +150,36 @@ def sentiment_finish(g: DataFrame, col: str, ks=(5, 10), name: str | None = None
     return g.withColumns(cols).drop(f"_srr_{col}", *[f"_s{k}_{col}" for k in ks])
 
 
-def ils_senti_parts(cols, kmax: int) -> list:
-    """ILS-senti input: the top-``kmax`` candidates' (rank, sentiments) — at most kmax per impression."""
-    return [F.collect_list(F.when(F.col("rank") <= kmax, F.struct(F.col("rank").alias("r"),
-                                                                  *[F.col(c).cast("double").alias(c) for c in cols])))
-            .alias("_topk")]
+def _add_ils_positions(ranked: DataFrame, cols, ks) -> DataFrame:
+    """For each sentiment column one window ordered by that sentiment gives, by running counts,
+    each candidate's position among the top-k candidates (for every k at once)."""
+    for c in cols:
+        w = _w().orderBy(F.asc(c), F.asc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = ranked.withColumns({f"_j{k}_{c}": F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).over(w)
+                                     for k in ks})
+    return ranked
 
 
-def _pairwise_abs_mean(values):
-    """mean over pairs of |x_i - x_j| / 2 from the sorted identity sum_j x_(j) (2j - n - 1)."""
-    srt = F.array_sort(values)
-    n = F.size(srt).cast("double")
-    total = F.aggregate(F.transform(srt, lambda x, i: x * (2 * (i + 1) - n - 1)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n >= 2, total / (n * (n - 1)))
+def ils_senti_parts(cols, ks) -> list:
+    """sum over the top k of s_(j) (2j - n_k - 1), j = position in sentiment order (the sorted
+    form of sum_{i<j} |s_i - s_j|); n_k = min(k, n) comes from n_cand."""
+    parts = []
+    for c in cols:
+        for k in ks:
+            parts.append(F.sum(F.when(F.col("rank") <= k, F.col(c).cast("double") * (2 * F.col(f"_j{k}_{c}") - 1)))
+                         .alias(f"_ilsa{k}_{c}"))
+            parts.append(F.sum(F.when(F.col("rank") <= k, F.col(c).cast("double"))).alias(f"_ilsb{k}_{c}"))
+    return parts
 
 
 def ils_senti_finish(g: DataFrame, col: str, k: int, name: str | None = None) -> DataFrame:
+    """ILS-senti@k = sum_{i<j} |s_i - s_j| / 2 / C(n_k, 2) = (sum_j s_(j)(2j - 1) - n_k sum_j s_(j)) / (n_k (n_k - 1))."""
     name = name or col
-    vals = F.transform(F.filter("_topk", lambda x: x["r"] <= k), lambda x: x[col])
-    return g.withColumn(f"ils_senti@{k}_{name}", _pairwise_abs_mean(vals))
-
+    nk = F.least(F.col("n_cand"), F.lit(k)).cast("double")
+    total = F.col(f"_ilsa{k}_{col}") - nk * F.col(f"_ilsb{k}_{col}")
+    return g.withColumn(f"ils_senti@{k}_{name}", F.when(nk >= 2, total / (nk * (nk - 1)))) \
+        .drop(f"_ilsa{k}_{col}", f"_ilsb{k}_{col}")
 
-# --- topics (M6, M7, M9, M-H2) -----------------------------------------------------------------
 
 def topic_array(news: DataFrame, category="category", subcategory="subcategory"):
     """Distinct non-null topics of an item (category and subcategory share one id space, so an
@@ -208,33 +233,44 @@ def user_topics(history: DataFrame, news: DataFrame, max_history: int = 50) -> D
         .select(IMP, "topic", (F.col("cnt") / F.col("_unorm")).alias("u"))
 
 
-def _topic_candidate_parts(ks) -> list:
-    """per-impression sums over candidates of the user-topic weight of each candidate's topics."""
-    u_c = F.aggregate(F.transform(F.coalesce(F.col("_topics"), F.array().cast("array<string>")),
-                                  lambda t: F.coalesce(F.col("_utopic")[t], F.lit(0.0))),
-                      F.lit(0.0), lambda a, x: a + x)
-    r = F.col("rank")
-    parts = [F.sum(u_c / r).alias("_udot_mrr"), F.max("_unorm").alias("_unorm")]
-    parts += [F.sum(F.when(r <= k, u_c).otherwise(0.0)).alias(f"_udot{k}") for k in ks]
-    parts += [F.sum(F.when((r <= k) & (F.size("_topics") > 0), 1.0).otherwise(0.0)).alias(f"_nz{k}") for k in ks]
-    return parts
+def history_topic_counts(history: DataFrame, news: DataFrame, max_history: int = 50) -> DataFrame:
+    """M-H2 in long form: (imp_id, topic, cnt) = number of history items carrying the topic."""
+    h = history.where(F.col("hpos") <= max_history).join(news.select("news_id", topic_array(news).alias("_t")),
+                                                        "news_id")
+    return h.select(IMP, F.explode("_t").alias("topic")).groupBy(IMP, "topic").agg(
+        F.count(F.lit(1)).cast("double").alias("cnt"))
+
 
+def _topic_scores(ranked: DataFrame, hist_counts: DataFrame | None, ks) -> DataFrame:
+    """Per impression: dot products of the user-topic counts with the candidate topic vectors
+    (weights 1/r, or 1 on the top k), |v|^2, and |sum of normalised top-k vectors|^2.
 
-def _topic_norms(ranked: DataFrame, ks) -> DataFrame:
-    """|v|^2 of the candidate topic vectors (weights 1/r, or 1 on the top k) and |sum of the
-    normalised top-k vectors|^2, by (impression, topic) then impression — both grouped on the
-    ranked table's existing partitioning, so no exchange."""
+    TopicMRR's numerator sum_c (1/r_c) sum_{t in c} u_t equals sum_t u_t v_t, so everything is
+    a sum at the (impression, topic) level: candidate sums group on the ranked table's existing
+    partitioning; the user side is an equi-join of two aggregated tables — no maps, no lists."""
     r = F.col("rank")
     x = ranked.select(IMP, "rank", F.explode("_topics").alias("topic"), F.size("_topics").alias("m"))
     inv = F.lit(1.0) / F.sqrt(F.col("m").cast("double"))
-    pt = x.groupBy(IMP, "topic").agg(
+    ct = x.groupBy(IMP, "topic").agg(
         F.sum(F.lit(1.0) / r).alias("v_mrr"),
         *[F.sum(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"v{k}") for k in ks],
         *[F.sum(F.when(r <= k, inv).otherwise(0.0)).alias(f"w{k}") for k in ks])
-    return pt.groupBy(IMP).agg(
-        F.sum(F.col("v_mrr") ** 2).alias("_nn_mrr"),
-        *[F.sum(F.col(f"v{k}") ** 2).alias(f"_nn{k}") for k in ks],
-        *[F.sum(F.col(f"w{k}") ** 2).alias(f"_ww{k}") for k in ks])
+    if hist_counts is not None:
+        # full outer: history-only topics still count in the user vector's norm
+        ct = ct.join(hist_counts, [IMP, "topic"], "full")
+    else:
+        ct = ct.withColumn("cnt", F.lit(None).cast("double"))
+    u = F.coalesce(F.col("cnt"), F.lit(0.0))
+
+    def v(c):
+        return F.coalesce(F.col(c), F.lit(0.0))
+
+    return ct.groupBy(IMP).agg(
+        F.sum(u * v("v_mrr")).alias("_udot_mrr"), F.sum(v("v_mrr") ** 2).alias("_nn_mrr"),
+        *[F.sum(u * v(f"v{k}")).alias(f"_udot{k}") for k in ks],
+        *[F.sum(v(f"v{k}") ** 2).alias(f"_nn{k}") for k in ks],
+        *[F.sum(v(f"w{k}") ** 2).alias(f"_ww{k}") for k in ks],
+        F.sqrt(F.sum(u * u)).alias("_unorm"))
 
 
 def _topic_finish(df: DataFrame, ks) -> DataFrame:
@@ -271,31 +307,35 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
     if news is not None:
         base = base.join(news.select("news_id", *senti_cols, *([topic_array(news).alias("_topics")] if topics else [])),
                          "news_id", "left")
-    if history is not None and (senti_cols or topics):
-        prof = history_profile(history, news, senti_cols, max_history, denominator, topics)
-        base = base.join(prof, IMP, "left")
+    # ranks first: the topic branch below reuses this cheap ranked base, so the history profile
+    # (joined afterwards, on the same impression partitioning) is computed only once
+    ranked0 = _with_ranks(base)
+    ranked = ranked0
+    if history is not None and senti_cols:
+        ranked = ranked.join(history_profile(history, news, senti_cols, max_history, denominator, topics=False),
+                             IMP, "left")
     else:
-        base = base.withColumns({f"s_mean_{c}": F.lit(0.0) for c in senti_cols})
-        if topics:
-            base = base.withColumns({"_utopic": F.create_map().cast("map<string,double>"),
-                                     "_unorm": F.lit(None).cast("double")})
-    ranked = _with_ranks(base)
+        ranked = ranked.withColumns({f"s_mean_{c}": F.lit(0.0) for c in senti_cols})
+    if senti_cols:
+        ranked = _add_ils_positions(ranked, senti_cols, ks)
     parts = performance_parts(None, ks)
     for c in senti_cols:
         parts += sentiment_parts(c, ks)
         parts.append(F.max(F.col(f"s_mean_{c}")).alias(f"s_mean_{c}"))
     if senti_cols:
-        parts += ils_senti_parts(senti_cols, max(ks))
+        parts += ils_senti_parts(senti_cols, ks)
     if topics:
-        parts += _topic_candidate_parts(ks)
+        parts += [F.sum(F.when((F.col("rank") <= k) & (F.size("_topics") > 0), 1.0).otherwise(0.0))
+                  .alias(f"_nz{k}") for k in ks]
     out = performance_finish(ranked.groupBy(IMP).agg(*parts), ks)
     for c in senti_cols:
         out = sentiment_finish(out, c, ks)
         for k in ks:
             out = ils_senti_finish(out, c, k)
-    out = out.drop(*[f"s_mean_{c}" for c in senti_cols], *(["_topk"] if senti_cols else []))
+    out = out.drop(*[f"s_mean_{c}" for c in senti_cols])
     if topics:
-        out = _topic_finish(out.join(_topic_norms(ranked, ks), IMP, "left"), ks)
+        hc = history_topic_counts(history, news, max_history) if history is not None else None
+        out = _topic_finish(out.join(_topic_scores(ranked0, hc, ks), IMP, "left"), ks)
     return out
 
 

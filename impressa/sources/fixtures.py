@@ -91,9 +91,14 @@ def _history(spark, sf_dir, max_history, imps, cands, materialize) -> DataFrame:
     joined = skew_join(imps.select("imp_id", "user_id", "time"), first, ["user_id"],
                        condition=F.col("click_time") < F.col("time"))
     out = joined.select("imp_id", "hpos", "news_id")
+    if not materialize:
+        return out
     # The history feeds several branches of most plans; Spark does not share sub-plans whose
-    # column pruning differs, so it is written once to the shared checkpoint folder.
-    return cut_lineage(out) if materialize else out
+    # column pruning differs, so it is written once to the shared checkpoint folder, hash
+    # partitioned by impression: every later use groups or joins by impression, so the
+    # checkpoint's partitioning is reused instead of shuffled again.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(out.repartition(n, "imp_id"))
 
 
 def news(spark, sf_dir) -> DataFrame:
