@@ -70,3 +70,10 @@ def test_min_valid_ratio(spark):
     assert sorted({r["imp_id"] for r in kept.collect()}) == [1]
     r = P.used_and_total(s, kept).collect()[0]
     assert (r["n_used"], r["n_total"]) == (1, 2)
+
+
+def test_by_impression_and_prune_fill(spark):
+    parsed = P.parse_behaviors(_raw(spark))
+    assert [r["imp_id"] for r in P.by_impression(parsed, 3).collect()] == [3]
+    df = spark.createDataFrame([(1, None), (2, "x")], "imp_id long, h string")
+    assert sorted(tuple(r) for r in P.prune_fill(df, ["imp_id", "h"]).collect()) == [(1, ""), (2, "x")]
