@@ -41,8 +41,9 @@ def sentiment_diversity_loss(rows: DataFrame, s_mean: str = "s_mean", s_c: str =
 def loss_report(rows: DataFrame, pred: DataFrame, lam: float = 0.4, mu: float = 10.0) -> DataFrame:
     """(ce, mae, div_loss, total = ce + lam * mae + mu * div_loss) in one row.
     ``rows`` needs slot, score, s_c, s_mean; ``pred`` needs s_hat, s."""
+    from impressa.operators.report import one_row
     ce = cross_entropy_first(rows).agg(F.avg("ce").alias("ce"))
-    out = ce.crossJoin(sentiment_mae(pred)).crossJoin(sentiment_diversity_loss(rows))
+    out = one_row(ce, sentiment_mae(pred), sentiment_diversity_loss(rows))
     return out.withColumn("total", F.col("ce") + F.lit(lam) * F.col("mae") + F.lit(mu) * F.col("div_loss"))
 
 

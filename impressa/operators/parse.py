@@ -95,9 +95,10 @@ def min_valid_ratio(scored: DataFrame, ratio: float = 0.1) -> DataFrame:
 
 def used_and_total(scored: DataFrame, kept: DataFrame) -> DataFrame:
     """P14 report: (n_used, n_total) impressions."""
+    from impressa.operators.report import one_row
     a = kept.agg(F.countDistinct("imp_id").alias("n_used"))
     b = scored.agg(F.countDistinct("imp_id").alias("n_total"))
-    return a.crossJoin(b)
+    return one_row(a, b)
 
 
 def by_impression(df: DataFrame, imp_id) -> DataFrame:

@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scalar(agg: DataFrame):
+    """The single value of a one-row, one-column aggregate (a bounded result, read eagerly)."""
+    row = agg.first()
+    return None if row is None else row[0]
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Side-by-side columns of several one-row aggregates, without a join: the rows are unioned
+    (missing columns null) and folded by one global aggregate over those few rows."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in u.columns])
+
+
 def experiments_long(per_imp: DataFrame, experiment: str, metrics: list[str]) -> DataFrame:
     """Mean of each metric per experiment: long (experiment, metric, value, n_used)."""
     stacked = per_imp.select(F.col(experiment), F.explode(F.array(*[

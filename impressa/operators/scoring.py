@@ -165,15 +165,14 @@ def long_term_users(imps: DataFrame, user_emb: DataFrame, recent: DataFrame, mod
     """Long-term user vector (unknown user 0 -> zeros) with the recent-history vector:
     ``'con'`` concatenates them; ``'ini'`` returns the long-term vector as the recurrent
     kernel's initial state (the kernel itself is supplied by the caller)."""
-    dim = F.broadcast(user_emb.agg(F.max(F.size("vec")).alias("_dim")))  # one row
-    j = imps.select("imp_id", "user").join(user_emb.select(F.col("user"), F.col("vec").alias("_u")), "user", "left") \
-        .crossJoin(dim)
+    dim = user_emb.agg(F.max(F.size("vec"))).first()[0] or 0  # vector widths (two numbers)
+    rdim = recent.agg(F.max(F.size("user_vec"))).first()[0] or 0
+    j = imps.select("imp_id", "user").join(user_emb.select(F.col("user"), F.col("vec").alias("_u")), "user", "left")
     j = j.withColumn("long_vec", F.coalesce(F.col("_u").cast("array<double>"),
-                                            F.array_repeat(F.lit(0.0), F.col("_dim"))))
+                                            F.array_repeat(F.lit(0.0), F.lit(dim))))
     # no recent history -> zero recent vector of the same width
-    rdim = F.broadcast(recent.agg(F.max(F.size("user_vec")).alias("_rdim")))  # one row
-    j = j.join(recent, "imp_id", "left").crossJoin(rdim).withColumn(
-        "user_vec", F.coalesce(F.col("user_vec").cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("_rdim"))))
+    j = j.join(recent, "imp_id", "left").withColumn(
+        "user_vec", F.coalesce(F.col("user_vec").cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(rdim))))
     if mode == "con":
         return j.select("imp_id", F.concat("long_vec", F.col("user_vec").cast("array<double>")).alias("user_vec"))
     return j.select("imp_id", F.col("long_vec").alias("init_state"), "user_vec")

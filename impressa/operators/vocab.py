@@ -82,9 +82,8 @@ def extend_ids(existing: DataFrame, new_keys: DataFrame, order: list[str]) -> Da
 
     ``new_keys`` has ``key`` plus the ``order`` columns (one row per key)."""
     fresh = new_keys.join(existing.select("key"), "key", "left_anti")
-    top = F.broadcast(existing.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("_top")))  # one row
-    numbered = dense_index(fresh, order).crossJoin(top) \
-        .withColumn("idx", F.col("idx") + F.col("_top")).select("key", "idx")
+    top = existing.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]  # the current maximum id
+    numbered = dense_index(fresh, order, start=int(top) + 1).select("key", "idx")
     return existing.select("key", "idx").unionByName(numbered)
 
 
@@ -141,9 +140,9 @@ def encode_batch(texts: DataFrame, word2int: DataFrame, row: str, field: str,
     j = j.where(F.col("idx").isNotNull())
     g = j.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("tpos", "idx"))).alias("_s"))
     g = g.select(row, F.transform("_s", lambda s: s["idx"]).alias("ids"))
-    longest = F.broadcast(g.agg(F.max(F.size("ids")).alias("_L")))  # one row
-    return g.crossJoin(longest).select(row, F.concat("ids", F.array_repeat(
-        F.lit(0).cast("long"), F.col("_L") - F.size("ids"))).alias("ids"))
+    longest = g.agg(F.max(F.size("ids"))).first()[0] or 0  # the batch's longest text
+    return g.select(row, F.concat("ids", F.array_repeat(
+        F.lit(0).cast("long"), F.lit(longest) - F.size("ids"))).alias("ids"))
 
 
 def tokens_long(df: DataFrame, row: str, field: str, pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:

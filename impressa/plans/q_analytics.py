@@ -135,7 +135,8 @@ FROM fx_impressions WHERE split = 'train'"""))
 def g12_distinct_users_and_news(spark, d):
     u = G.distinct_count(fx.impressions(spark, d).where(F.col("split") == "train"), "user_id")
     n = G.distinct_count(fx.articles(spark, d).where(F.col("split") == "train"), "news_id")
-    return finish(u.crossJoin(n))
+    from impressa.operators.report import one_row
+    return finish(one_row(u, n))
 
 
 @query("g13_news_per_category", with_views(["fx_news"], """
@@ -159,8 +160,9 @@ SELECT round((SELECT avg(CASE WHEN {TLEN.format(c='title')} <= 20 THEN 1.0 ELSE
 def g15_share_within_limits(spark, d):
     a = _train_articles(spark, d)
     h = _parsed_train(spark, d)
-    out = G.share_at_most(a, "title_len_tok", 20).crossJoin(G.share_at_most(a, "abstract_len_tok", 50)) \
-        .crossJoin(G.share_at_most(h, "history_len", 50))
+    from impressa.operators.report import one_row
+    out = one_row(G.share_at_most(a, "title_len_tok", 20), G.share_at_most(a, "abstract_len_tok", 50),
+                  G.share_at_most(h, "history_len", 50))
     return finish(out)
 
 

@@ -123,9 +123,8 @@ CAT_EMB_SQL = """cat_emb AS (
 def _cat_emb(spark, d, col="category"):
     from impressa.functions.scalar import hash_int32
     e = fx.table(spark, d, "embeddings")
-    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("_n")))
-    c = fx.news(spark, d).select(F.col(col).alias("category")).distinct().crossJoin(n) \
-        .withColumn("vec_id", F.pmod(hash_int32("category"), F.col("_n")))
+    c = fx.news(spark, d).select(F.col(col).alias("category")).distinct() \
+        .withColumn("vec_id", F.pmod(hash_int32("category"), F.lit(e.count())))
     return c.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("category", "vec")
 
 
@@ -197,9 +196,8 @@ def b9_long_term_users(spark, d):
     """Users with user_id % 3 == 0 have no long-term vector (unknown -> zeros)."""
     imps = fx.impressions(spark, d).withColumnRenamed("user_id", "user")
     e = fx.table(spark, d, "embeddings")
-    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("_n")))
-    users = imps.select("user").distinct().where(F.col("user") % 3 != 0).crossJoin(n) \
-        .withColumn("vec_id", F.pmod("user", "_n")).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id") \
+    users = imps.select("user").distinct().where(F.col("user") % 3 != 0) \
+        .withColumn("vec_id", F.pmod("user", F.lit(e.count()))).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id") \
         .select("user", "vec")
     out = B.long_term_users(imps, users, _user_vecs(spark, d, weighted=False), "con")
     return finish(out.select("imp_id", F.size("user_vec").alias("dims"),
@@ -221,8 +219,7 @@ SELECT a.news_id, round(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(e.embeddi
 FROM fx_vectors a JOIN embeddings e ON e.vec_id = (7 * a.news_id) % (SELECT count(*) FROM embeddings)"""))
 def b10_dot_product_pairs(spark, d):
     e = fx.table(spark, d, "embeddings")
-    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("_n")))
-    a = fx.vectors(spark, d).crossJoin(n).withColumn("vec_id", F.pmod(F.col("news_id") * 7, F.col("_n")))
+    a = fx.vectors(spark, d).withColumn("vec_id", F.pmod(F.col("news_id") * 7, F.lit(e.count())))
     j = a.join(e.select("vec_id", F.col("embedding").alias("other")), "vec_id")
     return finish(j.select("news_id", dot("vec", "other").alias("dot")))
 
@@ -243,8 +240,9 @@ def b11_adhoc_scores(spark, d):
     toks = V.tokens_long(b, "item_id", "text").join(fx.word_vectors(spark, d), "token")
     cand = B.mean_pool(toks.where(F.col("item_id") % 2 == 0), "item_id", "vec", "vec")
     hist = B.mean_pool(toks.where(F.col("item_id") % 2 == 1).withColumn("g", F.lit(0)), "g", "vec", "user_vec")
-    s = cand.crossJoin(F.broadcast(hist.select("user_vec")))  # one row
-    return finish(s.select("item_id", dot("vec", "user_vec").alias("score")))
+    from impressa.operators.report import scalar
+    reader = scalar(hist.select("user_vec"))  # the one reader's vector (64 numbers)
+    return finish(cand.select("item_id", dot("vec", F.array(*[F.lit(float(x)) for x in reader])).alias("score")))
 
 
 @query("b12_click_model")

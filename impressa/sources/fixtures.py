@@ -112,16 +112,16 @@ def news(spark, sf_dir) -> DataFrame:
                     signed_sentiment(label, prob).alias("senti_b"))
 
 
-def _count_of(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(name))
+def _count(df: DataFrame) -> int:
+    """Row count of a (small) lookup table, used as a modulus."""
+    return df.count()
 
 
 def vectors(spark, sf_dir) -> DataFrame:
     """(news_id, vec): part p gets embedding row p % count(embeddings)."""
     e = table(spark, sf_dir, "embeddings")
-    n = F.broadcast(_count_of(e, "_n"))  # one row
-    p = table(spark, sf_dir, "part").select("p_partkey").crossJoin(n) \
-        .withColumn("vec_id", F.pmod(F.col("p_partkey"), F.col("_n")))
+    n = _count(e)
+    p = table(spark, sf_dir, "part").select("p_partkey").withColumn("vec_id", F.pmod(F.col("p_partkey"), F.lit(n)))
     return p.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id") \
         .select(F.col("p_partkey").alias("news_id"), "vec")
 
@@ -137,9 +137,9 @@ def articles(spark, sf_dir) -> DataFrame:
     """Raw news catalogue rows (news_id, category, subcategory, title, abstract, split):
     parts with their name as title and document ``p % count(documents)`` as abstract."""
     d = table(spark, sf_dir, "documents")
-    n = F.broadcast(_count_of(d, "_n"))
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name").crossJoin(n) \
-        .withColumn("doc_id", F.pmod(F.col("p_partkey"), F.col("_n")))
+    n = _count(d)
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name") \
+        .withColumn("doc_id", F.pmod(F.col("p_partkey"), F.lit(n)))
     return p.join(d.select("doc_id", "text"), "doc_id").select(
         F.concat(F.lit("N"), F.col("p_partkey").cast("string")).alias("news_id"),
         F.col("p_brand").alias("category"), F.col("p_type").alias("subcategory"),
@@ -159,9 +159,9 @@ def word_vectors(spark, sf_dir) -> DataFrame:
     """(token, vec): the word-vector table, over the distinct tokens of ``benchmark``;
     token t gets embedding row hash(t) % count(embeddings)."""
     e = table(spark, sf_dir, "embeddings")
-    n = F.broadcast(_count_of(e, "_n"))
+    n = _count(e)
     toks = (table(spark, sf_dir, "benchmark").select(F.explode(tokenize("text")).alias("token"))
-            .distinct().crossJoin(n).withColumn("vec_id", F.pmod(hash_int32("token"), F.col("_n"))))
+            .distinct().withColumn("vec_id", F.pmod(hash_int32("token"), F.lit(n))))
     return toks.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("token", "vec")
 
 
