@@ -133,7 +133,7 @@ SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS n_user_id,
        CAST((SELECT count(DISTINCT news_id) FROM fx_articles WHERE split = 'train') AS BIGINT) AS n_news_id
 FROM fx_impressions WHERE split = 'train'"""))
 def g12_distinct_users_and_news(spark, d):
-    u = G.distinct_count(fx.impressions(spark, d).where(F.col("split") == "train"), "user_id")
+    u = G.distinct_count(fx.impressions(spark, d).where(fx.is_split("train")), "user_id")
     n = G.distinct_count(fx.articles(spark, d).where(F.col("split") == "train"), "news_id")
     from impressa.operators.report import one_row
     return finish(one_row(u, n))

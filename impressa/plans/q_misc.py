@@ -186,7 +186,7 @@ def w5_early_stop_epoch(spark, d):
 SELECT news_id FROM fx_history WHERE imp_id IN (SELECT imp_id FROM fx_impressions WHERE split = 'test')
 UNION SELECT news_id FROM fx_candidates WHERE imp_id IN (SELECT imp_id FROM fx_impressions WHERE split = 'test')"""))
 def u1_union_ids(spark, d):
-    test = fx.impressions(spark, d).where(F.col("split") == "test").select("imp_id")
+    test = fx.impressions(spark, d).where(fx.is_split("test")).select("imp_id")
     return finish(R.union_ids(fx.history(spark, d, H).join(test, "imp_id"), fx.candidates(spark, d).join(test, "imp_id")))
 
 

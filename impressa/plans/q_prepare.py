@@ -139,7 +139,7 @@ SELECT DISTINCT h.imp_id, h.news_id FROM fx_history h
 WHERE h.news_id IN (SELECT c.news_id FROM fx_candidates c JOIN fx_impressions i USING (imp_id) WHERE i.split = 'train')"""))
 def p13_clean_history(spark, d):
     cands, imps = fx.candidates(spark, d), fx.impressions(spark, d)
-    catalogue = cands.join(imps.where(F.col("split") == "train").select("imp_id"), "imp_id").select("news_id")
+    catalogue = cands.join(imps.where(fx.is_split("train")).select("imp_id"), "imp_id").select("news_id")
     return finish(P.clean_history(fx.history(spark, d, H), catalogue))
 
 
@@ -372,7 +372,7 @@ SELECT imp_id, CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '1234', CAST(im
             THEN 'val' ELSE 'train' END AS part
 FROM fx_impressions WHERE split = 'train'"""))
 def d2_split_fraction(spark, d):
-    t = fx.impressions(spark, d).where(F.col("split") == "train")
+    t = fx.impressions(spark, d).where(fx.is_split("train"))
     return D.split_fraction(t, 0.1, 1234).select("imp_id", "part")
 
 
