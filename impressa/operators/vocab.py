@@ -64,9 +64,10 @@ def field_tokens(news: DataFrame, row_order: list[str], fields=("title", "abstra
 
 
 def word_ids(news: DataFrame, vectors: DataFrame, row_order: list[str], fields=("title", "abstract"),
-             pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
-    """V5: ids for tokens that have a vector, by first appearance (title tokens before abstract)."""
-    toks = field_tokens(news, row_order, fields, pattern)
+             pattern: str = DEFAULT_TOKEN_PATTERN, tokens: DataFrame | None = None) -> DataFrame:
+    """V5: ids for tokens that have a vector, by first appearance (title tokens before abstract).
+    ``tokens`` may pass an already tokenized (row..., _field, tpos, token) table."""
+    toks = tokens if tokens is not None else field_tokens(news, row_order, fields, pattern)
     known = lookup_join(toks, vectors.select("token").distinct(), ["token"], "left_semi")  # J7
     return first_seen_ids(known, "token", [*row_order, "_field", "tpos"])
 
@@ -87,19 +88,26 @@ def extend_ids(existing: DataFrame, new_keys: DataFrame, order: list[str]) -> Da
     return existing.select("key", "idx").unionByName(numbered)
 
 
-def encode_text(news: DataFrame, word2int: DataFrame, row: str, field: str, max_len: int,
-                pattern: str = DEFAULT_TOKEN_PATTERN, out: str | None = None) -> DataFrame:
-    """V7: text -> ids of known tokens (unknown tokens dropped *before* truncation), first
-    ``max_len`` kept, zero-padded behind (P8).  Rows without any known token get all zeros."""
-    toks = news.select(row, F.posexplode(tokenize(field, pattern)).alias("tpos", "token"))
-    known = lookup_join(toks, word2int.select(F.col("key").alias("token"), "idx"), ["token"])
+def encode_tokens(tokens: DataFrame, rows: DataFrame, word2int: DataFrame, row: str, max_len: int,
+                  out: str) -> DataFrame:
+    """V7 on a tokenized text table (row, tpos, token): ids of known tokens (unknown ones dropped
+    *before* truncation), first ``max_len`` kept, zero-padded behind (P8).  ``rows`` lists every
+    row, so a text without any known token gets all zeros."""
+    known = lookup_join(tokens.select(row, "tpos", "token"), word2int.select(F.col("key").alias("token"), "idx"),
+                        ["token"])
     w = Window.partitionBy(row).orderBy("tpos")
     first = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_len)
     ids = first.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("tpos", "idx"))).alias("_s"))
     ids = ids.select(row, F.transform("_s", lambda s: s["idx"]).alias("_ids"))
-    base = news.select(row).distinct().join(ids, row, "left")
-    return base.select(row, pad_right(F.coalesce("_ids", F.array().cast("array<long>")), max_len, 0)
-                       .alias(out or f"{field}_ids"))
+    base = rows.select(row).distinct().join(ids, row, "left")
+    return base.select(row, pad_right(F.coalesce("_ids", F.array().cast("array<long>")), max_len, 0).alias(out))
+
+
+def encode_text(news: DataFrame, word2int: DataFrame, row: str, field: str, max_len: int,
+                pattern: str = DEFAULT_TOKEN_PATTERN, out: str | None = None) -> DataFrame:
+    """V7: text -> padded ids of known tokens (see ``encode_tokens``)."""
+    toks = news.select(row, F.posexplode(tokenize(field, pattern)).alias("tpos", "token"))
+    return encode_tokens(toks, news, word2int, row, max_len, out or f"{field}_ids")
 
 
 def gather_vectors(word2int: DataFrame, vectors: DataFrame) -> DataFrame:

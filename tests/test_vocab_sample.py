@@ -102,3 +102,19 @@ def test_split_fraction(spark):
     share = D.split_fraction(df, 0.1).agg(F.avg((F.col("part") == "val").cast("double"))).collect()[0][0]
     assert 0.09 < share < 0.11
     assert D.split_fraction(df, 0.0).where("part = 'val'").count() == 0
+
+
+def test_prepare_builds_every_table(spark):
+    from impressa.operators import parse as P
+    from impressa.plans.prepare import prepare
+    from impressa.sources import fixtures as fx
+    d = "/root/testdata/sf0.001"
+    out = prepare(P.parse_behaviors(fx.raw_behaviors(spark, d, 10)), fx.articles(spark, d),
+                  fx.word_vectors(spark, d), n_negative=2)
+    assert set(out.keys()) >= {"train_rows", "parsed_news", "embedding_weights", "test_rows"}
+    pn = out["parsed_news"].collect()
+    assert pn and all(len(r["title"]) == 20 and len(r["abstract"]) == 50 for r in pn)
+    rows = out["train_rows"].collect()
+    assert rows and all(len(r["candidates"]) == 3 and r["mask"] == [1, 0, 0] for r in rows)
+    emb = out["embedding_weights"]
+    assert emb.where("idx = 0").collect()[0]["vec"] == [0.0] * 64
