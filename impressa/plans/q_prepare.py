@@ -240,10 +240,8 @@ ENCODED_SQL = """encoded AS (
 @query("v7_encode_abstracts", with_views(["fx_articles", "fx_word_vectors"], "SELECT news_id, ids FROM encoded",
                                          extra=[ART_TOKENS_SQL, WORD2INT_SQL, ENCODED_SQL]))
 def v7_encode_abstracts(spark, d):
-    from impressa.session import cut_lineage
     a = fx.articles(spark, d).withColumn("_so", F.when(F.col("split") == "train", 0).otherwise(1))
-    # tokenize once: the dictionary and the encoding read the same written token table
-    toks = cut_lineage(V.field_tokens(a, ["_so", "row_key", "news_id"]))
+    toks = V.field_tokens(a, ["_so", "row_key", "news_id"])
     w2i = V.word_ids(a, fx.word_vectors(spark, d), ["_so", "row_key"], tokens=toks)
     enc = V.encode_tokens(toks.where(F.col("_field") == 1), a, w2i, "news_id", 50, "ids")
     return enc.select("news_id", F.array_join("ids", " ").alias("ids"))
