@@ -40,6 +40,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = DEFAULT_HOT_ROWS,
 
 
 SKEW_MODE_CONF = "impressa.skew.mode"  # "aqe" (default) or "salt"
+HOT_ROWS_CONF = "impressa.skew.hotRows"  # rows above which a key counts as hot in "salt" mode
 
 
 def skew_mode(spark) -> str:
@@ -47,7 +48,7 @@ def skew_mode(spark) -> str:
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-              condition=None, hot_rows: int = DEFAULT_HOT_ROWS, salts: int = DEFAULT_SALTS,
+              condition=None, hot_rows: int | None = None, salts: int = DEFAULT_SALTS,
               mode: str | None = None) -> DataFrame:
     """Equi-join on ``keys`` (plus an optional extra condition) that survives hot keys.
 
@@ -70,6 +71,8 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
         cols += [F.col(f"_b.{c}") for c in big.columns if c not in keys]
         cols += [F.col(f"_s.{c}") for c in small.columns if c not in keys]
         return b.join(s, cond, how).select(*cols)
+    if hot_rows is None:
+        hot_rows = int(big.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
     hot = F.broadcast(hot_keys(big, keys, hot_rows).withColumn("_hot", F.lit(True)))
     b = (big.join(hot, keys, "left")
          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]),

@@ -64,3 +64,18 @@ def test_salted_join_equals_plain(spark):
     c = skew_join(big, small.withColumnRenamed("w", "w2"), ["k"], "inner", condition=F.col("v") > F.col("w2"),
                   hot_rows=1000, salts=8, mode="salt")
     assert c.count() == big.join(small, "k").where("v > w").count()
+
+
+def test_history_fixture_same_under_salting(spark):
+    from impressa.sources import fixtures as fx
+    d = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, fx.history(spark, d, 10, materialize=False, cands=fx.candidates(spark, d)).collect()))
+    spark.conf.set("impressa.skew.mode", "salt")
+    spark.conf.set("impressa.skew.hotRows", "100")  # with the 1% sample: every sampled user is hot
+    try:
+        salted = sorted(map(tuple, fx.history(spark, d, 10, materialize=False,
+                                              cands=fx.candidates(spark, d)).collect()))
+    finally:
+        spark.conf.unset("impressa.skew.mode")
+        spark.conf.unset("impressa.skew.hotRows")
+    assert plain == salted and len(plain) > 0
