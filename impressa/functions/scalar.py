@@ -118,8 +118,3 @@ def explode_default(arr, default=-1) -> Column:
 def parse_log_time(col, fmt: str = "M/d/yyyy h:mm:ss a") -> Column:
     """The log's 12-hour clock timestamp."""
     return F.to_timestamp(_c(col), fmt)
-
-
-def softmax_logit(score, max_score) -> Column:
-    """Numerator of F3; divide by its window sum."""
-    return F.exp(_c(score) - _c(max_score))

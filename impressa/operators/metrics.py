@@ -339,9 +339,6 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
     return out
 
 
-METRIC_ORDER_BASE = ["auc", "mrr"]
-
-
 def metric_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (IMP, "n_cand", "n_pos")]
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from impressa.functions.scalar import explode_default, parse_log_time, split_history
 
-CAND_TYPE = "array<struct<pos:int,news_id:string,label:int>>"
-
-
 def _tokens(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), " +"), lambda x: x != "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from impressa.functions.scalar import click_mask, hash_int32, hash_uniform, hash_key
+from impressa.functions.scalar import click_mask, hash_key, hash_uniform
 
 HEX60 = 15  # hex digits of md5 used for the exact-k sort key (60 bits, fits a signed long)
 
@@ -127,7 +127,3 @@ def eval_rows(parsed: DataFrame, user2int: DataFrame) -> DataFrame:
         "imp_id", F.coalesce("user", F.lit(0)).cast("long").alias("user"), "history",
         F.transform("candidates", lambda c: c["news_id"]).alias("candidates"),
         F.transform("candidates", lambda c: c["label"]).alias("mask"))
-
-
-def hash_bucket(seed, key) -> F.Column:
-    return hash_int32(F.lit(str(seed)), F.col(key))

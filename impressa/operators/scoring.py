@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,6 @@ def _lit_vec(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
-def _lit_mat(m) -> Column:
-    return F.array(*[_lit_vec(row) for row in m])
-
-
 def _stack(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
 
