@@ -175,7 +175,24 @@ def w4_best_k_epochs(spark, d):
     return finish(R.best_k_runs(_metrics_log(spark, d), "val_auc", 3).select("run", "epoch", "value", "place"))
 
 
-@query("w5_early_stop_epoch")
+W5_SQL = with_views([], """
+SELECT f.run, coalesce(f.stop, l.last_epoch) AS stop_epoch, f.best_e AS best_epoch, f.stop IS NOT NULL AS stopped_early
+FROM fold f JOIN (SELECT run, max(rn) AS rn, max(epoch) AS last_epoch FROM ord GROUP BY run) l
+  ON l.run = f.run AND l.rn = f.rn""", extra=[LOG_SQL, """ord AS (
+  SELECT run, epoch, value, ROW_NUMBER() OVER (PARTITION BY run ORDER BY epoch) AS rn FROM mlog WHERE metric = 'val_auc')""",
+    """fold(run, rn, best, best_e, wait, stop) AS (
+  SELECT run, rn, value, epoch, 0, CAST(NULL AS BIGINT) FROM ord WHERE rn = 1
+  UNION ALL
+  SELECT o.run, o.rn,
+    CASE WHEN f.stop IS NOT NULL THEN f.best WHEN o.value > f.best + 0.0001 THEN o.value ELSE f.best END,
+    CASE WHEN f.stop IS NOT NULL THEN f.best_e WHEN o.value > f.best + 0.0001 THEN o.epoch ELSE f.best_e END,
+    CASE WHEN f.stop IS NOT NULL THEN f.wait WHEN o.value > f.best + 0.0001 THEN 0 ELSE f.wait + 1 END,
+    CASE WHEN f.stop IS NOT NULL THEN f.stop WHEN o.value > f.best + 0.0001 THEN NULL
+         WHEN f.wait + 1 >= 5 THEN o.epoch ELSE NULL END
+  FROM fold f JOIN ord o ON o.run = f.run AND o.rn = f.rn + 1)"""]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("w5_early_stop_epoch", W5_SQL)
 def w5_early_stop_epoch(spark, d):
     return finish(R.early_stop_epoch(_metrics_log(spark, d), "val_auc", patience=5, min_delta=1e-4))
 
