@@ -421,7 +421,30 @@ def d6_eval_rows(spark, d):
                             F.array_join(F.transform("mask", lambda x: x.cast("string")), " ").alias("mask")))
 
 
-@query("d7_prepare_train_rows")
+def _d7_sql():
+    fl = _floyd_sql()
+    # candidates of the train part (train period minus the hash-drawn validation share), ids as strings
+    src = """fx_cand_tr AS (
+  SELECT c.imp_id, c.pos, 'N' || CAST(c.news_id AS VARCHAR) AS news_id, c.label FROM fx_candidates c
+  JOIN fx_impressions i USING (imp_id)
+  WHERE i.split = 'train' AND NOT (CAST(('0x' || substr(md5(concat_ws('|', '1234', CAST(i.imp_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 < 0.1))"""
+    fl = [x.replace("FROM fx_candidates", "FROM fx_cand_tr").replace("JOIN fx_candidates", "JOIN fx_cand_tr") for x in fl]
+    u2i = """u2i AS (
+  SELECT key, CAST(ROW_NUMBER() OVER (ORDER BY t, imp_id) AS BIGINT) AS idx FROM (
+    SELECT 'U' || CAST(user_id AS VARCHAR) AS key, time AS t, imp_id,
+           ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY time, imp_id) AS rn
+    FROM fx_impressions WHERE split = 'train'
+      AND NOT (CAST(('0x' || substr(md5(concat_ws('|', '1234', CAST(imp_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 < 0.1))
+  WHERE rn = 1)"""
+    body = """
+SELECT d.imp_id, u.idx AS user,
+       d.pos_news || ' ' || string_agg(d.neg_news, ' ' ORDER BY d.draw) AS candidates
+FROM draws d JOIN fx_impressions i USING (imp_id) JOIN u2i u ON u.key = 'U' || CAST(i.user_id AS VARCHAR)
+GROUP BY d.imp_id, d.pos_news, u.idx"""
+    return with_views(["fx_candidates", "fx_impressions"], body, extra=[src] + fl + [u2i])
+
+
+@query("d7_prepare_train_rows", _d7_sql())
 def d7_prepare_train_rows(spark, d):
     """The whole preparation; the registered result is its sampled training table."""
     from impressa.plans.prepare import prepare
