@@ -115,11 +115,11 @@ def encode_catalogue(news_tokens: DataFrame, weights: DataFrame, kernel: Callabl
     v = embed_tokens(news_tokens, weights)
     g = v.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tpos", "vec"))).alias("_s"))
     g = g.select(key, F.transform("_s", lambda s: s["vec"]).alias("mat"))
-    schema = T.StructType([g.schema[key], T.StructField("vec", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([g.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for pdf in batches:
-            vecs = [np.asarray(kernel(np.vstack(m).astype(np.float32)), dtype=np.float32).tolist()
+            vecs = [np.asarray(kernel(np.vstack(m).astype(np.float64)), dtype=np.float64).tolist()
                     for m in pdf["mat"]]
             yield pd.DataFrame({key: pdf[key], "vec": vecs})
 

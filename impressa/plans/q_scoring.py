@@ -98,7 +98,19 @@ def b2_attention_pool_history(spark, d):
     return finish(_user_vecs(spark, d).select("imp_id", *_vec_summary(F.col("user_vec"))))
 
 
-@query("b3_encode_catalogue")
+def _b3_sql():
+    parts = [f"tanh(list_dot_product(v, {_dl(W_ATT[a])}))" for a in range(ATT)]
+    return with_views(["fx_articles", "fx_word_vectors"], f"""
+SELECT news_id, round({" + ".join(parts)}, 6) AS vec_sum, round({parts[0]}, 6) AS v1 FROM (
+  SELECT news_id, list(x ORDER BY d) AS v FROM (
+    SELECT news_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS x FROM tv, generate_series(1, len(vec)) AS t(d) GROUP BY news_id, d)
+  GROUP BY news_id)""", extra=["""tv AS (
+  SELECT t.news_id, w.vec FROM (SELECT news_id, unnest(regexp_extract_all(lower(trim(abstract)), '[a-z]+')) AS token
+                                FROM fx_articles) t
+  JOIN fx_word_vectors w USING (token))"""])
+
+
+@query("b3_encode_catalogue", _b3_sql())
 def b3_encode_catalogue(spark, d):
     """B3 with a caller kernel (tanh of a projected mean) over the tokens of every abstract."""
     w = W_ATT.T  # (64, 4)
