@@ -11,9 +11,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from impressa.llm.decontaminate import decontaminate
+from impressa.llm.mixture import mixed_documents
 from impressa.llm.quality_rules import quality_rules
 from impressa.llm.registry import table
 from impressa.llm.setsketch import drop_near_duplicates
+from impressa.llm.tokens import token_digest
 from impressa.session import ensure_checkpoint_dir
 
 
@@ -25,9 +28,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_digest(spark, docs)
+
+
 STAGES = [
     ("quality rules", keep_good),
     ("near duplicates", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix_sources),
+    ("token ids", token_ids),
 ]
 
 # Components, templates and token ids cannot be said in SQL; the tests hold run() against brute force.

@@ -7,5 +7,5 @@ from impressa.llm.registry import QUERIES
 
 def load_all():
     # importing the modules registers their queries
-    from impressa.llm import decontaminate, mixture, quality_rules, setsketch  # noqa: F401
+    from impressa.llm import decontaminate, mixture, quality_rules, setsketch, tokens  # noqa: F401
     return QUERIES
