@@ -7,5 +7,5 @@ from impressa.llm.registry import QUERIES
 
 def load_all():
     # importing the modules registers their queries
-    from impressa.llm import context_mix, decontaminate, ftrl_quality, mincut_html, mixture, quality_rules, setsketch, tokens  # noqa: F401
+    from impressa.llm import context_mix, decontaminate, ftrl_quality, mincut_html, mixture, quality_rules, setsketch, suffix_dedup, tokens  # noqa: F401
     return QUERIES
