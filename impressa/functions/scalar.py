@@ -75,17 +75,21 @@ def l2_normalise_array(a) -> Column:
     return F.transform(_c(a), lambda v: F.when(n == 0, F.lit(0.0)).otherwise(v.cast("double") / n))
 
 
+def _v(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def pad_right(arr, length: int, value=0) -> Column:
     """Keep the first ``length`` items, pad behind with ``value``."""
     a = _c(arr)
     return F.concat(F.slice(a, 1, length),
-                    F.array_repeat(F.lit(value), F.greatest(F.lit(0), F.lit(length) - F.size(a))))
+                    F.array_repeat(_v(value), F.greatest(F.lit(0), F.lit(length) - F.size(a))))
 
 
 def pad_left_keep_first(arr, length: int, value=0) -> Column:
     """P9 (faithful to the reference, Q2): over-long keeps the *first* items, short is padded in front."""
     a = _c(arr)
-    return F.concat(F.array_repeat(F.lit(value), F.greatest(F.lit(0), F.lit(length) - F.size(a))),
+    return F.concat(F.array_repeat(_v(value), F.greatest(F.lit(0), F.lit(length) - F.size(a))),
                     F.slice(a, 1, length))
 
 
@@ -93,7 +97,7 @@ def pad_left_keep_last(arr, length: int, value=0) -> Column:
     """P9 option ``keep='last'``: over-long keeps the most recent items."""
     a = _c(arr)
     n = F.size(a)
-    return F.concat(F.array_repeat(F.lit(value), F.greatest(F.lit(0), F.lit(length) - n)),
+    return F.concat(F.array_repeat(_v(value), F.greatest(F.lit(0), F.lit(length) - n)),
                     F.slice(a, F.greatest(F.lit(1), n - F.lit(length) + 1), length))
 
 

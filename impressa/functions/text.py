@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: default token pattern (lower-case latin letters). The library tokenizer of the
-# reference (Treebank rules) is not reproduced; callers may pass another pattern.
-DEFAULT_TOKEN_PATTERN = "[a-z]+"
+# Default token pattern: words of any script, numbers with inner separators, and every other visible
+# character alone (as punctuation).  The library tokenizer of the reference (Treebank rules) is
+# not reproduced; callers may pass another pattern.
+DEFAULT_TOKEN_PATTERN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[^ \t\n\x0B\f\r\p{L}\p{M}\p{N}]"
 
 
 def _c(x) -> Column:

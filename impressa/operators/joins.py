@@ -1,7 +1,7 @@
 """Feature joins between impressions and the catalogue.
 
-The catalogue is a dimension: it is broadcast only after a bounded row count proves it small,
-otherwise joined by shuffle with hot items salted (``lookup_join``).
+The catalogue is a dimension: it is broadcast only if its estimated size is small, otherwise
+joined by shuffle with hot items split (``lookup_join``).
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ def attach_features(df: DataFrame, news: DataFrame, cols: list[str], on_missing:
     reference's KeyError, Q15)."""
     dim = news.select(key, *cols, F.lit(True).alias("_hit"))
     j = lookup_join(df, dim, [key], "left")
-    if on_missing == "error":
-        if j.where(F.col("_hit").isNull()).limit(1).count():
-            raise KeyError("items missing from the catalogue")
+    if on_missing == "error":  # checked row by row, in the same pass
+        fail = F.raise_error(F.concat(F.lit("item missing from the catalogue: "), F.col(key).cast("string")))
+        j = j.where(F.coalesce("_hit", fail.cast("boolean")))
     elif on_missing == "drop":
         j = j.where(F.col("_hit"))
     elif on_missing != "keep":
@@ -42,11 +42,12 @@ def to_index(df: DataFrame, dictionary: DataFrame, key_col: str, out: str = "idx
     return lookup_join(df, d, [key_col], "inner")
 
 
-def _zero_of(dt):
-    if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return F.lit(0.0).cast(dt)
+def _zero_of(dt, length: int | None = None):
+    """The padding value of a type: 0, the empty string, or for arrays the padded text of no item."""
+    if isinstance(dt, T.ArrayType):
+        return F.array_repeat(_zero_of(dt.elementType), length or 0).cast(dt)
     if isinstance(dt, T.StringType):
-        return F.lit("").cast(dt)
+        return F.lit("")
     return F.lit(0).cast(dt)
 
 
@@ -55,29 +56,46 @@ def _field(name):
 
 
 def impression_view(cands: DataFrame, history: DataFrame, news: DataFrame, feature_cols: list[str],
-                    max_history: int = 50, keep: str = "first") -> DataFrame:
+                    max_history: int = 50, keep: str = "first", array_lengths: dict[str, int] | None = None,
+                    on_missing: str = "drop") -> DataFrame:
     """One row per impression with aligned arrays ``h_<f>`` (padded in front to
     ``max_history``, P9/Q2) and ``c_<f>`` (all candidates in position order), ``labels`` and
-    the true ``history_len`` (Q3).  Groups are single impressions, bounded by one log line."""
+    the ``history_len`` before padding (Q3).  Ids and features may be numbers, strings or
+    arrays; padding is a zero of the column's type, for an array a zero text of its fixed length
+    (``array_lengths``).  Items missing from the catalogue are dropped and counted in
+    ``n_missing``, or fail the job with ``on_missing='error'``.
+
+    Groups are single impressions, bounded by one log line."""
+    if on_missing not in ("drop", "error"):
+        raise ValueError("on_missing must be 'drop' or 'error'")
     feats = [c for c in feature_cols if c != "news_id"]
     nf = news.select("news_id", *feats)
     types = {f.name: f.dataType for f in nf.schema.fields}
-    hj = attach_features(history, nf, feats, "drop")
-    hg = hj.groupBy("imp_id").agg(F.array_sort(F.collect_list(F.struct("hpos", *nf.columns))).alias("_h"))
+    lengths = array_lengths or {}
+    mark = F.lit(True).alias("_known")
+    attach = "error" if on_missing == "error" else "keep"
+
+    def attached(rows, order, extra):
+        j = attach_features(rows, nf.select("*", mark), [*feats, "_known"], attach)
+        g = j.groupBy("imp_id").agg(
+            F.array_sort(F.collect_list(F.when(F.col("_known"), F.struct(order, *extra, *nf.columns)))).alias("_x"),
+            F.sum(F.col("_known").isNull().cast("long")).alias("_gone"))
+        return g
+
     pad = pad_left_keep_first if keep == "first" else pad_left_keep_last
-    h_cols = [pad(F.transform("_h", _field(c)), max_history, 0).alias(f"h_{c}") for c in nf.columns]
-    hg = hg.select("imp_id", *h_cols, F.least(F.size("_h"), F.lit(max_history)).alias("history_len"))
-    cj = attach_features(cands, nf, feats, "drop")
-    cg = cj.groupBy("imp_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", *nf.columns))).alias("_c"))
-    c_cols = [F.transform("_c", _field(c)).alias(f"c_{c}") for c in nf.columns]
-    cg = cg.select("imp_id", *c_cols, F.transform("_c", lambda x: x["label"]).alias("labels"))
+    hg = attached(history, "hpos", []).select(
+        "imp_id", *[pad(F.transform("_x", _field(c)), max_history, _zero_of(types[c], lengths.get(c))).alias(f"h_{c}")
+                    for c in nf.columns],
+        F.least(F.size("_x"), F.lit(max_history)).alias("history_len"), F.col("_gone").alias("_h_gone"))
+    cg = attached(cands, "pos", ["label"]).select(
+        "imp_id", *[F.transform("_x", _field(c)).alias(f"c_{c}") for c in nf.columns],
+        F.transform("_x", lambda x: x["label"]).alias("labels"), F.col("_gone").alias("_c_gone"))
     out = cg.join(hg, "imp_id", "left")
-    fills = {}
-    for c in nf.columns:
-        z = _zero_of(types[c])
-        fills[f"h_{c}"] = F.coalesce(F.col(f"h_{c}"), F.array_repeat(z, max_history))
+    fills = {f"h_{c}": F.coalesce(F.col(f"h_{c}"), F.array_repeat(_zero_of(types[c], lengths.get(c)), max_history))
+             for c in nf.columns}
     fills["history_len"] = F.coalesce(F.col("history_len"), F.lit(0))
-    return out.withColumns(fills)
+    fills["n_missing"] = (F.col("_c_gone") + F.coalesce("_h_gone", F.lit(0))).cast("long")
+    return out.withColumns(fills).drop("_c_gone", "_h_gone")
 
 
 def history_details(history: DataFrame, news: DataFrame, n: int, cols: list[str]) -> DataFrame:

@@ -17,8 +17,8 @@ ROW = ["imp_id", "pos_news"]
 
 
 def cross_entropy_first(rows: DataFrame, score: str = "score", apply_sigmoid: bool = True) -> DataFrame:
-    """F8 per training row: log(sum_c exp(y_c)) - y_click, y = sigmoid(score) (as the NRMS and
-    SENTIREC training steps do); ``apply_sigmoid=False`` for already-normalised scores."""
+    """F8 per training row: log(sum_c exp(y_c)) - y_click, y = sigmoid(score);
+    ``apply_sigmoid=False`` for already-normalised scores."""
     y = sigmoid(score) if apply_sigmoid else F.col(score)
     r = rows.withColumn("_y", y)
     w = Window.partitionBy(*ROW)
@@ -50,7 +50,7 @@ def loss_report(rows: DataFrame, pred: DataFrame, lam: float = 0.4, mu: float =
 def lexicon_sentiment(df: DataFrame, row: str, text: str, lexicon: DataFrame, alpha: float = 15.0,
                       pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """F2 (re-aimed): summed valence of known tokens, normalised to [-1, 1] by x/sqrt(x^2+alpha).
-    ``lexicon`` is a caller table (token, valence); it is broadcast only when proven small."""
+    ``lexicon`` is a caller table (token, valence); it is broadcast when its estimated size is small."""
     toks = df.select(row, F.explode(tokenize(text, pattern)).alias("token"))
     hit = lookup_join(toks, lexicon.select("token", "valence"), ["token"])
     s = hit.groupBy(row).agg(F.sum("valence").alias("_x"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from impressa.operators.skew import lookup_join
 from impressa.functions.scalar import relu
 
 IMP, POS, SCORE, LABEL = "imp_id", "pos", "score", "label"
@@ -134,9 +135,9 @@ def mrr(scored: DataFrame, k: int | None = None) -> DataFrame:
 
 # --- sentiment (M4, M5, M8, M-H1) --------------------------------------------------------------
 
-def sentiment_parts(col: str, ks=(5, 10)) -> list:
+def sentiment_parts(col: str, ks=(5, 10), mrr_k: int | None = None) -> list:
     s, r = F.col(col).cast("double"), F.col("rank")
-    parts = [F.sum(s / r).alias(f"_srr_{col}")]
+    parts = [F.sum(s / r if mrr_k is None else F.when(r <= mrr_k, s / r).otherwise(0.0)).alias(f"_srr_{col}")]
     parts += [F.sum(F.when(r <= k, s).otherwise(0.0)).alias(f"_s{k}_{col}") for k in ks]
     return parts
 
@@ -235,13 +236,13 @@ def user_topics(history: DataFrame, news: DataFrame, max_history: int = 50) -> D
 
 def history_topic_counts(history: DataFrame, news: DataFrame, max_history: int = 50) -> DataFrame:
     """M-H2 in long form: (imp_id, topic, cnt) = number of history items carrying the topic."""
-    h = history.where(F.col("hpos") <= max_history).join(news.select("news_id", topic_array(news).alias("_t")),
-                                                        "news_id")
+    h = lookup_join(history.where(F.col("hpos") <= max_history), news.select("news_id", topic_array(news).alias("_t")),
+                    ["news_id"])
     return h.select(IMP, F.explode("_t").alias("topic")).groupBy(IMP, "topic").agg(
         F.count(F.lit(1)).cast("double").alias("cnt"))
 
 
-def _topic_scores(ranked: DataFrame, hist_counts: DataFrame | None, ks) -> DataFrame:
+def _topic_scores(ranked: DataFrame, hist_counts: DataFrame | None, ks, mrr_k: int | None = None) -> DataFrame:
     """Per impression: dot products of the user-topic counts with the candidate topic vectors
     (weights 1/r, or 1 on the top k), |v|^2, and |sum of normalised top-k vectors|^2.
 
@@ -252,7 +253,7 @@ def _topic_scores(ranked: DataFrame, hist_counts: DataFrame | None, ks) -> DataF
     x = ranked.select(IMP, "rank", F.explode("_topics").alias("topic"), F.size("_topics").alias("m"))
     inv = F.lit(1.0) / F.sqrt(F.col("m").cast("double"))
     ct = x.groupBy(IMP, "topic").agg(
-        F.sum(F.lit(1.0) / r).alias("v_mrr"),
+        F.sum(F.lit(1.0) / r if mrr_k is None else F.when(r <= mrr_k, F.lit(1.0) / r).otherwise(0.0)).alias("v_mrr"),
         *[F.sum(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"v{k}") for k in ks],
         *[F.sum(F.when(r <= k, inv).otherwise(0.0)).alias(f"w{k}") for k in ks])
     if hist_counts is not None:
@@ -293,8 +294,9 @@ def _topic_finish(df: DataFrame, ks) -> DataFrame:
 
 def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history: DataFrame | None = None,
                        senti_cols=(), ks=(5, 10), max_history: int = 50, denominator: str = "max_history",
-                       topics: bool = True) -> DataFrame:
+                       topics: bool = True, mrr_k: int | None = None) -> DataFrame:
     """One row per impression with every metric as a column (null where undefined).
+    ``mrr_k`` limits SentiMRR and TopicMRR to the first k ranks.
 
     ``news`` supplies ``senti_cols`` and category/subcategory; ``history`` is (imp_id, hpos, news_id).
     Plan: item attributes (broadcast-sized catalogue) and the per-impression history profile
@@ -305,8 +307,8 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
     topics = topics and news is not None
     base = scored
     if news is not None:
-        base = base.join(news.select("news_id", *senti_cols, *([topic_array(news).alias("_topics")] if topics else [])),
-                         "news_id", "left")
+        base = lookup_join(base, news.select("news_id", *senti_cols, *([topic_array(news).alias("_topics")] if topics else [])),
+                           ["news_id"], "left")
     # ranks first: the topic branch below reuses this cheap ranked base, so the history profile
     # (joined afterwards, on the same impression partitioning) is computed only once
     ranked0 = _with_ranks(base)
@@ -320,7 +322,7 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
         ranked = _add_ils_positions(ranked, senti_cols, ks)
     parts = performance_parts(None, ks)
     for c in senti_cols:
-        parts += sentiment_parts(c, ks)
+        parts += sentiment_parts(c, ks, mrr_k)
         parts.append(F.max(F.col(f"s_mean_{c}")).alias(f"s_mean_{c}"))
     if senti_cols:
         parts += ils_senti_parts(senti_cols, ks)
@@ -335,7 +337,7 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
     out = out.drop(*[f"s_mean_{c}" for c in senti_cols])
     if topics:
         hc = history_topic_counts(history, news, max_history) if history is not None else None
-        out = _topic_finish(out.join(_topic_scores(ranked0, hc, ks), IMP, "left"), ks)
+        out = _topic_finish(out.join(_topic_scores(ranked0, hc, ks, mrr_k), IMP, "left"), ks)
     return out
 
 

@@ -32,14 +32,21 @@ def parse_impressions_dash(col) -> Column:
 
 
 def parse_behaviors(raw: DataFrame) -> DataFrame:
-    """P1 + P4 + P6 on a raw behaviors frame: typed (imp_id, user_id, time, history, candidates)."""
+    """P1 + P4 + P6 on a raw behaviors frame: typed (imp_id, user_id, time, history, candidates);
+    a frame read without its history column has none."""
     return raw.select(F.col("imp_id").cast("long").alias("imp_id"), "user_id",
                       parse_log_time("time").alias("time"),
-                      split_history("history").alias("history"),
+                      *([split_history("history").alias("history")] if "history" in raw.columns else []),
                       parse_impressions("impressions").alias("candidates"),
                       *[c for c in raw.columns if c not in ("imp_id", "user_id", "time", "history", "impressions")])
 
 
+def candidate_lines(cands: DataFrame) -> DataFrame:
+    """Long candidates (imp_id, pos, news_id, label) -> (imp_id, candidates), one log line each."""
+    return cands.groupBy("imp_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "news_id", "label"))).alias("candidates"))
+
+
 def explode_impressions(parsed: DataFrame, keep=("imp_id", "user_id", "time")) -> DataFrame:
     """One row per shown candidate (imp_id, ..., pos, news_id, label)."""
     return parsed.select(*keep, F.inline("candidates"))
@@ -103,6 +110,12 @@ def by_impression(df: DataFrame, imp_id) -> DataFrame:
     return df.where(F.col("imp_id") == F.lit(imp_id))
 
 
+def by_index(df: DataFrame, position: int, order: str = "imp_id") -> DataFrame:
+    """The row at a position (from 0) of the table sorted by ``order``."""
+    from impressa.operators.vocab import dense_index
+    return dense_index(df, [order], "_at", start=0).where(F.col("_at") == position).drop("_at")
+
+
 def prune_fill(df: DataFrame, cols: list[str], fill: str = "") -> DataFrame:
     """Keep columns, empty string for nulls."""
     return df.select(*cols).na.fill(fill)

@@ -14,43 +14,49 @@ from impressa.functions.scalar import click_mask, hash_key, hash_uniform
 HEX60 = 15  # hex digits of md5 used for the exact-k sort key (60 bits, fits a signed long)
 
 
-def negative_draw(cands: DataFrame, n_negative: int, seed: int = 1234) -> DataFrame:
+def negative_draw(lines: DataFrame, n_negative: int, seed: int = 1234) -> DataFrame:
     """For every click of a trainable impression, ``n_negative`` distinct non-clicks of the
     same impression drawn uniformly without replacement.
 
-    Floyd's algorithm picks the N indices with N hash draws per click (no click x non-click
-    pairs are formed): for t = m-N .. m-1, r = h(seed, imp, click, t) mod (t+1); take r unless
-    already taken, else t.  Output: (imp_id, pos_news, draw 1..N, neg_news).
+    ``lines`` has imp_id and ``candidates`` (pos, news_id, label) of one log line each, so the
+    draw is a set of array expressions on the row, without a shuffle.  Floyd's algorithm picks the N
+    indices with N hash draws per click: for t = m-N .. m-1, r = h(seed, imp, click position, t)
+    mod (t+1); take r unless already taken, else t.  A click is its position, so an item clicked
+    twice gives two rows.  Output: the other columns of ``lines`` plus click_pos, pos_news and
+    ``negatives`` in draw order.
     """
     n = n_negative
-    neg = cands.where(F.col("label") == 0).withColumn(
-        "j", (F.row_number().over(Window.partitionBy("imp_id").orderBy("pos")) - 1).cast("long"))
-    stats = cands.groupBy("imp_id").agg(F.sum((F.col("label") == 0).cast("long")).alias("m"))
-    pos = cands.where(F.col("label") == 1).join(stats.where(F.col("m") >= n), "imp_id") \
-        .select("imp_id", F.col("news_id").alias("pos_news"), "m")
+    neg = F.transform(F.filter("candidates", lambda c: c["label"] == 0), lambda c: c["news_id"])
+    rows = lines.withColumn("_neg", neg).where(F.size("_neg") >= n)
+    keep = [c for c in lines.columns if c != "candidates"]
+    rows = rows.select(*keep, "_neg", F.explode(F.filter("candidates", lambda c: c["label"] == 1)).alias("_click"))
+    rows = rows.select(*keep, "_neg", F.col("_click.pos").cast("long").alias("click_pos"),
+                       F.col("_click.news_id").alias("pos_news"))
+    m = F.size("_neg").cast("long")
     seed_s = F.lit(str(seed))
 
     def step(acc, t):
         r = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", seed_s, F.col("imp_id").cast("string"),
-                                                           F.col("pos_news").cast("string"), t.cast("string"))),
+                                                           F.col("click_pos").cast("string"), t.cast("string"))),
                                       1, 8), 16, 10).cast("long"), t + 1)
         return F.concat(acc, F.array(F.when(F.array_contains(acc, r), t).otherwise(r)))
 
-    picks = F.aggregate(F.sequence(F.col("m") - n, F.col("m") - 1), F.array().cast("array<long>"), step)
-    drawn = pos.select("imp_id", "pos_news", F.posexplode(picks).alias("draw", "j")) \
-        .withColumn("draw", (F.col("draw") + 1).cast("long"))
-    return drawn.join(neg.select("imp_id", "j", F.col("news_id").alias("neg_news")), ["imp_id", "j"]) \
-        .select("imp_id", "pos_news", "draw", "neg_news")
-
-
-def training_rows(draws: DataFrame, n_negative: int, extra: DataFrame | None = None) -> DataFrame:
-    """D1 output rows: (imp_id, candidates = [click] + negatives in draw order, mask = 1 0...0)."""
-    g = draws.groupBy("imp_id", "pos_news").agg(
-        F.array_sort(F.collect_list(F.struct("draw", "neg_news"))).alias("_d"))
-    out = g.select("imp_id", "pos_news", F.concat(F.array(F.col("pos_news")),
-                                                  F.transform("_d", lambda x: x["neg_news"])).alias("candidates"),
-                   click_mask(n_negative).alias("mask"))
-    return out if extra is None else out.join(extra, "imp_id", "left")
+    picks = F.aggregate(F.sequence(m - n, m - 1), F.array().cast("array<long>"), step)
+    return rows.withColumn("_picks", picks).withColumn("negatives", F.transform(
+        "_picks", lambda j: F.get("_neg", j.cast("int")))).drop("_neg", "_picks")
+
+
+def draws_long(draws: DataFrame) -> DataFrame:
+    """(imp_id, click_pos, pos_news, draw 1..N, neg_news)."""
+    x = draws.select("imp_id", "click_pos", "pos_news", F.posexplode("negatives").alias("draw", "neg_news"))
+    return x.withColumn("draw", (F.col("draw") + 1).cast("long"))
+
+
+def training_rows(draws: DataFrame, n_negative: int) -> DataFrame:
+    """D1 output rows: ``candidates`` = [click] + negatives in draw order, ``mask`` = 1 0...0, and
+    the other columns of the log line."""
+    return draws.withColumns({"candidates": F.concat(F.array("pos_news"), "negatives"),
+                              "mask": click_mask(n_negative)}).drop("negatives")
 
 
 def split_fraction(df: DataFrame, fraction: float, seed: int = 1234, key: str = "imp_id") -> DataFrame:

@@ -1,10 +1,11 @@
 """Distributed batch scoring with supplied vectors and weights.
 
 The catalogue is encoded once (not once per impression), then scores are joins plus dot
-products.  Vectors travel as ``array<float>``; pooling runs in long form (group, dim, value) so
-the weighted sums are ordinary aggregates.  Model weights are small fixed matrices embedded as
-literals; per-row numeric kernels that Spark cannot express (self-attention, CNN, GRU) are
-caller functions run batch-wise by ``mapInPandas`` (B3) on already-gathered inputs.
+products.  What depends on the item only (its vector, its attention logit) is computed per item
+before the join.  Vectors travel as arrays; pooling reads a whole Arrow batch of groups as one
+matrix and reduces it by group offsets.  Model weights are small fixed matrices; kernels that
+Spark cannot express (self-attention, CNN, GRU) are caller functions that ``mapInArrow`` calls
+once per batch on a padded (batch, length, dim) array.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,66 +66,122 @@ def attention_logit(x, weight, bias, query) -> Column:
     return _logit(F.col(x) if isinstance(x, str) else x)
 
 
-def _weighted_fold():
+def _grouped(column: pa.ListArray):
+    """(offsets, fields) of a list<struct> batch column: flat numpy arrays, vectors as a matrix."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    fields = {}
+    for i in range(flat.type.num_fields):
+        x = flat.field(i)
+        if pa.types.is_list(x.type) or pa.types.is_large_list(x.type):
+            values = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            fields[flat.type.field(i).name] = values.reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+        else:
+            fields[flat.type.field(i).name] = x.to_numpy(zero_copy_only=False)
+    return offsets - offsets[0], fields
 
-    @F.pandas_udf("array<double>")
-    def _fold(ws: pd.Series, vs: pd.Series) -> pd.Series:
-        out = []
-        for w, v in zip(ws, vs):
-            out.append(np.asarray(w, dtype=np.float64) @ _stack(v))
-        return pd.Series(out, dtype=object)
 
-    return _fold
+def _vectors(matrix: np.ndarray) -> pa.ListArray:
+    n, d = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(matrix.ravel(), pa.float64()))
+
 
+def _pool(items: DataFrame, group: str, vec: str, weight: Column, kind: str, out: str, pad_to: int | None = None,
+          pad_logit: float = 0.0) -> DataFrame:
+    """Weighted sum of the vectors of each (bounded) group, one exchange and one reduction per
+    Arrow batch.  ``kind``: 'softmax' of the weights (logits), 'mean', or 'sum' as they are."""
+    g = items.groupBy(group).agg(F.collect_list(F.struct(weight.cast("double").alias("w"), F.col(vec).alias("v"))).alias("_xs"))
+    schema = T.StructType([g.schema[group], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
-def attention_pool(items: DataFrame, group: str, vec: str, weight, bias, query, order: str | None = None,
-                   out: str = "vec") -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            offsets, x = _grouped(batch.column("_xs"))
+            if not batch.num_rows:
+                continue
+            size, start = np.diff(offsets), offsets[:-1]
+            w = x["w"]
+            if kind == "softmax":
+                top = np.maximum.reduceat(w, start)
+                spare = np.maximum((pad_to or 0) - size, 0)  # padding rows: zero vectors that share the weight
+                top = np.where(spare > 0, np.maximum(top, pad_logit), top)
+                w = np.exp(w - np.repeat(top, size))
+                w = w / np.repeat(np.add.reduceat(w, start) + spare * np.exp(pad_logit - top), size)
+            elif kind == "mean":
+                w = np.repeat(1.0 / size, size)
+            pooled = np.add.reduceat(w[:, None] * x["v"], start, axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(group), _vectors(pooled)], names=[group, out])
+
+    return g.mapInArrow(run, schema)
+
+
+def attention_pool(items: DataFrame, group: str, vec: str, weight, bias, query, out: str = "vec",
+                   logit: str | None = None, mask_padding: bool = True, pad_to: int | None = None) -> DataFrame:
     """B2: additive-attention pooling inside each group: alpha = softmax(q . tanh(W x + b)),
-    pooled = sum(alpha x).  Groups are a news item's tokens or views, or one history line —
-    bounded — so each group is collected once (one exchange, no window, no per-dimension rows);
-    the softmax weights are array expressions, the weighted sum one vector product per group."""
-    s = items.withColumn("_logit", attention_logit(vec, weight, bias, query))
-    g = s.groupBy(group).agg(F.max("_logit").alias("_m"),
-                             F.collect_list(F.struct(F.col("_logit").alias("l"), F.col(vec).alias("v"))).alias("_xs"))
-    e = F.transform("_xs", lambda x: F.exp(x["l"] - F.col("_m")))
-    g = g.withColumn("_e", e).withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    w = F.transform("_e", lambda x: x / F.col("_z"))
-    return g.select(group, _weighted_fold()(w, F.transform("_xs", lambda x: x["v"])).alias(out))
+    pooled = sum(alpha x).  Groups are a news item's tokens or views, or one history line.
+
+    ``logit`` names a column that already holds the logits (they depend on the item only, so callers
+    that pool the same items many times compute them once).  With ``mask_padding=False`` groups
+    are padded to ``pad_to`` zero vectors that take part in the softmax (Q20)."""
+    if not mask_padding and pad_to is None:
+        raise ValueError("mask_padding=False needs pad_to")
+    logits = F.col(logit) if logit else attention_logit(vec, weight, bias, query)
+    zero = float(np.tanh(np.asarray(bias, dtype=np.float64)) @ np.asarray(query, dtype=np.float64))
+    return _pool(items.withColumn("_logit", logits), group, vec, F.col("_logit"), "softmax", out,
+                 None if mask_padding else pad_to, zero)
 
 
 def weighted_sum(items: DataFrame, group: str, vec: str, weight: str, out: str = "vec") -> DataFrame:
     """sum_i w_i x_i per (bounded) group."""
-    g = items.groupBy(group).agg(F.collect_list(F.struct(F.col(weight).cast("double").alias("w"),
-                                                         F.col(vec).alias("v"))).alias("_xs"))
-    return g.select(group, _weighted_fold()(F.transform("_xs", lambda x: x["w"]),
-                                            F.transform("_xs", lambda x: x["v"])).alias(out))
+    return _pool(items, group, vec, F.col(weight), "sum", out)
 
 
 def mean_pool(items: DataFrame, group: str, vec: str, out: str = "vec") -> DataFrame:
     """Plain mean of the vectors of a (bounded) group."""
-    g = items.groupBy(group).agg(F.collect_list(F.col(vec)).alias("_xs"))
-    n = F.size("_xs").cast("double")
-    w = F.transform("_xs", lambda x: F.lit(1.0) / n)
-    return g.select(group, _weighted_fold()(w, F.col("_xs")).alias(out))
-
-
-def encode_catalogue(news_tokens: DataFrame, weights: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
-                     dim_out: int, key: str = "news_id") -> DataFrame:
-    """Encode every item once.  Token vectors are gathered by a join (B1) and grouped per
-    item (bounded by the text length); ``kernel`` maps one (n_tokens x d) matrix to a vector and
-    runs batch-wise in ``mapInPandas``.  ``news_tokens`` is (key, tpos, idx)."""
-    v = embed_tokens(news_tokens, weights)
-    g = v.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tpos", "vec"))).alias("_s"))
-    g = g.select(key, F.transform("_s", lambda s: s["vec"]).alias("mat"))
-    schema = T.StructType([g.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    return _pool(items, group, vec, F.lit(1.0), "mean", out)
+
+
+def encode_sequences(items: DataFrame, group: str, order: str, vec: str, kernel: Callable, dim_out: int, out: str = "vec",
+                     max_len: int | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Caller kernels over each group's vectors in ``order`` (B3, B8, B9).  ``kernel`` is called once
+    per Arrow batch with a zero-padded (batch, length, dim) array and a (batch, length) mask
+    of real rows and returns (batch, dim_out).  ``max_len`` keeps the first items of a group (as
+    P8).  ``state`` (group, state vector) is passed as a third argument, a recurrent kernel's
+    initial state."""
+    g = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vec).alias("v")))).alias("_xs"))
+    if max_len is not None:
+        g = g.withColumn("_xs", F.slice("_xs", 1, max_len))
+    if state is not None:
+        s_col = next(c for c in state.columns if c != group)
+        g = g.join(state.select(group, F.col(s_col).alias("_state")), group)
+    schema = T.StructType([g.schema[group], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for pdf in batches:
-            vecs = [np.asarray(kernel(np.vstack(m).astype(np.float64)), dtype=np.float64).tolist()
-                    for m in pdf["mat"]]
-            yield pd.DataFrame({key: pdf[key], "vec": vecs})
-
-    return g.mapInPandas(run, schema)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offsets, x = _grouped(batch.column("_xs"))
+            size = np.diff(offsets)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
+            padded = np.zeros((len(size), int(size.max()), x["v"].shape[1]))
+            mask = np.zeros(padded.shape[:2], bool)
+            padded[row, at], mask[row, at] = x["v"], True
+            args = [padded, mask]
+            if "_state" in batch.schema.names:
+                flat = batch.column("_state").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                args.append(flat.reshape(len(size), -1))
+            result = np.asarray(kernel(*args), dtype=np.float64).reshape(len(size), dim_out)
+            yield pa.RecordBatch.from_arrays([batch.column(group), _vectors(result)], names=[group, out])
+
+    return g.mapInArrow(run, schema)
+
+
+def encode_catalogue(news_tokens: DataFrame, weights: DataFrame, kernel: Callable, dim_out: int, key: str = "news_id",
+                     max_len: int | None = None) -> DataFrame:
+    """Encode every item once.  Token vectors are gathered by a join (B1) and grouped per
+    item, the first ``max_len`` kept (P8); ``kernel`` sees a batch of items at a time (see
+    ``encode_sequences``).  ``news_tokens`` is (key, tpos, idx)."""
+    return encode_sequences(embed_tokens(news_tokens, weights), key, "tpos", "vec", kernel, dim_out, max_len=max_len)
 
 
 def category_vectors(cat_emb: DataFrame, weight, bias) -> DataFrame:
@@ -148,30 +206,42 @@ def predict_sentiment(news_vecs: DataFrame, weight: Sequence[float], bias: float
 
 
 def user_vectors(history: DataFrame, news_vecs: DataFrame, weight=None, bias=None, query=None,
-                 max_history: int | None = None) -> DataFrame:
-    """(imp_id, user_vec) by attention pooling (or the mean without weights) over history items."""
+                 max_history: int | None = None, mask_padding: bool = True, kernel: Callable | None = None,
+                 dim_out: int | None = None) -> DataFrame:
+    """(imp_id, user_vec) over the first ``max_history`` history items: attention pooling, the
+    mean without weights, or a caller's ``kernel`` on the padded sequence.  The attention logit
+    is computed once per catalogue item, before the join."""
     h = history if max_history is None else history.where(F.col("hpos") <= max_history)
-    items = lookup_join(h.select("imp_id", "news_id"), news_vecs.select("news_id", "vec"), ["news_id"])
+    vecs = news_vecs.select("news_id", "vec")
+    if kernel is not None:
+        items = lookup_join(h.select("imp_id", "hpos", "news_id"), vecs, ["news_id"])
+        return encode_sequences(items, "imp_id", "hpos", "vec", kernel, dim_out, "user_vec")
     if weight is None:
-        return mean_pool(items, "imp_id", "vec", "user_vec")
-    return attention_pool(items, "imp_id", "vec", weight, bias, query, out="user_vec")
+        return mean_pool(lookup_join(h.select("imp_id", "news_id"), vecs, ["news_id"]), "imp_id", "vec", "user_vec")
+    vecs = vecs.withColumn("_l", attention_logit("vec", weight, bias, query))
+    items = lookup_join(h.select("imp_id", "news_id"), vecs, ["news_id"])
+    return attention_pool(items, "imp_id", "vec", weight, bias, query, out="user_vec", logit="_l",
+                          mask_padding=mask_padding, pad_to=max_history)
 
 
-def long_term_users(imps: DataFrame, user_emb: DataFrame, recent: DataFrame, mode: str = "con") -> DataFrame:
+def long_term_users(imps: DataFrame, user_emb: DataFrame, recent: DataFrame, mode: str = "con",
+                    sequences: DataFrame | None = None, kernel: Callable | None = None, dim_out: int | None = None) -> DataFrame:
     """Long-term user vector (unknown user 0 -> zeros) with the recent-history vector:
-    ``'con'`` concatenates them; ``'ini'`` returns the long-term vector as the recurrent
-    kernel's initial state (the kernel itself is supplied by the caller)."""
-    dim = user_emb.agg(F.max(F.size("vec"))).first()[0] or 0  # vector widths (two numbers)
-    rdim = recent.agg(F.max(F.size("user_vec"))).first()[0] or 0
+    ``'con'`` concatenates them; ``'ini'`` gives the long-term vector as a recurrent kernel's
+    initial state.  With ``kernel``, 'ini' runs it over ``sequences`` (imp_id, hpos, vec)."""
+    dim = user_emb.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).scalar()
+    rdim = recent.agg(F.coalesce(F.max(F.size("user_vec")), F.lit(0))).scalar()
     j = imps.select("imp_id", "user").join(user_emb.select(F.col("user"), F.col("vec").alias("_u")), "user", "left")
-    j = j.withColumn("long_vec", F.coalesce(F.col("_u").cast("array<double>"),
-                                            F.array_repeat(F.lit(0.0), F.lit(dim))))
+    j = j.withColumn("long_vec", F.coalesce(F.col("_u").cast("array<double>"), F.array_repeat(F.lit(0.0), dim)))
     # no recent history -> zero recent vector of the same width
     j = j.join(recent, "imp_id", "left").withColumn(
-        "user_vec", F.coalesce(F.col("user_vec").cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(rdim))))
+        "user_vec", F.coalesce(F.col("user_vec").cast("array<double>"), F.array_repeat(F.lit(0.0), rdim)))
     if mode == "con":
         return j.select("imp_id", F.concat("long_vec", F.col("user_vec").cast("array<double>")).alias("user_vec"))
-    return j.select("imp_id", F.col("long_vec").alias("init_state"), "user_vec")
+    if kernel is None:
+        return j.select("imp_id", F.col("long_vec").alias("init_state"), "user_vec")
+    return encode_sequences(sequences, "imp_id", "hpos", "vec", kernel, dim_out, "user_vec",
+                            state=j.select("imp_id", "long_vec"))
 
 
 def score_candidates(cands: DataFrame, news_vecs: DataFrame, users: DataFrame) -> DataFrame:

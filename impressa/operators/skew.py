@@ -1,10 +1,11 @@
 """Join helpers that keep hot keys and broadcasts under control.
 
-* ``broadcast_if_small`` broadcasts a side only after proving (with a bounded ``limit``
-  count) that it has at most ``max_rows`` rows; otherwise the normal shuffle join is kept.
-* ``skew_join`` splits hot keys of the big side over ``salts`` buckets and copies the
-  small side's rows of those keys into every bucket.  Hot keys are found on a sample, so
-  finding them costs a fraction of one scan; a wrong guess only costs speed, never rows.
+* ``broadcast_if_small`` broadcasts a side only if Catalyst's size estimate of its plan is at most
+  ``max_bytes``; no job runs for it.  Otherwise the normal shuffle join is kept, and adaptive
+  execution may still broadcast a side whose measured size proves small.
+* ``skew_join`` splits hot keys of the big side over ``salts`` buckets and copies the small side's
+  rows of those keys into every bucket.  Hot keys are found on a sample, which is materialised
+  once, so both sides are salted by the same set; a wrong guess only costs speed, never rows.
 """
 
 from __future__ import annotations
@@ -12,20 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tuning defaults (rows, not bytes, so they hold for any row width).
-DEFAULT_BROADCAST_ROWS = 1_000_000
+from impressa.session import cut_lineage
+
+# Tuning defaults.
+DEFAULT_BROADCAST_BYTES = 16 << 20
 DEFAULT_HOT_ROWS = 1_000_000
 DEFAULT_SALTS = 32
 HOT_SAMPLE_FRACTION = 0.01
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the plan's output size (file sizes for scans, an upper bound for
+    joins); reading it runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    return estimated_bytes(df) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    return F.broadcast(df) if fits(df, max_bytes) else df
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = DEFAULT_HOT_ROWS,
@@ -73,7 +81,8 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
         return b.join(s, cond, how).select(*cols)
     if hot_rows is None:
         hot_rows = int(big.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-    hot = F.broadcast(hot_keys(big, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    # materialised, so that both sides see the same set; bounded by rows / hot_rows
+    hot = F.broadcast(cut_lineage(hot_keys(big, keys, hot_rows).withColumn("_hot", F.lit(True))))
     b = (big.join(hot, keys, "left")
          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]),
                                                            F.lit(salts))).otherwise(F.lit(0)))
@@ -93,9 +102,9 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
 
 
 def lookup_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join a big fact table to a dimension: broadcast the dimension when it is proven small,
-    otherwise a shuffle join with hot keys salted."""
-    if fits(dim, max_broadcast_rows):
+                max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Join a big fact table to a dimension: broadcast the dimension when its estimated size is
+    small, otherwise a shuffle join that survives hot keys."""
+    if fits(dim, max_bytes):
         return big.join(F.broadcast(dim), keys, how)
     return skew_join(big, dim, keys, how)

@@ -39,19 +39,22 @@ def dense_index(df: DataFrame, order: list, id_col: str = "idx", start: int = 1)
         .drop("_mid", "_pid", "_lidx", "_off")
 
 
-def first_seen_ids(events: DataFrame, key: str, order: list[str], start: int = 1) -> DataFrame:
+def first_seen_ids(events: DataFrame, key: str, order: list[str], start: int = 1, with_first: bool = False) -> DataFrame:
     """V2/V3: (key, idx) numbering keys by their first appearance in ``order`` (a total order of
-    the events).  The per-key minimum is a partial aggregate, so hot keys are cheap."""
-    first = events.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(*order)).alias("_first"))
-    return dense_index(first, ["_first"], start=start).select("key", "idx")
+    the events).  The per-key minimum is a partial aggregate, so hot keys are cheap.
+    ``with_first`` adds the first appearance (a struct of ``order``): if the order starts with the
+    split, keys first seen in training are the dictionary as it was before the test split."""
+    first = events.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(*order)).alias("first"))
+    return dense_index(first, ["first"], start=start).select("key", "idx", *(["first"] if with_first else []))
 
 
-def shared_category_ids(news: DataFrame, row_order: list[str], cols=("category", "subcategory")) -> DataFrame:
+def shared_category_ids(news: DataFrame, row_order: list[str], cols=("category", "subcategory"),
+                        with_first: bool = False) -> DataFrame:
     """V4: one id space for category and subcategory; in row order, category before subcategory."""
     pairs = news.select(*row_order, F.explode(F.array(*[
         F.struct(F.col(c).alias("key"), F.lit(i).alias("_field")) for i, c in enumerate(cols)])).alias("x")) \
         .select(*row_order, "x.key", "x._field").where(F.col("key").isNotNull() & (F.col("key") != ""))
-    return first_seen_ids(pairs, "key", [*row_order, "_field"])
+    return first_seen_ids(pairs, "key", [*row_order, "_field"], with_first=with_first)
 
 
 def field_tokens(news: DataFrame, row_order: list[str], fields=("title", "abstract"),
@@ -64,12 +67,13 @@ def field_tokens(news: DataFrame, row_order: list[str], fields=("title", "abstra
 
 
 def word_ids(news: DataFrame, vectors: DataFrame, row_order: list[str], fields=("title", "abstract"),
-             pattern: str = DEFAULT_TOKEN_PATTERN, tokens: DataFrame | None = None) -> DataFrame:
+             pattern: str = DEFAULT_TOKEN_PATTERN, tokens: DataFrame | None = None,
+             with_first: bool = False) -> DataFrame:
     """V5: ids for tokens that have a vector, by first appearance (title tokens before abstract).
     ``tokens`` may pass an already tokenized (row..., _field, tpos, token) table."""
     toks = tokens if tokens is not None else field_tokens(news, row_order, fields, pattern)
     known = lookup_join(toks, vectors.select("token").distinct(), ["token"], "left_semi")  # J7
-    return first_seen_ids(known, "token", [*row_order, "_field", "tpos"])
+    return first_seen_ids(known, "token", [*row_order, "_field", "tpos"], with_first=with_first)
 
 
 def sorted_ids(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -83,8 +87,8 @@ def extend_ids(existing: DataFrame, new_keys: DataFrame, order: list[str]) -> Da
 
     ``new_keys`` has ``key`` plus the ``order`` columns (one row per key)."""
     fresh = new_keys.join(existing.select("key"), "key", "left_anti")
-    top = existing.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]  # the current maximum id
-    numbered = dense_index(fresh, order, start=int(top) + 1).select("key", "idx")
+    top = existing.agg(F.coalesce(F.max("idx"), F.lit(0))).scalar()  # the current maximum id
+    numbered = dense_index(fresh, order).select("key", (F.col("idx") + top).cast("long").alias("idx"))
     return existing.select("key", "idx").unionByName(numbered)
 
 
@@ -141,16 +145,14 @@ def encode_batch(texts: DataFrame, word2int: DataFrame, row: str, field: str,
     ``on_missing='error'`` raises when a token is unknown (like the reference); ``'drop'`` skips it."""
     toks = texts.select(row, F.posexplode(tokenize(field, pattern)).alias("tpos", "token"))
     j = toks.join(word2int.select(F.col("key").alias("token"), "idx"), "token", "left")
-    if on_missing == "error":
-        missing = j.where(F.col("idx").isNull()).limit(1).count()
-        if missing:
-            raise KeyError("text contains tokens missing from the dictionary")
-    j = j.where(F.col("idx").isNotNull())
+    known = F.col("idx").isNotNull()
+    if on_missing == "error":  # checked row by row, in the same pass
+        known = known | F.raise_error(F.concat(F.lit("token missing from the dictionary: "), "token")).cast("boolean")
+    j = j.where(known)
     g = j.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("tpos", "idx"))).alias("_s"))
     g = g.select(row, F.transform("_s", lambda s: s["idx"]).alias("ids"))
-    longest = g.agg(F.max(F.size("ids"))).first()[0] or 0  # the batch's longest text
-    return g.select(row, F.concat("ids", F.array_repeat(
-        F.lit(0).cast("long"), F.lit(longest) - F.size("ids"))).alias("ids"))
+    longest = g.agg(F.max(F.size("ids"))).scalar()  # the batch's longest text
+    return g.select(row, F.concat("ids", F.array_repeat(F.lit(0).cast("long"), longest - F.size("ids"))).alias("ids"))
 
 
 def tokens_long(df: DataFrame, row: str, field: str, pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:

@@ -13,11 +13,10 @@ from impressa.plans.registry import query
 from impressa.sources import fixtures as fx
 from impressa.sources.fixtures import with_views
 
-H = 50
 
 TRAIN_ART = "(SELECT * FROM fx_articles WHERE split = 'train')"
 WLEN = "len(list_filter(string_split_regex(trim({c}), '\\s+'), lambda x: x <> ''))"
-TLEN = "len(regexp_extract_all(lower(trim({c})), '[a-z]+'))"
+TLEN = "len(regexp_extract_all(lower(trim({c})), '@TOKEN@'))"
 
 
 def _train_articles(spark, d):
@@ -25,7 +24,7 @@ def _train_articles(spark, d):
 
 
 def _parsed_train(spark, d):
-    p = P.parse_behaviors(fx.raw_behaviors(spark, d, H))
+    p = P.parse_behaviors(fx.raw_behaviors(spark, d))
     return G.history_length(p.where(F.col("split") == "train"))
 
 
@@ -69,6 +68,13 @@ def g5_title_token_shares(spark, d):
     return finish(G.length_shares(_train_articles(spark, d), "title_len_tok", 10.0))
 
 
+@query("g5_abstract_token_shares", with_views(["fx_articles"], f"""
+SELECT CAST(length AS BIGINT) AS length, round(n / SUM(n) OVER () * 10, 6) AS share FROM (
+  SELECT {TLEN.format(c='abstract')} AS length, count(*) AS n FROM {TRAIN_ART} GROUP BY 1)"""))
+def g5_abstract_token_shares(spark, d):
+    return finish(G.length_shares(_train_articles(spark, d), "abstract_len_tok", 10.0))
+
+
 @query("g6_abstract_token_shares_nonzero", with_views(["fx_articles"], f"""
 SELECT CAST(length AS BIGINT) AS length, round(share, 6) AS share FROM (
   SELECT length, n / SUM(n) OVER () * 100 AS share FROM (
@@ -179,5 +185,5 @@ GROUP BY 1""", extra=["""scored AS (
   FROM fx_candidates)"""]))
 def g16_auc_by_history_length(spark, d):
     per = M.auc(random_scores(fx.candidates(spark, d)))
-    lens = P.parse_behaviors(fx.raw_behaviors(spark, d, H)).select("imp_id", F.size("history").alias("history_len"))
+    lens = P.parse_behaviors(fx.raw_behaviors(spark, d)).select("imp_id", F.size("history").alias("history_len"))
     return finish(G.metric_by_length(per, lens))

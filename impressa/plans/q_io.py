@@ -16,11 +16,10 @@ from impressa.sources import store as ST
 from impressa.sources import tsv as TS
 from impressa.sources.fixtures import with_views
 
-H = 50
 
 
 def _raw(spark, d):
-    return fx.raw_behaviors(spark, d, H)
+    return fx.raw_behaviors(spark, d)
 
 
 def _flat(col):
@@ -28,15 +27,15 @@ def _flat(col):
     return F.regexp_replace(F.col(col), r"[\t\r\n]+", " ")
 
 
-@query("s1_read_behaviors_tsv", with_views(["fx_impressions", "fx_candidates", "fx_history"], """
-SELECT c.imp_id, CAST(c.n AS BIGINT) AS n_cand, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hist
-FROM (SELECT imp_id, count(*) AS n FROM fx_candidates GROUP BY imp_id) c
-LEFT JOIN (SELECT imp_id, count(*) AS n FROM fx_history GROUP BY imp_id) h USING (imp_id)"""))
+@query("s1_read_behaviors_tsv", with_views(["fx_impressions", "fx_raw"], """
+SELECT r.imp_id, r.user_id, CAST(i.time AS VARCHAR) AS time, r.history, r.impressions FROM fx_raw r JOIN fx_impressions i USING (imp_id)"""))
 def s1_read_behaviors_tsv(spark, d):
     path = ST.scratch_path(spark, "behaviors")
     TS.write_tsv(_raw(spark, d).select(*TS.BEHAVIOR_COLUMNS), path)
     parsed = P.parse_behaviors(TS.read_behaviors(spark, path))
-    return finish(parsed.select("imp_id", F.size("candidates").alias("n_cand"), F.size("history").alias("n_hist")))
+    shown = F.transform("candidates", lambda c: F.concat(c["news_id"], F.lit("-"), c["label"].cast("string")))
+    return finish(parsed.select("imp_id", "user_id", "time", F.array_join("history", " ").alias("history"),
+                                F.array_join(shown, " ").alias("impressions")))
 
 
 def _news_lines(spark, d):
@@ -49,22 +48,27 @@ def _news_lines(spark, d):
                     F.when(even, "[]").otherwise("").alias("abstract_entities"))
 
 
-@query("s2_read_news_tsv", with_views(["fx_articles"], "SELECT news_id, category, subcategory, title FROM fx_articles"))
+@query("s2_read_news_tsv", with_views(["fx_articles"], """
+SELECT news_id, category, subcategory, title, md5(regexp_replace(abstract, '[\\t\\r\\n]+', ' ', 'g')) AS abstract,
+       'https://news.example/' || news_id AS url, CASE WHEN row_key % 2 = 0 THEN '[]' ELSE '' END AS entities FROM fx_articles"""))
 def s2_read_news_tsv(spark, d):
     path = ST.scratch_path(spark, "news")
     TS.write_tsv(_news_lines(spark, d), path)
-    return TS.read_news(spark, path).select("news_id", "category", "subcategory", "title")
+    return TS.read_news(spark, path).select("news_id", "category", "subcategory", "title", F.md5("abstract").alias("abstract"), "url",
+                                            F.coalesce("title_entities", F.lit("")).alias("entities"))
 
 
-@query("s3_load_splits", with_views(["fx_impressions"], """
-SELECT split, CAST(count(*) AS BIGINT) AS n FROM fx_impressions GROUP BY split"""))
+@query("s3_load_splits", with_views(["fx_impressions", "fx_raw"], """
+SELECT i.split, i.imp_id, r.user_id, CAST(i.time AS VARCHAR) AS time, r.impressions FROM fx_impressions i JOIN fx_raw r USING (imp_id)"""))
 def s3_load_splits(spark, d):
     base = ST.scratch_path(spark, "dataset")
     raw = _raw(spark, d)
     for s in ("train", "test"):
         TS.write_tsv(raw.where(F.col("split") == s).select(*TS.BEHAVIOR_COLUMNS), f"{base}/{s}/behaviors.tsv")
     both = TS.load_splits(spark, base, "behaviors", ("train", "test"))
-    return finish(both.groupBy("split").agg(F.count(F.lit(1)).alias("n")))
+    parsed = P.parse_behaviors(both)
+    shown = F.transform("candidates", lambda c: F.concat(c["news_id"], F.lit("-"), c["label"].cast("string")))
+    return finish(parsed.select("split", "imp_id", "user_id", "time", F.array_join(shown, " ").alias("impressions")))
 
 
 @query("s4_strict_lines", with_views(["fx_articles"], """
@@ -121,29 +125,28 @@ def s7_dictionary_tsv(spark, d):
     return finish(TS.read_dictionary(spark, path, fmt="tsv"))
 
 
-@query("s8_parsed_news_tsv", with_views(["fx_articles", "fx_word_vectors"], "SELECT news_id, ids FROM encoded",
-                                        extra=[_qp().ART_TOKENS_SQL, _qp().WORD2INT_SQL, _qp().ENCODED_SQL]))
+@query("s8_parsed_news_tsv", with_views(_qp().PARSED_NEWS_VIEWS, _qp().PARSED_NEWS_SQL, extra=_qp().PARSED_NEWS_CTES))
 def s8_parsed_news_tsv(spark, d):
-    enc = V.encode_text(fx.articles(spark, d), _word2int(spark, d), "news_id", "abstract", 50, out="abstract")
-    parsed = enc.select("news_id", F.lit(0).alias("category"), F.lit(0).alias("subcategory"),
-                        F.array(F.lit(0)).alias("title"), "abstract")
     path = ST.scratch_path(spark, "parsed-news")
-    ST.write_parsed_news(parsed, path, fmt="tsv")
-    back = ST.read_parsed_news(spark, path, fmt="tsv")
-    return back.select("news_id", F.array_join("abstract", " ").alias("ids"))
+    ST.write_parsed_news(_qp()._prepared(spark, d)["parsed_news"].drop("news_idx"), path, fmt="tsv")
+    columns = ("news_id", "category", "subcategory", "title", "abstract", "senti_a", "senti_b")
+    return _qp().news_out(ST.read_parsed_news(spark, path, fmt="tsv", columns=columns))
 
 
-@query("s9_behavior_tables", with_views(["fx_impressions"], """
-SELECT i.imp_id, coalesce(u.idx, 0) AS user FROM fx_impressions i
-LEFT JOIN user2int u ON u.key = 'U' || CAST(i.user_id AS VARCHAR) WHERE i.split = 'test'""",
-                                        extra=[_qp().USER2INT_SQL]))
+@query("s9_behavior_tables", "SELECT 'train' AS split, * FROM (" + with_views(
+    _qp().TRAIN_ROWS_VIEWS, _qp().TRAIN_ROWS_SQL, extra=_qp().TRAIN_ROWS_CTES) + ") UNION ALL SELECT 'val', imp_id, 0, user, history, "
+    "candidates, mask FROM (" + _qp()._eval_sql(f"r.split = 'train' AND {_qp().VAL_HASH.format(imp='c.imp_id')}")
+    + ") UNION ALL SELECT 'test', imp_id, 0, user, history, candidates, mask FROM (" + _qp()._eval_sql("r.split = 'test'") + ")")
 def s9_behavior_tables(spark, d):
-    parsed = P.parse_behaviors(_raw(spark, d))
-    u2i = V.first_seen_ids(parsed.where(F.col("split") == "train"), "user_id", ["time", "imp_id"])
-    tables = {s: D.eval_rows(parsed.where(F.col("split") == s), u2i) for s in ("train", "test")}
+    """Sampled training rows and unsampled validation and test rows in one partitioned dataset."""
+    t = _qp()._prepared(spark, d)
     path = ST.scratch_path(spark, "behaviors-parquet")
-    ST.write_behaviors(tables, path)
-    return finish(ST.read_behaviors_split(spark, path, "test").select("imp_id", "user"))
+    ST.write_behaviors({"train": t["train_rows"], "val": t["val_rows"], "test": t["test_rows"]}, path)
+    back = None
+    for split in ("train", "val", "test"):
+        part = ST.read_behaviors_split(spark, path, split)
+        back = part if back is None else back.unionByName(part)
+    return _qp()._rows_out(back.withColumn("click_pos", F.coalesce("click_pos", F.lit(0))))
 
 
 @query("s10_embedding_matrix_file", with_views(["fx_articles", "fx_word_vectors"], """
@@ -163,7 +166,7 @@ def s10_embedding_matrix_file(spark, d):
 @query("s11_dump_first_scored", with_views(["fx_candidates"], """
 SELECT imp_id, CAST(count(*) AS BIGINT) AS n, round(SUM(round(score, 6)), 6) AS score_sum,
        string_agg(CAST(label AS VARCHAR), ' ' ORDER BY pos) AS labels
-FROM scored WHERE imp_id IN (SELECT DISTINCT imp_id FROM fx_candidates ORDER BY imp_id LIMIT 101) GROUP BY imp_id""",
+FROM scored WHERE imp_id IN (SELECT DISTINCT imp_id FROM fx_candidates ORDER BY imp_id LIMIT 102) GROUP BY imp_id""",
                                            extra=["""scored AS (
   SELECT imp_id, pos, label,
          CAST(CAST(('0x' || substr(md5(concat_ws('|', CAST(imp_id AS VARCHAR), CAST(news_id AS VARCHAR))), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0 AS score
@@ -171,7 +174,7 @@ FROM scored WHERE imp_id IN (SELECT DISTINCT imp_id FROM fx_candidates ORDER BY
 def s11_dump_first_scored(spark, d):
     from impressa.plans.evaluate import random_scores
     path = ST.scratch_path(spark, "dump")
-    ST.dump_first(random_scores(fx.candidates(spark, d)), path, 101)
+    ST.dump_first(random_scores(fx.candidates(spark, d)), path)
     back = spark.read.option("header", "true").csv(path)
     s = F.split("scores", " ")
     return finish(back.select(F.col("imp_id").cast("long").alias("imp_id"), F.size(s).alias("n"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from impressa.functions import scalar as S
 from impressa.operators import losses as L
 from impressa.operators import metrics as M
+from impressa.operators import parse as P
 from impressa.operators import ranking as R
 from impressa.operators import report as RP
 from impressa.operators import sample as D
@@ -19,7 +20,8 @@ from impressa.plans.registry import query
 from impressa.sources import fixtures as fx
 from impressa.sources.fixtures import with_views
 
-H = 50
+MAX_HISTORY = 50  # of the history sentiment; its mean divides by it
+
 HASH_SCORE = ("CAST(CAST(('0x' || substr(md5(concat_ws('|', CAST({imp} AS VARCHAR), CAST({news} AS VARCHAR))), 1, 8)) AS BIGINT) "
               "AS DOUBLE) / 4294967296.0")
 
@@ -36,7 +38,7 @@ def f1_signed_sentiment(spark, d):
 SELECT d.news_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15.0), 6) AS sentiment
 FROM fx_docs d LEFT JOIN (
   SELECT t.news_id, SUM(l.valence) AS x FROM (
-    SELECT news_id, unnest(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS token FROM fx_docs) t
+    SELECT news_id, unnest(regexp_extract_all(lower(trim(text)), '@TOKEN@')) AS token FROM fx_docs) t
   JOIN fx_lexicon l USING (token) GROUP BY t.news_id) s USING (news_id)"""))
 def f2_lexicon_sentiment(spark, d):
     return finish(L.lexicon_sentiment(fx.docs(spark, d), "news_id", "text", fx.lexicon(spark, d)))
@@ -87,12 +89,10 @@ TRAIN_ROWS_SQL = ["""tr AS (
 
 
 def _train_rows(spark, d):
-    cands = fx.candidates(spark, d)
-    draws = D.negative_draw(cands, 4, 1234)
-    click = draws.select("imp_id", "pos_news").distinct().select(
-        "imp_id", "pos_news", F.lit(0).cast("long").alias("slot"), F.col("pos_news").alias("news_id"))
-    negs = draws.select("imp_id", "pos_news", F.col("draw").alias("slot"), F.col("neg_news").alias("news_id"))
-    return random_scores(click.unionByName(negs))
+    lines = P.candidate_lines(fx.candidates(spark, d))
+    rows = D.training_rows(D.negative_draw(lines, 4, 1234), 4)
+    slots = rows.select("imp_id", "pos_news", F.posexplode("candidates").alias("slot", "news_id"))
+    return random_scores(slots.withColumn("slot", F.col("slot").cast("long")))
 
 
 @query("f8_cross_entropy", with_views(["fx_candidates"], """
@@ -132,14 +132,14 @@ DIV_SQL = """dv AS (
 
 def _div_rows(spark, d):
     rows = _train_rows(spark, d).join(fx.news(spark, d).select("news_id", F.col("senti_a").alias("s_c")), "news_id")
-    sm = M.history_sentiment(fx.history(spark, d, H), fx.news(spark, d), ["senti_a"], H)
+    sm = M.history_sentiment(fx.history(spark, d), fx.news(spark, d), ["senti_a"], MAX_HISTORY)
     return rows.join(sm, "imp_id", "left").withColumn("s_mean", F.coalesce("s_mean_senti_a", F.lit(0.0)))
 
 
 @query("f10_sentiment_diversity_loss", with_views(["fx_candidates", "fx_news", "fx_history"], """
 SELECT round(avg(greatest(s_mean * s_c * (1.0 / (1.0 + exp(-""" + HASH_SCORE.format(imp='imp_id', news='news_id')
                                                     + """))), 0.0)), 6) AS div_loss FROM dv""",
-                                                    extra=_floyd() + TRAIN_ROWS_SQL + [DIV_SQL]))
+                                                    H=MAX_HISTORY, extra=_floyd() + TRAIN_ROWS_SQL + [DIV_SQL]))
 def f10_sentiment_diversity_loss(spark, d):
     return finish(L.sentiment_diversity_loss(_div_rows(spark, d)))
 
@@ -149,7 +149,7 @@ SELECT round(ce, 6) AS ce, round(mae, 6) AS mae, round(div_loss, 6) AS div_loss,
 FROM (SELECT avg(ce) AS ce FROM (SELECT ln(SUM(exp(y))) - max(CASE WHEN slot = 0 THEN y END) AS ce FROM trs GROUP BY imp_id, pos_news)),
      (SELECT avg(abs(s_hat - s)) AS mae FROM pred),
      (SELECT avg(greatest(s_mean * s_c * y, 0.0)) AS div_loss FROM dv)""",
-                                       extra=_floyd() + TRAIN_ROWS_SQL + [DIV_SQL, _pred_sql()]))
+                                       H=MAX_HISTORY, extra=_floyd() + TRAIN_ROWS_SQL + [DIV_SQL, _pred_sql()]))
 def f11_loss_report(spark, d):
     return finish(L.loss_report(_div_rows(spark, d), _pred(spark, d), 0.4, 10.0))
 
@@ -204,14 +204,14 @@ SELECT news_id FROM fx_history WHERE imp_id IN (SELECT imp_id FROM fx_impression
 UNION SELECT news_id FROM fx_candidates WHERE imp_id IN (SELECT imp_id FROM fx_impressions WHERE split = 'test')"""))
 def u1_union_ids(spark, d):
     test = fx.impressions(spark, d).where(fx.is_split("test")).select("imp_id")
-    return finish(R.union_ids(fx.history(spark, d, H).join(test, "imp_id"), fx.candidates(spark, d).join(test, "imp_id")))
+    return finish(R.union_ids(fx.history(spark, d).join(test, "imp_id"), fx.candidates(spark, d).join(test, "imp_id")))
 
 
 @query("u2_dedupe_list", with_views(["fx_candidates", "fx_history"], """
 SELECT imp_id, CAST(count(DISTINCT news_id) AS BIGINT) AS n_distinct FROM (
   SELECT imp_id, news_id FROM fx_history UNION ALL SELECT imp_id, news_id FROM fx_candidates) GROUP BY imp_id"""))
 def u2_dedupe_list(spark, d):
-    h = fx.history(spark, d, H).groupBy("imp_id").agg(F.collect_list("news_id").alias("h"))
+    h = fx.history(spark, d).groupBy("imp_id").agg(F.collect_list("news_id").alias("h"))
     c = fx.candidates(spark, d).groupBy("imp_id").agg(F.collect_list("news_id").alias("c"))
     j = c.join(h, "imp_id", "left").select(
         "imp_id", F.size(R.dedupe_list(F.concat("c", F.coalesce("h", F.array().cast("array<bigint>"))))).alias("n_distinct"))
@@ -222,7 +222,7 @@ def u2_dedupe_list(spark, d):
 SELECT DISTINCT token AS key FROM art_tokens WHERE so = 1
 EXCEPT SELECT DISTINCT token FROM art_tokens WHERE so = 0""", extra=[
     """art_tokens AS (
-  SELECT CASE WHEN split = 'train' THEN 0 ELSE 1 END AS so, unnest(regexp_extract_all(lower(trim(abstract)), '[a-z]+')) AS token
+  SELECT CASE WHEN split = 'train' THEN 0 ELSE 1 END AS so, unnest(regexp_extract_all(lower(trim(abstract)), '@TOKEN@')) AS token
   FROM fx_articles)"""]))
 def u3_new_keys(spark, d):
     a = fx.articles(spark, d)
@@ -289,6 +289,6 @@ UNION ALL SELECT 'c_news_id', 'array<bigint>', min(c), max(c) FROM (SELECT imp_i
 UNION ALL SELECT 'labels', 'array<bigint>', min(c), max(c) FROM (SELECT imp_id, count(*) AS c FROM fx_candidates GROUP BY imp_id)"""))
 def s14_batch_profile(spark, d):
     from impressa.operators.joins import impression_view
-    v = impression_view(fx.candidates(spark, d), fx.history(spark, d, H), fx.news(spark, d), ["news_id"], 10)
+    v = impression_view(fx.candidates(spark, d), fx.history(spark, d), fx.news(spark, d), ["news_id"], 10)
     prof = RP.batch_profile(v.select("imp_id", "h_news_id", "history_len", "c_news_id", "labels"))
     return prof.select("column", "type", "min_len", "max_len")

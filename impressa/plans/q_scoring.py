@@ -13,7 +13,7 @@ from impressa.plans.registry import query
 from impressa.sources import fixtures as fx
 from impressa.sources.fixtures import with_views
 
-H = 50
+H = 50  # history items a user vector is made of
 DIM = 64
 ATT = 4
 
@@ -29,6 +29,10 @@ W_PRED = _rng.normal(0, 0.2, DIM).round(4)
 B_PRED = 0.05
 
 
+def _views(views, body, extra=None):
+    return with_views(views, body, H, extra)
+
+
 def _dl(v) -> str:
     return "CAST([" + ", ".join(repr(float(x)) for x in v) + "] AS DOUBLE[])"
 
@@ -53,10 +57,10 @@ HIST_ITEMS_SQL = """hist_items AS (SELECT h.imp_id, v.vec FROM fx_history h JOIN
 
 
 def _user_vecs(spark, d, weighted=True):
-    hist = fx.history(spark, d, H)
+    hist = fx.history(spark, d)
     if weighted:
-        return B.user_vectors(hist, fx.vectors(spark, d), W_ATT, B_ATT, Q_ATT)
-    return B.user_vectors(hist, fx.vectors(spark, d))
+        return B.user_vectors(hist, fx.vectors(spark, d), W_ATT, B_ATT, Q_ATT, max_history=H)
+    return B.user_vectors(hist, fx.vectors(spark, d), max_history=H)
 
 
 def _vec_summary(col):
@@ -67,15 +71,14 @@ def _vec_summary(col):
 VEC_SUM_SQL = "round(list_sum(CAST({c} AS DOUBLE[])), 6) AS vec_sum, round(CAST({c}[1] AS DOUBLE), 6) AS v1"
 
 
-@query("b1_embed_tokens", with_views(["fx_bench_tokens"], f"""
+@query("b1_embed_tokens", _views(["fx_bench_tokens", "fx_word_vectors"], f"""
 SELECT b.item_id, b.tpos, CAST(v.idx AS BIGINT) AS idx, {VEC_SUM_SQL.format(c='w.vec')}
 FROM bench_tok b JOIN vocab v ON v.key = b.token JOIN weights w ON w.idx = v.idx""",
                                      extra=["""bench_tok AS (
-  SELECT item_id, unnest(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS token,
-         generate_subscripts(regexp_extract_all(lower(trim(text)), '[a-z]+'), 1) - 1 AS tpos FROM benchmark)""",
+  SELECT item_id, unnest(regexp_extract_all(lower(trim(text)), '@TOKEN@')) AS token,
+         generate_subscripts(regexp_extract_all(lower(trim(text)), '@TOKEN@'), 1) - 1 AS tpos FROM benchmark)""",
                                             """vocab AS (SELECT token AS key, ROW_NUMBER() OVER (ORDER BY token) AS idx FROM fx_bench_tokens)""",
-                                            """weights AS (SELECT v.idx, e.embedding AS vec FROM vocab v
-  JOIN embeddings e ON e.vec_id = CAST(('0x' || substr(md5(v.key), 1, 8)) AS BIGINT) % (SELECT count(*) FROM embeddings))"""]))
+                                            """weights AS (SELECT v.idx, w.vec FROM vocab v JOIN fx_word_vectors w ON w.token = v.key)"""]))
 def b1_embed_tokens(spark, d):
     b = fx.table(spark, d, "benchmark")
     vocab = V.sorted_ids(b.select(F.explode(B_tokens("text")).alias("key")))
@@ -90,7 +93,7 @@ def B_tokens(c):
     return tokenize(c)
 
 
-@query("b2_attention_pool_history", with_views(["fx_history", "fx_vectors"], f"""
+@query("b2_attention_pool_history", _views(["fx_history", "fx_vectors"], f"""
 SELECT imp_id, {VEC_SUM_SQL.format(c='user_vec')} FROM uv""",
                                                extra=[HIST_ITEMS_SQL] + _pool_sql("uv", "hist_items", "imp_id",
                                                                                   _logit_sql("vec"), "user_vec")))
@@ -98,32 +101,37 @@ def b2_attention_pool_history(spark, d):
     return finish(_user_vecs(spark, d).select("imp_id", *_vec_summary(F.col("user_vec"))))
 
 
+MAX_TEXT = 50
+
+
 def _b3_sql():
     parts = [f"tanh(list_dot_product(v, {_dl(W_ATT[a])}))" for a in range(ATT)]
-    return with_views(["fx_articles", "fx_word_vectors"], f"""
+    return _views(["fx_articles", "fx_word_vectors"], f"""
 SELECT news_id, round({" + ".join(parts)}, 6) AS vec_sum, round({parts[0]}, 6) AS v1 FROM (
   SELECT news_id, list(x ORDER BY d) AS v FROM (
     SELECT news_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS x FROM tv, generate_series(1, len(vec)) AS t(d) GROUP BY news_id, d)
-  GROUP BY news_id)""", extra=["""tv AS (
-  SELECT t.news_id, w.vec FROM (SELECT news_id, unnest(regexp_extract_all(lower(trim(abstract)), '[a-z]+')) AS token
-                                FROM fx_articles) t
-  JOIN fx_word_vectors w USING (token))"""])
+  GROUP BY news_id)""", extra=[f"""tv AS (
+  SELECT news_id, vec FROM (
+    SELECT t.news_id, w.vec, ROW_NUMBER() OVER (PARTITION BY t.news_id ORDER BY t.tpos) AS rn FROM (
+      SELECT news_id, unnest(regexp_extract_all(lower(trim(abstract)), '@TOKEN@')) AS token,
+             generate_subscripts(regexp_extract_all(lower(trim(abstract)), '@TOKEN@'), 1) AS tpos FROM fx_articles) t
+    JOIN fx_word_vectors w USING (token)) WHERE rn <= {MAX_TEXT})"""])
 
 
 @query("b3_encode_catalogue", _b3_sql())
 def b3_encode_catalogue(spark, d):
-    """B3 with a caller kernel (tanh of a projected mean) over the tokens of every abstract."""
+    """B3 with a caller kernel (tanh of a projected mean) over the first known tokens of every abstract."""
     w = W_ATT.T  # (64, 4)
 
-    def kernel(mat):
-        return np.tanh(mat.mean(axis=0) @ w)
+    def kernel(batch, mask):
+        return np.tanh(batch.sum(axis=1) / mask.sum(axis=1)[:, None] @ w)
 
     arts = fx.articles(spark, d)
     vec = fx.word_vectors(spark, d)
     w2i = V.word_ids(arts, vec, ["row_key"])
     weights = V.gather_vectors(w2i, vec)
     toks = V.tokens_long(arts, "news_id", "abstract").join(w2i.withColumnRenamed("key", "token"), "token")
-    enc = B.encode_catalogue(toks.select("news_id", "tpos", "idx"), weights, kernel, ATT)
+    enc = B.encode_catalogue(toks.select("news_id", "tpos", "idx"), weights, kernel, ATT, max_len=MAX_TEXT)
     return finish(enc.select("news_id", *_vec_summary(F.col("vec"))))
 
 
@@ -145,7 +153,7 @@ def _relu_lin_sql(x, w, b):
                            for a in range(len(b))) + "]"
 
 
-@query("b4_category_vectors", with_views(["fx_news"], f"""
+@query("b4_category_vectors", _views(["fx_news"], f"""
 SELECT category, {VEC_SUM_SQL.format(c='v')} FROM (SELECT category, {_relu_lin_sql('vec', W_CAT, B_CAT)} AS v FROM cat_emb)""",
                                          extra=[CAT_EMB_SQL]))
 def b4_category_vectors(spark, d):
@@ -153,7 +161,7 @@ def b4_category_vectors(spark, d):
     return finish(cv.select("category", *_vec_summary(F.col("vec"))))
 
 
-@query("b5_fuse_views", with_views(["fx_news", "fx_vectors"], f"""
+@query("b5_fuse_views", _views(["fx_news", "fx_vectors"], f"""
 SELECT news_id, {VEC_SUM_SQL.format(c='vec')} FROM fused""",
                                    extra=[CAT_EMB_SQL.replace("cat_emb AS", "cat_emb0 AS"),
                                           CAT_EMB_SQL.replace("cat_emb AS", "sub_emb0 AS").replace("category", "subcategory"),
@@ -172,7 +180,7 @@ def b5_fuse_views(spark, d):
     return finish(fused.select("news_id", *_vec_summary(F.col("vec"))))
 
 
-@query("b6_sentiment_aware_vectors", with_views(["fx_news", "fx_vectors"], f"""
+@query("b6_sentiment_aware_vectors", _views(["fx_news", "fx_vectors"], f"""
 SELECT news_id, {VEC_SUM_SQL.format(c='v')} FROM (
   SELECT v.news_id, [{", ".join(f"list_dot_product(list_concat(CAST(v.vec AS DOUBLE[]), [n.senti_a]), {_dl(W_SENT[a])})" for a in range(ATT))}] AS v
   FROM fx_vectors v JOIN fx_news n USING (news_id))"""))
@@ -182,13 +190,13 @@ def b6_sentiment_aware_vectors(spark, d):
     return finish(out.select("news_id", *_vec_summary(F.col("vec"))))
 
 
-@query("b7_predict_sentiment", with_views(["fx_vectors"], f"""
+@query("b7_predict_sentiment", _views(["fx_vectors"], f"""
 SELECT news_id, round(list_dot_product(CAST(vec AS DOUBLE[]), {_dl(W_PRED)}) + {B_PRED}, 6) AS s_hat FROM fx_vectors"""))
 def b7_predict_sentiment(spark, d):
     return finish(B.predict_sentiment(fx.vectors(spark, d), W_PRED, B_PRED).select("news_id", "s_hat"))
 
 
-@query("b8_mean_user_vectors", with_views(["fx_history", "fx_vectors"], f"""
+@query("b8_mean_user_vectors", _views(["fx_history", "fx_vectors"], f"""
 SELECT imp_id, {VEC_SUM_SQL.format(c='user_vec')} FROM (
   SELECT imp_id, list(v ORDER BY d) AS user_vec FROM (
     SELECT imp_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS v FROM hist_items, generate_series(1, len(vec)) AS t(d) GROUP BY imp_id, d)
@@ -197,7 +205,7 @@ def b8_mean_user_vectors(spark, d):
     return finish(_user_vecs(spark, d, weighted=False).select("imp_id", *_vec_summary(F.col("user_vec"))))
 
 
-@query("b9_long_term_users", with_views(["fx_impressions", "fx_history", "fx_vectors"], f"""
+@query("b9_long_term_users", _views(["fx_impressions", "fx_history", "fx_vectors"], f"""
 SELECT i.imp_id, CAST(128 AS BIGINT) AS dims,
        round(coalesce(list_sum(CAST(e.embedding AS DOUBLE[])), 0) + coalesce(list_sum(r.user_vec), 0), 6) AS vec_sum
 FROM fx_impressions i LEFT JOIN embeddings e ON e.vec_id = i.user_id % (SELECT count(*) FROM embeddings) AND i.user_id % 3 <> 0
@@ -216,7 +224,7 @@ def b9_long_term_users(spark, d):
                              F.aggregate("user_vec", F.lit(0.0), lambda a, x: a + x).alias("vec_sum")))
 
 
-@query("b10_score_candidates", with_views(["fx_candidates", "fx_history", "fx_vectors"], """
+@query("b10_score_candidates", _views(["fx_candidates", "fx_history", "fx_vectors"], """
 SELECT c.imp_id, c.pos, round(coalesce(list_dot_product(CAST(v.vec AS DOUBLE[]), u.user_vec), 0.0), 6) AS score
 FROM fx_candidates c LEFT JOIN fx_vectors v USING (news_id) LEFT JOIN uv u USING (imp_id)""",
                                           extra=[HIST_ITEMS_SQL] + _pool_sql("uv", "hist_items", "imp_id",
@@ -226,7 +234,7 @@ def b10_score_candidates(spark, d):
     return finish(s.select("imp_id", "pos", "score"))
 
 
-@query("b10_dot_product_pairs", with_views(["fx_vectors"], """
+@query("b10_dot_product_pairs", _views(["fx_vectors"], """
 SELECT a.news_id, round(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS dot
 FROM fx_vectors a JOIN embeddings e ON e.vec_id = (7 * a.news_id) % (SELECT count(*) FROM embeddings)"""))
 def b10_dot_product_pairs(spark, d):
@@ -236,38 +244,114 @@ def b10_dot_product_pairs(spark, d):
     return finish(j.select("news_id", dot("vec", "other").alias("dot")))
 
 
-@query("b11_adhoc_scores", with_views(["fx_word_vectors"], """
-SELECT c.item_id, round(list_dot_product(c.v, h.v), 6) AS score FROM
-  (SELECT item_id, list(x ORDER BY d) AS v FROM (
-     SELECT item_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS x FROM tv, generate_series(1, len(vec)) AS t(d)
-     WHERE item_id % 2 = 0 GROUP BY item_id, d) GROUP BY item_id) c,
-  (SELECT list(x ORDER BY d) AS v FROM (
-     SELECT d, AVG(CAST(vec[d] AS DOUBLE)) AS x FROM tv, generate_series(1, len(vec)) AS t(d) WHERE item_id % 2 = 1 GROUP BY d)) h""",
-                                      extra=["""tv AS (
-  SELECT b.item_id, w.vec FROM (SELECT item_id, unnest(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS token FROM benchmark) b
-  JOIN fx_word_vectors w USING (token))"""]))
+READERS = 4
+READER_SQL = f"(item_id // 2) % {READERS}"
+
+
+@query("b11_adhoc_scores", _views(["fx_word_vectors"], """
+SELECT c.item_id, round(list_dot_product(c.vec, r.user_vec), 6) AS score
+FROM iv c JOIN rv r ON r.reader = """ + READER_SQL.replace("item_id", "c.item_id") + " WHERE c.item_id % 2 = 0",
+                                  extra=["""tv AS (
+  SELECT b.item_id, w.vec FROM (SELECT item_id, unnest(regexp_extract_all(lower(trim(text)), '@TOKEN@')) AS token FROM benchmark) b
+  JOIN fx_word_vectors w USING (token))"""] + _pool_sql("iv", "tv", "item_id", _logit_sql("vec"), "vec")
+                                  + [f"hv AS (SELECT {READER_SQL} AS reader, vec FROM iv WHERE item_id % 2 = 1)"]
+                                  + _pool_sql("rv", "hv", "reader", _logit_sql("vec"), "user_vec")))
 def b11_adhoc_scores(spark, d):
-    """Ad-hoc texts: even benchmark items are candidates, odd ones one reader's history."""
+    """Ad-hoc texts, encoded with an existing dictionary and pooled by attention: odd benchmark items
+    are the histories of a few readers, even ones their candidates."""
     b = fx.table(spark, d, "benchmark")
-    toks = V.tokens_long(b, "item_id", "text").join(fx.word_vectors(spark, d), "token")
-    cand = B.mean_pool(toks.where(F.col("item_id") % 2 == 0), "item_id", "vec", "vec")
-    hist = B.mean_pool(toks.where(F.col("item_id") % 2 == 1).withColumn("g", F.lit(0)), "g", "vec", "user_vec")
-    from impressa.operators.report import scalar
-    reader = scalar(hist.select("user_vec"))  # the one reader's vector (64 numbers)
-    return finish(cand.select("item_id", dot("vec", F.array(*[F.lit(float(x)) for x in reader])).alias("score")))
+    vec = fx.word_vectors(spark, d)
+    w2i = V.sorted_ids(vec.select(F.col("token").alias("key")))
+    ids = V.encode_batch(b, w2i, "item_id", "text", on_missing="drop")
+    toks = ids.select("item_id", F.posexplode("ids").alias("tpos", "idx")).where(F.col("idx") != 0)
+    vecs = B.embed_tokens(toks, V.gather_vectors(w2i, vec))
+    items = B.attention_pool(vecs, "item_id", "vec", W_ATT, B_ATT, Q_ATT) \
+        .withColumn("reader", F.floor(F.col("item_id") / 2) % READERS)
+    readers = B.attention_pool(items.where(F.col("item_id") % 2 == 1), "reader", "vec", W_ATT, B_ATT, Q_ATT, out="user_vec")
+    out = items.where(F.col("item_id") % 2 == 0).join(readers, "reader")
+    return finish(out.select("item_id", dot("vec", "user_vec").alias("score")))
+
+
+# A click model's weights, for scoring that does not depend on a fit.
+CLICK_WEIGHTS = {"npmi": 1.5, "dot": 0.02, "topic_overlap": 0.4, "senti_a": -0.3}
+CLICK_BIAS = -1.0
+
+
+def _click_rows(spark, d):
+    """D1 rows, one per slot, with the features of the click model."""
+    from impressa.operators import cooccur as C
+    from impressa.operators import parse as P
+    from impressa.operators import sample as D
+    from impressa.operators import metrics as M
+    from impressa.operators.skew import lookup_join
+    from impressa.session import cut_lineage
+    cands = cut_lineage(fx.candidates(spark, d))
+    imps = cut_lineage(fx.impressions(spark, d, cands))
+    hist = fx.history(spark, d, imps, cands)
+    news = fx.news(spark, d)
+    rows = D.training_rows(D.negative_draw(P.candidate_lines(cands), 4, 1234), 4)
+    slots = rows.select("imp_id", "click_pos", F.posexplode("candidates").alias("slot", "news_id")) \
+        .withColumn("pos", F.col("click_pos") * 10 + F.col("slot"))
+    train = imps.where(fx.is_split("train"))
+    table = cut_lineage(C.learn_npmi(hist.join(train.select("imp_id"), "imp_id"), train, catalogue=news))
+    x = C.max_npmi_scores(slots, hist, table).withColumnRenamed("score", "npmi")
+    users = B.user_vectors(hist, fx.vectors(spark, d), max_history=H)
+    x = B.score_candidates(x, fx.vectors(spark, d), users).withColumnRenamed("score", "dot")
+    x = lookup_join(x, news.select("news_id", "senti_a", M.topic_array(news).alias("_t")), ["news_id"])
+    counts = M.history_topic_counts(hist, news, H)
+    shared = x.select("imp_id", "pos", F.explode("_t").alias("topic")).join(counts, ["imp_id", "topic"]) \
+        .groupBy("imp_id", "pos").agg(F.sum("cnt").alias("topic_overlap"))
+    x = x.join(shared, ["imp_id", "pos"], "left").withColumn("topic_overlap", F.coalesce("topic_overlap", F.lit(0.0)))
+    return x.join(imps.select("imp_id", "split"), "imp_id").withColumn("label", (F.col("slot") == 0).cast("int")) \
+        .select("imp_id", "click_pos", "slot", "news_id", "split", "label", *CLICK_WEIGHTS)
+
+
+def _click_sql():
+    from impressa.plans.q_cooccur import NPMI_SQL
+    from impressa.plans.q_prepare import _floyd_sql
+    ctes = [*_floyd_sql(), """slots AS (
+  SELECT DISTINCT imp_id, click_pos, 0 AS slot, pos_news AS news_id FROM draws
+  UNION ALL SELECT imp_id, click_pos, draw, neg_news FROM draws)""", *NPMI_SQL[:5], """hd AS (SELECT DISTINCT imp_id, news_id FROM fx_history)""",
+            """best AS (SELECT s.imp_id, s.click_pos, s.slot, max(n.npmi) AS npmi FROM slots s JOIN hd h USING (imp_id)
+  JOIN npmi n ON n.i = least(s.news_id, h.news_id) AND n.j = greatest(s.news_id, h.news_id) GROUP BY 1, 2, 3)""",
+            f"""hist_items AS (SELECT h.imp_id, v.vec FROM fx_history h JOIN fx_vectors v USING (news_id) WHERE h.hpos <= {H})""",
+            """um AS (SELECT imp_id, list(v ORDER BY d) AS user_vec FROM (
+    SELECT imp_id, d, AVG(CAST(vec[d] AS DOUBLE)) AS v FROM hist_items, generate_series(1, len(vec)) AS t(d) GROUP BY imp_id, d)
+  GROUP BY imp_id)""",
+            "nt AS (SELECT news_id, unnest(list_distinct([category, subcategory])) AS topic FROM fx_news)",
+            f"""tc AS (SELECT h.imp_id, t.topic, count(*) AS cnt FROM fx_history h JOIN nt t USING (news_id) WHERE h.hpos <= {H} GROUP BY 1, 2)""",
+            """ov AS (SELECT s.imp_id, s.click_pos, s.slot, SUM(tc.cnt) AS topic_overlap FROM slots s JOIN nt t USING (news_id)
+  JOIN tc ON tc.imp_id = s.imp_id AND tc.topic = t.topic GROUP BY 1, 2, 3)""",
+            """feat AS (
+  SELECT s.imp_id, s.click_pos, s.slot, s.news_id, coalesce(b.npmi, 0.0) AS npmi,
+         coalesce(list_dot_product(CAST(v.vec AS DOUBLE[]), u.user_vec), 0.0) AS dot,
+         CAST(coalesce(o.topic_overlap, 0) AS DOUBLE) AS topic_overlap, n.senti_a
+  FROM slots s LEFT JOIN best b USING (imp_id, click_pos, slot) JOIN fx_news n USING (news_id) LEFT JOIN fx_vectors v USING (news_id)
+  LEFT JOIN um u USING (imp_id) LEFT JOIN ov o USING (imp_id, click_pos, slot))"""]
+    logit = " + ".join(f"({w!r}) * {c}" for c, w in CLICK_WEIGHTS.items())
+    return with_views(["fx_impressions", "fx_candidates", "fx_history", "fx_news", "fx_vectors"], f"""
+SELECT imp_id, click_pos, slot, news_id, round(npmi, 6) AS npmi, round(dot, 6) AS dot, topic_overlap, round(senti_a, 6) AS senti_a,
+       round(1.0 / (1.0 + exp(-({logit} + ({CLICK_BIAS!r})))), 6) AS score FROM feat""", extra=ctes)
+
+
+@query("b12_click_scores", _click_sql())
+def b12_click_scores(spark, d):
+    """B12 with fixed weights: the features of every D1 slot and its click probability."""
+    x = _click_rows(spark, d)
+    logit = sum((F.col(c) * F.lit(w) for c, w in CLICK_WEIGHTS.items()), F.lit(CLICK_BIAS))
+    return finish(x.select("imp_id", "click_pos", F.col("slot").cast("long").alias("slot"), "news_id", *CLICK_WEIGHTS,
+                           (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("score")))
 
 
 @query("b12_click_model")
 def b12_click_model(spark, d):
-    """Logistic click model on (dot score, sentiments) fit on train-period candidates,
-    evaluated on test-period impressions."""
+    """Logistic click model fit on the train-period D1 rows, evaluated on the test-period ones,
+    each row a click among its drawn non-clicks."""
     from impressa.operators import metrics as M
-    cands = fx.candidates(spark, d).join(fx.impressions(spark, d).select("imp_id", "split"), "imp_id")
-    s = B.score_candidates(cands, fx.vectors(spark, d), _user_vecs(spark, d, weighted=False))
-    s = s.withColumnRenamed("score", "dot").join(fx.news(spark, d).select("news_id", "senti_a", "senti_b"),
-                                                 "news_id", "left")
-    va, model = B.fit_click_model(s.where(F.col("split") == "train"), ["dot", "senti_a", "senti_b"])
+    s = _click_rows(spark, d)
+    va, model = B.fit_click_model(s.where(F.col("split") == "train"), list(CLICK_WEIGHTS))
     scored = B.apply_click_model(s.where(F.col("split") == "test"), va, model)
-    per = M.performance(scored, ks=(5, 10))
+    row = F.concat_ws("|", "imp_id", "click_pos")
+    per = M.performance(scored.select(row.alias("imp_id"), F.col("slot").alias("pos"), "news_id", "label", "score"), ks=(5, 10))
     per = per.select("imp_id", "auc", "mrr", F.col("`ndcg@5`").alias("ndcg_at_5"))
     return finish(M.summarize(per, ["auc", "mrr", "ndcg_at_5"]))

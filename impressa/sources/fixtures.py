@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from impressa.functions.scalar import hash_int32, signed_sentiment
-from impressa.functions.text import tokenize
+from impressa.functions.text import DEFAULT_TOKEN_PATTERN, tokenize
 from impressa.operators.skew import skew_join
 from impressa.session import cut_lineage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-# The fixture's split date and the default history length.
+# Fixed value: the fixture's split date.
 SPLIT_DATE = "2000-01-01"
-DEFAULT_MAX_HISTORY = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,51 +62,28 @@ def is_split(name: str, time: str = "time"):
     return (F.col(time) >= cut) | F.col(time).isNull()
 
 
-_MATERIALIZED: dict = {}
+def history(spark, sf_dir, imps: DataFrame | None = None, cands: DataFrame | None = None,
+            materialize: bool = True) -> DataFrame:
+    """(imp_id, hpos, news_id): all the user's clicks in strictly earlier dated orders, oldest
+    first.  Nothing is cut here; operators that keep a part of it take the length as parameter.
 
-
-def clear_cache() -> None:
-    """Forget materialized fixture views (the checkpoint files stay in the shared folder)."""
-    _MATERIALIZED.clear()
-
-
-def history(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY, imps: DataFrame | None = None,
-            cands: DataFrame | None = None, materialize: bool = True) -> DataFrame:
-    if materialize and imps is None and cands is None:
-        key = (spark.sparkContext.applicationId, sf_dir, max_history)
-        if key not in _MATERIALIZED:
-            _MATERIALIZED[key] = _history(spark, sf_dir, max_history, None, None, True)
-        return _MATERIALIZED[key]
-    return _history(spark, sf_dir, max_history, imps, cands, materialize)
-
-
-def _history(spark, sf_dir, max_history, imps, cands, materialize) -> DataFrame:
-    """(imp_id, hpos, news_id): the user's clicks in strictly earlier dated orders, first
-    ``max_history`` of them kept (the reference keeps the *first* items, Q2).
-
-    Because the earlier-dated clicks are a prefix of the user's click sequence, only the user's
-    first ``max_history`` clicks can ever appear; a per-user top-k (partially evaluated before
-    the shuffle) finds them, and the join to impressions salts hot users.
-    """
+    Clicks are joined to the user's impressions (a hot user is split by the skew-aware join) and
+    numbered inside one impression, whose history is one log line."""
     cands = cands if cands is not None else candidates(spark, sf_dir)
     imps = imps if imps is not None else impressions(spark, sf_dir, cands)
-    clicks = (cands.where(F.col("label") == 1).select("imp_id", "news_id")
-              .join(imps.select("imp_id", "user_id", F.col("time").alias("click_time")), "imp_id"))
-    w = Window.partitionBy("user_id").orderBy("click_time", "imp_id", "news_id")
-    first = (clicks.withColumn("hpos", F.row_number().over(w))
-             .where(F.col("hpos") <= max_history)
-             .select("user_id", "click_time", F.col("hpos").cast("long").alias("hpos"), "news_id"))
-    joined = skew_join(imps.select("imp_id", "user_id", "time"), first, ["user_id"],
+    clicks = (cands.where(F.col("label") == 1).select(F.col("imp_id").alias("click_imp"), "news_id")
+              .join(imps.select(F.col("imp_id").alias("click_imp"), "user_id", F.col("time").alias("click_time")),
+                    "click_imp"))
+    joined = skew_join(imps.select("imp_id", "user_id", "time"), clicks, ["user_id"],
                        condition=F.col("click_time") < F.col("time"))
-    out = joined.select("imp_id", "hpos", "news_id")
-    if not materialize:
-        return out
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = Window.partitionBy("imp_id").orderBy("click_time", "click_imp", "news_id")
+    out = (joined.select("imp_id", "click_time", "click_imp", "news_id").repartition(n, "imp_id")
+           .withColumn("hpos", F.row_number().over(w).cast("long")).select("imp_id", "hpos", "news_id"))
     # The history feeds several branches of most plans; Spark does not share sub-plans whose
     # column pruning differs, so it is written once to the shared checkpoint folder, hash
-    # partitioned by impression: every later use groups or joins by impression, so the
-    # checkpoint's partitioning is reused instead of shuffled again.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(out.repartition(n, "imp_id"))
+    # partitioned by impression, which later groupings and joins by impression reuse.
+    return cut_lineage(out) if materialize else out
 
 
 def news(spark, sf_dir) -> DataFrame:
@@ -143,18 +119,16 @@ def docs(spark, sf_dir) -> DataFrame:
 
 
 def articles(spark, sf_dir) -> DataFrame:
-    """Raw news catalogue rows (news_id, category, subcategory, title, abstract, split):
-    parts with their name as title and document ``p % count(documents)`` as abstract."""
+    """Raw news catalogue rows (news_id, category, subcategory, title, abstract, split, row_key,
+    senti_a, senti_b): parts with their name as title and document ``p % count(documents)`` as
+    abstract."""
     d = table(spark, sf_dir, "documents")
     n = _count(d)
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name") \
-        .withColumn("doc_id", F.pmod(F.col("p_partkey"), F.lit(n)))
+    p = news(spark, sf_dir).withColumn("doc_id", F.pmod(F.col("news_id"), F.lit(n)))
     return p.join(d.select("doc_id", "text"), "doc_id").select(
-        F.concat(F.lit("N"), F.col("p_partkey").cast("string")).alias("news_id"),
-        F.col("p_brand").alias("category"), F.col("p_type").alias("subcategory"),
-        F.col("p_name").alias("title"), F.col("text").alias("abstract"),
-        F.when(F.col("p_partkey") % 2 == 0, "train").otherwise("test").alias("split"),
-        F.col("p_partkey").alias("row_key"))
+        F.concat(F.lit("N"), F.col("news_id").cast("string")).alias("news_id"), "category", "subcategory", "title",
+        F.col("text").alias("abstract"), F.when(F.col("news_id") % 2 == 0, "train").otherwise("test").alias("split"),
+        F.col("news_id").alias("row_key"), "senti_a", "senti_b")
 
 
 def exposures(spark, sf_dir) -> DataFrame:
@@ -165,12 +139,14 @@ def exposures(spark, sf_dir) -> DataFrame:
 
 
 def word_vectors(spark, sf_dir) -> DataFrame:
-    """(token, vec): the word-vector table, over the distinct tokens of ``benchmark``;
-    token t gets embedding row hash(t) % count(embeddings)."""
+    """(token, vec): the word-vector table, over nine in ten (by hash) of the distinct tokens of
+    ``documents`` and ``benchmark``; token t gets embedding row hash(t) % count(embeddings)."""
     e = table(spark, sf_dir, "embeddings")
     n = _count(e)
-    toks = (table(spark, sf_dir, "benchmark").select(F.explode(tokenize("text")).alias("token"))
-            .distinct().withColumn("vec_id", F.pmod(hash_int32("token"), F.lit(n))))
+    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+    h = hash_int32("token")
+    toks = (texts.select(F.explode(tokenize("text")).alias("token")).distinct()
+            .withColumn("_h", h).where(F.pmod("_h", F.lit(10)) != 0).withColumn("vec_id", F.pmod("_h", F.lit(n))))
     return toks.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("token", "vec")
 
 
@@ -181,28 +157,31 @@ def lexicon(spark, sf_dir) -> DataFrame:
             .where(F.col("valence") != 0))
 
 
-def raw_behaviors(spark, sf_dir, max_history: int = DEFAULT_MAX_HISTORY) -> DataFrame:
-    """fx_raw: the views rendered back to log strings (imp_id, user_id, time, history, impressions)."""
+def raw_behaviors(spark, sf_dir, with_history: bool = True) -> DataFrame:
+    """fx_raw: the views rendered back to log strings (imp_id, user_id, time, history, impressions,
+    split).  A reader that does not look at the history leaves it out, and it is not built."""
     cands = candidates(spark, sf_dir)
     imps = impressions(spark, sf_dir, cands)
-    hist = history(spark, sf_dir, max_history)
-    hs = (hist.groupBy("imp_id")
-          .agg(F.array_sort(F.collect_list(F.struct("hpos", "news_id"))).alias("h"))
-          .select("imp_id", F.array_join(F.transform("h", lambda x: F.concat(F.lit("N"), x["news_id"].cast("string"))),
-                                         " ").alias("history")))
     cs = (cands.groupBy("imp_id")
           .agg(F.array_sort(F.collect_list(F.struct("pos", "news_id", "label"))).alias("c"))
           .select("imp_id", F.array_join(F.transform("c", lambda x: F.concat(
               F.lit("N"), x["news_id"].cast("string"), F.lit("-"), x["label"].cast("string"))), " ")
               .alias("impressions")))
+    user = F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id")
+    time = F.date_format("time", "M/d/yyyy h:mm:ss a").alias("time")
+    if not with_history:
+        return imps.join(cs, "imp_id").select("imp_id", user, time, "impressions", "split")
+    hist = history(spark, sf_dir)
+    hs = (hist.groupBy("imp_id")
+          .agg(F.array_sort(F.collect_list(F.struct("hpos", "news_id"))).alias("h"))
+          .select("imp_id", F.array_join(F.transform("h", lambda x: F.concat(F.lit("N"), x["news_id"].cast("string"))),
+                                         " ").alias("history")))
     return (imps.join(hs, "imp_id", "left").join(cs, "imp_id")
-            .select("imp_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
-                    F.date_format("time", "M/d/yyyy h:mm:ss a").alias("time"),
-                    F.coalesce("history", F.lit("")).alias("history"), "impressions", "split"))
+            .select("imp_id", user, time, F.coalesce("history", F.lit("")).alias("history"), "impressions", "split"))
 
 
 # ---------------------------------------------------------------------------------------------
-# DuckDB text of the same views (the oracle side).  ``{H}`` is the history length.
+# DuckDB text of the same views (the oracle side).
 
 SQL = {
     "fx_candidates": """fx_candidates AS (
@@ -220,7 +199,7 @@ SQL = {
   FROM fx_candidates c JOIN fx_impressions i ON i.imp_id = c.imp_id WHERE c.label = 1)""",
     "fx_history": """fx_history AS (
   SELECT i.imp_id, k.hpos, k.news_id FROM fx_impressions i
-  JOIN fx_clicks k ON k.user_id = i.user_id AND k.click_time < i.time WHERE k.hpos <= {H})""",
+  JOIN fx_clicks k ON k.user_id = i.user_id AND k.click_time < i.time WHERE {H})""",
     "fx_news": """fx_news AS (
   SELECT p_partkey AS news_id, p_brand AS category, p_type AS subcategory, p_name AS title,
          (p_retailprice - 950.0) / 50.0 AS senti_a,
@@ -232,18 +211,22 @@ SQL = {
   JOIN embeddings e ON e.vec_id = p.p_partkey % (SELECT count(*) FROM embeddings))""",
     "fx_docs": """fx_docs AS (
   SELECT doc_id AS news_id, lang AS category, source AS subcategory, text FROM documents)""",
-    "fx_articles": """fx_articles AS (
-  SELECT 'N' || CAST(p.p_partkey AS VARCHAR) AS news_id, p.p_brand AS category, p.p_type AS subcategory,
-         p.p_name AS title, d.text AS abstract,
-         CASE WHEN p.p_partkey % 2 = 0 THEN 'train' ELSE 'test' END AS split, p.p_partkey AS row_key
-  FROM part p JOIN documents d ON d.doc_id = p.p_partkey % (SELECT count(*) FROM documents))""",
+    "fx_articles": """fx_articles AS MATERIALIZED (
+  SELECT 'N' || CAST(p.news_id AS VARCHAR) AS news_id, p.category, p.subcategory,
+         p.title, d.text AS abstract,
+         CASE WHEN p.news_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, p.news_id AS row_key, p.senti_a, p.senti_b
+  FROM fx_news p JOIN documents d ON d.doc_id = p.news_id % (SELECT count(*) FROM documents))""",
     "fx_exposures": """fx_exposures AS (
   SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS news_id, ts AS time FROM events)""",
     "fx_bench_tokens": """fx_bench_tokens AS (
-  SELECT DISTINCT unnest(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS token FROM benchmark)""",
-    "fx_word_vectors": """fx_word_vectors AS (
-  SELECT t.token, e.embedding AS vec FROM fx_bench_tokens t
-  JOIN embeddings e ON e.vec_id = CAST(('0x' || substr(md5(t.token), 1, 8)) AS BIGINT) % (SELECT count(*) FROM embeddings))""",
+  SELECT DISTINCT unnest(regexp_extract_all(lower(trim(text)), '@TOKEN@')) AS token FROM benchmark)""",
+    "fx_all_tokens": """fx_all_tokens AS MATERIALIZED (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(trim(text)), '@TOKEN@')) AS token
+  FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark))""",
+    "fx_word_vectors": """fx_word_vectors AS MATERIALIZED (
+  SELECT t.token, e.embedding AS vec FROM fx_all_tokens t
+  JOIN embeddings e ON e.vec_id = CAST(('0x' || substr(md5(t.token), 1, 8)) AS BIGINT) % (SELECT count(*) FROM embeddings)
+  WHERE CAST(('0x' || substr(md5(t.token), 1, 8)) AS BIGINT) % 10 <> 0)""",
     "fx_lexicon": """fx_lexicon AS (
   SELECT token, CAST(CAST(('0x' || substr(md5('lex|' || token), 1, 8)) AS BIGINT) % 9 - 4 AS DOUBLE) AS valence
   FROM fx_bench_tokens
@@ -268,16 +251,18 @@ DEPENDS = {
     "fx_news": [],
     "fx_vectors": [],
     "fx_docs": [],
-    "fx_articles": [],
+    "fx_articles": ["fx_news"],
     "fx_exposures": [],
     "fx_bench_tokens": [],
-    "fx_word_vectors": ["fx_bench_tokens"],
+    "fx_all_tokens": [],
+    "fx_word_vectors": ["fx_all_tokens"],
     "fx_lexicon": ["fx_bench_tokens"],
 }
 
 
-def with_views(views: list[str], body: str, H: int = DEFAULT_MAX_HISTORY, extra: list[str] | None = None) -> str:
-    """``WITH <views in dependency order>, <extra CTEs> <body>`` for DuckDB."""
+def with_views(views: list[str], body: str, H: int | None = None, extra: list[str] | None = None) -> str:
+    """``WITH <views in dependency order>, <extra CTEs> <body>`` for DuckDB.  ``H`` keeps the first
+    H history items, for the oracles of operators that do so themselves."""
     order: list[str] = []
 
     def add(v):
@@ -288,5 +273,6 @@ def with_views(views: list[str], body: str, H: int = DEFAULT_MAX_HISTORY, extra:
 
     for v in views:
         add(v)
-    ctes = [SQL[v].replace("{H}", str(H)) for v in order] + list(extra or [])
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    ctes = [SQL[v].replace("{H}", f"k.hpos <= {H}" if H else "true") for v in order] + list(extra or [])
+    sql = "WITH " + ",\n".join(ctes) + "\n" + body
+    return sql.replace("@TOKEN@", DEFAULT_TOKEN_PATTERN)

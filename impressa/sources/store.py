@@ -21,13 +21,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_text_vectors(spark: SparkSession, path: str, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``token v1 ... vd`` text lines -> (token, vec array<float>); lines whose width differs
-    from ``dims`` (when given) are returned as rejects instead of failing the job."""
+    from ``dims`` (when given), or that hold anything but numbers after the token, are returned as
+    rejects instead of failing the job."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("p"))
     rows = parts.select(F.col("p").getItem(0).alias("token"),
-                        F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vec"))
-    if dims is None:
-        return rows, rows.limit(0)
-    ok = F.size("vec") == dims
+                        F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.try_cast("float")).alias("vec"))
+    # without a width, a line must at least hold a token and numbers only
+    ok = (F.size("vec") == dims) if dims is not None else (F.size("vec") > 0)
+    ok = ok & (F.col("token") != "") & ~F.exists("vec", lambda x: x.isNull())
     return rows.where(ok), rows.where(~ok)
 
 
@@ -73,6 +74,8 @@ def read_parsed_news(spark: SparkSession, path: str, fmt: str = "parquet",
     for c in ("category", "subcategory"):
         if c in columns:
             out = out.withColumn(c, F.col(c).cast("int"))
+    for c in columns[5:]:  # sentiment columns
+        out = out.withColumn(c, F.col(c).cast("double"))
     return out
 
 
@@ -100,7 +103,7 @@ def load_embedding_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def dump_first(scored: DataFrame, path: str, n: int = 101) -> None:
+def dump_first(scored: DataFrame, path: str, n: int = 102) -> None:
     """The first ``n`` scored impressions (the limit is the feature) as CSV rows of
     (imp_id, scores, labels) in position order."""
     first = scored.select("imp_id").distinct().orderBy("imp_id").limit(n)

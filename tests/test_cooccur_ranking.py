@@ -33,7 +33,7 @@ def test_max_npmi_scores_zero_when_unknown(spark):
 
 def test_basket_pairs(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([4],), ([],)], "items array<long>")
-    pairs = sorted((r["i"], r["j"]) for r in df.select(F.inline(C.basket_pairs("items"))).collect())
+    pairs = sorted((r["i"], r["j"]) for r in C.basket_pairs(df).collect())
     assert pairs == [(1, 2), (1, 3), (2, 3)]
 
 
@@ -69,12 +69,11 @@ def test_salted_join_equals_plain(spark):
 def test_history_fixture_same_under_salting(spark):
     from impressa.sources import fixtures as fx
     d = "/root/testdata/sf0.001"
-    plain = sorted(map(tuple, fx.history(spark, d, 10, materialize=False, cands=fx.candidates(spark, d)).collect()))
+    plain = sorted(map(tuple, fx.history(spark, d, materialize=False).collect()))
     spark.conf.set("impressa.skew.mode", "salt")
     spark.conf.set("impressa.skew.hotRows", "100")  # with the 1% sample: every sampled user is hot
     try:
-        salted = sorted(map(tuple, fx.history(spark, d, 10, materialize=False,
-                                              cands=fx.candidates(spark, d)).collect()))
+        salted = sorted(map(tuple, fx.history(spark, d, materialize=False).collect()))
     finally:
         spark.conf.unset("impressa.skew.mode")
         spark.conf.unset("impressa.skew.hotRows")

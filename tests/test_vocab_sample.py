@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from impressa.operators import parse as P
 from impressa.operators import sample as D
 from impressa.operators import vocab as V
 
@@ -56,8 +57,8 @@ def test_encode_text_drops_unknown_before_truncation(spark):
 def test_encode_batch_fails_on_unknown(spark):
     texts = spark.createDataFrame([(1, "cat zebra")], "row long, t string")
     w2i = spark.createDataFrame([("cat", 1)], "key string, idx long")
-    with pytest.raises(KeyError):
-        V.encode_batch(texts, w2i, "row", "t")
+    with pytest.raises(Exception, match="missing from the dictionary"):
+        V.encode_batch(texts, w2i, "row", "t").collect()
 
 
 def _cands(spark):
@@ -65,28 +66,47 @@ def _cands(spark):
     for imp in range(30):
         for pos in range(1, 12):
             data.append((imp, pos, 1000 * imp + pos, 1 if pos in (2, 5, 9) else 0))
-    return spark.createDataFrame(data, "imp_id long, pos long, news_id long, label long")
+    return P.candidate_lines(spark.createDataFrame(data, "imp_id long, pos long, news_id long, label long"))
+
+
+def _draw(lines, n, seed):
+    return D.draws_long(D.negative_draw(lines, n, seed))
 
 
 def test_negative_draw_invariants(spark):
-    draws = D.negative_draw(_cands(spark), 4, 1234)
+    draws = _draw(_cands(spark), 4, 1234)
     g = draws.groupBy("imp_id", "pos_news").agg(F.countDistinct("neg_news").alias("d"), F.count("*").alias("n"))
     assert g.count() == 30 * 3
     assert all(r["d"] == 4 and r["n"] == 4 for r in g.collect())
     negs = {r["neg_news"] % 1000 for r in draws.collect()}
     assert negs.isdisjoint({2, 5, 9})
     # reproducible
-    assert sorted(map(tuple, draws.collect())) == sorted(map(tuple, D.negative_draw(_cands(spark), 4, 1234).collect()))
+    assert sorted(map(tuple, draws.collect())) == sorted(map(tuple, _draw(_cands(spark), 4, 1234).collect()))
 
 
 def test_negative_draw_is_roughly_uniform(spark):
     data = [(imp, pos, pos, 1 if pos == 1 else 0) for imp in range(400) for pos in range(1, 9)]
-    c = spark.createDataFrame(data, "imp_id long, pos long, news_id long, label long")
-    counts = D.negative_draw(c, 3, 7).groupBy("neg_news").count().collect()
+    c = P.candidate_lines(spark.createDataFrame(data, "imp_id long, pos long, news_id long, label long"))
+    counts = _draw(c, 3, 7).groupBy("neg_news").count().collect()
     freq = [r["count"] for r in counts]
     assert len(freq) == 7 and max(freq) / min(freq) < 1.5  # 7 negatives, each expected 3/7 of 400
 
 
+def test_item_clicked_twice_gives_two_rows(spark):
+    line = spark.createDataFrame([(1, "N1-1 N1-1 N2-0 N3-0 N4-0")], "imp_id long, impressions string")
+    lines = line.select("imp_id", P.parse_impressions("impressions").alias("candidates"))
+    rows = D.training_rows(D.negative_draw(lines, 2), 2).orderBy("click_pos").collect()
+    assert [r["click_pos"] for r in rows] == [1, 2]
+    assert all(len(r["candidates"]) == 3 and r["candidates"][0] == "N1" and r["mask"] == [1, 0, 0] for r in rows)
+
+
+def test_negative_draw_needs_no_shuffle(spark):
+    line = spark.createDataFrame([(1, "N1-1 N2-0 N3-0")], "imp_id long, impressions string")
+    lines = line.select("imp_id", P.parse_impressions("impressions").alias("candidates"))
+    plan = D.negative_draw(lines, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_sample_exact_matches_sort_limit(spark):
     df = spark.range(0, 20000).withColumnRenamed("id", "imp_id")
     got = sorted(r["imp_id"] for r in D.sample_exact(df, 1234, seed=9, final_rows=50).collect())
@@ -105,11 +125,10 @@ def test_split_fraction(spark):
 
 
 def test_prepare_builds_every_table(spark):
-    from impressa.operators import parse as P
     from impressa.plans.prepare import prepare
     from impressa.sources import fixtures as fx
     d = "/root/testdata/sf0.001"
-    out = prepare(P.parse_behaviors(fx.raw_behaviors(spark, d, 10)), fx.articles(spark, d),
+    out = prepare(P.parse_behaviors(fx.raw_behaviors(spark, d)), fx.articles(spark, d),
                   fx.word_vectors(spark, d), n_negative=2)
     assert set(out.keys()) >= {"train_rows", "parsed_news", "embedding_weights", "test_rows"}
     pn = out["parsed_news"].collect()
