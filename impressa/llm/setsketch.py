@@ -290,8 +290,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` without the documents that are not the first of their component; of rows that
-    repeat a doc_id one stays, rows with a null doc_id stay."""
+    """``docs`` without the documents that are not the first of their component.  Rows that repeat a
+    doc_id are one document and stay or go together; rows with a null doc_id stay."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

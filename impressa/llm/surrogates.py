@@ -19,7 +19,7 @@ entity meets partial aggregates and a join that Spark can split.
 
 Defined cases: null and empty texts stay as they are; an entity repeated in a text or in many is
 replaced alike everywhere; equal rows are replaced alike; an empty table gives no rows; extra
-columns pass through.
+columns pass through (names that begin with two underscores are reserved).
 """
 
 from __future__ import annotations
