@@ -76,6 +76,18 @@ def word_ids(news: DataFrame, vectors: DataFrame, row_order: list[str], fields=(
     return first_seen_ids(known, "token", [*row_order, "_field", "tpos"], with_first=with_first)
 
 
+def shared_text_word_ids(news: DataFrame, vectors: DataFrame, row_order: list[str], title: str, text_key: str,
+                         text_tokens: DataFrame, pattern: str = DEFAULT_TOKEN_PATTERN, with_first: bool = False) -> DataFrame:
+    """V5 where articles share texts: ``text_tokens`` (text_key, tpos, token) holds each text once, and
+    only a token's first place in a text meets the articles.  Equal to ``word_ids`` on articles
+    that carry their own copy of the text."""
+    firsts = text_tokens.groupBy(text_key, "token").agg(F.min("tpos").alias("tpos"))
+    in_text = news.select(*row_order, text_key).join(firsts, text_key) \
+        .select(*row_order, F.lit(1).alias("_field"), "tpos", "token")
+    in_title = field_tokens(news, row_order, (title,), pattern)
+    return word_ids(news, vectors, row_order, tokens=in_title.unionByName(in_text), with_first=with_first)
+
+
 def sorted_ids(keys: DataFrame, key: str = "key") -> DataFrame:
     """V6: ids 1..n over the distinct keys in sorted order."""
     d = keys.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct()

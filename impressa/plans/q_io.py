@@ -108,8 +108,7 @@ def s6_load_cached_vectors(spark, d):
 
 
 def _word2int(spark, d):
-    a = fx.articles(spark, d).withColumn("_so", F.when(F.col("split") == "train", 0).otherwise(1))
-    return V.word_ids(a, fx.word_vectors(spark, d), ["_so", "row_key"])
+    return _qp()._word2int(spark, d)
 
 
 def _qp():

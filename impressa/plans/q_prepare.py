@@ -225,9 +225,15 @@ WORD2INT_SQL = """word2int AS MATERIALIZED (
     FROM art_tokens WHERE token IN (SELECT token FROM fx_word_vectors)) WHERE rn = 1)"""
 
 
+def _texts_and_words(spark, d):
+    """(articles by text key, tokens of each text once, dictionary)."""
+    a = fx.articles(spark, d, with_text=False).withColumn("_so", F.when(F.col("split") == "train", 0).otherwise(1))
+    toks = V.tokens_long(fx.texts(spark, d), "text_key", "text")
+    return a, toks, V.shared_text_word_ids(a, fx.word_vectors(spark, d), ["_so", "row_key"], "title", "text_key", toks)
+
+
 def _word2int(spark, d):
-    a = fx.articles(spark, d).withColumn("_so", F.when(F.col("split") == "train", 0).otherwise(1))
-    return V.word_ids(a, fx.word_vectors(spark, d), ["_so", "row_key"])
+    return _texts_and_words(spark, d)[2]
 
 
 @query("v5_word_ids", with_views(["fx_articles", "fx_word_vectors"], "SELECT key, idx FROM word2int",
@@ -266,11 +272,9 @@ JOIN encoded e USING (news_id) JOIN encoded_title t USING (news_id)"""
 @query("v7_encode_abstracts", with_views(["fx_articles", "fx_word_vectors"], "SELECT news_id, ids FROM encoded",
                                          extra=[ART_TOKENS_SQL, WORD2INT_SQL, ENCODED_SQL]))
 def v7_encode_abstracts(spark, d):
-    a = fx.articles(spark, d).withColumn("_so", F.when(F.col("split") == "train", 0).otherwise(1))
-    toks = V.field_tokens(a, ["_so", "row_key", "news_id"])
-    w2i = V.word_ids(a, fx.word_vectors(spark, d), ["_so", "row_key"], tokens=toks)
-    enc = V.encode_tokens(toks.where(F.col("_field") == 1), a, w2i, "news_id", 50, "ids")
-    return enc.select("news_id", F.array_join("ids", " ").alias("ids"))
+    a, toks, w2i = _texts_and_words(spark, d)
+    each = V.encode_tokens(toks, fx.texts(spark, d), w2i, "text_key", 50, "ids")
+    return a.join(each, "text_key").select("news_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query("v8_extend_ids", with_views(["fx_articles", "fx_word_vectors"], """
@@ -312,9 +316,9 @@ SELECT a.news_id, coalesce(e.text, '') AS text FROM fx_articles a LEFT JOIN (
     FROM art_tokens t JOIN word2int w ON w.key = t.token WHERE t.f = 1) WHERE rn <= 50 GROUP BY news_id) e
 USING (news_id)""", extra=[ART_TOKENS_SQL, WORD2INT_SQL]))
 def v10_decode_ids(spark, d):
-    w2i = _word2int(spark, d)
-    enc = V.encode_text(fx.articles(spark, d), w2i, "news_id", "abstract", 50, out="ids")
-    return V.decode_ids(enc, "news_id", "ids", w2i)
+    a, toks, w2i = _texts_and_words(spark, d)
+    each = V.encode_tokens(toks, fx.texts(spark, d), w2i, "text_key", 50, "ids")
+    return a.select("news_id", "text_key").join(V.decode_ids(each, "text_key", "ids", w2i), "text_key").drop("text_key")
 
 
 @query("v11_lookup_by_index", with_views(["fx_articles"], """
@@ -483,8 +487,8 @@ WHERE {where} GROUP BY c.imp_id, u.idx, r.history""", extra=[U2I_PREPARED_SQL])
 
 def _prepared(spark, d):
     from impressa.plans.prepare import prepare
-    return prepare(_parsed(spark, d, True), fx.articles(spark, d), fx.word_vectors(spark, d), n_negative=4,
-                   val_fraction=0.1, seed=1234, sentiment_cols=("senti_a", "senti_b"))
+    return prepare(_parsed(spark, d, True), fx.articles(spark, d, with_text=False), fx.word_vectors(spark, d), n_negative=4,
+                   val_fraction=0.1, seed=1234, sentiment_cols=("senti_a", "senti_b"), texts=fx.texts(spark, d))
 
 
 def _rows_out(rows):
@@ -577,7 +581,7 @@ def j3_impression_view(spark, d):
     from impressa.operators.joins import impression_view
     t = _prepared(spark, d)
     texts = t["parsed_news"].select("news_id", "title", "abstract")
-    news = fx.articles(spark, d).select("news_id", "category", "subcategory", rnd(F.col("senti_a"), 6).alias("senti_a"),
+    news = fx.articles(spark, d, with_text=False).select("news_id", "category", "subcategory", rnd(F.col("senti_a"), 6).alias("senti_a"),
                                         rnd(F.col("senti_b"), 6).alias("senti_b")).join(texts, "news_id")
     named = lambda df: df.withColumn("news_id", F.concat(F.lit("N"), F.col("news_id").cast("string")))
     history = fx.history(spark, d).where(F.col("hpos") <= 10)

@@ -118,19 +118,25 @@ def docs(spark, sf_dir) -> DataFrame:
         F.col("source").alias("subcategory"), "text")
 
 
-def articles(spark, sf_dir) -> DataFrame:
+def articles(spark, sf_dir, with_text: bool = True) -> DataFrame:
     """Raw news catalogue rows (news_id, category, subcategory, title, abstract, split, row_key,
     senti_a, senti_b): parts with their name as title and document ``p % count(documents)`` as
-    abstract."""
+    abstract.  Without the text, ``text_key`` says which document it is (see ``texts``)."""
     d = table(spark, sf_dir, "documents")
     n = _count(d)
     p = news(spark, sf_dir).withColumn("doc_id", F.pmod(F.col("news_id"), F.lit(n)))
-    return p.join(d.select("doc_id", "text"), "doc_id").select(
+    abstract = F.col("text").alias("abstract") if with_text else F.col("doc_id").alias("text_key")
+    return p.join(d.select("doc_id", *(["text"] if with_text else [])), "doc_id").select(
         F.concat(F.lit("N"), F.col("news_id").cast("string")).alias("news_id"), "category", "subcategory", "title",
-        F.col("text").alias("abstract"), F.when(F.col("news_id") % 2 == 0, "train").otherwise("test").alias("split"),
+        abstract, F.when(F.col("news_id") % 2 == 0, "train").otherwise("test").alias("split"),
         F.col("news_id").alias("row_key"), "senti_a", "senti_b")
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """(text_key, text): every abstract once."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_key"), "text")
+
+
 def exposures(spark, sf_dir) -> DataFrame:
     """(news_id, time): event ts with the JSON key ``k`` as item."""
     ev = table(spark, sf_dir, "events")
