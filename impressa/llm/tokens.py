@@ -42,6 +42,8 @@ END_ID, BLOCK_IDS, STRIDE = 0, 65_536, 1024
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 MAGIC = b"S8B1"
+# Bits that an id needs beside the all-ones code, which is taken.
+_WIDTH = np.ceil(np.log2(np.arange(1 << 17) + 2.0)).astype(np.uint8)
 
 
 def _sliding_max(width: np.ndarray):
@@ -52,7 +54,8 @@ def _sliding_max(width: np.ndarray):
         while have < c:
             step = min(have, c - have)
             wider = now.copy()
-            np.maximum(now[:n - step], now[step:], out=wider[:n - step])
+            if step < n:
+                np.maximum(now[:n - step], now[step:], out=wider[:n - step])
             now, have = wider, have + step
         yield c, now
 
@@ -61,7 +64,7 @@ def pack(ids: np.ndarray) -> bytes:
     """Simple-8b payload of an array of ids below 2^30."""
     n = len(ids)
     ids = ids.astype(np.uint64)
-    width = np.ceil(np.log2(ids.astype(np.float64) + 2)).astype(np.uint8)  # the all-ones code is taken
+    width = _WIDTH[ids] if n and ids.max() < len(_WIDTH) else np.ceil(np.log2(ids.astype(np.float64) + 2)).astype(np.uint8)
     hist = np.bincount(width, minlength=64)
     slot = np.array([60 / COUNTS[np.searchsorted(WIDTHS, max(w, 1))] for w in range(61)])
     costs = {w: (hist[:w + 1] * slot[:w + 1]).sum() + hist[w + 1:].sum() * 36 for w in (8, 10, 12, 15, 20, 30)}
@@ -132,26 +135,40 @@ _PLAIN[0xC3] = True
 _PLAIN[[0x27, 0x7C]] = False  # contractions and special-token strings take the library's own path
 
 
-def _plain(data: np.ndarray) -> bool:
-    """Whether splitting by kind of byte is exactly the tokenizer's splitting."""
-    if not _PLAIN[data].all():
-        return False
-    lead = np.flatnonzero(data == 0xC3)
-    tail = data[lead + 1] if len(lead) else data[:0]
-    return int((data >= 0x80).sum()) == 2 * len(lead) and not ((tail == 0x97) | (tail == 0xB7)).any()
+# Byte-level BPE names each byte by a visible character: itself, or the next one from U+0100 on.
+_VISIBLE, _spare = {}, 256
+for _b in range(256):
+    if 33 <= _b <= 126 or 161 <= _b <= 172 or 174 <= _b:
+        _VISIBLE[_b] = chr(_b)
+    else:
+        _VISIBLE[_b], _spare = chr(_spare), _spare + 1
+
+
+def _plain(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which documents' pieces are exactly their runs of one kind of byte: ASCII without the
+    characters that have rules of their own, and Latin letters from U+00C0 on."""
+    bad = ~_PLAIN[buf]
+    after = np.zeros(len(buf), bool)
+    after[1:] = buf[:-1] == 0xC3
+    bad |= ((buf & 0xC0) == 0x80) & ~after
+    bad |= after & ((buf == 0x97) | (buf == 0xB7))
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = False
+    return out
 
 
 class Encoder:
     """Ids of texts by the ``tokenizers`` library.  Pieces the tokenizer would split a plain text
     into are found for a whole batch at once, and each distinct piece is encoded once."""
 
-    KEEP = 2_000_000  # pieces remembered between batches
+    KEEP = 3_000_000  # pieces remembered between batches
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known = np.zeros(0, np.uint64)
         self.at = np.zeros(1, np.int64)  # ids of known piece i: flat[at[i]:at[i + 1]]
         self.flat = np.zeros(0, np.uint32)
@@ -159,8 +176,9 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids = self._library(pieces)
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        # a piece needs no further splitting, so it goes straight to the library's BPE model
+        ids = [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(_VISIBLE))] for p in pieces]
         length = np.array([len(x) for x in ids], np.int64)
         flat = np.array([y for x in ids for y in x], np.uint32)
         if len(self.known) + len(keys) > self.KEEP:
@@ -203,7 +221,7 @@ class Encoder:
             raw = data.tobytes()
             if len(self.known) + int(new.sum()) > self.KEEP:
                 new[:] = True
-            pieces = [raw[start[i]:end[i]].decode() for i in at[new].tolist()]
+            pieces = [raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())]
             self._learn(uniq[new], pieces)
             place = np.searchsorted(self.known, uniq)
         piece = place[back]
@@ -214,13 +232,15 @@ class Encoder:
 
     def documents(self, buf: np.ndarray, offsets: np.ndarray):
         """Ids of each document of a batch, in order, without the end id."""
-        for i, j in chunks(offsets, 4 << 20):
-            docs = [buf[offsets[k]:offsets[k + 1]] for k in range(i, j)]
-            ok = [_plain(d) for d in docs]
-            off = np.concatenate([[0], np.cumsum([len(d) for d, o in zip(docs, ok) if o])]).astype(np.int64)
-            whole = np.concatenate([d for d, o in zip(docs, ok) if o]) if any(ok) else buf[:0]
-            ids, before = self.plain(whole, off)
-            other = iter(self._library([bytes(d).decode() for d, o in zip(docs, ok) if not o]))
+        for i, j in chunks(offsets, 2 << 20):
+            part, off = buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+            ok = _plain(part, off)
+            other = iter(())
+            if not ok.all():
+                other = iter(self._library([bytes(part[off[k]:off[k + 1]]).decode() for k in np.flatnonzero(~ok)]))
+                part = part[np.repeat(ok, np.diff(off))]
+                off = np.concatenate([[0], np.cumsum(np.diff(off)[ok])])
+            ids, before = self.plain(part, off)
             at = 0
             for o in ok:
                 if o:
