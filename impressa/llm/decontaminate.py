@@ -18,7 +18,7 @@ nothing about an item and are not used.
 Defined cases: null or empty texts have no window; an item of fewer than ``WINDOW`` tokens is one
 window of its own length, and one with fewer than ``MIN_LITERAL`` literals matches nothing; equal
 benchmark texts count as the smallest item_id; a null item_id is an item; repeated documents are
-judged alike; extra columns are kept.
+judged alike; extra columns are kept (names that begin with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -40,26 +40,36 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’„¿¡…"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
+def _templates(text: Column, make) -> Column:
+    """``make(word, template)`` of every word; a word has its text ``w``, ``core`` without punctuation,
+    ``low`` in lower case and ``num``, whether it holds a digit.  Each part is computed once, and what
+    is rare (units, names) is tested only where it can be."""
+    cored = F.transform(words(text), lambda w: F.struct(w.alias("w"), F.translate(w, PUNCTUATION, "").alias("core")))
+    parts = F.transform(F.filter(cored, lambda x: x["core"] != ""), lambda x: F.struct(
+        x["w"].alias("w"), x["core"].alias("core"), F.lower(x["core"]).alias("low"), x["core"].rlike("[0-9]").alias("num")))
+
+    def template(x: Column, before: Column) -> Column:
+        first = F.substring(x["core"], 1, 1)
+        name = (x["core"] != x["low"]) & (first != F.lower(first)) & before.isNotNull() & ~before["w"].rlike("[.!?:]$")
+        return F.when(x["num"], NUM).when(F.coalesce(before["num"], F.lit(False)) & x["low"].isin(UNITS), UNIT) \
+            .when(name, NAME).otherwise(x["low"])
+
+    return let(parts, lambda p: F.transform(p, lambda x, i: make(x, template(x, F.get(p, i - 1)))))
+
+
 def tokens(text: Column) -> Column:
     """Array of (raw, t): each word without punctuation and its template token."""
-    kept = F.filter(words(text), lambda w: F.translate(w, PUNCTUATION, "") != "")
+    return _templates(text, lambda x, t: F.struct(x["core"].alias("raw"), t.alias("t")))
 
-    def token(w: Column, before: Column) -> Column:
-        core = F.translate(w, PUNCTUATION, "")
-        low = F.lower(core)
-        first = F.substring(core, 1, 1)
-        name = (first != F.lower(first)) & before.isNotNull() & ~F.coalesce(before.rlike("[.!?:]$"), F.lit(True))
-        return F.struct(core.alias("raw"), F.when(core.rlike("[0-9]"), NUM)
-                        .when(low.isin(UNITS) & F.coalesce(before.rlike("[0-9]"), F.lit(False)), UNIT)
-                        .when(name, NAME).otherwise(low).alias("t"))
 
-    return let(kept, lambda w: F.transform(w, lambda x, i: token(x, F.get(w, i - 1))))
+def token_hashes(text: Column) -> Column:
+    """The hashes of the template tokens alone."""
+    return _templates(text, lambda x, t: F.xxhash64(t))
 
 
-def window_hashes(t: Column, size: int) -> Column:
-    """Hash of every run of ``size`` template tokens, by position; hashes of runs of 2^k tokens
-    are built from two of half the length."""
-    one = F.transform(t, lambda x: F.xxhash64(x["t"]))
+def window_hashes(one: Column, size: int) -> Column:
+    """Hash of every run of ``size`` tokens, by position, from the tokens' hashes; hashes of runs of
+    2^k tokens are built from two of half the length."""
 
     def widen(h: Column, have: int) -> Column:
         if have == size:
@@ -82,7 +92,7 @@ def _benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list
     items = cut_lineage(items.withColumn("size", F.least(F.size("b"), F.lit(WINDOW))).where("size > 0"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW values
     parts = [items.where(F.col("size") == s).select("item", F.lit(s).alias("size"), "b", F.posexplode(
-        window_hashes(F.col("b"), s)).alias("at", "h")) for s in sizes]
+        window_hashes(F.transform("b", lambda x: F.xxhash64(x["t"])), s)).alias("at", "h")) for s in sizes]
     found = parts[0] if parts else items.select("item", "size", "b", F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"))
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -100,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = None
     for s in sizes:
         wanted = windows.where(F.col("size") == s).select("h").distinct()
-        seen = keyed.select("__k", F.posexplode(window_hashes(tokens(F.col("text")), s)).alias("pos", "h"))
+        seen = keyed.select("__k", F.posexplode(window_hashes(token_hashes(F.col("text")), s)).alias("pos", "h"))
         part = seen.join(F.broadcast(wanted) if small else wanted, "h", "left_semi").withColumn("size", F.lit(s))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
