@@ -17,7 +17,8 @@ row.  Only DataFrame functions run.
 
 Defined cases: null source is the last source; null, empty or blank texts have size 0, are never
 taken and stay in the report; equal rows are separate documents; empty input gives empty
-output; extra columns pass through ``mixed_documents``.
+output; extra columns pass through ``mixed_documents`` (names that begin with two underscores are
+reserved).
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def mix(placed: DataFrame, sources: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD))
     chunked = sources.where("slots > 0").select("sid", "blocks", "slots", F.explode(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")) \
-        .repartition("sid", "chunk")
+        .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "chunk")
     slots = chunked.select("sid", "blocks", F.explode(F.sequence(
         F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "slots") - 1)).alias("k"))
     slots = slots.withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).select(
@@ -111,7 +112,8 @@ def mix(placed: DataFrame, sources: DataFrame) -> DataFrame:
     lo = F.greatest(F.col("start"), F.col("block") * BLOCK)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     pieces = pieces.select("sid", "block", "start", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
-    return slots.join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "pass", "start", "from_word", "n_words")
+    # both sides grow with the corpus; expanded slots look as small as the table of sources to the planner
+    return slots.hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "pass", "start", "from_word", "n_words")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -121,13 +123,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     placed, sources = located(docs)
     taken = mix(placed, sources).groupBy("sid", "start", "pass") \
         .agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
-    rows = taken.join(placed.where("size > 0").select("__k", "sid", "start"), ["sid", "start"]).select("__k", "pieces")
+    rows = taken.join(placed.where("size > 0").select("__k", "sid", "start"), ["sid", "start"]) \
+        .select("__k", F.col("pieces").alias("__pieces"))
     key = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
     whole = docs.withColumn("__k", key).dropDuplicates(["__k"])
     out = rows.join(whole, "__k")
     segments = F.split(F.regexp_replace("text", "^[ \\t-\\r]+", ""), "(?<=[ \\t-\\r])(?=[^ \\t-\\r])")
     text = let(segments, lambda s: F.array_join(F.flatten(F.transform(
-        F.col("pieces"), lambda p: F.slice(s, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), ""))
+        F.col("__pieces"), lambda p: F.slice(s, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), ""))
     out = out.withColumn("text", F.regexp_replace(text, "[ \\t-\\r]+$", ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
