@@ -27,7 +27,7 @@ from impressa.llm.registry import query, table
 from impressa.llm.textnum import chunks, mix64, prefix_hash, span_hash, text_buffer
 from impressa.session import cut_lineage
 
-BITS, SHARD_ROWS, MAX_BROADCAST = 18, 10_000, 1_000_000
+BITS, SHARD_ROWS, MAX_BROADCAST = 18, 4_000, 1_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 6.0, 1.0, 1e-4, 1e-4, 3
 FAMILIES = 6
 THRESHOLD = 0.3  # fixed by the contract
