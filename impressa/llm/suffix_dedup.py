@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impressa.llm.registry import query, table
-from impressa.llm.textnum import chunks, mix64, prefix_hash, span_hash, text_buffer
+from impressa.llm.textnum import chunks, mix64, prefix_hash, rolling_hash, span_hash, text_buffer
 
 LENGTH, ANCHOR, SHALLOW = 100, 16, 24
 WINDOW = LENGTH - ANCHOR + 1
-GROUP_BYTES, HOT, EXPANDED = 8 << 20, 100_000, 400_000
+GROUP_BYTES, HOT, EXPANDED, STRETCH = 4 << 20, 100_000, 200_000, 1 << 17
 _POSITION = np.uint64((1 << 22) - 1)
 
 
@@ -49,7 +49,9 @@ def symbols8(buf: np.ndarray) -> np.ndarray:
     """The 8 bytes from every place on as one big-endian number; zeros follow the end."""
     out = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
     for step in (1, 2, 4):
-        out[:-step] = (out[:-step] << np.uint64(8 * step)) | out[step:]
+        wider = out << np.uint64(8 * step)
+        wider[:-step] |= out[step:]
+        out = wider
     return out
 
 
@@ -61,85 +63,87 @@ def _at_depth(sym: np.ndarray, start: np.ndarray, length: np.ndarray, depth) ->
     return np.where(left == 0, np.uint64(0), (got >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)))
 
 
-def _relabel(*keys: np.ndarray) -> np.ndarray:
-    """Running number of each distinct combination of sorted keys."""
-    new = np.zeros(len(keys[0]), bool)
+def _split(at: np.ndarray, label: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Labels after a round: places ``at`` hold members sorted by (label, keys); a group's label
+    is its first place, so splitting one group leaves all others alone."""
+    new = np.append(True, label[1:] != label[:-1])[:len(label)]
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
+    return at[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
 def _crowded(label: np.ndarray) -> np.ndarray:
     """Members of sorted groups of at least two."""
     same = label[1:] == label[:-1]
-    return np.append(same, False) | np.append(False, same)
+    return (np.append(same, False) | np.append(False, same))[:len(label)]
 
 
 def deep_shallow(sym: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray):
     """Sorts strings by (group, bytes); gives (order, class of each place), equal strings of a
-    group having one class.  Strings of a group have one length."""
+    group having one class.  Strings of a group have one length.  A round touches only members
+    of groups that are not settled yet."""
     order = np.argsort(group, kind="stable")
-    label = _relabel(group[order])
+    at = np.arange(len(order))
+    label = _split(at, group[order]) if len(order) else at
     # shallow: multikey quicksort, one 8-byte symbol a round, only where a group is not a single string
     for depth in range(0, SHALLOW, 8):
-        at = np.flatnonzero(_crowded(label))
+        at = at[_crowded(label[at])]
         if not len(at):
             return order, label
-        who = order[at]
+        who, lab = order[at], label[at]
         lane = _at_depth(sym, start[who], length[who], depth)
-        by = np.lexsort((lane, label[at]))
+        by = np.lexsort((lane, lab))
         order[at] = who[by]
-        lanes = np.zeros(len(order), np.uint64)
-        lanes[at] = lane[by]
-        label = _relabel(label, lanes)
+        label[at] = _split(at, lab[by], lane[by])
     # deep: blind tries; every round hangs each member on the path of its group's first string
-    depth = np.full(len(order), SHALLOW)
-    open_ = depth < length[order]
-    while True:
-        at = np.flatnonzero(_crowded(label) & open_)
-        if not len(at):
-            return order, label
+    depth = np.full(len(at), SHALLOW)
+    go = _crowded(label[at]) & (depth < length[order[at]])
+    at, depth = at[go], depth[go]
+    while len(at):
         who, lab = order[at], label[at]
         first = np.append(True, lab[1:] != lab[:-1])
         head = who[np.flatnonzero(first)][np.cumsum(first) - 1]
-        lcp, done = depth[at].copy(), np.zeros(len(at), bool)
+        lcp, done = depth.copy(), np.zeros(len(at), bool)
         mine, theirs = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         live = np.arange(len(at))
         while len(live):
             a, b, d = who[live], head[live], lcp[live]
             diff = _at_depth(sym, start[a], length[a], d) ^ _at_depth(sym, start[b], length[b], d)
-            step = np.full(len(live), 8)
-            for k in range(7, -1, -1):
-                step[(diff >> np.uint64(56 - 8 * k)) & np.uint64(0xFF) != 0] = k
-            lcp[live] = d + step
-            apart = step < 8
-            x = live[apart]
+            apart = diff != 0
+            over = ~apart & (d + 8 >= length[a])
+            x, bits = live[apart], diff[apart]
+            step = np.zeros(len(x), np.int64)
+            for k in range(1, 8):
+                step += bits < np.uint64(1 << (64 - 8 * k))
+            lcp[x] += step
             mine[x] = (sym[start[who[x]] + lcp[x]] >> np.uint64(56)).astype(np.int64)
             theirs[x] = (sym[start[head[x]] + lcp[x]] >> np.uint64(56)).astype(np.int64)
-            over = lcp[live] >= length[a]
-            done[live[over & ~apart]] = True
+            done[live[over]] = True
             live = live[~apart & ~over]
+            lcp[live] += 8
         side = np.where(done, 1, np.where(mine < theirs, 0, 2))
         key = np.where(done, 0, np.where(side == 0, lcp, -lcp))
-        by = np.lexsort((mine, key, side, lab))
-        order[at], depth[at], open_[at] = who[by], lcp[by] + 1, ~done[by]
-        extra = np.zeros((3, len(order)), np.int64)
-        extra[:, at] = np.stack([side[by], key[by], np.where(done, 0, mine)[by]])
-        label = _relabel(label, *extra)
+        byte = np.where(done, 0, mine)
+        by = np.lexsort((byte, key, side, lab))
+        order[at] = who[by]
+        label[at] = now = _split(at, lab[by], side[by], key[by], byte[by])
+        go = _crowded(now) & ~done[by]
+        at, depth = at[go], lcp[by][go] + 1
+    return order, label
 
 
 def regions(buf: np.ndarray, offsets: np.ndarray):
     """(anchor hash, first start, last start, anchor place) of every region of the documents."""
     out: list = [[], [], [], []]
-    for i, j in chunks(offsets, 1 << 20):
-        for a in range(int(offsets[i]), int(offsets[j]), 1 << 21):  # a longer document goes in stretches
-            b = min(int(offsets[j]), a + (1 << 21) + LENGTH - 1)
+    for i, j in chunks(offsets, STRETCH):
+        for a in range(int(offsets[i]), int(offsets[j]), 2 * STRETCH):  # a longer document goes in stretches
+            b = min(int(offsets[j]), a + 2 * STRETCH + LENGTH - 1)
             data = buf[a:b]
             n = len(data) - ANCHOR + 1
             if n < WINDOW:
                 continue
-            hashed = span_hash(prefix_hash(data), np.arange(n), np.arange(ANCHOR, n + ANCHOR))
-            least = (mix64(hashed) & ~_POSITION) | np.arange(n, dtype=np.uint64)
+            hashed = rolling_hash(data, ANCHOR)
+            least = (hashed & ~_POSITION) | np.arange(n, dtype=np.uint64)
             have = 1
             while have < WINDOW:
                 step = min(have, WINDOW - have)
@@ -154,7 +158,8 @@ def regions(buf: np.ndarray, offsets: np.ndarray):
             anchor = (least[start] & _POSITION).astype(np.int64)
             first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
             last = np.append(first[1:], len(start)) - 1
-            for to, x in zip(out, (hashed[anchor[first]], start[first] + a, start[last] + a, anchor[first] + a)):
+            # anchors are minima, so their hashes are small; mixed again they fill the buckets evenly
+            for to, x in zip(out, (mix64(~hashed[anchor[first]]), start[first] + a, start[last] + a, anchor[first] + a)):
                 to.append(x)
     empty = (np.uint64, np.int64, np.int64, np.int64)
     return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip(empty, out))
@@ -328,14 +333,19 @@ def _merge(key, parts):
     return pa.table({"g": pa.array(out_g, pa.int64()), "marks": pa.array(out_marks, pa.binary())})
 
 
-def _remove(key, group, marks):
-    """Removes the marked stretches of a group's documents."""
+def _remove(with_text: bool):
+    def run(key, group, marks):
+        return _without(group, marks, with_text)
+    return run
+
+
+def _without(group, marks, with_text):
+    """A group's documents without the marked stretches."""
     ids, buf, off = _texts(group)
+    spans = np.frombuffer(b"".join(map(_unpack, marks.column("marks").to_pylist())), "<u4").reshape(-1, 2)
     edge = np.zeros(len(buf) + 1, np.int32)
-    for blob in marks.column("marks").to_pylist():
-        span = np.frombuffer(_unpack(blob), "<u4").reshape(-1, 2).astype(np.int64)
-        edge += np.bincount(span[:, 0], minlength=len(edge)).astype(np.int32)
-        edge -= np.bincount(span[:, 1], minlength=len(edge)).astype(np.int32)
+    for column, sign in ((0, 1), (1, -1)):
+        np.add.at(edge, spans[:, column], np.int32(sign))
     gone = np.cumsum(edge)[:-1] > 0
     out = {"n_bytes": np.diff(off), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
     for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
@@ -344,14 +354,14 @@ def _remove(key, group, marks):
         out["n_removed"].append(b - a - len(kept))
         out["n_spans"].append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
         out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        out["kept"].append(kept)
+        out["kept"].append(kept if with_text else None)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     return pa.table({"doc_id": ids, **{c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)}})
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` has the bytes that
-    remain."""
+    remain (null without text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).collect()[0]["b"] or 0
     groups = max(1, -(-total // group_bytes))
@@ -363,9 +373,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYT
         _local(bits), "bucket long, g long, marks binary, records binary, text binary")
     marks = local.groupBy("bucket").applyInArrow(_merge, "g long, marks binary")
     return dealt.cogroup(marks.groupBy("g")).applyInArrow(
-        _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 @query("op4_deep_shallow_dedup")
 def op4(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")

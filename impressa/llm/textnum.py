@@ -59,6 +59,18 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start])
 
 
+def rolling_hash(buf: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of buf[i:i + k] for every i; equal to ``span_hash`` of those spans."""
+    prefix = prefix_hash(buf)
+    out = prefix[k:] - prefix[:-k]
+    out *= powers(len(prefix))[1][:len(out)]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):  # mix64 in place
+        out ^= out >> np.uint64(shift)
+        if factor != 1:
+            out *= np.uint64(factor)
+    return out
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
