@@ -1,9 +1,9 @@
 """Dense-id dictionaries and text encoding.
 
 Ids are assigned without a single-partition window: ``dense_index`` range-partitions the keys
-on their order, numbers rows inside each partition, and adds each partition's offset (a table
-with one row per partition).  The numbered table is checkpointed first so both uses see the
-same layout even if an executor is lost.
+on their order, numbers rows inside each partition, and adds each partition's offset (one number
+per partition).  The numbered table is written first so both uses see the same layout even if an
+executor is lost, and so that a small dictionary can be recognised as one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from impressa.functions.scalar import pad_right
 from impressa.functions.text import DEFAULT_TOKEN_PATTERN, tokenize
 from impressa.operators.skew import lookup_join
-from impressa.session import cut_lineage
+from impressa.session import stored
 
 LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row number in partition
 
@@ -25,18 +25,17 @@ def dense_index(df: DataFrame, order: list, id_col: str = "idx", start: int = 1)
     ``order`` must be a total order (ties would be numbered arbitrarily)."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    numbered = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    numbered = numbered.withColumns({
-        "_pid": F.shiftrightunsigned("_mid", LOCAL_BITS),
-        "_lidx": F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)),
-    })
-    # one row per partition: bounded by the partition count, safe to broadcast
-    counts = numbered.groupBy("_pid").agg((F.max("_lidx") + 1).alias("_cnt"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = numbered.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-    return out.withColumn(id_col, (F.col("_off") + F.col("_lidx") + F.lit(start)).cast("long")) \
-        .drop("_mid", "_pid", "_lidx", "_off")
+    numbered = stored(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftrightunsigned("_mid", LOCAL_BITS)
+    local = F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
+    counts = numbered.groupBy(pid.alias("_pid")).agg((F.max(local) + 1).alias("_cnt"))
+    # one row per partition, read once: the offsets are literals of the plan, so its size stays known
+    offsets, total = [], 0
+    for r in counts.orderBy("_pid").collect():
+        offsets += [F.lit(r["_pid"]), F.lit(total)]
+        total += r["_cnt"]
+    offset = F.element_at(F.create_map(*offsets), pid) if offsets else F.lit(0)
+    return numbered.withColumn(id_col, (offset + local + F.lit(start)).cast("long")).drop("_mid")
 
 
 def first_seen_ids(events: DataFrame, key: str, order: list[str], start: int = 1, with_first: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -85,3 +86,11 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df):
+    """Cut lineage through a Parquet table in the shared checkpoint folder.  Unlike a checkpoint
+    its size is known to the planner, so later joins can tell a small table from a large one."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
