@@ -20,12 +20,15 @@ from impressa.llm.tokens import token_digest
 from impressa.session import ensure_checkpoint_dir
 
 
+SIMILAR = 80  # percent of shared word shingles from which the stage takes texts as copies; op7 has 85
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, SIMILAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

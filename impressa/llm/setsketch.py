@@ -7,12 +7,15 @@ the elementwise maxima, and two registers agree with a probability close to the
 similarity.
 
 1. Documents with equal sets form a class (exact copies); its smallest doc_id goes on.
-2. Bands of ``ROWS`` registers are joined on their values.  At similarity 0.85 a pair misses all
-   36 bands with probability below 1e-6.
+2. Bands of registers are joined on their values.  The rows of a band follow from the threshold: as
+   many as let a pair at the threshold miss all bands with probability below 1e-6 (36 bands of 7
+   at 0.85, 50 of 5 at 0.80).
 3. Inside a bucket the similarity is estimated jointly from the greater, smaller and equal
-   registers by likelihood: the likelihood is concave, so its slope at ``SCREEN`` tells on which
-   side its maximum lies.  Only pairs whose maximum lies above go on.
-4. A pair is a link if ``100 * intersection >= 85 * union`` of the full shingle sets.
+   registers by likelihood: the likelihood is concave, so its slope at the screen, four
+   standard errors below the threshold, tells on which side its maximum lies.  Only pairs whose
+   maximum lies above go on.
+4. A pair is a link if ``100 * intersection >= percent * union`` of the full shingle sets (85 in the
+   query).
 5. Links are contracted to components.  Step 3 runs twice: first it proposes all screened pairs of
    small buckets and, in large ones, for each member its hub and its best partner; then, with the
    components known, every screened pair that still lies in different components.  So a large
@@ -37,11 +40,22 @@ from impressa.llm.registry import query, table
 from impressa.llm.textnum import chunks, mix64, shingle_hashes, text_buffer, word_hashes
 from impressa.session import cut_lineage
 
-REGISTERS, ROWS, BASE, RATE = 252, 7, 1.1, 20.0
-SCREEN = 0.76  # four standard errors below the threshold
+REGISTERS, BASE, RATE = 252, 1.1, 20.0
 SMALL, BLOCK = 16, 2048
 
 
+def screen_at(percent: int) -> float:
+    """Four standard errors of an estimate from all registers below the threshold."""
+    t = percent / 100
+    return round(t - 4 * (t * (1 - t) / REGISTERS) ** 0.5, 2)
+
+
+def band_rows(percent: int) -> int:
+    """The most registers a band may have for a pair at the threshold to miss all bands with
+    probability below 1e-6 (one if no number does)."""
+    return max((r for r in range(1, 33) if (1 - (percent / 100) ** r) ** (REGISTERS // r) < 1e-6), default=1)
+
+
 def _doc_sets(batch: pa.RecordBatch):
     """(row, sorted distinct shingle hashes) of each text of a batch."""
     buf, off = text_buffer(batch.column("text"))
@@ -98,19 +112,20 @@ def _full_sets(batches):
              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["doc_id", "h1", "shingles"])
 
 
-def screened(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether the joint likelihood of similarity of (a_i, b_i) is maximal above ``SCREEN``."""
+def screened(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = 85) -> np.ndarray:
+    """Whether the joint likelihood of similarity of (a_i, b_i) is maximal above the screen."""
+    screen = screen_at(percent)
     more = (a > b).sum(1, dtype=np.int64)
     less = (a < b).sum(1, dtype=np.int64)
     same = a.shape[1] - more - less
     u, c, log_b = na / (na + nb), (BASE - 1) / BASE, np.log(BASE)
     p = lambda x: -np.log1p(-np.maximum(x, 1e-9) * c) / log_b
     slope = lambda x: c / (1 - np.maximum(x, 1e-9) * c) / log_b
-    x, y = u - (1 - u) * SCREEN, (1 - u) - u * SCREEN
+    x, y = u - (1 - u) * screen, (1 - u) - u * screen
     p1, p2 = np.maximum(p(x), 1e-9), np.maximum(p(y), 1e-9)
     g1, g2 = -(1 - u) * slope(x), -u * slope(y)
     rise = more * g1 / p1 + less * g2 / p2 - same * (g1 + g2) / np.maximum(1 - p1 - p2, 1e-9)
-    return (rise > 0) & (np.minimum(na, nb) >= SCREEN * np.maximum(na, nb))
+    return (rise > 0) & (np.minimum(na, nb) >= screen * np.maximum(na, nb))
 
 
 def _pairs(ids, regs, n, comp, side, small: bool, band: int):
@@ -141,9 +156,11 @@ def _pairs(ids, regs, n, comp, side, small: bool, band: int):
             yield np.full(len(y), i), y
 
 
-def _propose(second: bool):
+def _propose(second: bool, percent: int):
     """Reads rows sorted by bucket; gives pairs (a < b) that pass the screen.  In the second run a
     pair that meets in several bands is given by the first of them only."""
+    width = band_rows(percent)
+
     def run(batches):
         held: list = []
 
@@ -160,11 +177,11 @@ def _propose(second: bool):
                 return None
             out = []
             for x, y in _pairs(ids, regs, n, comp if second else None, side, SMALL, band):
-                ok = screened(regs[x], regs[y], n[x], n[y])
+                ok = screened(regs[x], regs[y], n[x], n[y], percent)
                 x, y = x[ok], y[ok]
                 if second and band and len(x):
-                    before = regs[x, :band * ROWS].reshape(len(x), band, ROWS) == \
-                        regs[y, :band * ROWS].reshape(len(x), band, ROWS)
+                    before = regs[x, :band * width].reshape(len(x), band, width) == \
+                        regs[y, :band * width].reshape(len(x), band, width)
                     first = ~before.all(2).any(1)
                     x, y = x[first], y[first]
                 if len(x):
@@ -195,12 +212,13 @@ def _propose(second: bool):
     return run
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
+def _buckets(reps: DataFrame, percent: int) -> DataFrame:
     """(id, band, key, block, side): members of buckets that hold at least two representatives.
     A bucket above BLOCK members is split into blocks, and each pair of blocks is a group."""
-    bands = REGISTERS // ROWS
+    width = band_rows(percent)
+    bands = REGISTERS // width
     rows = reps.select("id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("regs", i * ROWS + 1, F.lit(ROWS)))))
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("regs", i * width + 1, F.lit(width)))))
         .alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     many = rows.join(sizes, ["band", "key"]) \
@@ -212,7 +230,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
         .withColumn("block", (F.col("b.i").cast("long") * 1000003 + F.col("b.j"))).drop("b")
 
 
-def _proposals(buckets: DataFrame, reps: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _proposals(buckets: DataFrame, reps: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
     info = reps.select("id", "n", "regs")
     info = info.withColumn("comp", F.col("id")) if comps is None else \
         info.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -223,7 +241,7 @@ def _proposals(buckets: DataFrame, reps: DataFrame, comps: DataFrame | None) ->
         rows = rows.join(mixed, ["band", "key", "block"], "left_semi")
     rows = rows.select("band", "key", "block", "id", "n", "comp", "side", "regs") \
         .repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "id")
-    return rows.mapInArrow(_propose(comps is not None), "a long, b long").distinct()
+    return rows.mapInArrow(_propose(comps is not None, percent), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -274,11 +292,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = ids.where("doc_id <> id").select("doc_id", "id")
     reps = cut_lineage(ids.where("doc_id = id").join(sketch.select("doc_id", "h1", "h2", "regs"), ["doc_id", "h1", "h2"])
                        .groupBy("id").agg(F.first("n").alias("n"), F.first("regs").alias("regs")))
-    buckets = cut_lineage(_buckets(reps))
-    tried = cut_lineage(_proposals(buckets, reps, None))
+    buckets = cut_lineage(_buckets(reps, percent))
+    tried = cut_lineage(_proposals(buckets, reps, None, percent))
     first = cut_lineage(verified(tried, docs, percent))
     comps = cut_lineage(components(first))
-    rest = cut_lineage(_proposals(buckets, reps, comps).join(tried, ["a", "b"], "left_anti"))
+    rest = cut_lineage(_proposals(buckets, reps, comps, percent).join(tried, ["a", "b"], "left_anti"))
     links = first.unionByName(verified(rest, docs, percent)) \
         .unionByName(members.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     final = components(links)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline as P
 from impressa.llm import setsketch as S
 from util import DOCS, edge_docs, lower, no_docs, words
 
@@ -85,3 +86,28 @@ def test_registers_merge_and_estimate():
     n = np.array([500.0])
     assert S.screened(S.registers(a)[None], S.registers(shared)[None], n, n).all()  # similarity 0.82
     assert not S.screened(S.registers(a)[None], S.registers(b)[None], n, n).any()
+
+
+def test_pipeline_stage_links_from_80_percent(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(12):  # one changed word in the middle of n: (n - 9) of (n + 1) shingles are shared, 0.78 to 0.86
+        n = 44 + 3 * k
+        base = [f"t{k}word{i}" for i in range(n)]
+        copy = list(base)
+        copy[n // 2] = f"other{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    rows += [(100 + i, t) for i, t in near_copies(seed=6)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    want = brute(rows, 80)
+    assert want != brute(rows, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in S.near_duplicates(docs, 80).collect()} == want
+    assert {r.doc_id for r in P.drop_copies(spark, docs, "").collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_screen_and_bands_follow_the_threshold():
+    assert (S.screen_at(85), S.band_rows(85)) == (0.76, 7) and (S.screen_at(80), S.band_rows(80)) == (0.70, 5)
+    for percent in (50, 70, 80, 85, 95):
+        rows = S.band_rows(percent)
+        assert rows == 1 or (1 - (percent / 100) ** rows) ** (S.REGISTERS // rows) < 1e-6
