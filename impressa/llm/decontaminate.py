@@ -10,13 +10,20 @@ question that was re-parameterised (other numbers, names or units) is caught, wh
 merely has the same shape with unrelated values in one slot is not.  A document is contaminated by
 an item if consistent alignments cover at least ``MIN_SHARE`` of the item's windows.
 
+Template windows with fewer than ``MIN_LITERAL`` literal tokens say nothing about an item and are not
+used, and in capitals every word looks like a name.  So all windows of an item are also joined by
+their raw tokens in lower case: a document that has ``MIN_SHARE`` of them verbatim is contaminated
+too, whatever their templates are, unless its slots were found inconsistent and a part of the
+item is missing.  There, each character of a script written without spaces is a
+token.  The capitalised first word of an item may be a name or not; its first window has both
+templates.
+
 Only DataFrame functions run.  Documents send (row key, window hash) to a join with the
 benchmark's windows, which are broadcast only after their number was checked, and shuffled
-otherwise; nothing is collected.  Windows with fewer than ``MIN_LITERAL`` literal tokens say
-nothing about an item and are not used.
+otherwise; nothing is collected.
 
 Defined cases: null or empty texts have no window; an item of fewer than ``WINDOW`` tokens is one
-window of its own length, and one with fewer than ``MIN_LITERAL`` literals matches nothing; equal
+window of its own length, and one with fewer than ``MIN_LITERAL`` literals matches verbatim only; equal
 benchmark texts count as the smallest item_id; a null item_id is an item; repeated documents are
 judged alike; extra columns are kept (names that begin with two underscores are reserved).
 """
@@ -38,6 +45,9 @@ UNITS = ("km m cm mm mi miles mile feet foot ft inches inch kg g mg lb lbs pound
          "dollars dollar cents euros euro eur usd gbp percent degrees mph kmh watts volts hz kb mb gb").split()
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’„¿¡…"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+# Scripts written without spaces, and their punctuation.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+WIDE = "。，、？！：；「」『』（）《》"
 
 
 def _templates(text: Column, make) -> Column:
@@ -67,6 +77,13 @@ def token_hashes(text: Column) -> Column:
     return _templates(text, lambda x, t: F.xxhash64(t))
 
 
+def raw_hashes(text: Column) -> Column:
+    """The hashes of the words without punctuation in lower case, of unspaced scripts of each character."""
+    apart = F.when(text.rlike(UNSPACED), F.regexp_replace(F.translate(text, WIDE, " " * len(WIDE)), f"({UNSPACED})", " $1 ")).otherwise(text)
+    cores = F.transform(words(apart), lambda w: F.lower(F.translate(w, PUNCTUATION, "")))
+    return F.transform(F.filter(cores, lambda c: c != ""), lambda c: F.xxhash64(c))
+
+
 def window_hashes(one: Column, size: int) -> Column:
     """Hash of every run of ``size`` tokens, by position, from the tokens' hashes; hashes of runs of
     2^k tokens are built from two of half the length."""
@@ -86,36 +103,75 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__k", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
 
 
-def _benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+def _items(benchmark: DataFrame, made: Column) -> DataFrame:
+    """(item_id, item, b, size) of every distinct text that has tokens."""
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id")) \
-        .select("item_id", F.xxhash64("text").alias("item"), tokens(F.col("text")).alias("b"))
-    items = cut_lineage(items.withColumn("size", F.least(F.size("b"), F.lit(WINDOW))).where("size > 0"))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW values
+        .select("item_id", F.xxhash64("text").alias("item"), made.alias("b"))
+    return cut_lineage(items.withColumn("size", F.least(F.size("b"), F.lit(WINDOW))).where("size > 0"))
+
+
+def _sizes(items: DataFrame) -> list[int]:
+    return sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW values
+
+
+def _windows(items: DataFrame, one: Column, sizes: list[int]) -> DataFrame:
+    """(item, size, b, at, h): the windows of every item from its tokens' hashes."""
     parts = [items.where(F.col("size") == s).select("item", F.lit(s).alias("size"), "b", F.posexplode(
-        window_hashes(F.transform("b", lambda x: F.xxhash64(x["t"])), s)).alias("at", "h")) for s in sizes]
+        window_hashes(one, s)).alias("at", "h")) for s in sizes]
     found = parts[0] if parts else items.select("item", "size", "b", F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"))
     for p in parts[1:]:
         found = found.unionByName(p)
-    literal = F.size(F.filter(F.slice("b", F.col("at") + 1, F.col("size")), lambda x: ~x["t"].isin(NUM, UNIT, NAME)))
-    windows = cut_lineage(found.where(literal >= MIN_LITERAL).select("item", "size", "at", "h"))
-    return items, windows, sizes
+    return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(__k, item_id, n_windows, share): every document row key and item it contains."""
-    items, windows, sizes = _benchmark_windows(benchmark)
-    total = windows.groupBy("item").agg(F.count("*").alias("all_windows"))
-    keyed = with_row_key(docs.select("doc_id", "text"))
+def _template_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
+    def useful(items: DataFrame) -> DataFrame:
+        found = _windows(items, F.transform("b", lambda x: F.xxhash64(x["t"])), sizes)
+        literal = F.size(F.filter(F.slice("b", F.col("at") + 1, F.col("size")), lambda x: ~x["t"].isin(NUM, UNIT, NAME)))
+        return found.where(literal >= MIN_LITERAL).select("item", "size", "at", "h")
+
+    first = F.substring(F.get("b", F.lit(0))["raw"], 1, 1)
+    named = items.where((first != F.lower(first)) & (F.get("b", F.lit(0))["t"] != NUM)).withColumn("b", F.transform(
+        "b", lambda x, i: F.struct(x["raw"].alias("raw"), F.when(i == 0, NAME).otherwise(x["t"]).alias("t"))))
+    return cut_lineage(useful(items).unionByName(useful(named).where("at = 0")))
+
+
+def _hits(keyed: DataFrame, windows: DataFrame, sizes: list[int], one: Column) -> DataFrame:
+    """(__k, pos, h, size): where documents have windows of the benchmark."""
     small = windows.count() <= MAX_BROADCAST
     hits = None
     for s in sizes:
         wanted = windows.where(F.col("size") == s).select("h").distinct()
-        seen = keyed.select("__k", F.posexplode(window_hashes(token_hashes(F.col("text")), s)).alias("pos", "h"))
+        seen = keyed.select("__k", F.posexplode(window_hashes(one, s)).alias("pos", "h"))
         part = seen.join(F.broadcast(wanted) if small else wanted, "h", "left_semi").withColumn("size", F.lit(s))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = keyed.limit(0).select("__k", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("size"))
-    hits = cut_lineage(hits.distinct())
+    return hits
+
+
+def _verbatim(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(__k, item, item_id, n_windows, share): documents that hold windows of raw tokens of an item."""
+    items = _items(benchmark, raw_hashes(F.col("text")))
+    sizes = _sizes(items)
+    windows = cut_lineage(_windows(items, F.col("b"), sizes).select("item", "size", "at", "h"))
+    total = windows.groupBy("item").agg(F.count("*").alias("all_windows"))
+    hits = _hits(keyed, windows, sizes, raw_hashes(F.col("text"))).select("__k", "h", "size").distinct()
+    found = hits.join(windows, ["h", "size"]).groupBy("__k", "item").agg(F.countDistinct("at").alias("n_windows"))
+    return found.join(total, "item").where(F.col("n_windows") >= MIN_SHARE * F.col("all_windows")) \
+        .join(items.select("item", "item_id"), "item") \
+        .select("__k", "item", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("share"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(__k, item_id, n_windows, share): every document row key and item it contains; the larger share
+    of templates and raw tokens."""
+    items = _items(benchmark, tokens(F.col("text")))
+    sizes = _sizes(items)
+    windows = _template_windows(items, sizes)
+    total = windows.groupBy("item").agg(F.countDistinct("at").alias("all_windows"))
+    keyed = with_row_key(docs.select("doc_id", "text"))
+    hits = cut_lineage(_hits(keyed, windows, sizes, token_hashes(F.col("text"))).distinct())
     aligned = hits.join(windows, ["h", "size"]).groupBy("__k", "item", (F.col("pos") - F.col("at")).alias("shift")) \
         .agg(F.collect_set("at").alias("ats"))  # at most the item's own windows
     likely = cut_lineage(
@@ -129,16 +185,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def consistent(run: Column) -> Column:
         """Slots of one alignment map one to one between item and document."""
         places = F.array_distinct(F.flatten(F.transform(run["ats"], lambda a: F.sequence(a, a + F.col("size") - 1))))
-        slots = F.filter(places, lambda p: F.get("b", p)["t"].isin(NUM, UNIT, NAME))
+        slots = F.filter(places, lambda p: F.get("d", p + run["shift"])["t"].isin(NUM, UNIT, NAME))
         pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(
-            F.get("b", p)["t"].alias("t"), F.get("b", p)["raw"].alias("x"), F.get("d", p + run["shift"])["raw"].alias("y"))))
+            F.get("d", p + run["shift"])["t"].alias("t"), F.get("b", p)["raw"].alias("x"), F.get("d", p + run["shift"])["raw"].alias("y"))))
         return let(pairs, lambda v: (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda s: F.struct(s["t"], s["x"]))))) &
                    (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda s: F.struct(s["t"], s["y"]))))))
 
-    sure = both.withColumn("n_windows", F.size(F.array_distinct(F.flatten(
+    judged = cut_lineage(both.withColumn("n_windows", F.size(F.array_distinct(F.flatten(
         F.transform(F.filter("runs", consistent), lambda r: r["ats"])))).cast("long"))
-    return sure.where(F.col("n_windows") >= MIN_SHARE * F.col("all_windows")) \
-        .select("__k", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("share"))
+        .select("__k", "item", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("share")))
+    refuted = judged.where(F.col("share") < MIN_SHARE).select("__k", "item", F.lit(True).alias("refuted"))
+    exact = _verbatim(keyed, benchmark).join(refuted, ["__k", "item"], "left") \
+        .where(F.col("refuted").isNull() | (F.col("share") == 1)).drop("refuted")
+    return judged.where(F.col("share") >= MIN_SHARE).unionByName(exact).groupBy("__k", "item", "item_id") \
+        .agg(F.max(F.struct("share", "n_windows")).alias("x")).select("__k", "item_id", "x.n_windows", "x.share")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

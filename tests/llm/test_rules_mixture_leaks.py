@@ -191,3 +191,15 @@ def test_op3_finds_planted_passages(spark):
     flat = lambda t: " ".join(words((t or "").lower()))
     want = {(d.doc_id, b.item_id) for d in docs for b in bench if f" {flat(b.text)} " in f" {flat(d.text)} "}
     assert want <= {(r.doc_id, r.item_id) for r in C.op3(spark, SF).collect()}
+
+
+def test_verbatim_items_without_literals(spark):
+    short, names, chinese, late = "Who wrote Pride and Prejudice?", "Anna Maria Lopez, Juan Carlos Perez, 1984, 1985", "谁写了红楼梦这本书？", \
+        "Trains that leave at 7 need 12 hours"
+    benchmark = spark.createDataFrame([(1, short), (2, names), (3, chinese), (4, ITEM), (5, late)], "item_id long, text string")
+    rows = [(101, f"Quiz night, {short} Nobody knew."), (102, f"the list: {names} and so on"), (103, f"昨天老师问我们{chinese}没有人知道"),
+            (104, f"see below\n{ITEM.upper()}"), (105, f"see below\n{ITEM.title()}"), (106, "who wrote war and peace"),
+            (107, f"Chapter one, {late.replace('7', '9').replace('12', '20')} today"), (108, "红楼梦是一本书")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    found = C.with_row_key(docs).join(C.contaminated(docs, benchmark), "__k").collect()
+    assert {r.doc_id: r.item_id for r in found} == {101: 1, 102: 2, 103: 3, 104: 4, 105: 4, 107: 5} and len(found) == 6
