@@ -97,7 +97,7 @@ class Model:
     """Count tables, weights and final map."""
 
     def __init__(self):
-        self.counts = np.zeros((PREDICTORS, 2, 1 << SLOT_BITS), np.float32)
+        self.counts = np.zeros((PREDICTORS, 2, 1 << SLOT_BITS), np.float64)  # float32 stops counting at 2^24
         self.weights = np.full((PREDICTORS, CONFIDENCE, 8), 0.3, np.float64)
         self.map = np.zeros((8, MAP_BINS, 2), np.float64)
         self.seen = 0.0
@@ -148,7 +148,7 @@ class Model:
             for k, slot in enumerate(by_predictor):
                 for b in (0, 1):
                     use = bit == b
-                    np.add.at(self.counts[k, b], slot[use], times[use].astype(np.float32))
+                    np.add.at(self.counts[k, b], slot[use], times[use])
         self.seen += times.sum()
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def _learn(batches):
             if part.any():
                 what.append(order)
                 at.append(k)
-                blob.append(_compress(part.astype(np.float32)))
+                blob.append(_compress(part))
     what += [-1, -2]
     at += [0, 0]
     blob += [_compress(np.append(model.weights.ravel() * model.seen, model.seen)), _compress(model.map)]
@@ -216,7 +216,7 @@ def _add_up(batches):
     sums: dict = {}
     for batch in batches:
         for what, at, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            part = _expand(blob, np.float32 if what >= 0 else np.float64).astype(np.float64)
+            part = _expand(blob, np.float64)
             sums[what, at] = sums[what, at] + part if (what, at) in sums else part
     if sums:
         keys = sorted(sums)

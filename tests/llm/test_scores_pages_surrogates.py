@@ -68,6 +68,15 @@ def test_model_is_a_distribution_and_learns():
     assert np.allclose(one, alone)
 
 
+def test_counts_go_on_above_float32():
+    model = L.Model()
+    key = np.array([ord("a")], np.uint64)
+    model.learn(key, np.array([1 << 24]))
+    for _ in range(9):
+        model.learn(key, np.array([1]))
+    assert model.counts[0].sum(0).max() == (1 << 24) + 9
+
+
 def test_score_edges(spark):
     docs = edge_docs(spark)
     held = F.col("doc_id") == 4
