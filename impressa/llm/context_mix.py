@@ -1,22 +1,23 @@
 """Language-model scoring by online logistic context mixing.
 
 The model codes a text byte by byte (an end symbol last), each byte as eight binary decisions from
-the high bit down.  Five contexts (the last 0 to 4 bytes) each have a hashed table of (zeros, ones)
-counts that predicts the next bit; the predictions are mixed in the logistic domain.  The weight of a
+the high bit down.  Five contexts (the last 0 to 4 bytes) each have exact (zeros, ones) counts of
+every bit node seen, which predict the next bit; the predictions are mixed in the logistic domain.  The weight of a
 predictor is gated by its own count (how often its context was seen) and by the bit's place, and
 an adaptive map from the mixed prediction to the observed frequency refines the result.  The
 decisions of a context always sum to a proper distribution over bytes.
 
-Training goes through the texts once, in growing chunks: the bits of a chunk are predicted from the counts
-of what came before, errors move the weights (a damped Newton step per weight) and the map, then
-the chunk's counts are added.  Every task does so for its own part; the count tables of all
-tasks are summed by Spark, per slice of slots, and the weights averaged.  The model has a fixed
-size (``PREDICTORS * 2 ** SLOT_BITS`` slots) and alone is sent to the scoring tasks.  Since the bits of
-equal (four bytes, next byte) strings cost the same, each distinct one of a chunk is handled once.
+Documents are dealt to groups of a few megabytes.  Weights and map are learned in every group, going
+through its training texts once, in growing chunks: the bits of a chunk are predicted from the
+counts of what came before in the group, errors move the weights (a damped Newton step per weight)
+and the map, then the chunk's counts are added.  The weights of all groups are averaged; they and the
+map (a few kilobytes) alone go through the driver.  Since the bits of equal (four bytes, next byte)
+strings cost the same, each distinct one of a chunk is handled once.
 
-The base score needs the exact count of every word: documents are dealt to groups of a few
-megabytes, each group asks for its distinct words once, hash buckets add up the training counts
-of all groups and answer.  Words are 64-bit hashes.  No count table is collected.
+Scores use the counts of all training texts: each group asks for its distinct words and its distinct
+(context, bit node) pairs once, hash buckets add up the training counts of all groups and answer.
+So what is gathered grows with the training texts, and no count table is collected or sent to all.
+Contexts are exact, words are 64-bit hashes.
 
 Defined cases: null text is empty (one end token, one end symbol); a null doc_id counts as training
 text of an id "" and is not held out; without any training text the model is uniform; repeated
@@ -34,7 +35,7 @@ from impressa.llm.registry import query, table
 from impressa.llm.textnum import LOWER, chunks, mix64, prefix_hash, span_hash, text_buffer, word_spans
 from impressa.session import cut_lineage
 
-PREDICTORS, SLOT_BITS, SLICE_BITS = 5, 20, 14
+PREDICTORS = 5
 CONFIDENCE, MAP_BINS = 12, 33  # gates by count, bins of the final map
 END = 0xFF  # never a byte of UTF-8
 FIRST_CHUNK, CHUNK, GROUP_BYTES = 1 << 16, 4_000_000, 8 << 20
@@ -71,10 +72,16 @@ def distinct(keys: np.ndarray):
     return keys[first], np.diff(np.append(first, len(keys))), (both & np.uint64(0x3FFFFF)).astype(np.int64)
 
 
-def _slots(keys: np.ndarray, node: np.ndarray, length: int) -> np.ndarray:
-    context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * length)) - 1)
-    return (mix64(context * np.uint64(0x9E3779B97F4A7C15) + node + np.uint64(length << 56)) >>
-            np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def nodes(keys: np.ndarray, order: int):
+    """For each bit place: (bit of each key, its node's place among the distinct nodes, the distinct
+    nodes ascending) of keys; a node is the context of ``order`` bytes and the bits before."""
+    short, back = np.unique(keys & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
+    for place in range(8):
+        prefix = short >> np.uint64(8 - place)
+        new = np.append(True, prefix[1:] != prefix[:-1])[:len(prefix)]
+        first = prefix[new]
+        codes = (first >> np.uint64(place)) << np.uint64(8) | np.uint64(1 << place) | first & np.uint64((1 << place) - 1)
+        yield ((keys >> np.uint64(7 - place)) & np.uint64(1)).astype(np.int64), (np.cumsum(new) - 1)[back], codes
 
 
 def windows(offsets: np.ndarray, first: int = CHUNK):
@@ -94,29 +101,40 @@ def _squash(x):
 
 
 class Model:
-    """Count tables, weights and final map."""
+    """Counts by node, weights and final map."""
 
     def __init__(self):
-        self.counts = np.zeros((PREDICTORS, 2, 1 << SLOT_BITS), np.float64)  # float32 stops counting at 2^24
+        self.codes = [np.zeros(0, np.uint64) for _ in range(PREDICTORS)]
+        self.counts = [np.zeros((2, 0)) for _ in range(PREDICTORS)]  # float32 stops counting at 2^24
         self.weights = np.full((PREDICTORS, CONFIDENCE, 8), 0.3, np.float64)
         self.map = np.zeros((8, MAP_BINS, 2), np.float64)
         self.seen = 0.0
 
     def predictions(self, keys: np.ndarray):
-        """For each bit place: (bit, per predictor (slot, stretched prediction, gate))."""
-        symbol = (keys & np.uint64(0xFF)).astype(np.int64)
-        for place in range(8):
-            node = ((symbol | 256) >> (8 - place)).astype(np.uint64)
+        """For each bit place: (place, bit, per predictor (stretched prediction, gate))."""
+        for place, found in enumerate(zip(*(nodes(keys, k) for k in range(PREDICTORS)))):
             parts = []
-            for k in range(PREDICTORS):
-                slot = _slots(keys, node, k)
-                zeros, ones = self.counts[k, 0, slot], self.counts[k, 1, slot]
+            for k, (bit, back, codes) in enumerate(found):
+                at = np.minimum(np.searchsorted(self.codes[k], codes), max(len(self.codes[k]) - 1, 0))
+                known = self.codes[k][at] == codes if len(self.codes[k]) else np.zeros(len(codes), bool)
+                zeros, ones = self.counts[k][:, at] * known if len(self.codes[k]) else np.zeros((2, len(codes)))
                 gate = np.minimum(np.log2(zeros + ones + 1).astype(np.int8), CONFIDENCE - 1)
-                parts.append((slot, np.log((ones + PRIOR) / (zeros + PRIOR)), gate))
-            yield place, (symbol >> (7 - place)) & 1, parts
+                parts.append((np.log((ones + PRIOR) / (zeros + PRIOR))[back], gate[back]))
+            yield place, bit, parts
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        """Adds to the counts of the keys' nodes; those of a key with number 0 are known from then on."""
+        for k in range(PREDICTORS):
+            codes, counts = [self.codes[k]], [self.counts[k]]
+            for bit, back, new in nodes(keys, k):
+                codes.append(new)
+                counts.append(np.stack([np.bincount(back, times * (bit == b), len(new)) for b in (0, 1)]))
+            self.codes[k], back = np.unique(np.concatenate(codes), return_inverse=True)
+            both = np.concatenate(counts, axis=1)
+            self.counts[k] = np.stack([np.bincount(back, c, len(self.codes[k])) for c in both])
 
     def mixed(self, place: int, parts, use=slice(None)):
-        return sum(self.weights[k, gate[use], place] * x[use] for k, (_, x, gate) in enumerate(parts))
+        return sum(self.weights[k, gate[use], place] * x[use] for k, (x, gate) in enumerate(parts))
 
     def refined(self, place: int, mixed: np.ndarray) -> np.ndarray:
         """Probability of a one: the squashed mix, moved half way to the frequency seen at it."""
@@ -129,26 +147,20 @@ class Model:
     def learn(self, keys: np.ndarray, times: np.ndarray) -> None:
         """One online step over distinct keys with their numbers."""
         times = times.astype(np.float64)
-        slots = []
-        for place, bit, parts in self.predictions(keys):
-            if self.seen:
+        if self.seen:
+            for place, bit, parts in self.predictions(keys):
                 for step in range(STEPS):
                     use = slice(step, None, STEPS)
                     p = _squash(self.mixed(place, parts, use))
                     wrong, slope = times[use] * (bit[use] - p), times[use] * np.maximum(p * (1 - p), 1e-4)
-                    for k, (_, x, gate) in enumerate(parts):
+                    for k, (x, gate) in enumerate(parts):
                         g = np.bincount(gate[use], wrong * x[use], CONFIDENCE)
                         h = np.bincount(gate[use], slope * x[use] * x[use], CONFIDENCE)
                         self.weights[k, :, place] += RATE * g / (h * PREDICTORS + 50.0)
                 at = _bin(self.mixed(place, parts))
                 for b in (0, 1):
                     self.map[place, :, b] += np.bincount(at, times * (bit == b), MAP_BINS)
-            slots.append((bit, [s for s, _, _ in parts]))
-        for bit, by_predictor in slots:
-            for k, slot in enumerate(by_predictor):
-                for b in (0, 1):
-                    use = bit == b
-                    np.add.at(self.counts[k, b], slot[use], times[use])
+        self.add(keys, times)
         self.seen += times.sum()
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -165,6 +177,15 @@ class Model:
             for a in range(0, len(keys), 1 << 22):
                 self.learn(*distinct(keys[a:a + (1 << 22)])[:2])
 
+    def count_texts(self, buf: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> None:
+        """Adds the texts that are not ``held``; the nodes of all are known from then on."""
+        for i, j in windows(offsets):
+            keys, doc = symbols(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+            for a in range(0, len(keys), 1 << 22):
+                each, times, position = distinct(keys[a:a + (1 << 22)])
+                trained = ~held[i:j][doc[a:a + (1 << 22)][position]]
+                self.add(each, np.add.reduceat(trained.astype(np.float64), np.cumsum(times) - times))
+
     def score_texts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of every text."""
         out = np.zeros(len(offsets) - 1)
@@ -188,59 +209,40 @@ def _expand(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
-def _learn(batches):
-    """One online model per task; gives its tables slice by slice, its weights and its map."""
+def _learn(key, group):
+    """Weights and map, learned online from a group's training texts."""
     model = Model()
-    for batch in batches:
-        model.learn_texts(*text_buffer(batch.column("text")))
-    if not model.seen:
-        return
-    what, at, blob = [], [], []
-    size = 1 << SLICE_BITS
-    for order in range(PREDICTORS):
-        for k in range(1 << (SLOT_BITS - SLICE_BITS)):
-            part = model.counts[order, :, k * size:(k + 1) * size]
-            if part.any():
-                what.append(order)
-                at.append(k)
-                blob.append(_compress(part))
-    what += [-1, -2]
-    at += [0, 0]
-    blob += [_compress(np.append(model.weights.ravel() * model.seen, model.seen)), _compress(model.map)]
-    yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(at, pa.int32()), pa.array(blob, pa.binary())],
-                                     names=["what", "at", "blob"])
+    held = group.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    model.learn_texts(*text_buffer(group.filter(pa.array(~held)).column("text")))
+    blob = [_compress(np.append(model.weights.ravel() * model.seen, model.seen)), _compress(model.map)] if model.seen else []
+    return pa.table({"what": pa.array([-1, -2][:len(blob)], pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
 def _add_up(batches):
-    """Sums the blobs of each (what, at) of a partition."""
+    """Sums the blobs of each kind of a partition."""
     sums: dict = {}
     for batch in batches:
-        for what, at, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for what, blob in zip(*(c.to_pylist() for c in batch.columns)):
             part = _expand(blob, np.float64)
-            sums[what, at] = sums[what, at] + part if (what, at) in sums else part
+            sums[what] = sums[what] + part if what in sums else part
     if sums:
-        keys = sorted(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-             pa.array([_compress(sums[k].astype(np.float32 if k[0] >= 0 else np.float64)) for k in keys], pa.binary())],
-            names=["what", "at", "blob"])
-
-
-_PART = "what int, at int, blob binary"
-
-
-def train(texts: DataFrame) -> Model:
-    """The model of all rows' texts; the driver receives only the summed tables."""
-    parts = texts.select("text").mapInArrow(_learn, _PART).repartition("what", "at").mapInArrow(_add_up, _PART).collect()
-    model, size = Model(), 1 << SLICE_BITS
-    for r in sorted(parts, key=lambda r: (r["what"], r["at"])):
-        if r["what"] >= 0:
-            model.counts[r["what"], :, r["at"] * size:(r["at"] + 1) * size] = _expand(r["blob"], np.float32).reshape(2, size)
-        elif r["what"] == -1:
-            w = _expand(r["blob"], np.float64)
-            model.weights, model.seen = (w[:-1] / w[-1]).reshape(model.weights.shape), float(w[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(map(_compress, sums.values()), pa.binary())],
+                                         names=["what", "blob"])
+
+
+_PART = "what int, blob binary"
+
+
+def train(dealt) -> Model:
+    """Weights and map of all groups' training texts, without counts; the driver receives two rows."""
+    parts = dealt.applyInArrow(_learn, _PART).mapInArrow(_add_up, _PART).repartition("what").mapInArrow(_add_up, _PART).collect()
+    model = Model()
+    for r in parts:
+        part = _expand(r["blob"], np.float64)
+        if r["what"] == -1:
+            model.weights, model.seen = (part[:-1] / part[-1]).reshape(model.weights.shape), float(part[-1])
         else:
-            model.map = _expand(r["blob"], np.float64).reshape(model.map.shape).copy()
+            model.map = part.reshape(model.map.shape).copy()
     return model
 
 
@@ -261,8 +263,19 @@ def _group_words(group: pa.Table):
         group.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
+def _asked_nodes(group: pa.Table, bucket_bits: int):
+    """(model with a group's nodes and training counts, all its nodes with their order, bucket of each,
+    positions sorted by bucket)."""
+    model = Model()
+    model.count_texts(*text_buffer(group.column("text")), group.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
+    codes = np.concatenate([c | np.uint64(k << 40) for k, c in enumerate(model.codes)])
+    bucket = (mix64(codes >> np.uint64(8)) >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(codes), np.int64)
+    return model, codes, bucket, np.argsort(bucket, kind="stable")
+
+
 def _ask(bucket_bits: int):
-    """A group's distinct words with their training counts, cut into hash buckets."""
+    """A group's distinct words and nodes with their training counts, cut into hash buckets; those of
+    nodes are numbered from -1 down."""
     def run(key, group):
         words, before, held = _group_words(group)
         asked = np.unique(words)
@@ -272,17 +285,27 @@ def _ask(bucket_bits: int):
         bucket = (asked >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(asked), np.int64)
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(asked)) if len(asked) else [0]
         spans = list(zip(edges[:-1], edges[1:]))
+        rows = [(int(bucket[a]), asked[a:b].tobytes(), _compress(counts[a:b])) for a, b in spans]
+        model, codes, bucket, order = _asked_nodes(group, bucket_bits)
+        both = np.concatenate(model.counts, axis=1).astype(np.uint32)
+        ends = np.cumsum(np.bincount(bucket))
+        for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+            if a < b:
+                at = order[a:b]
+                rows.append((-1 - k, _compress(np.diff(codes[at], prepend=np.uint64(0))), _compress(both[:, at])))
         return pa.table({
-            "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
-            "g": pa.array([key[0].as_py()] * len(spans), pa.int64()),
-            "asked": pa.array([asked[a:b].tobytes() for a, b in spans], pa.binary()),
-            "counts": pa.array([_compress(counts[a:b]) for a, b in spans], pa.binary())})
+            "bucket": pa.array([r[0] for r in rows], pa.int64()),
+            "g": pa.array([key[0].as_py()] * len(rows), pa.int64()),
+            "asked": pa.array([r[1] for r in rows], pa.binary()),
+            "counts": pa.array([r[2] for r in rows], pa.binary())})
     return run
 
 
 def _answer(key, asked):
     """Counts over all groups for what each group asked of one bucket; group -1 gets the bucket's
     numbers of distinct and of all training words."""
+    if key[0].as_py() < 0:
+        return _answer_nodes(key, asked)
     hashes = [np.frombuffer(b, np.uint64) for b in asked.column("asked").to_pylist()]
     counts = [_expand(b, np.uint32) for b in asked.column("counts").to_pylist()]
     _, back = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -297,11 +320,34 @@ def _answer(key, asked):
                      "n": pa.array([0] * n + [int(total.sum())], pa.int64())})
 
 
+def _answer_nodes(key, asked):
+    codes = [np.cumsum(_expand(b, np.uint64)) for b in asked.column("asked").to_pylist()]
+    at = np.cumsum([0, *map(len, codes)])
+    _, back = np.unique(np.concatenate(codes), return_inverse=True)
+    counts = np.concatenate([_expand(b, np.uint32).reshape(2, -1) for b in asked.column("counts").to_pylist()], axis=1)
+    total = np.stack([np.bincount(back, c).astype(np.int64) for c in counts])
+    n = len(codes)
+    return pa.table({"g": asked.column("g").cast(pa.int64()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()),
+                     "counts": pa.array([_compress(total[:, back[a:b]]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                     "v": pa.array([0] * n, pa.int64()), "n": pa.array([0] * n, pa.int64())})
+
+
 _DIGEST = "doc_id long, held_out boolean, words long, known long, base double, score double, v long, n long"
 
 
-def _score(model):
-    """Scores a group's documents with the model and the answered word counts."""
+def _answered(learned: Model, group: pa.Table, rows, bucket_bits: int) -> Model:
+    """The learned weights and map with the answered counts of a group's nodes."""
+    model, _, _, order = _asked_nodes(group, bucket_bits)
+    both = np.empty((2, len(order)))
+    both[:, order] = np.concatenate([_expand(b, np.int64).reshape(2, -1) for _, b in rows], axis=1)
+    ends = np.cumsum([0, *map(len, model.codes)])
+    model.counts = [both[:, a:b] for a, b in zip(ends[:-1], ends[1:])]
+    model.weights, model.map, model.seen = learned.weights, learned.map, learned.seen
+    return model
+
+
+def _score(model, bucket_bits: int):
+    """Scores a group's documents with the model and the answered counts."""
     def run(key, group, replies):
         out = {"doc_id": group.column("doc_id").to_pylist()}
         docs = len(out["doc_id"])
@@ -309,11 +355,12 @@ def _score(model):
             words, before, held = _group_words(group)
             asked, back = np.unique(words, return_inverse=True)
             rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
-            count = np.concatenate([np.zeros(0, np.int64), *(_expand(b, np.int64) for _, b in rows)])[back]
+            count = np.concatenate([np.zeros(0, np.int64), *(_expand(b, np.int64) for k, b in rows if k >= 0)])[back]
+            exact = _answered(model.value, group, [r for r in reversed(rows) if r[0] < 0], bucket_bits)
             doc = np.repeat(np.arange(docs), np.diff(before))
             out |= {"held_out": held, "words": np.diff(before), "known": np.bincount(doc, count > 0, docs).astype(np.int64),
                     "base": np.bincount(doc, np.log10(count + 1.0), docs)}
-            out |= {"score": model.value.score_texts(*text_buffer(group.column("text"))), "v": [0] * docs, "n": [0] * docs}
+            out |= {"score": exact.score_texts(*text_buffer(group.column("text"))), "v": [0] * docs, "n": [0] * docs}
         else:  # the stray group -1: totals
             out = {"doc_id": [None], "held_out": [None], "words": [-1], "known": [0], "base": [0.0], "score": [0.0],
                    "v": [sum(replies.column("v").to_pylist())], "n": [sum(replies.column("n").to_pylist())]}
@@ -326,15 +373,15 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row;
     the rows that are not ``held_out`` are the training texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    model = spark.sparkContext.broadcast(train(rows.where(~F.col("held_out"))))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"),
                     F.sum((~F.col("held_out")).cast("long")).alias("train")).collect()[0]
     groups = max(1, -(-(size["b"] or 0) // GROUP_BYTES))
     bits = int(groups - 1).bit_length()
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).groupBy("g")
+    model = spark.sparkContext.broadcast(train(dealt))
     answers = dealt.applyInArrow(_ask(bits), "bucket long, g long, asked binary, counts binary") \
         .groupBy("bucket").applyInArrow(_answer, "g long, bucket long, counts binary, v long, n long")
-    scored = cut_lineage(dealt.cogroup(answers.groupBy("g")).applyInArrow(_score(model), _DIGEST))
+    scored = cut_lineage(dealt.cogroup(answers.groupBy("g")).applyInArrow(_score(model, bits), _DIGEST))
     totals = scored.where("words < 0").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()[0]
     ends = size["train"] or 0
     v, n = (totals["v"] or 0) + (1 if ends else 0), (totals["n"] or 0) + ends

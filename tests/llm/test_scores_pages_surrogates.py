@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 
 from impressa.llm import context_mix as L
@@ -77,6 +78,34 @@ def test_counts_go_on_above_float32():
     assert model.counts[0].sum(0).max() == (1 << 24) + 9
 
 
+def test_context_counts_grow_and_are_exact_over_groups():
+    rng = random.Random(3)
+    buf, off = text_buffer(pa.array(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)) for _ in range(3)]))
+    model = L.Model()
+    model.count_texts(buf, off, np.zeros(3, bool))
+    assert model.counts[4].shape[1] > 1 << 20 and all(c.sum() == 8 * 300_003 for c in model.counts)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.randint(0, 300))) for _ in range(12)]
+    held = [i % 4 == 1 for i in range(12)]
+    cut = lambda a, b: pa.table({"doc_id": list(range(a, b)), "held_out": held[a:b], "text": texts[a:b]})
+    groups = [cut(0, 5), cut(5, 12)]
+    asked = pa.concat_tables(L._ask(2)((pa.scalar(g),), t) for g, t in enumerate(groups))
+    replies = pa.concat_tables(L._answer((pa.scalar(b),), asked.filter(pa.compute.equal(asked["bucket"], b)))
+                               for b in sorted(set(asked["bucket"].to_pylist())))
+    whole = L.Model()
+    whole.learn_texts(*text_buffer(pa.array([t for t, h in zip(texts, held) if not h])))
+    learned = type("Sent", (), {"value": whole})
+    want = collections.Counter()
+    for t in (t.encode() + b"\xff" for t, h in zip(texts, held) if not h):
+        want.update((b"\0\0\0\0" + t)[i:i + 5] for i in range(len(t)))
+    last = {int(c): n for c, n in zip(whole.codes[4], whole.counts[4].T) if c & np.uint64(0x80)}
+    assert sum(n.sum() for n in last.values()) == sum(want.values())
+    for five, n in want.items():
+        assert last[int.from_bytes(five[:4], "big") << 8 | 128 | five[4] >> 1][five[4] & 1] == n
+    for g, t in enumerate(groups):
+        got = L._score(learned, 2)((pa.scalar(g),), t, replies.filter(pa.compute.equal(replies["g"], g)))
+        assert np.allclose(got["score"].to_pylist(), whole.score_texts(*text_buffer(t["text"])))
+
+
 def test_score_edges(spark):
     docs = edge_docs(spark)
     held = F.col("doc_id") == 4
