@@ -9,6 +9,10 @@ kind and the form: length, letter case, separators and country code; a card keep
 issuer digit and a valid check digit; an IPv4 address stays one; a name keeps its script (Latin or
 Cyrillic) and takes the gender that any of its titles shows.
 
+A name found after a title is replaced everywhere in its document, also where a capitalised mention has
+no title; such mentions are not counted in ``n_entities``.  Numbers of 13 to 19 digits that are not
+grouped in fours are cards only if their check digit is right.
+
 Distinct entities stay distinct: a draw that equals another entity's surrogate or any original
 value is refused, the smallest value keeps a contested draw, and the others draw again with the
 next attempt until none is left.  This runs on the table of distinct entities, by joins and
@@ -39,11 +43,14 @@ SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=
 ACCESS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
 CARD = r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)"
+LONG_CARD = r"(?<![\d+])(?:\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\d)"
+ABROAD = r"(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .-]?\(?\d{1,8}\)?){1,6}(?!\d)"
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 NAME = rf"\b(?:{MALE}|{FEMALE}|{ANY})\.? +\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
 KINDS = {"email": EMAIL, "secret": SECRET, "access": ACCESS, "ip": IP, "ssn": SSN, "card": CARD.replace(r"\1", "[ -]?").replace("([ -]?)", "[ -]?"),
-         "phone": PHONE, "name": NAME}
+         "phone": PHONE, "abroad": ABROAD, "long": LONG_CARD, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 # Cheap test that every text with an entity passes.
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|\b(?:{MALE}|{FEMALE}|{ANY})\b"
@@ -55,13 +62,17 @@ def has_entity(text: Column) -> Column:
 
 def parts(match: Column) -> Column:
     """Array of (before, raw, kind, value, gender): what a match consists of; ``before`` is kept."""
-    kind = F.coalesce(*[F.when(match.rlike(f"^(?:{p})$"), k) for k, p in KINDS.items()])
+    form = F.coalesce(*[F.when(match.rlike(f"^(?:{p})$"), k) for k, p in KINDS.items()])
+    number = F.regexp_replace(match, "[^0-9]", "")
+    valid = _luhn(F.substring(number, F.lit(1), F.length(number) - 1)) == F.right(number, F.lit(1))
+    kind = F.when(form == "abroad", "phone").when(form == "long", F.when(valid, "card").otherwise("plain")).otherwise(form)
     before = F.when(kind == "secret", F.regexp_extract(match, r"^(\w+[^=:]*[=:]\s*[\"']?)", 1)).otherwise(F.lit(""))
 
     def simple(kind: Column, before: Column) -> Column:
         raw = F.substring(match, F.length(before) + 1, F.length(match))
         digits = F.regexp_replace(raw, "[^0-9]", "")
-        value = F.when(kind == "email", F.lower(raw)).when(kind == "phone", F.right(digits, F.lit(10))) \
+        value = F.when(kind == "email", F.lower(raw)).when(kind == "phone", F.when(raw.rlike(f"^(?:{PHONE})$"), F.right(digits, F.lit(10)))
+                                                                      .otherwise(F.regexp_replace(digits, COUNTRY, ""))) \
             .when(kind.isin("card", "ssn"), digits).otherwise(raw)
         return F.array(F.struct(before.alias("before"), raw.alias("raw"), kind.alias("kind"), value.alias("value"),
                                 F.lit(None).cast("string").alias("gender")))
@@ -179,16 +190,30 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     mentions = cut_lineage(found.select("__k", F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("at", "match"))
                            .distinct().select("__k", "at", F.posexplode(parts(F.col("match"))).alias("sub", "p"))
                            .select("__k", "at", "sub", "p.*"))
-    entities = cut_lineage(mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender")))
-    chosen = mentions.join(assign(entities, key), ["kind", "value"]) \
-        .withColumn("s", F.concat("before", in_form_of(F.col("raw"), F.col("kind"), F.col("surrogate"))))
-    per = chosen.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("at", "sub", "s"))).alias("all"))
-    new = per.select("__k", F.transform(
+    entities = cut_lineage(mentions.where("kind <> 'plain'").groupBy("kind", "value").agg(F.min("gender").alias("gender")))
+    chosen = mentions.join(assign(entities, key), ["kind", "value"], "left") \
+        .withColumn("s", F.concat("before", F.when(F.col("kind") == "plain", F.col("raw")).otherwise(
+            in_form_of(F.col("raw"), F.col("kind"), F.col("surrogate")))))
+    per = chosen.groupBy("__k").agg(
+        F.array_sort(F.collect_list(F.struct("at", "sub", "s"))).alias("all"),
+        F.countDistinct(F.when(F.col("kind") != "plain", F.col("at"))).alias("__n"),
+        F.map_from_entries(F.collect_set(F.when(F.col("kind") == "name", F.struct("value", "surrogate")))).alias("__names"))
+    new = per.select("__k", "__n", "__names", F.transform(
         F.array_distinct(F.col("all.at")), lambda a: F.array_join(F.transform(
             F.filter("all", lambda x: x["at"] == a), lambda x: x["s"]), "")).alias("__s"))
+
+    def untitled(gap: Column) -> Column:
+        """``gap`` with the names of the document replaced."""
+        def one(w: Column) -> Column:
+            name = F.try_element_at("__names", F.lower(w))
+            return F.when((F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))) & name.isNotNull(), in_form_of(w, F.lit("name"), name)) \
+                .otherwise(w)
+        words = F.regexp_extract_all(gap, F.lit(r"\p{L}+(?:[-'’]\p{L}{2,})*|[^\p{L}]+"), F.lit(0))
+        return F.when(F.size("__names") > 0, F.array_join(F.transform(words, one), "")).otherwise(gap)
+
     gaps = F.split("text", ENTITY, -1)
-    text = let(gaps, lambda g: F.array_join(F.transform(g, lambda t, i: F.concat(t, F.coalesce(F.get("__s", i), F.lit("")))), ""))
-    changed = found.join(new, "__k").withColumn("n_entities", F.size("__s").cast("long")).withColumn("text", text)
+    text = let(gaps, lambda g: F.array_join(F.transform(g, lambda t, i: F.concat(untitled(t), F.coalesce(F.get("__s", i), F.lit("")))), ""))
+    changed = found.join(new, "__k").withColumn("n_entities", F.col("__n")).withColumn("text", text)
     same = docs.where(~has_entity(F.col("text"))).withColumn("n_entities", F.lit(0).cast("long"))
     columns = [c for c in docs.columns if c != "n_entities"] + ["n_entities"]
     return changed.select(*columns).unionByName(same.select(*columns))

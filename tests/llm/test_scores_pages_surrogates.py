@@ -250,3 +250,14 @@ def test_surrogate_edges_and_query(spark):
         assert not any(x in (r.text or "") for x in old) and (r.n_entities > 0) >= bool(old)
         if not r.n_entities:
             assert r.text == before[r.doc_id]
+
+
+def test_untitled_names_foreign_phones_and_long_cards(spark):
+    out = _replace(spark, [(1, "Smith rang. Mr. John Smith came. Smith's dog and SMITH left; smith is a trade."), (2, "Smith is unknown here"),
+                           (3, "call +44 20 7946 0958 or +49 30 1234567."), (4, "amex 3782 822463 10005, 378282246310005, no card 1234567890123")])
+    first, last, again, upper = re.match(r"(\w+) rang\. Mr\. \w+ (\w+) came\. (\w+)'s dog and (\w+) left; smith is a trade\.$", out[1].text).groups()
+    assert first == last == again != "Smith" and upper == last.upper() and out[2].text == "Smith is unknown here"
+    uk, de = re.match(r"call \+44 (\d\d \d{4} \d{4}) or \+49 (\d\d \d{7})\.$", out[3].text).groups()
+    assert uk != "20 7946 0958" and de != "30 1234567" and out[3].n_entities == 2
+    one, two = re.match(r"amex (\d{4} \d{6} \d{5}), (\d{15}), no card 1234567890123$", out[4].text).groups()
+    assert one.replace(" ", "") == two != "378282246310005" and two[0] == "3" and out[4].n_entities == 2
