@@ -6,10 +6,14 @@ or task retries, and any SQL engine can reproduce it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impressa.functions.scalar import click_mask, hash_key, hash_uniform
+from impressa.operators.vocab import dense_index
+from impressa.session import stored
 
 HEX60 = 15  # hex digits of md5 used for the exact-k sort key (60 bits, fits a signed long)
 
@@ -82,7 +86,8 @@ def sample_exact(df: DataFrame, k: int, seed: int = 1234, key: str = "imp_id",
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
-    h = df.withColumn("_h", _sort_key(seed, key))
+    # stored once: every level reads one hash column; the row number tells equal keys apart
+    h = stored(df.withColumn("_h", _sort_key(seed, key)).withColumn("_tie", F.monotonically_increasing_id()))
     total_bits = HEX60 * 4
     lo_prefix, prev_shift, shift, need = None, total_bits, total_bits, k
     cond_below = F.lit(False)
@@ -106,10 +111,29 @@ def sample_exact(df: DataFrame, k: int, seed: int = 1234, key: str = "imp_id",
         lo_prefix = bucket
         if cnt <= final_rows or shift == 0:
             break
+    # ties in all hash bits go on by key, then by row; numbering is distributed, so the boundary may be of any size
     boundary = h.where(F.shiftright("_h", shift) == bucket)
-    w = Window.orderBy("_h", key)  # boundary bucket only: at most final_rows rows
-    picked = boundary.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need).drop("_r")
-    return h.where(cond_below).unionByName(picked).drop("_h")
+    picked = dense_index(boundary, ["_h", key, "_tie"], "_r").where(F.col("_r") <= need).drop("_r")
+    return h.where(cond_below).unionByName(picked).drop("_h", "_tie")
+
+
+def split_exact(df: DataFrame, size: float | int, seed: int = 1234, key: str = "imp_id") -> DataFrame:
+    """D2, exact: adds ``part`` = 'val' for exactly ceil(size * rows) rows (a share below 1) or ``size`` rows (a
+    whole number), the ones with the smallest md5(seed|key), else 'train'; size 0 means no validation part."""
+    if size < 0 or (size > 1 and size != int(size)):
+        raise ValueError("size must be a share up to 1 or a whole number of rows")
+    if size == 0:
+        return df.withColumn("part", F.lit("train"))
+    n = df.count()
+    k = int(size) if size > 1 or isinstance(size, int) else math.ceil(size * n)
+    if n == 0:
+        return df.withColumn("part", F.lit("train"))
+    # the largest chosen (hash, key) splits the table by a predicate
+    chosen = sample_exact(df.select(key), k, seed, key)
+    last = chosen.agg(F.max(F.struct(_sort_key(seed, key).alias("h"), F.col(key).alias("k"))).alias("m")).first()["m"]
+    h = _sort_key(seed, key)
+    val = (h < last["h"]) | ((h == last["h"]) & (F.col(key) <= F.lit(last["k"])))
+    return df.withColumn("part", F.when(val, "val").otherwise("train"))
 
 
 def catalogue_subset(news: DataFrame, behaviors_long_ids: DataFrame) -> DataFrame:

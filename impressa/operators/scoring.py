@@ -15,12 +15,14 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from impressa.functions.scalar import dot, relu
 from impressa.operators.skew import lookup_join
+from impressa.session import stored
 
 
 def _lit_vec(v: Sequence[float]) -> Column:
@@ -86,38 +88,91 @@ def _vectors(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(matrix.ravel(), pa.float64()))
 
 
+def _runs(groups: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row order, start of each run in it, the runs' group values); nulls are one group."""
+    if isinstance(groups, pa.ChunkedArray):
+        groups = groups.combine_chunks()
+    coded = pc.dictionary_encode(groups, null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+    return order, start, coded.dictionary.take(pa.array(codes[order][start]))
+
+
+def _combined(order, start, top, total, n, acc):
+    """States (largest logit, sum of exp(logit - largest), rows, weighted vector) of equal groups, combined."""
+    top, total, n, acc = top[order], total[order], n[order], acc[order]
+    size = np.diff(np.append(start, len(order)))
+    new = np.maximum.reduceat(top, start)
+    scale = np.exp(top - np.repeat(new, size))
+    return new, np.add.reduceat(total * scale, start), np.add.reduceat(n, start), np.add.reduceat(acc * scale[:, None], start, axis=0)
+
+
+def _matrix(column) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1)
+
+
 def _pool(items: DataFrame, group: str, vec: str, weight: Column, kind: str, out: str, pad_to: int | None = None,
           pad_logit: float = 0.0) -> DataFrame:
-    """Weighted sum of the vectors of each (bounded) group, one exchange and one reduction per
-    Arrow batch.  ``kind``: 'softmax' of the weights (logits), 'mean', or 'sum' as they are."""
-    g = items.groupBy(group).agg(F.collect_list(F.struct(weight.cast("double").alias("w"), F.col(vec).alias("v"))).alias("_xs"))
-    schema = T.StructType([g.schema[group], T.StructField(out, T.ArrayType(T.DoubleType()))])
+    """Weighted sum of the vectors of each group.  ``kind``: 'softmax' of the weights (logits), 'mean', or
+    'sum' as they are.
 
-    def run(batches):
+    A group is never gathered: every Arrow batch is reduced to one mergeable state per group before the
+    shuffle, and behind it the states, sorted by group, are folded into one as they stream by."""
+    rows = items.select(F.col(group).alias("g"), weight.cast("double").alias("w"), F.col(vec).cast("array<double>").alias("v"))
+    state = T.StructType([rows.schema["g"], T.StructField("top", T.DoubleType()), T.StructField("total", T.DoubleType()),
+                          T.StructField("n", T.LongType()), T.StructField("acc", T.ArrayType(T.DoubleType()))])
+    result = T.StructType([T.StructField(group, rows.schema["g"].dataType), T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def partial(batches):
         for batch in batches:
-            offsets, x = _grouped(batch.column("_xs"))
             if not batch.num_rows:
                 continue
-            size, start = np.diff(offsets), offsets[:-1]
-            w = x["w"]
-            if kind == "softmax":
-                top = np.maximum.reduceat(w, start)
-                spare = np.maximum((pad_to or 0) - size, 0)  # padding rows: zero vectors that share the weight
-                top = np.where(spare > 0, np.maximum(top, pad_logit), top)
-                w = np.exp(w - np.repeat(top, size))
-                w = w / np.repeat(np.add.reduceat(w, start) + spare * np.exp(pad_logit - top), size)
-            elif kind == "mean":
-                w = np.repeat(1.0 / size, size)
-            pooled = np.add.reduceat(w[:, None] * x["v"], start, axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(group), _vectors(pooled)], names=[group, out])
-
-    return g.mapInArrow(run, schema)
+            order, start, groups = _runs(batch.column("g"))
+            w, v = batch.column("w").to_numpy(zero_copy_only=False), _matrix(batch.column("v"))
+            one = np.ones(len(w))
+            if kind != "softmax":  # the same state with equal logits: a plain weighted sum and a count
+                w, v = np.zeros(len(w)), v if kind == "mean" else v * w[:, None]
+            top, total, n, acc = _combined(order, start, w, one, one, v)
+            yield pa.RecordBatch.from_arrays([groups, pa.array(top), pa.array(total), pa.array(n.astype(np.int64)), _vectors(acc)],
+                                             names=["g", "top", "total", "n", "acc"])
+
+    def finished(groups, top, total, n, acc):
+        if kind == "softmax":
+            spare = np.maximum((pad_to or 0) - n, 0)  # padding rows: zero vectors that share the weight
+            new = np.where(spare > 0, np.maximum(top, pad_logit), top)
+            total, acc = total * np.exp(top - new) + spare * np.exp(pad_logit - new), acc * np.exp(top - new)[:, None]
+        if kind != "sum":
+            acc = acc / total[:, None]
+        return pa.RecordBatch.from_arrays([groups, _vectors(acc)], names=[group, out])
+
+    def merge(batches):
+        held = None  # the last group's state: the next batch may go on with it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column("g")
+            state = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("top", "total", "n")] + [_matrix(batch.column("acc"))]
+            if held is not None:
+                groups = pa.concat_arrays([held[0], groups])
+                state = [np.concatenate([a, b]) for a, b in zip(held[1], state)]
+            order, start, groups = _runs(groups)
+            state = list(_combined(order, start, *state))
+            last = len(groups) - 1
+            held = (groups.slice(last), [x[last:] for x in state])
+            if last:
+                yield finished(groups.slice(0, last), *[x[:last] for x in state])
+        if held is not None:
+            yield finished(held[0], *held[1])
+
+    return rows.mapInArrow(partial, state).repartition("g").sortWithinPartitions("g").mapInArrow(merge, result)
 
 
 def attention_pool(items: DataFrame, group: str, vec: str, weight, bias, query, out: str = "vec",
                    logit: str | None = None, mask_padding: bool = True, pad_to: int | None = None) -> DataFrame:
     """B2: additive-attention pooling inside each group: alpha = softmax(q . tanh(W x + b)),
-    pooled = sum(alpha x).  Groups are a news item's tokens or views, or one history line.
+    pooled = sum(alpha x).  Groups may have any size (see ``_pool``).
 
     ``logit`` names a column that already holds the logits (they depend on the item only, so callers
     that pool the same items many times compute them once).  With ``mask_padding=False`` groups
@@ -131,15 +186,21 @@ def attention_pool(items: DataFrame, group: str, vec: str, weight, bias, query,
 
 
 def weighted_sum(items: DataFrame, group: str, vec: str, weight: str, out: str = "vec") -> DataFrame:
-    """sum_i w_i x_i per (bounded) group."""
+    """sum_i w_i x_i per group."""
     return _pool(items, group, vec, F.col(weight), "sum", out)
 
 
 def mean_pool(items: DataFrame, group: str, vec: str, out: str = "vec") -> DataFrame:
-    """Plain mean of the vectors of a (bounded) group."""
+    """Plain mean of the vectors of a group."""
     return _pool(items, group, vec, F.lit(1.0), "mean", out)
 
 
+def _first(items: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each group; a task drops the others before the shuffle."""
+    w = Window.partitionBy(group).orderBy(order)
+    return items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def encode_sequences(items: DataFrame, group: str, order: str, vec: str, kernel: Callable, dim_out: int, out: str = "vec",
                      max_len: int | None = None, state: DataFrame | None = None) -> DataFrame:
     """Caller kernels over each group's vectors in ``order`` (B3, B8, B9).  ``kernel`` is called once
@@ -147,9 +208,9 @@ def encode_sequences(items: DataFrame, group: str, order: str, vec: str, kernel:
     of real rows and returns (batch, dim_out).  ``max_len`` keeps the first items of a group (as
     P8).  ``state`` (group, state vector) is passed as a third argument, a recurrent kernel's
     initial state."""
-    g = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vec).alias("v")))).alias("_xs"))
     if max_len is not None:
-        g = g.withColumn("_xs", F.slice("_xs", 1, max_len))
+        items = _first(items, group, order, max_len)
+    g = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vec).alias("v")))).alias("_xs"))
     if state is not None:
         s_col = next(c for c in state.columns if c != group)
         g = g.join(state.select(group, F.col(s_col).alias("_state")), group)
@@ -179,9 +240,12 @@ def encode_sequences(items: DataFrame, group: str, order: str, vec: str, kernel:
 def encode_catalogue(news_tokens: DataFrame, weights: DataFrame, kernel: Callable, dim_out: int, key: str = "news_id",
                      max_len: int | None = None) -> DataFrame:
     """Encode every item once.  Token vectors are gathered by a join (B1) and grouped per
-    item, the first ``max_len`` kept (P8); ``kernel`` sees a batch of items at a time (see
-    ``encode_sequences``).  ``news_tokens`` is (key, tpos, idx)."""
-    return encode_sequences(embed_tokens(news_tokens, weights), key, "tpos", "vec", kernel, dim_out, max_len=max_len)
+    item, the first ``max_len`` known ones kept (P8) before vectors are attached; ``kernel`` sees a batch
+    of items at a time (see ``encode_sequences``).  ``news_tokens`` is (key, tpos, idx)."""
+    if max_len is not None:
+        known = lookup_join(news_tokens.select(key, "tpos", "idx"), weights.select("idx"), ["idx"], "left_semi")
+        news_tokens = _first(known, key, "tpos", max_len)
+    return encode_sequences(embed_tokens(news_tokens, weights), key, "tpos", "vec", kernel, dim_out)
 
 
 def category_vectors(cat_emb: DataFrame, weight, bias) -> DataFrame:
@@ -261,6 +325,85 @@ def fit_click_model(train: DataFrame, feature_cols: list[str], label: str = "lab
     return va, model
 
 
+def _listwise_sums(weights: np.ndarray, apply_sigmoid: bool):
+    """Loss, gradient and Hessian of a partition's rows, as one array."""
+    d = len(weights)
+
+    def run(batches):
+        out = np.zeros(2 + d + d * d)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.diff(np.asarray(batch.column("_x").offsets).astype(np.int64))
+            flat = batch.column("_x").flatten()
+            x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            row = np.repeat(np.arange(len(size)), size)
+            z = x @ weights
+            y = 1 / (1 + np.exp(-z)) if apply_sigmoid else z
+            slope = y * (1 - y) if apply_sigmoid else np.ones(len(z))
+            top = np.maximum.reduceat(y, start)
+            e = np.exp(y - top[row])
+            p = e / np.add.reduceat(e, start)[row]
+            jac = slope[:, None] * x
+            mean = np.add.reduceat(p[:, None] * jac, start, axis=0)
+            out[0] += len(size)
+            out[1] += (np.log(np.add.reduceat(e, start)) + top - y[start]).sum()
+            out[2:2 + d] += mean.sum(axis=0) - jac[start].sum(axis=0)
+            bend = p.copy()  # what the sigmoid's own curvature adds
+            bend[start] -= 1.0
+            bend *= slope * (1 - 2 * y) if apply_sigmoid else 0.0
+            out[2 + d:] += ((p[:, None] * jac).T @ jac - mean.T @ mean + (bend[:, None] * x).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["sums"])
+    return run
+
+
+def listwise_objective(rows: DataFrame, weights, apply_sigmoid: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient, Hessian) of F8's mean cross-entropy at ``weights``.  ``rows`` has ``_x``, an array of
+    feature arrays with the click first.  One pass; sums add up in Spark, and d * d + d + 2 numbers arrive."""
+    w = np.asarray(weights, dtype=np.float64)
+    d = len(w)
+    sums = rows.select("_x").mapInArrow(_listwise_sums(w, apply_sigmoid), "sums array<double>") \
+        .select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(2 + d + d * d)
+    for r in sums:
+        total[r["i"]] = r["v"]
+    n = max(total[0], 1.0)
+    return total[1] / n, total[2:2 + d] / n, total[2 + d:].reshape(d, d) / n
+
+
+def listwise_rows(slots: DataFrame, feature_cols: list[str], row: Sequence[str], slot: str = "slot") -> DataFrame:
+    """(row..., _x): the feature arrays of a training row's slots in slot order, the click (slot 0) first.
+    A group is one training row, a click and its drawn negatives."""
+    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    return slots.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(slot, x.alias("x")))).alias("_s")) \
+        .where(F.col("_s")[0][slot] == 0).select(*row, F.transform("_s", lambda s: s["x"]).alias("_x"))
+
+
+def fit_listwise(rows: DataFrame, dim: int, apply_sigmoid: bool = True, max_iter: int = 50, tolerance: float = 1e-8):
+    """B12, listwise: weights that minimise the mean cross-entropy between each click and its negatives (F8), by
+    damped Newton steps (along directions of negative curvature with its sign turned).  Every step is one pass over the stored ``rows`` (see ``listwise_rows``).
+
+    Returns (weights, loss, gradient).  Without rows all weights are 0."""
+    rows = stored(rows.select("_x"))
+    w, damping = np.zeros(dim), 1e-6
+    loss, grad, curve = listwise_objective(rows, w, apply_sigmoid)
+    for _ in range(max_iter):
+        if np.abs(grad).max(initial=0.0) <= tolerance:
+            break
+        bent, axes = np.linalg.eigh(curve)
+        bent = np.maximum(np.abs(bent), 1e-12)
+        step = axes @ (axes.T @ -grad / (bent + damping * bent.max()))
+        new = listwise_objective(rows, w + step, apply_sigmoid)
+        if new[0] <= loss + 1e-15:
+            w, (loss, grad, curve), damping = w + step, new, max(damping / 10, 1e-9)
+        elif damping > 1e9:
+            break
+        else:
+            damping = max(damping * 10, 1e-4)
+    return w, loss, grad
+
+
 def apply_click_model(df: DataFrame, va, model) -> DataFrame:
     """B12 scoring: click probability of the positive class as ``score``."""
     from pyspark.ml.functions import vector_to_array

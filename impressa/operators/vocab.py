@@ -29,12 +29,13 @@ def dense_index(df: DataFrame, order: list, id_col: str = "idx", start: int = 1)
     pid = F.shiftrightunsigned("_mid", LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
     counts = numbered.groupBy(pid.alias("_pid")).agg((F.max(local) + 1).alias("_cnt"))
-    # one row per partition, read once: the offsets are literals of the plan, so its size stays known
+    # one row per partition, read once: the offsets are one array literal, looked up by partition number,
+    # so the plan's size stays known and a row's lookup costs the same however many partitions there are
     offsets, total = [], 0
     for r in counts.orderBy("_pid").collect():
-        offsets += [F.lit(r["_pid"]), F.lit(total)]
+        offsets += [total] * (r["_pid"] + 1 - len(offsets))
         total += r["_cnt"]
-    offset = F.element_at(F.create_map(*offsets), pid) if offsets else F.lit(0)
+    offset = F.split(F.lit(",".join(map(str, offsets or [0]))), ",").cast("array<bigint>")[pid.cast("int")]
     return numbered.withColumn(id_col, (offset + local + F.lit(start)).cast("long")).drop("_mid")
 
 

@@ -244,8 +244,8 @@ def b10_dot_product_pairs(spark, d):
     return finish(j.select("news_id", dot("vec", "other").alias("dot")))
 
 
-READERS = 4
-READER_SQL = f"(item_id // 2) % {READERS}"
+READER_ITEMS = 20  # benchmark items that one reader has: the readers grow with the table
+READER_SQL = f"item_id // {READER_ITEMS}"
 
 
 @query("b11_adhoc_scores", _views(["fx_word_vectors"], """
@@ -258,7 +258,7 @@ FROM iv c JOIN rv r ON r.reader = """ + READER_SQL.replace("item_id", "c.item_id
                                   + _pool_sql("rv", "hv", "reader", _logit_sql("vec"), "user_vec")))
 def b11_adhoc_scores(spark, d):
     """Ad-hoc texts, encoded with an existing dictionary and pooled by attention: odd benchmark items
-    are the histories of a few readers, even ones their candidates."""
+    are the histories of readers of 20 items each, even ones their candidates."""
     b = fx.table(spark, d, "benchmark")
     vec = fx.word_vectors(spark, d)
     w2i = V.sorted_ids(vec.select(F.col("token").alias("key")))
@@ -266,7 +266,7 @@ def b11_adhoc_scores(spark, d):
     toks = ids.select("item_id", F.posexplode("ids").alias("tpos", "idx")).where(F.col("idx") != 0)
     vecs = B.embed_tokens(toks, V.gather_vectors(w2i, vec))
     items = B.attention_pool(vecs, "item_id", "vec", W_ATT, B_ATT, Q_ATT) \
-        .withColumn("reader", F.floor(F.col("item_id") / 2) % READERS)
+        .withColumn("reader", F.floor(F.col("item_id") / READER_ITEMS))
     readers = B.attention_pool(items.where(F.col("item_id") % 2 == 1), "reader", "vec", W_ATT, B_ATT, Q_ATT, out="user_vec")
     out = items.where(F.col("item_id") % 2 == 0).join(readers, "reader")
     return finish(out.select("item_id", dot("vec", "user_vec").alias("score")))

@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all():
     # importing the modules registers their queries
-    from impressa.plans import q_metrics, q_prepare, q_analytics, q_cooccur, q_scoring, q_misc, q_io  # noqa: F401
+    from impressa.plans import q_metrics, q_prepare, q_analytics, q_cooccur, q_scoring, q_misc, q_io, q_training  # noqa: F401
     return QUERIES
