@@ -20,7 +20,7 @@ similarity.
    small buckets and, in large ones, for each member its hub and its best partner; then, with the
    components known, every screened pair that still lies in different components.  So a large
    group of copies costs links in proportion to its size, and no link that joins components is
-   left out.  Buckets above ``BLOCK`` members are compared block by block, each pair of blocks in
+   left out.  Buckets above ``BLOCK`` members are compared block by block, in the second run each pair of blocks in
    a group of its own, so memory stays bounded.
 
 Defined cases: null, empty or blank text has an empty set and is linked with nothing; a text of
@@ -213,32 +213,39 @@ def _propose(second: bool, percent: int):
 
 
 def _buckets(reps: DataFrame, percent: int) -> DataFrame:
-    """(id, band, key, block, side): members of buckets that hold at least two representatives.
-    A bucket above BLOCK members is split into blocks, and each pair of blocks is a group."""
+    """(id, band, key, blocks): members of buckets that hold at least two representatives."""
     width = band_rows(percent)
     bands = REGISTERS // width
     rows = reps.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("regs", i * width + 1, F.lit(width)))))
         .alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    many = rows.join(sizes, ["band", "key"]) \
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
-        .withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
-    return many.select("id", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
-        .select("id", "band", "key", F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("b"),
-                F.col("own").alias("side")) \
-        .withColumn("block", (F.col("b.i").cast("long") * 1000003 + F.col("b.j"))).drop("b")
+    return rows.join(sizes, ["band", "key"]).select("id", "band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+
+
+def _blocks(buckets: DataFrame, every_pair: bool) -> DataFrame:
+    """``buckets`` with (block, side).  A bucket above BLOCK members is split into blocks by a hash that differs from
+    band to band; with ``every_pair`` each pair of blocks is a group, else each block meets itself only."""
+    own = buckets.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
+    if not every_pair:
+        return own.withColumn("block", F.col("own").cast("long")).withColumn("side", F.lit(0)).drop("own", "blocks")
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumn("block", F.least("own", "other").cast("long") * 1000003 + F.greatest("own", "other")) \
+        .withColumnRenamed("own", "side").drop("other", "blocks")
 
 
 def _proposals(buckets: DataFrame, reps: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+    """Screened pairs.  The first run (no ``comps``) looks for some links of every block; the second one for
+    every link between different components, in the buckets that still hold more than one."""
     info = reps.select("id", "n", "regs")
-    info = info.withColumn("comp", F.col("id")) if comps is None else \
-        info.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = buckets.join(info, "id")
-    if comps is not None:  # buckets inside one component have nothing left to find
-        mixed = buckets.join(info.select("id", "comp"), "id").groupBy("band", "key", "block") \
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key", "block")
-        rows = rows.join(mixed, ["band", "key", "block"], "left_semi")
+    if comps is None:
+        rows = _blocks(buckets, False).join(info.withColumn("comp", F.col("id")), "id")
+    else:
+        comp = info.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+        known = buckets.join(comp, "id")
+        mixed = known.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi") \
+            .select("band", "key")
+        rows = _blocks(known.join(mixed, ["band", "key"], "left_semi"), True).join(info, "id")
     rows = rows.select("band", "key", "block", "id", "n", "comp", "side", "regs") \
         .repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "id")
     return rows.mapInArrow(_propose(comps is not None, percent), "a long, b long").distinct()

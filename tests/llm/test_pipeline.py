@@ -28,7 +28,7 @@ def test_stages_and_run(spark, tmp_path):
     # too few labels certify no cutoff here, so the base rule alone decides
     want = {r.doc_id for r in everything if (f := base_features(r.text))[0] >= 50 and 100 * f[4] <= 50 * f[0]}
     assert {r.doc_id for r in good} == want
-    groups = brute([(r.doc_id, r.text) for r in good])
+    groups = brute([(r.doc_id, r.text) for r in good], P.SIMILAR)
     assert {r.doc_id for r in single} == {i for i, (_, c) in groups.items() if i == c}
     flat = lambda t: " " + " ".join(words((t or "").lower())) + " "
     items = [flat(b.text) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
