@@ -1,14 +1,16 @@
 """Mixing sources to target weights.
 
 The words of each source, its documents in a pseudorandom but fixed order, form one sequence that
-is packed into blocks of ``BLOCK`` words.  A source gets as many output slots as its target takes,
-in blocks; every slot is dealt to an output shard by a seeded uniform draw, so the counts of a
-source over the shards are one multinomial draw, and a shard's counts over the sources are one
-given its size.  Fixing each source's total keeps the mix at its target instead of within a
-random error of it.  Slot k of a source is pass ``k div blocks`` over its blocks, and a keyed
+is packed into blocks of ``BLOCK`` words.  The output consists of shards of equally many slots.  Every
+shard draws its source counts: the whole part of a source's expected count is certain, and the slots
+left over are one multinomial draw over the fractional parts (residual multinomial sampling), so a
+shard's counts are random with the right means and a source's total stays within a few blocks of its
+target.  The counts decide what is taken: a source's slots are numbered through the shards in order.
+Slot k of a source is pass ``k div blocks`` over its blocks, and a keyed
 permutation of the block indices, one per pass, says which block it takes (swap-or-not shuffle,
 a bijection for any number of blocks).  Blocks are joined to the document pieces by index.  A
-source has at most three passes, so no word is taken more than three times.
+source has at most three passes; slots that a draw gives it beyond them stay empty, so no word is taken more than
+three times.
 
 Positions are prefix sums over (source, bucket): documents of a source are hashed into buckets of
 about a million words, summed inside a bucket and offset by the bucket totals, so a source that
@@ -31,7 +33,8 @@ from impressa.llm.registry import query, table
 from impressa.session import cut_lineage
 
 BLOCK, SHARD, PASSES, SEED, ROUNDS = 64, 4096, 3, 20240, 24
-CHUNK, BUCKET_WORDS, MAX_BROADCAST = 65_536, 1_000_000, 20_000
+MAX_SHARDS = 1_000_000  # of an output; beyond it shards grow
+BUCKET_WORDS, MAX_BROADCAST = 1_000_000, 20_000
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -92,18 +95,42 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(placed.select("__k", "doc_id", "sid", "size", "source_size", "target", "start")), sources
 
 
-def mix(placed: DataFrame, sources: DataFrame) -> DataFrame:
+def shard_counts(sources: DataFrame, shard_slots: int = SHARD) -> DataFrame:
+    """(shard, sid, blocks, n, first): how many slots each output shard draws from each source, and the number of
+    the first of them among the source's slots.  One row per shard and source with a target."""
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).collect()[0]["n"]
+    shard_slots = max(shard_slots, -(-total // MAX_SHARDS))
+    shards = max(1, -(-total // shard_slots))
+    rows = sources.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    size = F.when(F.col("shard") < shards - 1, F.lit(shard_slots)).otherwise(F.lit(total - (shards - 1) * shard_slots)).cast("long")
+    mean = F.col("slots").cast("double") * size / F.lit(float(max(total, 1)))
+    rows = rows.withColumn("sure", F.floor(mean + 1e-9)).withColumn("part", F.greatest(mean - F.col("sure"), F.lit(0.0)))
+    whole, order = Window.partitionBy("shard"), Window.partitionBy("shard").orderBy("sid")
+    upto = F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"upto": upto, "left": (size - F.sum("sure").over(whole)).cast("int"), "parts": F.sum("part").over(whole)})
+    rows = rows.withColumns({"low": F.coalesce(F.lag("upto").over(order), F.lit(0.0)),
+                             "high": F.when(F.lead("upto").over(order).isNotNull(), F.col("upto")).otherwise(float("inf"))})
+
+    def drawn(i: Column) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(SEED + 2), "shard", i), F.lit(1 << 52)).cast("double") / float(1 << 52)
+        return (u * F.col("parts") >= F.col("low")) & (u * F.col("parts") < F.col("high"))
+
+    draws = F.when(F.col("left") > 0, F.sequence(F.lit(1), F.col("left"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("n", F.col("sure") + F.size(F.filter(draws, drawn)))
+    earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("shard", "sid", "blocks", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+
+
+def mix(placed: DataFrame, sources: DataFrame, shard_slots: int = SHARD) -> DataFrame:
     """The mix: (shard, slot, sid, block, pass, start, from_word, n_words), one row per document
     piece of a slot; (sid, start) is the document."""
-    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).collect()[0]["n"]
-    shards = max(1, -(-total // SHARD))
-    chunked = sources.where("slots > 0").select("sid", "blocks", "slots", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")) \
-        .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "chunk")
-    slots = chunked.select("sid", "blocks", F.explode(F.sequence(
-        F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "slots") - 1)).alias("k"))
+    counts = shard_counts(sources, shard_slots).where("n > 0") \
+        .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "shard")
+    slots = counts.select("shard", "sid", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("k")) \
+        .where(F.col("k") < F.col("blocks") * PASSES)
     slots = slots.withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).select(
-        "sid", "k", "pass", F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "k"), F.lit(shards)).alias("shard"),
+        "sid", "k", "pass", "shard",
         permuted(F.pmod("k", "blocks"), F.col("blocks"), F.col("sid"), F.col("pass")).alias("block"))
     slots = slots.withColumn("slot", F.row_number().over(
         Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED + 3), "sid", "k"), "sid", "k")))
@@ -119,12 +146,13 @@ def mix(placed: DataFrame, sources: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents with the columns of ``docs``: for every pass, the words of a document
     that the pass takes, with the white space that follows them.  A document the mix leaves out
-    is gone; one it takes n times has up to n rows."""
+    is gone; one it takes n times has up to n rows.  Rows lie by output shard, in the order of the first
+    slot that takes of them."""
     placed, sources = located(docs)
     taken = mix(placed, sources).groupBy("sid", "start", "pass") \
-        .agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
+        .agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"), F.min(F.struct("shard", "slot")).alias("at"))
     rows = taken.join(placed.where("size > 0").select("__k", "sid", "start"), ["sid", "start"]) \
-        .select("__k", F.col("pieces").alias("__pieces"))
+        .select("__k", F.col("pieces").alias("__pieces"), F.col("at.shard").alias("__shard"), F.col("at.slot").alias("__slot"))
     key = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
     whole = docs.withColumn("__k", key).dropDuplicates(["__k"])
     out = rows.join(whole, "__k")
@@ -134,14 +162,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", F.regexp_replace(text, "[ \\t-\\r]+$", ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.repartition("__shard").sortWithinPartitions("__shard", "__slot").select(*docs.columns)
 
 
 @query("op5_multinomial_block_mix")
 def op5(spark, sf_dir):
     placed, sources = located(table(spark, sf_dir, "documents"))
-    taken = mix(placed, sources).groupBy("sid", "start").agg(F.sum("n_words").alias("taken"))
+    taken = mix(placed, sources).groupBy("sid", "start").agg(F.sum("n_words").alias("taken"), F.min(F.struct("shard", "slot")).alias("at"))
     hit = placed.where("size > 0").join(taken, ["sid", "start"], "left")
-    return hit.unionByName(placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))) \
+    return hit.unionByName(placed.where("size = 0"), allowMissingColumns=True) \
         .select("doc_id", "size", "source_size", F.col("target").alias("target"),
-                F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+                F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))

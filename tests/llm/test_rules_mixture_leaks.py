@@ -161,6 +161,29 @@ def test_op5_and_mix_edges(spark):
     assert M.mixed_documents(clash).columns == clash.columns
 
 
+def test_shards_draw_their_source_counts(spark):
+    slots = {1: 1000, 2: 333, 3: 77, 4: 5, 5: 0}
+    sources = spark.createDataFrame([(i, n, n) for i, n in slots.items()], "sid int, blocks long, slots long")
+    rows = M.shard_counts(sources, 16).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, M.shard_counts(sources.repartition(3), 16).collect()))
+    total, shards = sum(slots.values()), max(r.shard for r in rows) + 1
+    assert shards == -(-total // 16) and {r.sid for r in rows} == {1, 2, 3, 4}
+    drawn = {1: [], 2: [], 3: [], 4: []}
+    for shard in range(shards):
+        mine = {r.sid: r for r in rows if r.shard == shard}
+        size = 16 if shard < shards - 1 else total - 16 * (shards - 1)
+        assert sum(r.n for r in mine.values()) == size
+        for sid, r in mine.items():
+            assert r.n >= int(slots[sid] * size / total) and r.first == sum(drawn[sid])
+            drawn[sid].append(r.n)
+    for sid, got in drawn.items():  # random from shard to shard, with the mean of the target
+        p = slots[sid] / total
+        deviation = (16 * p % 1 * (1 - 16 * p % 1) * shards * 2) ** .5
+        assert abs(sum(got) - slots[sid]) <= 4 * deviation + 2 and (len(set(got[:-1])) > 1)
+    big = [r for r in rows if r.sid == 2]
+    assert 0.2 < sum(r.n > int(333 * 16 / total) for r in big) / len(big) < 1.0
+
+
 ITEM = ("A train leaves Paris with 60 passengers and after 15 km it picks up 60 more people at the small station near "
         "Lyon before it travels on for 30 minutes towards the coast")
 
