@@ -163,3 +163,38 @@ def test_encoder_keeps_the_first_known_tokens_only(spark):
     seen = B.encode_catalogue(tokens, weights, lambda x, mask: np.stack([x[:, :, 0].sum(1), x[:, :, 1].sum(1), mask.sum(1)], axis=1),
                               3, max_len=5)
     assert {r.news_id: r.vec for r in seen.collect()} == {"n1": [3.0, 2.0, 5.0], "n2": [0.0, 1.0, 1.0]}
+
+
+def test_long_baskets_are_cut_into_block_pairs(spark):
+    from impressa.operators import cooccur as C
+    rows = [(1, list(range(23))), (2, [5, 9]), (3, [4]), (4, []), (5, list(range(40, 48)))]
+    bsk = spark.createDataFrame(rows, "imp_id long, items array<long>")
+    want = sorted((k, a, b) for k, x in rows for a in x for b in x if a < b)
+    for block in (1, 4, 8, 1000):
+        assert sorted(map(tuple, C.basket_pairs(bsk, block=block).select("imp_id", "i", "j").collect())) == want
+    big = spark.createDataFrame([(list(range(3000)),)], "items array<long>")
+    pairs = C.basket_pairs(big, block=100)
+    assert pairs.count() == 3000 * 2999 // 2
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_npmi_lookup_sends_only_known_pairs(spark):
+    from impressa.operators import cooccur as C
+    r = np.random.default_rng(4)
+    for kind, name in (("long", lambda k: int(k)), ("string", lambda k: f"N{k:03d}")):
+        table = [(*sorted((name(a), name(b))), float(v)) for (a, b), v in
+                 {(int(a), int(b)): v for a, b, v in zip(r.integers(0, 60, 90), r.integers(60, 120, 90), r.normal(size=90))}.items()]
+        cands = [(i, p, name(x)) for i in range(50) for p, x in enumerate(r.integers(0, 120, 6))]
+        hist = [(i, name(x)) for i in range(45) for x in r.integers(0, 120, 1 if i else 400)]
+        score = {(i, j): v for i, j, v in table}
+        items = {}
+        for i, x in hist:
+            items.setdefault(i, set()).add(x)
+        want = sorted((i, p, max([score[min(x, y), max(x, y)] for y in items.get(i, ()) if (min(x, y), max(x, y)) in score], default=0.0))
+                      for i, p, x in cands)
+        c = spark.createDataFrame(cands, f"imp_id long, pos int, news_id {kind}")
+        h = spark.createDataFrame(hist, f"imp_id long, news_id {kind}")
+        t = spark.createDataFrame(table, f"i {kind}, j {kind}, npmi double")
+        got = C.max_npmi_scores(c.repartition(3), h, t)
+        assert sorted((r.imp_id, r.pos, r.score) for r in got.collect()) == want
+        assert C.max_npmi_scores(c, h, t.limit(0)).agg(F.sum(F.abs("score"))).first()[0] == 0
