@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from impressa.functions.text import DEFAULT_TOKEN_PATTERN, token_count, word_count
 
+# Distinct-count sketches: 2^SKETCH_LG_K registers, relative standard error SKETCH_ERROR / sqrt(registers)
+# of a merged one.
+SKETCH_LG_K, SKETCH_ERROR = 14, 1.04
+
 
 def with_lengths(news: DataFrame, fields=("title", "abstract"), pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """G1 + G2: ``<f>_len`` (whitespace words) and ``<f>_len_tok`` (tokens) for each text field."""
@@ -97,6 +101,22 @@ def distinct_count(df: DataFrame, col: str, approx: bool = False, rsd: float = 0
     return df.agg(agg.alias(f"n_{col}"))
 
 
+def distinct_sketches(df: DataFrame, part, cols: list[str], lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """G12 at scale: (part, metric, sketch), one mergeable distinct-count sketch of 2^lg_k registers (some 8 to 16 KB at 14)
+    per part and column, to be stored by ``metric_store.write_partials`` and merged at any time.
+    Values are compared as strings; nulls do not count."""
+    stacked = df.select(part, F.explode(F.array(*[F.struct(
+        F.lit(c).alias("metric"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("x"))
+    return stacked.groupBy(part, "x.metric").agg(F.hll_sketch_agg("x.v", lg_k).alias("sketch"))
+
+
+def merge_distinct(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., metric, n): the estimated distinct counts over all stored parts, or over each group of them;
+    the relative standard error is 1.04 / sqrt(2^lg_k), 0.8% at 14."""
+    keys = [*(by or []), "metric"]
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def per_category(news: DataFrame, category: str = "category", subcategory: str | None = None,
                  rollup: bool = False) -> DataFrame:
     """Items per category (and subcategory; ``rollup`` adds the category subtotals)."""

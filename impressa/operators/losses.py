@@ -15,6 +15,11 @@ from impressa.operators.skew import lookup_join
 
 ROW = ["imp_id", "pos_news"]
 
+# Fixed values of the published valence rules: how much of a booster counts at one, two and three
+# tokens before the word, and the factor of a negation.
+BOOST_DECAY = (1.0, 0.95, 0.9)
+NEGATION = -0.74
+
 
 def cross_entropy_first(rows: DataFrame, score: str = "score", apply_sigmoid: bool = True) -> DataFrame:
     """F8 per training row: log(sum_c exp(y_c)) - y_click, y = sigmoid(score);
@@ -56,3 +61,32 @@ def lexicon_sentiment(df: DataFrame, row: str, text: str, lexicon: DataFrame, al
     s = hit.groupBy(row).agg(F.sum("valence").alias("_x"))
     return df.select(row).join(s, row, "left").select(
         row, valence_normalise(F.coalesce(F.col("_x"), F.lit(0.0)), alpha).alias("sentiment"))
+
+
+def modified_sentiment(df: DataFrame, row: str, text: str, lexicon: DataFrame, modifiers: DataFrame, alpha: float = 15.0,
+                       decay: tuple[float, ...] = BOOST_DECAY, negation: float = NEGATION,
+                       pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
+    """F2 with negations and boosters: (row, sentiment), ``row`` being unique.
+
+    The valence of a known token is folded over the tokens before it, nearest first, as many as ``decay`` has
+    entries: a booster adds its amount times the decay of its distance, towards the sign the valence has by
+    then; a negation multiplies it by ``negation``.  A token that has a valence of its own modifies nothing.
+    ``modifiers`` is a caller table (token, boost, negates), one row per token; a null boost is 0.  The tokens
+    before are taken from the text's own array, so no window and no join by text is needed, and only known
+    tokens meet the modifiers.  A text without known tokens has 0; null text likewise."""
+    known = lexicon.select("token", "valence")
+    own = modifiers.select("token", F.coalesce(F.col("boost").cast("double"), F.lit(0.0)).alias("boost"),
+                           F.coalesce("negates", F.lit(False)).alias("negates")).join(known.select("token"), "token", "left_anti")
+    toks = df.select(row, tokenize(text, pattern).alias("_t")).select(row, F.explode(F.transform("_t", lambda t, i: F.struct(
+        t.alias("token"), *[F.get("_t", i - k).alias(f"_p{k}") for k in range(1, len(decay) + 1)]))).alias("x")).select(row, "x.*")
+    hit = lookup_join(toks, known, ["token"])
+    value = F.col("valence").cast("double")
+    for k, weight in enumerate(decay, 1):
+        mod = own.select(F.col("token").alias(f"_p{k}"), F.col("boost").alias(f"_b{k}"), F.col("negates").alias(f"_n{k}"))
+        hit = lookup_join(hit, mod, [f"_p{k}"], "left")
+        value = value + F.signum(value) * F.coalesce(F.col(f"_b{k}"), F.lit(0.0)) * F.lit(weight)
+        hit = hit.withColumn("_v", value * F.when(F.col(f"_n{k}"), F.lit(negation)).otherwise(F.lit(1.0)))
+        value = F.col("_v")
+    s = hit.groupBy(row).agg(F.sum("_v").alias("_x"))
+    return df.select(row).join(s, row, "left").select(
+        row, valence_normalise(F.coalesce(F.col("_x"), F.lit(0.0)), alpha).alias("sentiment"))

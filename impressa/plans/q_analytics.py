@@ -10,6 +10,7 @@ from impressa.operators import parse as P
 from impressa.plans.evaluate import random_scores
 from impressa.plans.output import finish
 from impressa.plans.registry import query
+from impressa.session import stored
 from impressa.sources import fixtures as fx
 from impressa.sources.fixtures import with_views
 
@@ -145,6 +146,25 @@ def g12_distinct_users_and_news(spark, d):
     return finish(one_row(u, n))
 
 
+@query("g12_merged_sketches", with_views(["fx_impressions", "fx_exposures"], """
+SELECT 'user_id' AS metric, CAST(count(DISTINCT user_id) AS BIGINT) AS n_exact, true AS within_bound FROM fx_impressions
+UNION ALL SELECT 'news_id', CAST(count(DISTINCT news_id) AS BIGINT), true FROM fx_exposures"""))
+def g12_merged_sketches(spark, d):
+    """G12 from sketches per day, stored and merged: exact count, and whether the merged estimate lies within
+    four standard errors of it."""
+    users = fx.impressions(spark, d).select(F.to_date("time").cast("string").alias("day"), "user_id")
+    items = fx.exposures(spark, d).select(F.to_date("time").cast("string").alias("day"), "news_id")
+    out = None
+    for rows, col in ((users, "user_id"), (items, "news_id")):
+        merged = G.merge_distinct(stored(G.distinct_sketches(rows, "day", [col])))
+        exact = G.distinct_count(rows, col).select(F.lit(col).alias("metric"), F.lit(None).cast("long").alias("n"), F.col(f"n_{col}").alias("n_exact"))
+        both = merged.withColumn("n_exact", F.lit(None).cast("long")).unionByName(exact)
+        out = both if out is None else out.unionByName(both)
+    one = out.groupBy("metric").agg(F.max("n").alias("n"), F.max("n_exact").alias("n_exact"))
+    error = 4 * G.SKETCH_ERROR / 2 ** (G.SKETCH_LG_K / 2)
+    return finish(one.select("metric", "n_exact", (F.abs(F.col("n") - F.col("n_exact")) <= F.lit(error) * F.col("n_exact")).alias("within_bound")))
+
+
 @query("g13_news_per_category", with_views(["fx_news"], """
 SELECT category, subcategory, CAST(count(*) AS BIGINT) AS n FROM fx_news GROUP BY ROLLUP (category, subcategory)"""))
 def g13_news_per_category(spark, d):

@@ -44,6 +44,22 @@ def f2_lexicon_sentiment(spark, d):
     return finish(L.lexicon_sentiment(fx.docs(spark, d), "news_id", "text", fx.lexicon(spark, d)))
 
 
+@query("f2_modified_sentiment", with_views(["fx_docs", "fx_lexicon", "fx_modifiers"], """
+SELECT d.news_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15.0), 6) AS sentiment
+FROM fx_docs d LEFT JOIN (SELECT news_id, SUM(v) AS x FROM step3 GROUP BY news_id) s USING (news_id)""", extra=["""mods AS (
+  SELECT * FROM fx_modifiers WHERE token NOT IN (SELECT token FROM fx_lexicon))""", """toks AS (
+  SELECT news_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS i
+  FROM (SELECT news_id, regexp_extract_all(lower(trim(text)), '@TOKEN@') AS t FROM fx_docs))""", """before AS (
+  SELECT *, lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2, lag(token, 3) OVER w AS p3
+  FROM toks WINDOW w AS (PARTITION BY news_id ORDER BY i))""", """step0 AS (
+  SELECT b.*, l.valence AS v FROM before b JOIN fx_lexicon l USING (token))""", *[f"""step{k} AS (
+  SELECT s.* REPLACE ((v + sign(v) * coalesce(m.boost, 0) * {decay}) * CASE WHEN m.negates THEN {L.NEGATION} ELSE 1.0 END AS v)
+  FROM step{k - 1} s LEFT JOIN mods m ON m.token = s.p{k})""" for k, decay in enumerate(L.BOOST_DECAY, 1)]]))
+def f2_modified_sentiment(spark, d):
+    """F2 with negations and boosters among the three tokens before a known one."""
+    return finish(L.modified_sentiment(fx.docs(spark, d), "news_id", "text", fx.lexicon(spark, d), fx.modifiers(spark, d)))
+
+
 @query("f4_sigmoid", with_views(["fx_candidates"], f"""
 SELECT imp_id, pos, round(1.0 / (1.0 + exp(-(10 * {HASH_SCORE.format(imp='imp_id', news='news_id')} - 5))), 6) AS p
 FROM fx_candidates"""))

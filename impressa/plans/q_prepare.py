@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from impressa.functions import scalar as S
-from impressa.functions.text import tokenize
+from impressa.functions.text import ABBREVIATIONS, INITIALS, SPACE_RUN, STOPPED, TOKEN_RULES, tokenize, tokenize_rules
 from impressa.operators import parse as P
 from impressa.operators import sample as D
 from impressa.operators import vocab as V
@@ -173,6 +173,28 @@ def v1_token_counts(spark, d):
     return finish(t.groupBy("token").count().withColumnRenamed("count", "n"))
 
 
+def _rules_sql():
+    """The cascade of ``tokenize_rules`` as nested DuckDB calls."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    t = f"regexp_replace(' ' || lower(text) || ' ', {quoted(SPACE_RUN)}, '  ', 'g')"
+    for pattern, new in TOKEN_RULES:
+        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, 'g')"
+    stem = f"regexp_extract(w, {quoted(STOPPED)}, 1)"
+    words = ", ".join(map(quoted, ABBREVIATIONS))
+    return with_views(["fx_docs"], f"""
+SELECT token, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT unnest(CASE WHEN {stem} = '' OR regexp_matches(w, {quoted(INITIALS)}) OR {stem} IN ({words}) THEN [w]
+                     ELSE [{stem}, '.'] END) AS token
+  FROM (SELECT unnest(string_split_regex({t}, ' +')) AS w FROM fx_docs) WHERE w <> '') GROUP BY token""")
+
+
+@query("v1_rule_token_counts", _rules_sql())
+def v1_rule_token_counts(spark, d):
+    """V1 by the cascade of rewrite rules."""
+    t = fx.docs(spark, d).select(F.explode(tokenize_rules("text")).alias("token"))
+    return finish(t.groupBy("token").count().withColumnRenamed("count", "n"))
+
+
 @query("v2_user_first_seen_ids", with_views(["fx_impressions"], "SELECT key, idx FROM user2int",
                                             extra=[USER2INT_SQL]))
 def v2_user_first_seen_ids(spark, d):

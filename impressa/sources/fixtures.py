@@ -163,6 +163,15 @@ def lexicon(spark, sf_dir) -> DataFrame:
             .where(F.col("valence") != 0))
 
 
+def modifiers(spark, sf_dir) -> DataFrame:
+    """(token, boost, negates): by hash a quarter of the distinct ``benchmark`` tokens negate, a quarter
+    strengthen and a quarter weaken."""
+    toks = table(spark, sf_dir, "benchmark").select(F.explode(tokenize("text")).alias("token")).distinct()
+    kind = F.pmod(hash_int32(F.lit("mod"), "token"), F.lit(4))
+    return toks.select("token", F.when(kind == 1, 0.293).when(kind == 2, -0.293).otherwise(0.0).alias("boost"),
+                       (kind == 0).alias("negates")).where(kind != 3)
+
+
 def raw_behaviors(spark, sf_dir, with_history: bool = True) -> DataFrame:
     """fx_raw: the views rendered back to log strings (imp_id, user_id, time, history, impressions,
     split).  A reader that does not look at the history leaves it out, and it is not built."""
@@ -237,6 +246,9 @@ SQL = {
   SELECT token, CAST(CAST(('0x' || substr(md5('lex|' || token), 1, 8)) AS BIGINT) % 9 - 4 AS DOUBLE) AS valence
   FROM fx_bench_tokens
   WHERE CAST(('0x' || substr(md5('lex|' || token), 1, 8)) AS BIGINT) % 9 <> 4)""",
+    "fx_modifiers": """fx_modifiers AS (
+  SELECT token, CASE k WHEN 1 THEN 0.293 WHEN 2 THEN -0.293 ELSE 0.0 END AS boost, k = 0 AS negates
+  FROM (SELECT token, CAST(('0x' || substr(md5('mod|' || token), 1, 8)) AS BIGINT) % 4 AS k FROM fx_bench_tokens) WHERE k <> 3)""",
     "fx_raw": """fx_raw AS (
   SELECT i.imp_id, 'U' || CAST(i.user_id AS VARCHAR) AS user_id,
          strftime(i.time, '%-m/%-d/%Y %-I:%M:%S %p') AS time,
@@ -263,6 +275,7 @@ DEPENDS = {
     "fx_all_tokens": [],
     "fx_word_vectors": ["fx_all_tokens"],
     "fx_lexicon": ["fx_bench_tokens"],
+    "fx_modifiers": ["fx_bench_tokens"],
 }
 
 

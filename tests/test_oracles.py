@@ -13,6 +13,7 @@ SUBSET = ["m10_test_bundle", "m11_impression_metrics", "m13_random_baseline", "m
           "v7_encode_abstracts", "v8_extend_ids", "d1_negative_draw", "d3_sample_exact", "d6_eval_rows",
           "j3_impression_view", "g11_survival_histogram", "g13_news_per_category", "g19_npmi",
           "g20_max_npmi_scores", "b2_attention_pool_history", "b10_score_candidates", "f2_lexicon_sentiment",
+          "f2_modified_sentiment", "v1_rule_token_counts", "g12_merged_sketches",
           "f11_loss_report", "w4_best_k_epochs", "w5_early_stop_epoch", "d7_prepare_train_rows",
           "s1_read_behaviors_tsv", "s4_strict_lines", "s13_results_table"]
 
