@@ -55,16 +55,16 @@ def test_binomial_tail_is_exact(spark):
         assert abs(got - (top + math.log(sum(math.exp(x - top) for x in logs)))) < 1e-6
 
 
-def _scored(spark, good, bad, stratum="en"):
-    """``good`` and ``bad`` hold (share of symbols, number) pairs of labelled documents."""
+def _scored(spark, good, bad, stratum="en", copies=1):
+    """``good`` and ``bad`` hold (share of symbols, number) pairs of labelled documents, ``copies`` rows a text."""
     rows, labels, i = [], [], 0
     for label, groups in ((1, good), (0, bad)):
         for share, n in groups:
             for _ in range(n):
-                rows.append((i, stratum, 100, 1000, int(1000 * share), 0, 0, 10, 0, 0))
+                rows.append((i, stratum, 100, 1000, int(1000 * share), 0, 0, 10, 0, 0, i // copies))
                 labels.append((i, label))
                 i += 1
-    cols = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in Q.FEATURES)
+    cols = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in [*Q.FEATURES, Q.TRIAL])
     return spark.createDataFrame(rows, cols), spark.createDataFrame(labels, "doc_id long, quality int")
 
 
@@ -82,6 +82,43 @@ def test_cutoffs_are_certified_or_absent(spark):
     assert Q.certified_cutoffs(scored, none).count() == 0
 
 
+def test_copies_are_one_trial_and_null_is_a_stratum(spark):
+    scored, labels = _scored(spark, [(0.0, 4000)], [(0.3, 200)], copies=4000)
+    assert Q.certified_cutoffs(scored, labels).count() == 0  # one text, whatever its number of rows
+    scored, labels = _scored(spark, [(0.0, 6000)], [(0.3, 200)], copies=2)
+    assert {(r.rule, r.n, r.k) for r in Q.certified_cutoffs(scored, labels).collect()} == {("symbols", 3000, 0)}
+    text = " ".join(f"word{i}" for i in range(60))
+    near, far = text + " end", " ".join(f"other{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, near), (4, far), (5, "one two"), (6, None)], "doc_id long, text string")
+    least = {r.doc_id: r[Q.TRIAL] for r in Q.with_features(docs).collect()}
+    assert least[1] == least[2] != least[4] and least[5] is None and least[6] is None
+    # a null and an empty language are two strata: the correction counts both
+    one, ones = _scored(spark, [(0.0, 1450)], [(0.3, 200)])
+    two = one.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "")).unionByName(one.withColumn("doc_id", F.col("doc_id") + 10_000))
+    assert two.select("lang").distinct().count() == 3
+    assert {r.n for r in Q.certified_cutoffs(two, ones.unionByName(ones.withColumn("doc_id", F.col("doc_id") + 10_000))).collect()} <= {1450}
+
+
+def test_certified_share_holds_with_copies(spark):
+    """Holdouts whose good texts are copied a random number of times: the certified cutoffs reject more than
+    the allowed share of distinct good texts in at most a few of the draws."""
+    broken = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        rows, labels, i = [], [], 0
+        for t in range(2500):
+            share = 0.3 if rng.random() < 0.006 else 0.0  # a rule's allowance is 0.004
+            for _ in range(rng.choice([1, 1, 1, 5, 40]) if share == 0 else 1):
+                rows.append((i, "en", 100, 1000, int(1000 * share), 0, 0, 10, 0, 0, t))
+                labels.append((i, 1))
+                i += 1
+        rows += [(i + j, "en", 100, 1000, 300, 0, 0, 10, 0, 0, 10_000 + j) for j in range(50)]
+        labels += [(i + j, 0) for j in range(50)]
+        cols = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in [*Q.FEATURES, Q.TRIAL])
+        broken += Q.certified_cutoffs(spark.createDataFrame(rows, cols), spark.createDataFrame(labels, "doc_id long, quality int")).count() > 0
+    assert broken <= 1
+
+
 def test_quality_rules_edges(spark):
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (6, None)], "doc_id long, quality int")
     docs = edge_docs(spark)
