@@ -12,7 +12,10 @@ references are decoded, white space inside a block becomes one space, and the co
 joined by one space in page order; nothing else is dropped.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as its tags go
-(a closing tag without an opening one is ignored, an unclosed element ends with its parent);
+(a closing tag without an opening one is ignored, an unclosed element ends with its parent; an element
+without readable text that is not closed inside its parent ends before the next block, and only an
+unclosed script, style, title or textarea goes on to the end of the page); an element whose names speak
+both for and against it says nothing, its text decides; formulas are text;
 repeated rows are extracted alike; null keys are kept; extra columns are ignored.
 """
 
@@ -32,8 +35,9 @@ _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)
 _WORD = re.compile(r"[a-z]+")
 
 # Elements by role, as HTML defines them.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option "
-                   "textarea button datalist".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas audio video head title select option "
+                   "textarea button datalist annotation annotation-xml".split())
+RAW = frozenset("script style title textarea".split())  # their content holds no tags
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search "
                    "section summary table tbody td tfoot th thead tr ul".split())
@@ -62,12 +66,49 @@ class _Block:
 
 
 def _named(attributes: str) -> float:
-    """What class, id and role say."""
-    odds = 0.0
+    """What class, id and role say.  A name is bad if one of its parts is (``comment-body`` is part of a
+    comment); good and bad names on one element cancel out."""
+    good = bad = 0
     for m in _NAMED.finditer(attributes):
-        for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-            odds += -6.0 if w in BAD_NAMES else 1.0 if w in GOOD_NAMES else 0.0
-    return odds
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _WORD.findall(name)
+            if not BAD_NAMES.isdisjoint(parts):
+                bad += 1
+            elif not GOOD_NAMES.isdisjoint(parts):
+                good += 1
+    return 0.0 if good and bad else -6.0 * bad + 1.0 * good
+
+
+class _Silent:
+    """Where elements without readable text end; remembers closing tags it has found."""
+
+    def __init__(self, page: str):
+        self.page, self.close = page, {}
+
+    def _closing(self, tag: str, at: int):
+        known = self.close.get(tag)
+        if known is None or known[0] < at:
+            m = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(self.page, at)
+            known = self.close[tag] = (m.start(), m.end()) if m else (len(self.page), -1)
+        return known
+
+    def end(self, tag: str, at: int, parent: str) -> int:
+        start, stop = self._closing(tag, at)
+        if tag in RAW:
+            return stop if stop >= 0 else len(self.page)
+        block, depth = None, 0
+        for m in _TAG.finditer(self.page, at, start):
+            name = (m[2] or m[5] or "").lower()
+            if name not in BLOCKS:
+                continue
+            block = m.start() if block is None else block
+            if name == parent:
+                depth += -1 if m[1] or m[4] else 1
+                if depth < 0:  # the parent ends first
+                    return block
+        if stop >= 0:
+            return stop
+        return len(self.page) if block is None else block
 
 
 def blocks(page: str) -> list[_Block]:
@@ -76,6 +117,7 @@ def blocks(page: str) -> list[_Block]:
     stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # (tag, number, log-odds) of open block elements
     path: tuple[int, ...] = (0,)
     number, links, fresh, at = 0, 0, True, 0
+    silent = _Silent(page)
 
     def text(piece: str):
         nonlocal fresh
@@ -105,8 +147,7 @@ def blocks(page: str) -> list[_Block]:
             if not closing and not attributes.endswith("/"):
                 if tag == "head":
                     continue
-                stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = silent.end(tag, at, stack[-1][0])
             continue
         if tag == "a":
             links = 0 if closing else 1

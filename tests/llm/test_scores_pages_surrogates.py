@@ -173,6 +173,25 @@ def test_main_text():
     assert len(H.main_text(long).split()) == 25_000
 
 
+STORY = "This is the story of the day, with many words about the town and its people, and it goes on."
+
+
+def test_broken_and_contradictory_pages():
+    page = lambda body: H.main_text(f"<html><body><nav><a href='/'>Home</a></nav>{body}</body></html>")
+    assert page(f"<div class='form body'><p>{STORY}</p><p>{STORY}</p></div>") == f"{STORY} {STORY}"
+    assert page(f"<article><div class='comment-body'><p>{STORY}</p></div><p>{STORY}</p></article>") == STORY
+    # a button that is never closed, closed elsewhere, or closed
+    assert page(f"<article><p>{STORY}</p><p>Press <button>here</p><p>{STORY}</p></article>") == f"{STORY} Press {STORY}"
+    assert page(f"<article><p>{STORY}</p><button>Press<p>{STORY}</p></article>") == f"{STORY} {STORY}"
+    assert page(f"<article><p>{STORY}<button>one</p><p>{STORY} <button>two</button></p></article>") == f"{STORY} {STORY}"
+    assert page(f"<article><noscript><p>Please switch scripts on.</p></noscript><p>{STORY}</p></article>") == STORY
+    assert page(f"<article><svg><title>Icon</title><text>label</text></svg><p>{STORY}</p><script>if (a</p>") == STORY
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
+    assert page(f"<article><p>{STORY} Here {formula} holds.</p></article>") == f"{STORY} Here x=2 holds."
+    many = page("<article>" + f"<p>{STORY} <button>x</p>" * 3000 + "</article>")
+    assert many == " ".join([STORY] * 3000)
+
+
 def test_minimum_cut_equals_enumeration():
     rng = random.Random(0)
     for _ in range(60):
