@@ -280,3 +280,49 @@ def test_untitled_names_foreign_phones_and_long_cards(spark):
     assert uk != "20 7946 0958" and de != "30 1234567" and out[3].n_entities == 2
     one, two = re.match(r"amex (\d{4} \d{6} \d{5}), (\d{15}), no card 1234567890123$", out[4].text).groups()
     assert one.replace(" ", "") == two != "378282246310005" and two[0] == "3" and out[4].n_entities == 2
+
+
+def _iban_valid(text):
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_initials_lines_scripts_accounts_and_addresses(spark):
+    out = _replace(spark, [
+        (1, "Mr. J. Smith came. Smith left. Mr. K. Smith and Dr. J. R. Jones stayed."), (2, "Dear Mr.\nSmith, dear Mrs.\nA.\nSmith\nThe rest stays."),
+        (3, "Mr. Παπαδόπουλος and Mrs. Ελένη Νίκου, Mr Խաչատրյան"), (4, "Mr. Smith and Mrs. Smith; Mr. Alex Smith, Mrs. Alex Smith, Mrs. Maria Smith"),
+        (5, "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000, GB29 NWBK 6016 1331 9268 19."), (6, "write to müller@exämple.de or MÜLLER@EXÄMPLE.DE"),
+        (7, "host 2001:db8::1 and 2001:0DB8:85a3:0000:0000:8a2e:0370:7334, std::vector and 12:30:45 stay"),
+        (8, "+1 (469) 555-8958 is not +49 (469) 555-8958 but is 469-555-8958")])
+    j, s1, s2, k, s3, j2, r, jones = re.match(r"Mr\. (\w)\. (\w+) came\. (\w+) left\. Mr\. (\w)\. (\w+) and Dr\. (\w)\. (\w)\. (\w+) stayed\.$", out[1].text).groups()
+    assert s1 == s2 == s3 != "Smith" and j == j2 != k != r and "J" != j and jones not in ("Jones", s1) and out[1].n_entities == 3
+    m = re.match(r"Dear Mr\.\n(\w+), dear Mrs\.\n(\w)\.\n(\w+)\nThe rest stays\.$", out[2].text)
+    assert m and m[1] == m[3] == s1 and m[2] != "A"
+    greek = re.match(r"Mr\. (\w+) and Mrs\. (\w+) (\w+), Mr (\w+)$", out[3].text).groups()
+    assert all(re.fullmatch(r"[\u0370-\u03ff]+", x) for x in greek[:3]) and greek[1][-1] in "αη" and re.fullmatch(r"[\u0530-\u058f]+", greek[3])
+    assert not {"Παπαδόπουλος", "Ελένη", "Νίκου", "Խաչատրյան"} & set(greek)
+    a, b, alex, c, alexa, d, maria, e = re.match(
+        r"Mr\. (\w+) and Mrs\. (\w+); Mr\. (\w+) (\w+), Mrs\. (\w+) (\w+), Mrs\. (\w+) (\w+)$", out[4].text).groups()
+    assert a == b == c == d == e == s1 and alex == alexa and alex[-1] != "a" and maria[-1] == "a"
+    spaced, tight, gb = re.match(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d)\.$", out[5].text).groups()
+    assert spaced.replace(" ", "") == tight != "DE89370400440532013000" and _iban_valid(tight) and _iban_valid(gb) and "NWBK" not in gb
+    one, two = re.match(r"write to (\S+@\S+\.de) or (\S+)$", out[6].text).groups()
+    assert one.upper() == two and "ller" not in one and "mple" not in one and one.count("@") == 1
+    short, long = re.match(r"host (\S+) and (\S+), std::vector and 12:30:45 stay$", out[7].text).groups()
+    import ipaddress
+    assert ipaddress.ip_address(short).version == ipaddress.ip_address(long).version == 6 and out[7].n_entities == 2
+    assert short != "2001:db8::1" and "85a3" not in long
+    us, de, home = re.match(r"\+1 (\S+ \S+) is not \+49 (\S+ \S+) but is (\S+)$", out[8].text).groups()
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(us) == digits(home) != digits(de) and digits(de) != "4695558958"
+
+
+def test_surrogate_key_comes_from_the_session(spark):
+    rows = [(1, "Mr. J. Smith, a@b.io, DE89370400440532013000")]
+    before = _replace(spark, rows)[1].text
+    spark.conf.set(S.KEY_CONF, "another")
+    try:
+        assert _replace(spark, rows)[1].text != before
+    finally:
+        spark.conf.unset(S.KEY_CONF)
+    assert _replace(spark, rows)[1].text == before
