@@ -1,11 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Every text becomes a sequence of template tokens: words without punctuation in lower case, with
-numbers, units after a number, and names (capitalised words inside a sentence) replaced by typed
-placeholders.  Windows of ``WINDOW`` template tokens of all documents are hash-joined to those of
+numbers (in digits or words), units after a number, and names (capitalised words inside a sentence)
+replaced by typed placeholders; a run of numbers or of names is one placeholder with the whole run as
+its value, so "New York" fits where "Boston" stood.  Windows of ``WINDOW`` template tokens of all documents are hash-joined to those of
 the benchmark.  Matches of a (document, item) pair are grouped by their alignment (document
 position minus item position); an alignment counts only if its slots are consistent, that is if
-the item's slot values and the document's values at the same places map one to one.  So a
+the item's slot values and the document's values at the same places map one to one, and if at most
+a share ``MAX_RENAMED`` of its places are names that changed (each changed name counts once): where
+many capitalised words differ, as between two German sentences of one shape, another thing is asked.  So a
 question that was re-parameterised (other numbers, names or units) is caught, while a text that
 merely has the same shape with unrelated values in one slot is not.  A document is contaminated by
 an item if consistent alignments cover at least ``MIN_SHARE`` of the item's windows.
@@ -38,43 +41,71 @@ from impressa.llm.registry import query, table
 from impressa.session import cut_lineage
 
 WINDOW, MIN_LITERAL, MIN_SHARE = 8, 4, 0.5
+MAX_RENAMED = 0.25
 MAX_BROADCAST = 500_000  # windows of 8 bytes
 # Units recognised after a number, and the characters that are not part of a word.
 UNITS = ("km m cm mm mi miles mile feet foot ft inches inch kg g mg lb lbs pounds pound oz tons ton l ml litres liters "
          "gallons hours hour h minutes minute min seconds second s days day weeks week months month years year "
          "dollars dollar cents euros euro eur usd gbp percent degrees mph kmh watts volts hz kb mb gb").split()
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’„¿¡…"
+# Number words in English, German, French and Spanish; with hyphens between them too.
+NUMBERS = ("zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+           "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+           "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn zwanzig dreißig vierzig fünfzig "
+           "sechzig siebzig achtzig neunzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze treize quatorze "
+           "quinze seize vingt trente quarante cinquante soixante cent mille dos tres cuatro cinco seis siete ocho nueve diez once "
+           "doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil").split()
+HYPHENED = f"^(?:{'|'.join(NUMBERS)})(?:-(?:one|{'|'.join(NUMBERS)}))+$"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 # Scripts written without spaces, and their punctuation.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 WIDE = "。，、？！：；「」『』（）《》"
 
 
+# Marks that join tokens while runs are formed; they are no part of a word.
+_ON, _NEXT, _IS = "\x01", "\x02", "\x03"
+
+
 def _templates(text: Column, make) -> Column:
     """``make(word, template)`` of every word; a word has its text ``w``, ``core`` without punctuation,
     ``low`` in lower case and ``num``, whether it holds a digit.  Each part is computed once, and what
     is rare (units, names) is tested only where it can be."""
-    cored = F.transform(words(text), lambda w: F.struct(w.alias("w"), F.translate(w, PUNCTUATION, "").alias("core")))
+    cored = F.transform(words(text), lambda w: F.struct(w.alias("w"), F.translate(w, PUNCTUATION + _ON + _NEXT + _IS, "").alias("core")))
     parts = F.transform(F.filter(cored, lambda x: x["core"] != ""), lambda x: F.struct(
         x["w"].alias("w"), x["core"].alias("core"), F.lower(x["core"]).alias("low"), x["core"].rlike("[0-9]").alias("num")))
 
+    def number(x: Column) -> Column:
+        return x["num"] | x["low"].isin(NUMBERS) | (x["low"].contains("-") & x["low"].rlike(HYPHENED))
+
     def template(x: Column, before: Column) -> Column:
         first = F.substring(x["core"], 1, 1)
         name = (x["core"] != x["low"]) & (first != F.lower(first)) & before.isNotNull() & ~before["w"].rlike("[.!?:]$")
-        return F.when(x["num"], NUM).when(F.coalesce(before["num"], F.lit(False)) & x["low"].isin(UNITS), UNIT) \
+        return F.when(number(x), NUM).when(x["low"].isin(UNITS) & F.coalesce(number(before), F.lit(False)), UNIT) \
             .when(name, NAME).otherwise(x["low"])
 
     return let(parts, lambda p: F.transform(p, lambda x, i: make(x, template(x, F.get(p, i - 1)))))
 
 
+def _goes_on(t: Column, before: Column) -> Column:
+    """Whether a token belongs to the run of the token before it."""
+    return t.isin(NUM, NAME) & F.coalesce(before == t, F.lit(False))
+
+
 def tokens(text: Column) -> Column:
-    """Array of (raw, t): each word without punctuation and its template token."""
-    return _templates(text, lambda x, t: F.struct(x["core"].alias("raw"), t.alias("t")))
+    """Array of (raw, t): each word without punctuation and its template token; a run of numbers or
+    names is one token.  Runs are formed by joining and splitting, in time linear in the text."""
+    marked = _templates(text, lambda x, t: F.struct(x["core"].alias("raw"), t.alias("t")))
+    joined = let(marked, lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(
+        F.when(_goes_on(x["t"], F.get(p, i - 1)["t"]), _ON).otherwise(_NEXT), x["raw"], F.lit(_IS), x["t"])), ""))
+    return F.transform(F.filter(F.split(joined, _NEXT), lambda r: r != ""), lambda r: F.struct(
+        F.regexp_replace(F.regexp_replace(r, f"{_IS}[^{_ON}{_IS}]*{_ON}", " "), f"{_IS}[^{_IS}]*$", "").alias("raw"),
+        F.regexp_extract(r, f"{_IS}([^{_IS}]*)$", 1).alias("t")))
 
 
 def token_hashes(text: Column) -> Column:
     """The hashes of the template tokens alone."""
-    return _templates(text, lambda x, t: F.xxhash64(t))
+    return F.transform(let(_templates(text, lambda x, t: t), lambda p: F.filter(p, lambda t, i: ~_goes_on(t, F.get(p, i - 1)))),
+                       lambda t: F.xxhash64(t))
 
 
 def raw_hashes(text: Column) -> Column:
@@ -131,7 +162,8 @@ def _template_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
         return found.where(literal >= MIN_LITERAL).select("item", "size", "at", "h")
 
     first = F.substring(F.get("b", F.lit(0))["raw"], 1, 1)
-    named = items.where((first != F.lower(first)) & (F.get("b", F.lit(0))["t"] != NUM)).withColumn("b", F.transform(
+    named = items.where((first != F.lower(first)) & (F.get("b", F.lit(0))["t"] != NUM)
+                        & F.coalesce(F.get("b", F.lit(1))["t"] != NAME, F.lit(True))).withColumn("b", F.transform(
         "b", lambda x, i: F.struct(x["raw"].alias("raw"), F.when(i == 0, NAME).otherwise(x["t"]).alias("t"))))
     return cut_lineage(useful(items).unionByName(useful(named).where("at = 0")))
 
@@ -183,13 +215,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("d", tokens(F.col("text")))
 
     def consistent(run: Column) -> Column:
-        """Slots of one alignment map one to one between item and document."""
+        """Slots of one alignment map one to one between item and document, and few names changed."""
         places = F.array_distinct(F.flatten(F.transform(run["ats"], lambda a: F.sequence(a, a + F.col("size") - 1))))
+        return let(places, lambda where: one_to_one(run, where))
+
+    def one_to_one(run: Column, places: Column) -> Column:
         slots = F.filter(places, lambda p: F.get("d", p + run["shift"])["t"].isin(NUM, UNIT, NAME))
         pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(
             F.get("d", p + run["shift"])["t"].alias("t"), F.get("b", p)["raw"].alias("x"), F.get("d", p + run["shift"])["raw"].alias("y"))))
         return let(pairs, lambda v: (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda s: F.struct(s["t"], s["x"]))))) &
-                   (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda s: F.struct(s["t"], s["y"]))))))
+                   (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda s: F.struct(s["t"], s["y"])))))
+                   & (F.size(F.filter(v, lambda s: (s["t"] == NAME) & (F.lower(s["x"]) != F.lower(s["y"])))) <= MAX_RENAMED * F.size(places)))
 
     judged = cut_lineage(both.withColumn("n_windows", F.size(F.array_distinct(F.flatten(
         F.transform(F.filter("runs", consistent), lambda r: r["ats"])))).cast("long"))

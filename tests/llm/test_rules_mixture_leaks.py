@@ -263,3 +263,112 @@ def test_verbatim_items_without_literals(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
     found = C.with_row_key(docs).join(C.contaminated(docs, benchmark), "__k").collect()
     assert {r.doc_id: r.item_id for r in found} == {101: 1, 102: 2, 103: 3, 104: 4, 105: 4, 107: 5} and len(found) == 6
+
+
+TRAIN = "A train leaves Boston at 60 km per hour and reaches Denver after 5 hours how far apart are they"
+
+
+def brute_tokens(text):
+    """The template tokens of a text, one word after the other."""
+    out, before = [], None
+    for w in words(text):
+        core = "".join(c for c in w if c not in C.PUNCTUATION)
+        if not core:
+            continue
+        low = core.lower()
+        number = lambda c: any(x in "0123456789" for x in c) or all(p in C.NUMBERS or p == "one" and k for k, p in enumerate(c.lower().split("-")))
+        t = low
+        if number(core):
+            t = C.NUM
+        elif low in C.UNITS and before and number(before[1]):
+            t = C.UNIT
+        elif core[0] != core[0].lower() and before and before[0][-1] not in ".!?:":
+            t = C.NAME
+        before = (w, core)
+        if out and t in (C.NUM, C.NAME) and out[-1][1] == t:
+            out[-1] = (out[-1][0] + " " + core, t)
+        else:
+            out.append((core, t))
+    return out
+
+
+def brute_matches(doc, item):
+    """Whether consistent alignments of template windows cover enough of the item."""
+    b, d = brute_tokens(item), brute_tokens(doc)
+    if not b:
+        return False
+    size = min(len(b), C.WINDOW)
+    variants = [[t for _, t in b]]
+    if b[0][0][0] != b[0][0][0].lower() and b[0][1] != C.NUM and (len(b) < 2 or b[1][1] != C.NAME):
+        variants.append([C.NAME] + variants[0][1:])
+    useful = collections.defaultdict(set)
+    for v, ts in enumerate(variants):
+        for at in range(len(b) - size + 1 if v == 0 else 1):
+            w = tuple(ts[at:at + size])
+            if sum(t not in (C.NUM, C.UNIT, C.NAME) for t in w) >= C.MIN_LITERAL:
+                useful[w].add(at)
+    every = {at for ats in useful.values() for at in ats}
+    runs = collections.defaultdict(set)
+    for pos in range(len(d) - size + 1):
+        for at in useful.get(tuple(t for _, t in d[pos:pos + size]), ()):
+            runs[pos - at].add(at)
+    covered = set()
+    for shift, ats in runs.items():
+        places = {p for a in ats for p in range(a, a + size)}
+        pairs = {(d[p + shift][1], b[p][0], d[p + shift][0]) for p in places if d[p + shift][1] in (C.NUM, C.UNIT, C.NAME)}
+        if len({x[:2] for x in pairs}) == len(pairs) == len({(x[0], x[2]) for x in pairs}) and \
+                sum(t == C.NAME and x.lower() != y.lower() for t, x, y in pairs) <= C.MAX_RENAMED * len(places):
+            covered |= ats
+    return bool(every) and len(covered) >= C.MIN_SHARE * len(every)
+
+
+def test_templates_equal_brute_force(spark):
+    texts = [d.text for d in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + [
+        TRAIN, "In New York City five hundred of twenty-one Big Cats ate 5 6 7 kg. Ann Lee said: Hello World! one two \x01x\x02 \x03 km", None, "", "... !"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    for r in df.select("text", C.tokens(F.col("text")).alias("a"), C.token_hashes(F.col("text")).alias("h")).collect():
+        want = brute_tokens("".join(c for c in r.text or "" if c not in "\x01\x02\x03"))
+        assert [(x.raw, x.t) for x in r.a] == want and len(r.h) == len(want)
+
+
+def test_recall_on_new_parameters_and_german_sentences(spark):
+    rng = random.Random(3)
+    cities, things = ["Boston", "New York", "San Francisco", "Rio de Janeiro", "Rome", "Los Angeles", "Lyon", "Sao Paulo"], "boxes trains ships parcels coaches".split()
+    shapes = ["A {t} full of {t2} leaves {a} at {n} km per hour and reaches {b} after {m} hours how far apart are the two places",
+              "Every week the factory near {a} sends {n} {t} to the shop in {b} which sells {m} of them each day until none is left",
+              "The bridge between {a} and {b} is {n} meters long and each of the {t} crossing it pays {m} dollars at the gate"]
+
+    def fill(shape, t, t2):
+        a, b = rng.sample(cities, 2)
+        n, m = rng.sample(["7", "60", "twelve", "ninety", "twenty-five", "three hundred", "1,250"], 2)
+        return shape.format(a=a, b=b, n=n, m=m, t=t, t2=t2)
+    items, docs, want = [], [], set()
+    for i in range(30):
+        shape, t, t2 = rng.choice(shapes), rng.choice(things), rng.choice(things)
+        shape = f"{rng.choice('red green old new tall'.split())} number {i} said " .replace(str(i), "x" + "abcdefghijklmnopqrstuvwxyzäöüß"[i]) + shape[0].lower() + shape[1:]
+        items.append((i, fill(shape, t, t2)))
+        docs.append((i, f"Some text goes before it. {fill(shape, t, t2)} and after"))
+        want.add((i, i))
+    items += [(100, TRAIN), (101, "Der Hund jagt die Katze durch den Garten und beißt den Postboten in das Bein vor dem Haus")]
+    docs += [(100, TRAIN.replace("Boston", "New York").replace("Denver", "San Francisco")), (101, TRAIN.replace("60", "sixty").replace("after 5", "after nine")),
+             (102, "so Der Mann jagt die Maus durch den Keller und beißt den Nachbarn in das Ohr vor dem Tor"),  # another sentence of one shape
+             (103, "so der Hund jagt die Katze durch den Garten und beißt den Postboten in das Bein vor dem Haus heute"),
+             (104, "A train leaves Boston and nothing else of the question stands here at all today")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in C.with_row_key(d).join(C.contaminated(d, bench), "__k").collect()}
+    assert {(100, 100), (101, 100), (103, 101)} <= got and not {i for i, _ in got} & {102, 104}
+    assert len(got & want) >= 0.9 * len(want)
+    brute = {(i, j) for i, t in docs for j, u in items if brute_matches(t, u)}
+    assert brute <= got
+
+
+def test_op3_equals_brute_force(spark):
+    docs = [d for d in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    first = {}
+    for b in bench:
+        first[b.text] = min(first.get(b.text, b.item_id), b.item_id)
+    brute = {(d.doc_id, i) for d in docs for t, i in first.items() if brute_matches(d.text, t)}
+    got = {(r.doc_id, r.item_id) for r in C.op3(spark, SF).collect()}
+    assert brute <= got
