@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impressa.llm.exprs import let, words
+from impressa.llm.exprs import SEPARATOR_RUN, let
 from impressa.llm.registry import query, table
 from impressa.session import cut_lineage
 
@@ -62,28 +62,36 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 WIDE = "。，、？！：；「」『』（）《》"
 
 
-# Marks that join tokens while runs are formed; they are no part of a word.
-_ON, _NEXT, _IS = "\x01", "\x02", "\x03"
+# Marks that join tokens while runs are formed, and the end of a sentence; they are no part of a word.
+_ON, _NEXT, _IS, _END = "\x01", "\x02", "\x03", "\x04"
+_SIGNS = "[" + "".join("\\" + c for c in PUNCTUATION) + "\\x01-\\x04]"
+_ENDERS = "[.!?:]"
 
 
-def _templates(text: Column, make) -> Column:
-    """``make(word, template)`` of every word; a word has its text ``w``, ``core`` without punctuation,
-    ``low`` in lower case and ``num``, whether it holds a digit.  Each part is computed once, and what
-    is rare (units, names) is tested only where it can be."""
-    cored = F.transform(words(text), lambda w: F.struct(w.alias("w"), F.translate(w, PUNCTUATION + _ON + _NEXT + _IS, "").alias("core")))
-    parts = F.transform(F.filter(cored, lambda x: x["core"] != ""), lambda x: F.struct(
-        x["w"].alias("w"), x["core"].alias("core"), F.lower(x["core"]).alias("low"), x["core"].rlike("[0-9]").alias("num")))
+def _clean(text: Column) -> Column:
+    """``text`` without punctuation, but with an ``_END`` behind each word whose last character ends a sentence.
+    Whole texts are rewritten, which costs far less than words one by one."""
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?!{_ENDERS}(?:[ \\t-\\r]|\\z)){_SIGNS}", "")
+    return F.regexp_replace(kept, _ENDERS, f" {_END} ")
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, SEPARATOR_RUN), "")
 
-    def number(x: Column) -> Column:
-        return x["num"] | x["low"].isin(NUMBERS) | (x["low"].contains("-") & x["low"].rlike(HYPHENED))
 
-    def template(x: Column, before: Column) -> Column:
-        first = F.substring(x["core"], 1, 1)
-        name = (x["core"] != x["low"]) & (first != F.lower(first)) & before.isNotNull() & ~before["w"].rlike("[.!?:]$")
-        return F.when(number(x), NUM).when(x["low"].isin(UNITS) & F.coalesce(number(before), F.lit(False)), UNIT) \
-            .when(name, NAME).otherwise(x["low"])
+def _templates(text: Column, make) -> Column:
+    """``make(cores, lows, templates)``: the words of a text without punctuation, the same in lower case, and
+    their templates; all three hold an ``_END`` where a sentence ends."""
+    def number(low: Column) -> Column:
+        return low.rlike("[0-9]") | low.isin(NUMBERS) | (low.contains("-") & low.rlike(HYPHENED))
+
+    def template(core: Column, low: Column, before: Column) -> Column:
+        name = (core != low) & (F.substring(core, 1, 1) != F.substring(low, 1, 1)) & F.coalesce(before != _END, F.lit(False))
+        return F.when(number(low), NUM).when(low.isin(UNITS) & F.coalesce(number(before), F.lit(False)), UNIT) \
+            .when(name, NAME).otherwise(low)
 
-    return let(parts, lambda p: F.transform(p, lambda x, i: make(x, template(x, F.get(p, i - 1)))))
+    return let(_clean(text), lambda s: let(_split(s), lambda p: let(_split(F.lower(s)), lambda l: make(
+        p, l, F.transform(l, lambda low, i: template(F.get(p, i), low, F.get(l, i - 1)))))))
 
 
 def _goes_on(t: Column, before: Column) -> Column:
@@ -94,7 +102,8 @@ def _goes_on(t: Column, before: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Array of (raw, t): each word without punctuation and its template token; a run of numbers or
     names is one token.  Runs are formed by joining and splitting, in time linear in the text."""
-    marked = _templates(text, lambda x, t: F.struct(x["core"].alias("raw"), t.alias("t")))
+    marked = _templates(text, lambda p, l, ts: F.filter(F.zip_with(p, ts, lambda x, t: F.struct(x.alias("raw"), t.alias("t"))),
+                                                        lambda x: x["t"] != _END))
     joined = let(marked, lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(
         F.when(_goes_on(x["t"], F.get(p, i - 1)["t"]), _ON).otherwise(_NEXT), x["raw"], F.lit(_IS), x["t"])), ""))
     return F.transform(F.filter(F.split(joined, _NEXT), lambda r: r != ""), lambda r: F.struct(
@@ -102,17 +111,23 @@ def tokens(text: Column) -> Column:
         F.regexp_extract(r, f"{_IS}([^{_IS}]*)$", 1).alias("t")))
 
 
-def token_hashes(text: Column) -> Column:
-    """The hashes of the template tokens alone."""
-    return F.transform(let(_templates(text, lambda x, t: t), lambda p: F.filter(p, lambda t, i: ~_goes_on(t, F.get(p, i - 1)))),
-                       lambda t: F.xxhash64(t))
+def hashes(text: Column) -> Column:
+    """(t, raw): the hashes of the template tokens, and those of the words without punctuation in lower case,
+    of unspaced scripts of each character; no hash of one kind is meant to meet the other."""
+    def of_templates(ts: Column) -> Column:
+        runs = let(F.array_remove(ts, _END), lambda p: F.filter(p, lambda t, i: ~_goes_on(t, F.get(p, i - 1))))
+        return F.transform(runs, lambda t: F.xxhash64(t))
+
+    def of_words(lows: Column) -> Column:
+        return F.transform(F.array_remove(lows, _END), lambda c: F.xxhash64(c, F.lit("raw")))
+
+    apart = F.regexp_replace(F.regexp_replace(text, f"[{WIDE}]", " "), f"({UNSPACED})", " $1 ")
+    return _templates(text, lambda p, l, ts: F.struct(of_templates(ts).alias("t"), of_words(
+        F.when(text.rlike(UNSPACED), _split(F.lower(_clean(apart)))).otherwise(l)).alias("raw")))
 
 
 def raw_hashes(text: Column) -> Column:
-    """The hashes of the words without punctuation in lower case, of unspaced scripts of each character."""
-    apart = F.when(text.rlike(UNSPACED), F.regexp_replace(F.translate(text, WIDE, " " * len(WIDE)), f"({UNSPACED})", " $1 ")).otherwise(text)
-    cores = F.transform(words(apart), lambda w: F.lower(F.translate(w, PUNCTUATION, "")))
-    return F.transform(F.filter(cores, lambda c: c != ""), lambda c: F.xxhash64(c))
+    return hashes(text)["raw"]
 
 
 def window_hashes(one: Column, size: int) -> Column:
@@ -168,28 +183,26 @@ def _template_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
     return cut_lineage(useful(items).unionByName(useful(named).where("at = 0")))
 
 
-def _hits(keyed: DataFrame, windows: DataFrame, sizes: list[int], one: Column) -> DataFrame:
-    """(__k, pos, h, size): where documents have windows of the benchmark."""
-    small = windows.count() <= MAX_BROADCAST
-    hits = None
-    for s in sizes:
-        wanted = windows.where(F.col("size") == s).select("h").distinct()
-        seen = keyed.select("__k", F.posexplode(window_hashes(one, s)).alias("pos", "h"))
-        part = seen.join(F.broadcast(wanted) if small else wanted, "h", "left_semi").withColumn("size", F.lit(s))
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = keyed.limit(0).select("__k", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("size"))
-    return hits
+def _if_small(keys: DataFrame) -> DataFrame:
+    """``keys``, broadcast only if they were counted to be at most ``MAX_BROADCAST``."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+
+
+def _hits(keyed: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(__k, pos, h, size): where documents have windows of the benchmark.  Template and raw windows of all
+    sizes come from one pass over the texts; ``pos`` is a place in the text for template windows only."""
+    wanted = cut_lineage(windows.select("h", "size").distinct())
+    seen = keyed.select("__k", F.explode(let(hashes(F.col("text")), lambda x: F.array(*[F.struct(
+        F.lit(s).alias("size"), F.concat(window_hashes(x["t"], s), window_hashes(x["raw"], s)).alias("all")) for s in sizes]))).alias("x")) \
+        .select("__k", "x.size", F.posexplode("x.all").alias("pos", "h"))
+    return cut_lineage(seen.join(_if_small(wanted), ["h", "size"], "left_semi").select("__k", "pos", "h", "size").distinct())
 
 
-def _verbatim(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _verbatim(hits: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
     """(__k, item, item_id, n_windows, share): documents that hold windows of raw tokens of an item."""
-    items = _items(benchmark, raw_hashes(F.col("text")))
-    sizes = _sizes(items)
-    windows = cut_lineage(_windows(items, F.col("b"), sizes).select("item", "size", "at", "h"))
     total = windows.groupBy("item").agg(F.count("*").alias("all_windows"))
-    hits = _hits(keyed, windows, sizes, raw_hashes(F.col("text"))).select("__k", "h", "size").distinct()
-    found = hits.join(windows, ["h", "size"]).groupBy("__k", "item").agg(F.countDistinct("at").alias("n_windows"))
+    found = hits.select("__k", "h", "size").distinct().join(windows, ["h", "size"]).groupBy("__k", "item") \
+        .agg(F.countDistinct("at").alias("n_windows"))
     return found.join(total, "item").where(F.col("n_windows") >= MIN_SHARE * F.col("all_windows")) \
         .join(items.select("item", "item_id"), "item") \
         .select("__k", "item", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("share"))
@@ -198,21 +211,21 @@ def _verbatim(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(__k, item_id, n_windows, share): every document row key and item it contains; the larger share
     of templates and raw tokens."""
-    items = _items(benchmark, tokens(F.col("text")))
-    sizes = _sizes(items)
-    windows = _template_windows(items, sizes)
+    items, words = _items(benchmark, tokens(F.col("text"))), _items(benchmark, raw_hashes(F.col("text")))
+    windows = _template_windows(items, _sizes(items))
+    verbatim = cut_lineage(_windows(words, F.col("b"), _sizes(words)).select("item", "size", "at", "h"))
     total = windows.groupBy("item").agg(F.countDistinct("at").alias("all_windows"))
     keyed = with_row_key(docs.select("doc_id", "text"))
-    hits = cut_lineage(_hits(keyed, windows, sizes, token_hashes(F.col("text"))).distinct())
+    hits = _hits(keyed, windows.select("h", "size").unionByName(verbatim.select("h", "size")), sorted({*_sizes(items), *_sizes(words)}) or [WINDOW])
     aligned = hits.join(windows, ["h", "size"]).groupBy("__k", "item", (F.col("pos") - F.col("at")).alias("shift")) \
         .agg(F.collect_set("at").alias("ats"))  # at most the item's own windows
     likely = cut_lineage(
         aligned.groupBy("__k", "item").agg(F.collect_list(F.struct("shift", "ats")).alias("runs"))
         .join(total, "item").where(
             F.size(F.array_distinct(F.flatten(F.col("runs.ats")))) >= MIN_SHARE * F.col("all_windows")))
-    texts = keyed.join(likely.select("__k").distinct(), "__k", "left_semi").groupBy("__k").agg(F.first("text").alias("text"))
-    both = likely.join(texts, "__k").join(items.select("item", "item_id", "b", "size"), "item") \
-        .withColumn("d", tokens(F.col("text")))
+    keys = cut_lineage(likely.select("__k").distinct())
+    texts = cut_lineage(keyed.join(_if_small(keys), "__k", "left_semi").groupBy("__k").agg(F.first("text").alias("text")))
+    both = likely.join(texts.select("__k", tokens(F.col("text")).alias("d")), "__k").join(items.select("item", "item_id", "b", "size"), "item")
 
     def consistent(run: Column) -> Column:
         """Slots of one alignment map one to one between item and document, and few names changed."""
@@ -231,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.transform(F.filter("runs", consistent), lambda r: r["ats"])))).cast("long"))
         .select("__k", "item", "item_id", "n_windows", (F.col("n_windows") / F.col("all_windows")).alias("share")))
     refuted = judged.where(F.col("share") < MIN_SHARE).select("__k", "item", F.lit(True).alias("refuted"))
-    exact = _verbatim(keyed, benchmark).join(refuted, ["__k", "item"], "left") \
+    exact = _verbatim(hits, words, verbatim).join(refuted, ["__k", "item"], "left") \
         .where(F.col("refuted").isNull() | (F.col("share") == 1)).drop("refuted")
     return judged.where(F.col("share") >= MIN_SHARE).unionByName(exact).groupBy("__k", "item", "item_id") \
         .agg(F.max(F.struct("share", "n_windows")).alias("x")).select("__k", "item_id", "x.n_windows", "x.share")
@@ -239,8 +252,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    bad = contaminated(docs, benchmark).select("__k").distinct()
-    return with_row_key(docs).join(bad, "__k", "left_anti").select(*docs.columns)
+    bad = cut_lineage(contaminated(docs, benchmark).select("__k").distinct())
+    return with_row_key(docs).join(_if_small(bad), "__k", "left_anti").select(*docs.columns)
 
 
 @query("op3_template_decontamination")

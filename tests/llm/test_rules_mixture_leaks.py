@@ -270,25 +270,25 @@ TRAIN = "A train leaves Boston at 60 km per hour and reaches Denver after 5 hour
 
 def brute_tokens(text):
     """The template tokens of a text, one word after the other."""
-    out, before = [], None
-    for w in words(text):
+    out, before, start = [], "", True
+    for w in words("".join(c for c in text or "" if c not in "\x01\x02\x03\x04")):
         core = "".join(c for c in w if c not in C.PUNCTUATION)
-        if not core:
-            continue
-        low = core.lower()
         number = lambda c: any(x in "0123456789" for x in c) or all(p in C.NUMBERS or p == "one" and k for k, p in enumerate(c.lower().split("-")))
-        t = low
-        if number(core):
-            t = C.NUM
-        elif low in C.UNITS and before and number(before[1]):
-            t = C.UNIT
-        elif core[0] != core[0].lower() and before and before[0][-1] not in ".!?:":
-            t = C.NAME
-        before = (w, core)
-        if out and t in (C.NUM, C.NAME) and out[-1][1] == t:
-            out[-1] = (out[-1][0] + " " + core, t)
-        else:
-            out.append((core, t))
+        if core:
+            t = core.lower()
+            if number(core):
+                t = C.NUM
+            elif t in C.UNITS and before and number(before):
+                t = C.UNIT
+            elif core[0] != core[0].lower() and not start:
+                t = C.NAME
+            if out and t in (C.NUM, C.NAME) and out[-1][1] == t:
+                out[-1] = (out[-1][0] + " " + core, t)
+            else:
+                out.append((core, t))
+            before, start = core, False
+        if w[-1] in ".!?:":  # the next word begins a sentence
+            before, start = "", True
     return out
 
 
@@ -326,9 +326,10 @@ def test_templates_equal_brute_force(spark):
     texts = [d.text for d in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + [
         TRAIN, "In New York City five hundred of twenty-one Big Cats ate 5 6 7 kg. Ann Lee said: Hello World! one two \x01x\x02 \x03 km", None, "", "... !"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    for r in df.select("text", C.tokens(F.col("text")).alias("a"), C.token_hashes(F.col("text")).alias("h")).collect():
-        want = brute_tokens("".join(c for c in r.text or "" if c not in "\x01\x02\x03"))
-        assert [(x.raw, x.t) for x in r.a] == want and len(r.h) == len(want)
+    for r in df.select("text", C.tokens(F.col("text")).alias("a"), C.hashes(F.col("text")).alias("h")).collect():
+        want = brute_tokens(r.text)
+        assert [(x.raw, x.t) for x in r.a] == want and len(r.h.t) == len(want)
+        assert len(r.h.raw) == len([w for w in words(r.text) if set(w) - set(C.PUNCTUATION + "\x01\x02\x03\x04")])
 
 
 def test_recall_on_new_parameters_and_german_sentences(spark):
