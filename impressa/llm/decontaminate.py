@@ -59,19 +59,20 @@ HYPHENED = f"^(?:{'|'.join(NUMBERS)})(?:-(?:one|{'|'.join(NUMBERS)}))+$"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 # Scripts written without spaces, and their punctuation.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+BEYOND = r"[\u0E00-\uFFFF\x{10000}-\x{10FFFF}]"  # where all of them lie; a quick test
 WIDE = "。，、？！：；「」『』（）《》"
 
 
 # Marks that join tokens while runs are formed, and the end of a sentence; they are no part of a word.
 _ON, _NEXT, _IS, _END = "\x01", "\x02", "\x03", "\x04"
-_SIGNS = "[" + "".join("\\" + c for c in PUNCTUATION) + "\\x01-\\x04]"
 _ENDERS = "[.!?:]"
+_SIGNS = "[" + "".join("\\" + c for c in PUNCTUATION if c not in _ENDERS[1:-1]) + "\\x01-\\x04]"
 
 
 def _clean(text: Column) -> Column:
     """``text`` without punctuation, but with an ``_END`` behind each word whose last character ends a sentence.
     Whole texts are rewritten, which costs far less than words one by one."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?!{_ENDERS}(?:[ \\t-\\r]|\\z)){_SIGNS}", "")
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), f"{_SIGNS}|{_ENDERS}(?![ \\t-\\r]|\\z)", "")
     return F.regexp_replace(kept, _ENDERS, f" {_END} ")
 
 
@@ -123,7 +124,7 @@ def hashes(text: Column) -> Column:
 
     apart = F.regexp_replace(F.regexp_replace(text, f"[{WIDE}]", " "), f"({UNSPACED})", " $1 ")
     return _templates(text, lambda p, l, ts: F.struct(of_templates(ts).alias("t"), of_words(
-        F.when(text.rlike(UNSPACED), _split(F.lower(_clean(apart)))).otherwise(l)).alias("raw")))
+        F.when(text.rlike(BEYOND) & text.rlike(UNSPACED), _split(F.lower(_clean(apart)))).otherwise(l)).alias("raw")))
 
 
 def raw_hashes(text: Column) -> Column:
@@ -191,11 +192,11 @@ def _if_small(keys: DataFrame) -> DataFrame:
 def _hits(keyed: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """(__k, pos, h, size): where documents have windows of the benchmark.  Template and raw windows of all
     sizes come from one pass over the texts; ``pos`` is a place in the text for template windows only."""
-    wanted = cut_lineage(windows.select("h", "size").distinct())
+    wanted = cut_lineage(windows.select("h").distinct())
     seen = keyed.select("__k", F.explode(let(hashes(F.col("text")), lambda x: F.array(*[F.struct(
         F.lit(s).alias("size"), F.concat(window_hashes(x["t"], s), window_hashes(x["raw"], s)).alias("all")) for s in sizes]))).alias("x")) \
         .select("__k", "x.size", F.posexplode("x.all").alias("pos", "h"))
-    return cut_lineage(seen.join(_if_small(wanted), ["h", "size"], "left_semi").select("__k", "pos", "h", "size").distinct())
+    return cut_lineage(seen.join(_if_small(wanted), "h", "left_semi").select("__k", "pos", "h", "size").distinct())
 
 
 def _verbatim(hits: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
