@@ -43,45 +43,75 @@ STEPS, RATE, PRIOR = 8, 0.5, 0.4
 
 
 def symbols(buf: np.ndarray, offsets: np.ndarray):
-    """(40-bit key of four preceding bytes and the byte itself, document) of every symbol of a
-    chunk, the end symbols included; before the first byte of a text the context is zero."""
-    docs = len(offsets) - 1
+    """(40-bit key of four preceding bytes and the byte itself of every symbol of a chunk, the end
+    symbols included; first symbol of every text); before the first byte of a text the context is zero."""
     length = np.diff(offsets) + 1
-    ends = np.cumsum(length)
-    data = np.empty(int(ends[-1]) if docs else 0, np.uint8)
-    is_end = np.zeros(len(data), bool)
-    is_end[ends - 1] = True
-    data[is_end] = END
-    data[~is_end] = buf
-    doc = np.repeat(np.arange(docs), length)
-    inside = np.arange(len(data)) - np.repeat(ends - length, length)
+    starts = np.cumsum(length) - length
+    data = np.insert(buf, np.asarray(offsets[1:]) - offsets[0], np.uint8(END))
     keys = data.astype(np.uint64)
-    for back in range(1, PREDICTORS):
-        prior = np.zeros(len(data), np.uint64)
-        prior[back:] = data[:-back]
-        prior[inside < back] = 0
-        keys |= prior << np.uint64(8 * back)
-    return keys, doc
+    for back in (1, 2):  # two bytes, then four
+        keys[back:] |= keys[:-back] << np.uint64(8 * back)
+    keys[4:] |= data[:-4].astype(np.uint64) << np.uint64(32)
+    for inside in range(PREDICTORS - 1):
+        keys[(starts + inside)[length > inside]] &= np.uint64((1 << (8 * inside + 8)) - 1)
+    return keys, starts
 
 
 def distinct(keys: np.ndarray):
     """(distinct keys, number of each, positions sorted by key) of at most 2^22 keys."""
     both = np.sort(keys << np.uint64(22) | np.arange(len(keys), dtype=np.uint64))
     keys = both >> np.uint64(22)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
-    return keys[first], np.diff(np.append(first, len(keys))), (both & np.uint64(0x3FFFFF)).astype(np.int64)
-
-
-def nodes(keys: np.ndarray, order: int):
-    """For each bit place: (bit of each key, its node's place among the distinct nodes, the distinct
-    nodes ascending) of keys; a node is the context of ``order`` bytes and the bits before."""
-    short, back = np.unique(keys & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
+    first = _changes(keys)
+    return keys[first], np.diff(np.append(first, len(keys))), (both & np.uint64(0x3FFFFF)).astype(np.int32)
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Positions where an ordered array takes a new value."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)])
+
+
+def ranked(values: np.ndarray, bits: int):
+    """(values ascending, their former positions) of numbers below 2^bits."""
+    if len(values) >= 1 << (64 - bits):
+        order = np.argsort(values, kind="stable")
+        return values[order], order
+    low = np.uint64(64 - bits)
+    both = np.sort(values << low | np.arange(len(values), dtype=np.uint64))
+    return both >> low, (both & np.uint64((1 << (64 - bits)) - 1)).astype(np.int64)
+
+
+def merged(parts, bits: int):
+    """(distinct values ascending, their summed counts) of parts (values, counts by column)."""
+    values, order = ranked(np.concatenate([v for v, _ in parts]), bits)
+    first = _changes(values)
+    counts = np.concatenate([c for _, c in parts], axis=-1)[..., order]
+    return values[first], np.add.reduceat(counts, first, axis=-1) if len(first) else counts
+
+
+def orders(keys: np.ndarray):
+    """Distinct keys of each order, 0 to 4, and for each order above 0 the places of its keys among
+    those of the order below; ``keys`` are the distinct ones of order 4, ascending."""
+    short, below = [keys], []
+    for order in range(PREDICTORS - 2, -1, -1):
+        values, position = ranked(short[0] & np.uint64((1 << (8 * order + 8)) - 1), 8 * order + 8)
+        new = np.append(True, values[1:] != values[:-1])[:len(values)]
+        back = np.empty(len(values), np.int64)
+        back[position] = np.cumsum(new) - 1
+        short.insert(0, values[new])
+        below.insert(0, back)
+    return short, [None, *below]
+
+
+def nodes(short: np.ndarray):
+    """For each bit place: (bit of each key, its node's place among the distinct nodes, first key of
+    each node, the distinct nodes ascending) of the distinct keys of an order; a node is the context
+    and the bits before."""
     for place in range(8):
         prefix = short >> np.uint64(8 - place)
         new = np.append(True, prefix[1:] != prefix[:-1])[:len(prefix)]
         first = prefix[new]
         codes = (first >> np.uint64(place)) << np.uint64(8) | np.uint64(1 << place) | first & np.uint64((1 << place) - 1)
-        yield ((keys >> np.uint64(7 - place)) & np.uint64(1)).astype(np.int64), (np.cumsum(new) - 1)[back], codes
+        yield ((short >> np.uint64(7 - place)) & np.uint64(1)).astype(np.int64), np.cumsum(new) - 1, np.flatnonzero(new), codes
 
 
 def windows(offsets: np.ndarray, first: int = CHUNK):
@@ -110,31 +140,45 @@ class Model:
         self.map = np.zeros((8, MAP_BINS, 2), np.float64)
         self.seen = 0.0
 
+    def stretched(self, k: int, codes: np.ndarray):
+        """(stretched prediction, gate) of nodes of predictor ``k``."""
+        if not len(self.codes[k]):
+            return np.zeros(len(codes)), np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.codes[k], codes), len(self.codes[k]) - 1)
+        zeros, ones = self.counts[k][:, at] * (self.codes[k][at] == codes)
+        return np.log((ones + PRIOR) / (zeros + PRIOR)), np.minimum(np.log2(zeros + ones + 1).astype(np.int64), CONFIDENCE - 1)
+
     def predictions(self, keys: np.ndarray):
         """For each bit place: (place, bit, per predictor (stretched prediction, gate))."""
-        for place, found in enumerate(zip(*(nodes(keys, k) for k in range(PREDICTORS)))):
+        short, below = orders(keys)
+        back = [np.arange(len(keys))]
+        for b in below[:0:-1]:
+            back.insert(0, b[back[0]])
+        for place, found in enumerate(zip(*map(nodes, short))):
             parts = []
-            for k, (bit, back, codes) in enumerate(found):
-                at = np.minimum(np.searchsorted(self.codes[k], codes), max(len(self.codes[k]) - 1, 0))
-                known = self.codes[k][at] == codes if len(self.codes[k]) else np.zeros(len(codes), bool)
-                zeros, ones = self.counts[k][:, at] * known if len(self.codes[k]) else np.zeros((2, len(codes)))
-                gate = np.minimum(np.log2(zeros + ones + 1).astype(np.int8), CONFIDENCE - 1)
-                parts.append((np.log((ones + PRIOR) / (zeros + PRIOR))[back], gate[back]))
-            yield place, bit, parts
+            for k, (_, node, _, codes) in enumerate(found):
+                x, gate = self.stretched(k, codes)
+                at = node[back[k]]
+                parts.append((x[at], gate[at]))
+            yield place, found[-1][0], parts
 
     def add(self, keys: np.ndarray, times: np.ndarray) -> None:
-        """Adds to the counts of the keys' nodes; those of a key with number 0 are known from then on."""
-        for k in range(PREDICTORS):
-            codes, counts = [self.codes[k]], [self.counts[k]]
-            for bit, back, new in nodes(keys, k):
-                codes.append(new)
-                counts.append(np.stack([np.bincount(back, times * (bit == b), len(new)) for b in (0, 1)]))
-            self.codes[k], back = np.unique(np.concatenate(codes), return_inverse=True)
-            both = np.concatenate(counts, axis=1)
-            self.counts[k] = np.stack([np.bincount(back, c, len(self.codes[k])) for c in both])
+        """Adds to the counts of the nodes of distinct ascending keys; those of a key with number 0 are
+        known from then on."""
+        if not len(keys):
+            return
+        short, below = orders(keys)
+        for k in range(PREDICTORS - 1, -1, -1):
+            parts = [(self.codes[k], self.counts[k])]
+            for bit, _, first, codes in nodes(short[k]):
+                ones, both = np.add.reduceat(times * bit, first), np.add.reduceat(times, first)
+                parts.append((codes, np.stack([both - ones, ones])))
+            self.codes[k], self.counts[k] = merged(parts, 8 * k + 8)
+            if k:
+                times = np.bincount(below[k], times, len(short[k - 1]))
 
     def mixed(self, place: int, parts, use=slice(None)):
-        return sum(self.weights[k, gate[use], place] * x[use] for k, (x, gate) in enumerate(parts))
+        return sum(np.take(self.weights[k, :, place], gate[use]) * x[use] for k, (x, gate) in enumerate(parts))
 
     def refined(self, place: int, mixed: np.ndarray) -> np.ndarray:
         """Probability of a one: the squashed mix, moved half way to the frequency seen at it."""
@@ -151,11 +195,12 @@ class Model:
             for place, bit, parts in self.predictions(keys):
                 for step in range(STEPS):
                     use = slice(step, None, STEPS)
-                    p = _squash(self.mixed(place, parts, use))
+                    some = [(x[use], gate[use]) for x, gate in parts]
+                    p = _squash(self.mixed(place, some))
                     wrong, slope = times[use] * (bit[use] - p), times[use] * np.maximum(p * (1 - p), 1e-4)
-                    for k, (x, gate) in enumerate(parts):
-                        g = np.bincount(gate[use], wrong * x[use], CONFIDENCE)
-                        h = np.bincount(gate[use], slope * x[use] * x[use], CONFIDENCE)
+                    for k, (x, gate) in enumerate(some):
+                        g = np.bincount(gate, wrong * x, CONFIDENCE)
+                        h = np.bincount(gate, slope * x * x, CONFIDENCE)
                         self.weights[k, :, place] += RATE * g / (h * PREDICTORS + 50.0)
                 at = _bin(self.mixed(place, parts))
                 for b in (0, 1):
@@ -164,11 +209,17 @@ class Model:
         self.seen += times.sum()
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's byte after its context."""
+        """log10 probability of each key's byte after its context; distinct ascending keys.  The weighted
+        predictions of an order are added up for its keys, and handed on to the order above."""
         total = np.zeros(len(keys))
-        for place, bit, parts in self.predictions(keys):
-            p = self.refined(place, self.mixed(place, parts))
-            total += np.log10(np.where(bit == 1, p, 1 - p))
+        short, below = orders(keys)
+        for place, found in enumerate(zip(*map(nodes, short))):
+            mixed = 0.0
+            for k, (_, node, _, codes) in enumerate(found):
+                x, gate = self.stretched(k, codes)
+                mixed = (x * self.weights[k, gate, place])[node] + (mixed[below[k]] if k else 0.0)
+            p = self.refined(place, mixed)
+            total += np.log10(np.where(found[-1][0] == 1, p, 1 - p))
         return total
 
     def learn_texts(self, buf: np.ndarray, offsets: np.ndarray) -> None:
@@ -179,21 +230,39 @@ class Model:
 
     def count_texts(self, buf: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> None:
         """Adds the texts that are not ``held``; the nodes of all are known from then on."""
+        parts = [(np.zeros(0, np.uint64), np.zeros(0))]
         for i, j in windows(offsets):
-            keys, doc = symbols(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            for a in range(0, len(keys), 1 << 22):
-                each, times, position = distinct(keys[a:a + (1 << 22)])
-                trained = ~held[i:j][doc[a:a + (1 << 22)][position]]
-                self.add(each, np.add.reduceat(trained.astype(np.float64), np.cumsum(times) - times))
-
-    def score_texts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of every text."""
-        out = np.zeros(len(offsets) - 1)
+            keys, starts = symbols(buf[offsets[i]:offsets[j]], offsets[i:j + 1])
+            both = np.sort(keys << np.uint64(1) | np.repeat(held[i:j], np.diff(np.append(starts, len(keys)))))
+            keys = both >> np.uint64(1)
+            first = _changes(keys)
+            trained = np.append(0, np.cumsum((both & np.uint64(1)) == 0, dtype=np.int64))
+            parts.append((keys[first], np.diff(trained[np.append(first, len(keys))]).astype(np.float64)))
+        self.add(*merged(parts, 40))
+
+    def score_texts(self, buf: np.ndarray, offsets: np.ndarray, counts=None) -> np.ndarray:
+        """log10 probability of every text by the model's counts, or by what ``counts`` gives for the
+        texts' nodes (by order, ascending)."""
+        out, seen = np.zeros(len(offsets) - 1), []
         for i, j in windows(offsets):
-            keys, doc = symbols(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            for a in range(0, len(keys), 1 << 22):
-                each, times, position = distinct(keys[a:a + (1 << 22)])
-                out[i:j] += np.bincount(doc[a:a + (1 << 22)][position], np.repeat(self.log10(each), times), j - i)
+            keys, starts = symbols(buf[offsets[i]:offsets[j]], offsets[i:j + 1])
+            seen.append((i, j, starts, [distinct(keys[a:a + (1 << 22)]) for a in range(0, len(keys), 1 << 22)]))
+        keys = [each for *_, parts in seen for each, _, _ in parts]
+        if not keys:
+            return out
+        keys = np.unique(np.concatenate(keys))
+        if counts is not None:
+            short, _ = orders(keys)
+            self.codes = [np.sort(np.concatenate([codes for *_, codes in nodes(s)])) for s in short]
+            self.counts = counts(self.codes)
+        cost = self.log10(keys)
+        for i, j, starts, parts in seen:
+            each = []
+            for found, times, position in parts:
+                at = np.empty(len(position))
+                at[position] = np.repeat(cost[np.searchsorted(keys, found)], times)
+                each.append(at)
+            out[i:j] = np.add.reduceat(np.concatenate(each), starts)
         return out
 
 
@@ -263,14 +332,11 @@ def _group_words(group: pa.Table):
         group.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _asked_nodes(group: pa.Table, bucket_bits: int):
-    """(model with a group's nodes and training counts, all its nodes with their order, bucket of each,
-    positions sorted by bucket)."""
-    model = Model()
-    model.count_texts(*text_buffer(group.column("text")), group.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-    codes = np.concatenate([c | np.uint64(k << 40) for k, c in enumerate(model.codes)])
+def _dealt_nodes(by_order, bucket_bits: int):
+    """(nodes of all orders, bucket of each, positions sorted by bucket)."""
+    codes = np.concatenate([c | np.uint64(k << 40) for k, c in enumerate(by_order)])
     bucket = (mix64(codes >> np.uint64(8)) >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(codes), np.int64)
-    return model, codes, bucket, np.argsort(bucket, kind="stable")
+    return codes, bucket, ranked(bucket.astype(np.uint64), max(bucket_bits, 1))[1]
 
 
 def _ask(bucket_bits: int):
@@ -286,7 +352,9 @@ def _ask(bucket_bits: int):
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(asked)) if len(asked) else [0]
         spans = list(zip(edges[:-1], edges[1:]))
         rows = [(int(bucket[a]), asked[a:b].tobytes(), _compress(counts[a:b])) for a, b in spans]
-        model, codes, bucket, order = _asked_nodes(group, bucket_bits)
+        model = Model()
+        model.count_texts(*text_buffer(group.column("text")), held)
+        codes, bucket, order = _dealt_nodes(model.codes, bucket_bits)
         both = np.concatenate(model.counts, axis=1).astype(np.uint32)
         ends = np.cumsum(np.bincount(bucket))
         for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
@@ -335,15 +403,18 @@ def _answer_nodes(key, asked):
 _DIGEST = "doc_id long, held_out boolean, words long, known long, base double, score double, v long, n long"
 
 
-def _answered(learned: Model, group: pa.Table, rows, bucket_bits: int) -> Model:
-    """The learned weights and map with the answered counts of a group's nodes."""
-    model, _, _, order = _asked_nodes(group, bucket_bits)
-    both = np.empty((2, len(order)))
-    both[:, order] = np.concatenate([_expand(b, np.int64).reshape(2, -1) for _, b in rows], axis=1)
-    ends = np.cumsum([0, *map(len, model.codes)])
-    model.counts = [both[:, a:b] for a, b in zip(ends[:-1], ends[1:])]
+def _scores(learned: Model, group: pa.Table, rows, bucket_bits: int) -> np.ndarray:
+    """Scores of a group's texts with the learned weights and map and the answered counts of its nodes."""
+    def counts(by_order):
+        _, _, order = _dealt_nodes(by_order, bucket_bits)
+        both = np.empty((2, len(order)))
+        both[:, order] = np.concatenate([_expand(b, np.int64).reshape(2, -1) for _, b in rows], axis=1)
+        ends = np.cumsum([0, *map(len, by_order)])
+        return [both[:, a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    model = Model()
     model.weights, model.map, model.seen = learned.weights, learned.map, learned.seen
-    return model
+    return model.score_texts(*text_buffer(group.column("text")), counts)
 
 
 def _score(model, bucket_bits: int):
@@ -356,11 +427,11 @@ def _score(model, bucket_bits: int):
             asked, back = np.unique(words, return_inverse=True)
             rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
             count = np.concatenate([np.zeros(0, np.int64), *(_expand(b, np.int64) for k, b in rows if k >= 0)])[back]
-            exact = _answered(model.value, group, [r for r in reversed(rows) if r[0] < 0], bucket_bits)
+            scores = _scores(model.value, group, [r for r in reversed(rows) if r[0] < 0], bucket_bits)
             doc = np.repeat(np.arange(docs), np.diff(before))
             out |= {"held_out": held, "words": np.diff(before), "known": np.bincount(doc, count > 0, docs).astype(np.int64),
                     "base": np.bincount(doc, np.log10(count + 1.0), docs)}
-            out |= {"score": exact.score_texts(*text_buffer(group.column("text"))), "v": [0] * docs, "n": [0] * docs}
+            out |= {"score": scores, "v": [0] * docs, "n": [0] * docs}
         else:  # the stray group -1: totals
             out = {"doc_id": [None], "held_out": [None], "words": [-1], "known": [0], "base": [0.0], "score": [0.0],
                    "v": [sum(replies.column("v").to_pylist())], "n": [sum(replies.column("n").to_pylist())]}
