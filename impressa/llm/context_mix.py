@@ -400,7 +400,7 @@ def _answer_nodes(key, asked):
                      "v": pa.array([0] * n, pa.int64()), "n": pa.array([0] * n, pa.int64())})
 
 
-_DIGEST = "doc_id long, held_out boolean, words long, known long, base double, score double, v long, n long"
+_DIGEST = "doc_id long, held_out boolean, words long, known long, base double, score double, bytes long, v long, n long"
 
 
 def _scores(learned: Model, group: pa.Table, rows, bucket_bits: int) -> np.ndarray:
@@ -431,18 +431,19 @@ def _score(model, bucket_bits: int):
             doc = np.repeat(np.arange(docs), np.diff(before))
             out |= {"held_out": held, "words": np.diff(before), "known": np.bincount(doc, count > 0, docs).astype(np.int64),
                     "base": np.bincount(doc, np.log10(count + 1.0), docs)}
-            out |= {"score": scores, "v": [0] * docs, "n": [0] * docs}
+            out |= {"score": scores, "bytes": np.diff(text_buffer(group.column("text"))[1]), "v": [0] * docs, "n": [0] * docs}
         else:  # the stray group -1: totals
-            out = {"doc_id": [None], "held_out": [None], "words": [-1], "known": [0], "base": [0.0], "score": [0.0],
+            out = {"doc_id": [None], "held_out": [None], "words": [-1], "known": [0], "base": [0.0], "score": [0.0], "bytes": [0],
                    "v": [sum(replies.column("v").to_pylist())], "n": [sum(replies.column("n").to_pylist())]}
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
     return run
 
 
 def score_corpus(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row;
-    the rows that are not ``held_out`` are the training texts."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of
+    every row; the rows that are not ``held_out`` are the training texts.  The bits are those of the
+    whole text and its end symbol; null for an empty text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"),
                     F.sum((~F.col("held_out")).cast("long")).alias("train")).collect()[0]
@@ -460,7 +461,8 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     return scored.where("words >= 0").select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("known") + (1 if ends else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.log10(F.lit(ends + 1.0)) - tokens * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")
+        (F.col("base") + F.log10(F.lit(ends + 1.0)) - tokens * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
+        F.col("bytes").alias("n_bytes"), F.when(F.col("bytes") > 0, -F.col("score") * F.log2(F.lit(10.0)) / F.col("bytes")).alias("bits_per_byte"))
 
 
 @query("op6_context_mix_scores")

@@ -69,6 +69,44 @@ def test_model_is_a_distribution_and_learns():
     assert np.allclose(one, alone)
 
 
+def _plain_score(model, text, train):
+    """log10 probability of a text, bit by bit, from counts in a dictionary."""
+    seen = collections.Counter()
+    for t in train:
+        padded = b"\0\0\0\0" + t.encode() + b"\xff"
+        for i in range(4, len(padded)):
+            for k in range(5):
+                for place in range(8):
+                    seen[k, padded[i - k:i], padded[i] >> (8 - place), place, padded[i] >> (7 - place) & 1] += 1
+    padded, total = b"\0\0\0\0" + text.encode() + b"\xff", 0.0
+    for i in range(4, len(padded)):
+        for place in range(8):
+            mixed = 0.0
+            for k in range(5):
+                zeros, ones = (seen[k, padded[i - k:i], padded[i] >> (8 - place), place, b] for b in (0, 1))
+                gate = min(int(math.log2(zeros + ones + 1)), L.CONFIDENCE - 1)
+                mixed += model.weights[k, gate, place] * math.log((ones + L.PRIOR) / (zeros + L.PRIOR))
+            p = float(model.refined(place, np.array([mixed]))[0])
+            total += math.log10(p if padded[i] >> (7 - place) & 1 else 1 - p)
+    return total
+
+
+def test_score_equals_a_plain_bit_by_bit_model():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 80))) for _ in range(14)] + ["", "a"]
+    held = [i % 3 == 1 for i in range(16)]
+    learned = L.Model()
+    learned.learn_texts(*text_buffer(pa.array(texts * 40)))
+    group = pa.table({"doc_id": list(range(16)), "held_out": held, "text": texts})
+    asked = L._ask(1)((pa.scalar(0),), group)
+    replies = pa.concat_tables(L._answer((pa.scalar(b),), asked.filter(pa.compute.equal(asked["bucket"], b)))
+                               for b in sorted(set(asked["bucket"].to_pylist())))
+    got = L._score(type("Sent", (), {"value": learned}), 1)((pa.scalar(0),), group, replies.filter(pa.compute.equal(replies["g"], 0)))
+    train = [t for t, h in zip(texts, held) if not h]
+    assert np.allclose(got["score"].to_pylist(), [_plain_score(learned, t, train) for t in texts])
+    assert got["bytes"].to_pylist() == [len(t.encode()) for t in texts]
+
+
 def test_counts_go_on_above_float32():
     model = L.Model()
     key = np.array([ord("a")], np.uint64)
