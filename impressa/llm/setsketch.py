@@ -42,6 +42,7 @@ from impressa.session import cut_lineage
 
 REGISTERS, BASE, RATE = 252, 1.1, 20.0
 SMALL, BLOCK = 16, 2048
+FEW_IDS = 4_000_000  # 32 MB of ids
 
 
 def screen_at(percent: int) -> float:
@@ -251,12 +252,19 @@ def _proposals(buckets: DataFrame, reps: DataFrame, comps: DataFrame | None, per
     return rows.mapInArrow(_propose(comps is not None, percent), "a long, b long").distinct()
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Distinct ids for a semi or anti join with the texts; sent to all executors only when a count
+    shows that they are at most ``FEW_IDS``, so that the texts stay where they are."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets meet the threshold."""
+    """The pairs whose full shingle sets meet the threshold.  The sets are dealt by document once; both
+    sides of a pair read that exchange."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(used, "doc_id", "left_semi") \
-        .mapInArrow(_full_sets, "doc_id long, h1 long, shingles array<long>")
-    sets = cut_lineage(sets.groupBy("doc_id").agg(F.min_by("shingles", "h1").alias("shingles")))
+    sets = docs.select("doc_id", "text").join(_few(used), "doc_id", "left_semi") \
+        .mapInArrow(_full_sets, "doc_id long, h1 long, shingles array<long>") \
+        .groupBy("doc_id").agg(F.min_by("shingles", "h1").alias("shingles"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b") \
@@ -317,8 +325,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` without the documents that are not the first of their component.  Rows that repeat a
     doc_id are one document and stay or go together; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut_lineage(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
+    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op7_setsketch_near_duplicates")
