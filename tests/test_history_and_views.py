@@ -151,3 +151,46 @@ print("all found")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all found" in out.stdout, out.stderr[-2000:]
+
+
+def _lines_and_orders(spark, path, lines, orders):
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, t string") \
+        .select("o_orderkey", "o_custkey", F.col("t").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{path}/orders.parquet")
+
+
+def test_history_numbers_clicks_once_and_keeps_repeated_impressions(spark, tmp_path):
+    from impressa.sources import fixtures as fx
+    r = np.random.default_rng(2)
+    d = str(tmp_path)
+    orders = [(i, int(r.integers(0, 9)), f"1997-01-{1 + int(r.integers(0, 28)):02d}") for i in range(120)]
+    orders += [orders[5], (7, 3, "1997-01-20"), (8, None, "1997-01-25"), (121, 4, None), (None, 4, "1997-01-03")]
+    lines = [(int(r.integers(0, 122)), int(r.integers(0, 30)), "RNA"[int(r.integers(0, 3))]) for _ in range(700)]
+    _lines_and_orders(spark, d, lines, orders)
+    clicked = {(o, p) for o, p, f in lines if f == "R"}
+    shown = {o for o, _, _ in lines}
+    imps = [o for o in orders if o[0] in shown]
+    clicks = [(t, o, p, u) for o, u, t in imps for (x, p) in clicked if x == o and u is not None and t is not None]
+    want = []
+    for imp in {o for o, _, _ in imps}:
+        items = sorted((t, o, p) for _, u, at in [x for x in imps if x[0] == imp] if at is not None
+                       for t, o, p, v in clicks if v == u and t < at)
+        want += [(imp, i + 1, p) for i, (_, _, p) in enumerate(items)]
+    for stored in (True, False):
+        assert sorted(map(tuple, fx.history(spark, d, materialize=stored).collect())) == sorted(want)
+    by = fx.history(spark, d, with_reader=True)
+    assert sorted(map(tuple, by.drop("reader").collect())) == sorted(want)
+    assert by.groupBy("imp_id").agg(F.countDistinct("reader").alias("n")).where("n > 1").count() == 0
+
+
+def test_views_use_more_tasks_on_larger_tables(spark, tmp_path, monkeypatch):
+    from impressa.sources import fixtures as fx
+    d = str(tmp_path)
+    _lines_and_orders(spark, d, [(i, j, "R") for i in range(200) for j in range(3)], [(i, i % 9, f"1997-01-{1 + i % 28:02d}") for i in range(200)])
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fx.tasks(spark, d) == usual
+    rows = sorted(map(tuple, fx.history(spark, d).collect()))
+    monkeypatch.setattr(fx, "TASK_BYTES", 100)
+    n = fx.tasks(spark, d)
+    assert n > usual and fx.candidates(spark, d).rdd.getNumPartitions() == n == fx.history(spark, d).rdd.getNumPartitions()
+    assert sorted(map(tuple, fx.history(spark, d).collect())) == rows
