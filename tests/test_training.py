@@ -198,3 +198,44 @@ def test_npmi_lookup_sends_only_known_pairs(spark):
         got = C.max_npmi_scores(c.repartition(3), h, t)
         assert sorted((r.imp_id, r.pos, r.score) for r in got.collect()) == want
         assert C.max_npmi_scores(c, h, t.limit(0)).agg(F.sum(F.abs("score"))).first()[0] == 0
+
+
+def test_shared_pooling_equals_pooling_each_list(spark):
+    r = np.random.default_rng(5)
+    dim, rows = 4, []
+    for imp in range(900):  # reader 7 has half of the impressions; histories overlap, with repeats and unknown items
+        reader = 7 if imp % 2 else imp % 60
+        rows += [(reader, imp, h + 1, int(x)) for h, x in enumerate(r.integers(0, 45, size=imp % 9))]
+    hist = spark.createDataFrame(rows, "reader long, imp_id long, hpos long, news_id long").repartition(5)
+    vecs = [(i % 40, r.normal(size=dim).round(3).tolist()) for i in range(43)]  # items 40-44 unknown, 0-2 twice
+    news = spark.createDataFrame(vecs, "news_id long, vec array<float>")
+    w, b, q = r.normal(size=(3, dim)), r.normal(size=3), r.normal(size=3) * 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # readers go on over batches
+    try:
+        for args, pad in (((w, b, q), True), ((w, b, q), False), ((), True)):
+            for most in (6, None if pad else 7):
+                shared = B.user_vectors(hist, news, *args, max_history=most, mask_padding=pad, tasks=3)
+                plain = B.user_vectors(hist.drop("reader"), news, *args, max_history=most, mask_padding=pad)
+                got, want = ({x.imp_id: x.user_vec for x in df.collect()} for df in (shared, plain))
+                assert len(got) == shared.count() == len(want) > 700
+                assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert B.user_vectors(hist.limit(0), news, tasks=3).count() == 0
+
+
+def test_shared_pooling_sends_an_item_once_to_a_reader(spark):
+    hist = spark.createDataFrame([(1, i, h, h) for i in range(50) for h in range(8)], "reader long, imp_id long, hpos long, news_id long")
+    news = spark.createDataFrame([(h, [float(h), 1.0]) for h in range(8)], "news_id long, vec array<float>")
+    out = B.user_vectors(hist, news, tasks=2)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [reader" in text and "mapinarrow" in text.lower() and text.lower().count("mapinarrow") == 1
+    assert {tuple(x.user_vec) for x in out.collect()} == {(3.5, 1.0)}
+
+
+def test_baskets_of_a_reader_stay_together(spark):
+    from impressa.operators import cooccur as C
+    h = spark.createDataFrame([(u, 10 * u + i, n) for u in range(4) for i in range(5) for n in range(i + 1)], "reader long, imp_id long, news_id long")
+    users = h.select(F.col("reader").alias("user_id"))
+    plain, kept = (sorted(map(tuple, C.learn_npmi(h, users, reader=x).collect())) for x in (None, "reader"))
+    assert plain == kept and len(kept) == 10
