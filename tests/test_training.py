@@ -239,3 +239,26 @@ def test_baskets_of_a_reader_stay_together(spark):
     users = h.select(F.col("reader").alias("user_id"))
     plain, kept = (sorted(map(tuple, C.learn_npmi(h, users, reader=x).collect())) for x in (None, "reader"))
     assert plain == kept and len(kept) == 10
+
+
+def test_known_keys_are_looked_up_once_a_key(spark):
+    events = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(400)] + [(400, None)], "at long, token string")
+    known = spark.createDataFrame([("d",), ("b",), ("b",), ("x",)], "token string")
+    got = V.first_seen_ids(events.repartition(5), "token", ["at"], known=known)
+    assert sorted((r.key, r.idx) for r in got.collect()) == [("b", 1), ("d", 2)]
+    news = spark.createDataFrame([(1, 5, "b b"), (0, 5, "z"), (2, 6, None), (3, None, "d")], "row_key long, text_key long, title string")
+    texts = spark.createDataFrame([(5, "d x b x q"), (6, "q b"), (7, "x y")], "text_key long, text string")
+    vectors = spark.createDataFrame([(t,) for t in "bdxy"], "token string")
+    toks = V.tokens_long(texts, "text_key", "text")
+    shared = V.shared_text_word_ids(news, vectors, ["row_key"], "title", "text_key", toks, with_first=True)
+    plain = V.word_ids(news.join(texts, "text_key", "left").withColumnRenamed("text", "abstract"), vectors, ["row_key"], with_first=True)
+    want = [("b", 3, 0, 1, 2), ("d", 1, 0, 1, 0), ("x", 2, 0, 1, 1)]
+    for ids in (shared, plain):
+        assert sorted((r.key, r.idx, *r.first) for r in ids.collect()) == want
+
+
+def test_texts_of_the_catalogue_are_dealt_to_many_tasks(spark):
+    from impressa.sources import fixtures as fx
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arts = fx.articles(spark, "/root/testdata/sf0.001")
+    assert sum(len(p) > 0 for p in arts.select("news_id", "abstract").rdd.glom().collect()) > n // 2
