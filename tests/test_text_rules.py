@@ -1,9 +1,10 @@
 """Token rules, modified sentiment and mergeable distinct counts: hand examples, invariants and edges."""
 import math
+import random
 
 from pyspark.sql import functions as F
 
-from impressa.functions.text import tokenize_rules
+from impressa.functions.text import rule_words, tokenize_rules
 from impressa.operators import analytics as G
 from impressa.operators import losses as L
 from impressa.operators import metric_store as MS
@@ -28,6 +29,20 @@ def test_token_rules(spark):
     assert plain.first().t == ["a", "b.", "c"]
 
 
+def test_rules_give_the_tokens_of_each_word(spark):
+    rng = random.Random(5)
+    pieces = list(" \t\n\x0b\f\r\u00a0\u2028\"'`.,:;!?-([{<>}])$&%#@09aZ\u03a3\u0130") + [
+        "  ", "''", "...", "--", "n't", "'s", "'ll", "can", "cannot", "gimme", "gonna", "gotta", "d'ye", "more'n", "'tis", "'twas", "mr.", "u.s.", "\U0001f600"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(3000)] + [None, "", "cannot cannot can't", "'tis 'tis"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    whole = {r.id: r.t for r in df.select("id", tokenize_rules("text").alias("t")).collect()}
+    words = df.select("id", F.posexplode(rule_words("text")).alias("at", "word")).select("id", "at", tokenize_rules("word").alias("t"))
+    parts = {}
+    for r in sorted(words.collect(), key=lambda r: (r.id, r.at)):
+        parts.setdefault(r.id, []).extend(r.t)
+    assert len(whole) == len(texts) and all(parts.get(i, []) == t for i, t in whole.items())
+
+
 def test_modified_sentiment_is_the_fold(spark):
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -3.0), ("less", 1.0)], "token string, valence double")
     mods = spark.createDataFrame([("not", None, True), ("very", 0.293, False), ("slightly", -0.293, None), ("less", -0.5, True)],
