@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from impressa.operators.skew import lookup_join
+from impressa.operators.skew import dealt, fits, lookup_join
 from impressa.functions.scalar import relu
 
 IMP, POS, SCORE, LABEL = "imp_id", "pos", "score", "label"
@@ -189,8 +189,16 @@ def topic_array(news: DataFrame, category="category", subcategory="subcategory")
                                      lambda x: x.isNotNull()))
 
 
+def _history_items(history: DataFrame, items: DataFrame, max_history: int, tasks: int | None) -> DataFrame:
+    """The first ``max_history`` history rows with their item's columns, dealt by impression before these travel."""
+    h = history.where(F.col("hpos") <= max_history).select(IMP, "news_id")
+    if fits(items):
+        h = dealt(h, tasks, IMP)
+    return lookup_join(h, items, ["news_id"], tasks=tasks, back=IMP)
+
+
 def history_profile(history: DataFrame, news: DataFrame, senti_cols=(), max_history: int = 50,
-                    denominator: str = "max_history", topics: bool = True) -> DataFrame:
+                    denominator: str = "max_history", topics: bool = True, tasks: int | None = None) -> DataFrame:
     """M-H1 + M-H2, one row per impression: ``s_mean_<col>`` (Q4: divided by the padded length
     by default), ``_utopic`` = map topic -> number of history items with it, ``_unorm`` = L2 norm
     of those counts.  Impressions without history are absent (their means and vectors are 0).
@@ -201,9 +209,8 @@ def history_profile(history: DataFrame, news: DataFrame, senti_cols=(), max_hist
     if denominator not in ("max_history", "actual"):
         raise ValueError("denominator must be 'max_history' or 'actual'")
     cols = list(senti_cols)
-    h = history.where(F.col("hpos") <= max_history)
     t_arr = topic_array(news) if topics else F.array().cast("array<string>")
-    hj = h.join(news.select("news_id", *cols, t_arr.alias("_t")), "news_id")
+    hj = _history_items(history, news.select("news_id", *cols, t_arr.alias("_t")), max_history, tasks)
     x = hj.select(IMP, *cols, F.posexplode_outer("_t").alias("_ti", "topic"))
     first = F.coalesce(F.col("_ti"), F.lit(0)) == 0
     pt = x.groupBy(IMP, "topic").agg(F.count(F.col("_ti")).cast("double").alias("cnt"),
@@ -234,10 +241,9 @@ def user_topics(history: DataFrame, news: DataFrame, max_history: int = 50) -> D
         .select(IMP, "topic", (F.col("cnt") / F.col("_unorm")).alias("u"))
 
 
-def history_topic_counts(history: DataFrame, news: DataFrame, max_history: int = 50) -> DataFrame:
+def history_topic_counts(history: DataFrame, news: DataFrame, max_history: int = 50, tasks: int | None = None) -> DataFrame:
     """M-H2 in long form: (imp_id, topic, cnt) = number of history items carrying the topic."""
-    h = lookup_join(history.where(F.col("hpos") <= max_history), news.select("news_id", topic_array(news).alias("_t")),
-                    ["news_id"])
+    h = _history_items(history, news.select("news_id", topic_array(news).alias("_t")), max_history, tasks)
     return h.select(IMP, F.explode("_t").alias("topic")).groupBy(IMP, "topic").agg(
         F.count(F.lit(1)).cast("double").alias("cnt"))
 
@@ -248,7 +254,8 @@ def _topic_scores(ranked: DataFrame, hist_counts: DataFrame | None, ks, mrr_k: i
 
     TopicMRR's numerator sum_c (1/r_c) sum_{t in c} u_t equals sum_t u_t v_t, so everything is
     a sum at the (impression, topic) level: candidate sums group on the ranked table's existing
-    partitioning; the user side is an equi-join of two aggregated tables — no maps, no lists."""
+    partitioning.  The user side is one row per impression, its counts as a map of at most 2 * max_history topics:
+    a join by impression alone, which needs no exchange where both sides are dealt by impression."""
     r = F.col("rank")
     x = ranked.select(IMP, "rank", F.explode("_topics").alias("topic"), F.size("_topics").alias("m"))
     inv = F.lit(1.0) / F.sqrt(F.col("m").cast("double"))
@@ -257,21 +264,18 @@ def _topic_scores(ranked: DataFrame, hist_counts: DataFrame | None, ks, mrr_k: i
         *[F.sum(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"v{k}") for k in ks],
         *[F.sum(F.when(r <= k, inv).otherwise(0.0)).alias(f"w{k}") for k in ks])
     if hist_counts is not None:
-        # full outer: history-only topics still count in the user vector's norm
-        ct = ct.join(hist_counts, [IMP, "topic"], "full")
+        users = hist_counts.groupBy(IMP).agg(F.map_from_entries(F.collect_list(F.struct("topic", "cnt"))).alias("_counts"),
+                                             F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_unorm"))
+        ct = ct.join(users, IMP, "left")
     else:
-        ct = ct.withColumn("cnt", F.lit(None).cast("double"))
-    u = F.coalesce(F.col("cnt"), F.lit(0.0))
-
-    def v(c):
-        return F.coalesce(F.col(c), F.lit(0.0))
-
+        ct = ct.withColumns({"_counts": F.lit(None).cast("map<string,double>"), "_unorm": F.lit(None).cast("double")})
+    u = F.coalesce(F.try_element_at("_counts", "topic"), F.lit(0.0))
     return ct.groupBy(IMP).agg(
-        F.sum(u * v("v_mrr")).alias("_udot_mrr"), F.sum(v("v_mrr") ** 2).alias("_nn_mrr"),
-        *[F.sum(u * v(f"v{k}")).alias(f"_udot{k}") for k in ks],
-        *[F.sum(v(f"v{k}") ** 2).alias(f"_nn{k}") for k in ks],
-        *[F.sum(v(f"w{k}") ** 2).alias(f"_ww{k}") for k in ks],
-        F.sqrt(F.sum(u * u)).alias("_unorm"))
+        F.sum(u * F.col("v_mrr")).alias("_udot_mrr"), F.sum(F.col("v_mrr") ** 2).alias("_nn_mrr"),
+        *[F.sum(u * F.col(f"v{k}")).alias(f"_udot{k}") for k in ks],
+        *[F.sum(F.col(f"v{k}") ** 2).alias(f"_nn{k}") for k in ks],
+        *[F.sum(F.col(f"w{k}") ** 2).alias(f"_ww{k}") for k in ks],
+        F.coalesce(F.max("_unorm"), F.lit(0.0)).alias("_unorm"))
 
 
 def _topic_finish(df: DataFrame, ks) -> DataFrame:
@@ -294,7 +298,7 @@ def _topic_finish(df: DataFrame, ks) -> DataFrame:
 
 def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history: DataFrame | None = None,
                        senti_cols=(), ks=(5, 10), max_history: int = 50, denominator: str = "max_history",
-                       topics: bool = True, mrr_k: int | None = None) -> DataFrame:
+                       topics: bool = True, mrr_k: int | None = None, tasks: int | None = None) -> DataFrame:
     """One row per impression with every metric as a column (null where undefined).
     ``mrr_k`` limits SentiMRR and TopicMRR to the first k ranks.
 
@@ -302,19 +306,20 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
     Plan: item attributes (broadcast-sized catalogue) and the per-impression history profile
     are attached to the candidates *before* ranking, so a single exchange by impression serves
     the rank window, the per-impression aggregate and the per-(impression, topic) aggregate.
+    ``tasks`` deal the joins by item where the catalogue is too large to broadcast (see ``lookup_join``).
     """
     senti_cols = list(senti_cols)
     topics = topics and news is not None
     base = scored
     if news is not None:
         base = lookup_join(base, news.select("news_id", *senti_cols, *([topic_array(news).alias("_topics")] if topics else [])),
-                           ["news_id"], "left")
+                           ["news_id"], "left", tasks=tasks, back=IMP)
     # ranks first: the topic branch below reuses this cheap ranked base, so the history profile
     # (joined afterwards, on the same impression partitioning) is computed only once
     ranked0 = _with_ranks(base)
     ranked = ranked0
     if history is not None and senti_cols:
-        ranked = ranked.join(history_profile(history, news, senti_cols, max_history, denominator, topics=False),
+        ranked = ranked.join(history_profile(history, news, senti_cols, max_history, denominator, topics=False, tasks=tasks),
                              IMP, "left")
     else:
         ranked = ranked.withColumns({f"s_mean_{c}": F.lit(0.0) for c in senti_cols})
@@ -336,7 +341,7 @@ def impression_metrics(scored: DataFrame, news: DataFrame | None = None, history
             out = ils_senti_finish(out, c, k)
     out = out.drop(*[f"s_mean_{c}" for c in senti_cols])
     if topics:
-        hc = history_topic_counts(history, news, max_history) if history is not None else None
+        hc = history_topic_counts(history, news, max_history, tasks) if history is not None else None
         out = _topic_finish(out.join(_topic_scores(ranked0, hc, ks, mrr_k), IMP, "left"), ks)
     return out
 

@@ -26,7 +26,7 @@ def _scored(spark, d):
 
 def _per_imp(spark, d, senti=SENTI, topics=True):
     return M.impression_metrics(_scored(spark, d), fx.news(spark, d), fx.history(spark, d),
-                                senti_cols=senti, ks=KS, max_history=H, topics=topics)
+                                senti_cols=senti, ks=KS, max_history=H, topics=topics, tasks=fx.tasks(spark, d))
 
 
 # ---- oracle building blocks (DuckDB) -----------------------------------------------------------

@@ -87,6 +87,28 @@ def test_sentiment_topic_and_ils(spark):
     assert r[2]["ils_topic@2"] == pytest.approx(0.5)
 
 
+def test_more_tasks_than_the_session_has_give_the_same_metrics(spark, monkeypatch):
+    from impressa.operators import skew
+    rows = [(i, p, (i * 7 + p * 3) % 23, (i * 31 + p * 17) % 10 / 10, int((i + p) % 3 == 0)) for i in range(40) for p in range(1, 6)]
+    scored = _scored(spark, rows)
+    hist = spark.createDataFrame([(i, p, (i + p * 5) % 23) for i in range(0, 60, 2) for p in range(1, 8)], "imp_id long, hpos long, news_id long")
+    news = spark.createDataFrame([(n, f"c{n % 4}" if n % 5 else None, f"s{n % 6}", n / 7, -n / 9) for n in range(20)],
+                                 "news_id long, category string, subcategory string, a double, b double")
+
+    def run(tasks):
+        out = M.impression_metrics(scored, news, hist, ("a", "b"), (2, 5), 6, tasks=tasks)
+        return out, {r.imp_id: [None if v is None else round(v, 9) for v in r] for r in out.collect()}
+    few, want = run(None)
+    assert len(want) == 40 and run(19)[1] == want
+    # no row is dealt by impression and topic: both sides of the topic scores stay with their impression
+    assert "topic" not in "".join(x for x in few._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x)
+    monkeypatch.setattr(skew, "fits", lambda *a: False)
+    monkeypatch.setattr(M, "fits", lambda *a: False)
+    many, got = run(19)
+    assert got == want
+    assert "hashpartitioning(imp_id" in many._jdf.queryExecution().toString() and ", 19)" in many._jdf.queryExecution().toString()
+
+
 def test_ils_single_candidate_is_undefined(spark):
     scored = _scored(spark, [(1, 1, 10, 0.9, 1)])
     per = M.impression_metrics(scored, _news(spark), None, senti_cols=["s"], ks=(5,))
