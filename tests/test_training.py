@@ -262,3 +262,11 @@ def test_texts_of_the_catalogue_are_dealt_to_many_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arts = fx.articles(spark, "/root/testdata/sf0.001")
     assert sum(len(p) > 0 for p in arts.select("news_id", "abstract").rdd.glom().collect()) > n // 2
+
+
+def test_click_rows_of_one_split_are_those_of_all(spark):
+    from impressa.plans import q_scoring as Q
+    d = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    one = Q._click_rows(spark, d, "train")
+    assert rows(one) == rows(Q._click_rows(spark, d).where("split = 'train'")) and one.count() > 0
