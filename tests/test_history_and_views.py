@@ -71,6 +71,27 @@ def test_impression_view_types_and_missing_items(spark):
         J.impression_view(cands, hist, news, ["news_id"], 3, on_missing="error").collect()
 
 
+def test_impression_view_of_readers_equals_the_plain_one(spark):
+    news = spark.createDataFrame([("N1", "sport", [7, 8]), ("N2", "news", [9, 0]), ("N2", "copy", [5, 5]), (None, "null", [1, 1]), ("N3", None, [3, 4])],
+                                 "news_id string, category string, title array<int>")
+    cands = spark.createDataFrame([(9, 1, 1, "N2", 1), (9, 1, 2, "N1", 0), (9, 1, 3, "gone", 0), (9, 2, 1, "N1", 1), (8, 3, 1, None, 0), (8, 3, 2, "N3", 1),
+                                   (None, 4, 1, "N3", 1), (None, 5, 1, "gone", 0)],
+                                  "reader long, imp_id long, pos long, news_id string, label long")
+    hist = spark.createDataFrame([(9, 1, 1, "N1"), (9, 1, 2, "gone"), (9, 1, 3, "N2"), (9, 2, 1, "N3"), (8, 3, 1, "N3"), (8, 3, 2, "N3"), (8, 7, 1, "N1")],
+                                 "reader long, imp_id long, hpos long, news_id string")
+    args = (news, ["news_id", "category", "title"], 3)
+    plain = J.impression_view(cands.drop("reader"), hist.drop("reader"), *args, array_lengths={"title": 2})
+    shared = J.impression_view(cands, hist, *args, array_lengths={"title": 2}, tasks=11)
+    order = lambda df: sorted(df.select(sorted(plain.columns)).collect(), key=lambda r: r.imp_id)
+    assert sorted(shared.columns) == sorted(plain.columns) and order(shared) == order(plain) and len(order(plain)) == 5
+    with pytest.raises(Exception, match="missing from the catalogue"):
+        J.impression_view(cands, hist, *args, on_missing="error").collect()
+    known = J.impression_view(cands.where("news_id = 'N3'"), hist.where("news_id = 'N3'"), *args, on_missing="error")
+    assert [r.n_missing for r in known.collect()] == [0, 0]
+    sent = J._shared_features(cands.unionByName(hist, allowMissingColumns=True), news.where("news_id = 'N1'"), 3)
+    assert sent.where("_f.category = 'sport'").count() == 4
+
+
 def test_missing_items_fail_in_the_same_pass(spark):
     news = spark.createDataFrame([(1, "a")], "news_id long, category string")
     rows = spark.createDataFrame([(1,), (2,)], "news_id long")
