@@ -127,7 +127,7 @@ def s7_dictionary_tsv(spark, d):
 @query("s8_parsed_news_tsv", with_views(_qp().PARSED_NEWS_VIEWS, _qp().PARSED_NEWS_SQL, extra=_qp().PARSED_NEWS_CTES))
 def s8_parsed_news_tsv(spark, d):
     path = ST.scratch_path(spark, "parsed-news")
-    ST.write_parsed_news(_qp()._prepared(spark, d)["parsed_news"].drop("news_idx"), path, fmt="tsv")
+    ST.write_parsed_news(_qp()._prepared(spark, d, with_history=False)["parsed_news"].drop("news_idx"), path, fmt="tsv")
     columns = ("news_id", "category", "subcategory", "title", "abstract", "senti_a", "senti_b")
     return _qp().news_out(ST.read_parsed_news(spark, path, fmt="tsv", columns=columns))
 

@@ -137,3 +137,50 @@ def test_prepare_builds_every_table(spark):
     assert rows and all(len(r["candidates"]) == 3 and r["mask"] == [1, 0, 0] for r in rows)
     emb = out["embedding_weights"]
     assert emb.where("idx = 0").collect()[0]["vec"] == [0.0] * 64
+
+
+def test_lists_are_encoded_by_their_beginning_unless_it_has_too_few_known_tokens(spark):
+    texts = [(1, "a b " * 30), (2, "x " * 40 + "a b a b b"), (3, "x x a"), (4, None), (5, "x " * 7 + "b " + "x " * 3 + "a x a"),
+             (6, "a b"), (6, "b a a a x b"), (None, "a"), (7, "x a x b x a x b x x")]
+    news = spark.createDataFrame(texts, "row long, t string")
+    w2i = spark.createDataFrame([("a", 1), ("b", 2)], "key string, idx long")
+    lists = V.token_lists(news, "row", "t")
+    for big in (16 << 20, 0):
+        old = V.lookup_join.__defaults__, V.broadcast_if_small.__defaults__, V.fits.__defaults__
+        try:
+            V.lookup_join.__defaults__, V.broadcast_if_small.__defaults__, V.fits.__defaults__ = ("inner", big, *old[0][2:]), (big,), (big,)
+            got = V.encode_lists(lists, w2i, "row", 3, "ids").collect()
+        finally:
+            V.lookup_join.__defaults__, V.broadcast_if_small.__defaults__, V.fits.__defaults__ = old
+        got = {r["row"]: sorted(r["ids"]) if r["row"] == 6 else r["ids"] for r in got}
+        assert got == {1: [1, 2, 1], 2: [1, 2, 1], 3: [1, 0, 0], 4: [0] * 3, 5: [2, 1, 1], 6: got[6], None: [0] * 3, 7: [1, 2, 1]}
+        assert got[6] in ([1, 1, 2], [1, 2, 2])  # equal keys: both first tokens, and one of the second ones
+
+
+def test_only_the_beginnings_of_lists_are_looked_up(spark):
+    """The rest of a list is read for the lists that need it alone."""
+    seen = []
+    texts = spark.createDataFrame([(i, "a b c d " * 25 + f"rest{i}") for i in range(20)], "row long, t string")
+    w2i = spark.createDataFrame([("a", 1), ("b", 2)], "key string, idx long")
+    real = V.lookup_join
+    try:
+        V.lookup_join = lambda big, *a, **k: (seen.append(big), real(big, *a, **k))[1]
+        out = V.encode_lists(V.token_lists(texts, "row", "t"), w2i, "row", 4, "ids").collect()
+    finally:
+        V.lookup_join = real
+    assert all(r["ids"] == [1, 2, 1, 2] for r in out) and [x.count() for x in seen] == [20 * 8, 0]
+
+
+def test_dictionary_of_shared_texts_takes_lists_and_equal_rows(spark):
+    news = spark.createDataFrame([(4, 5, "b b"), (0, 5, "z"), (0, 5, "z"), (2, 6, None), (3, None, "d"), (1, 8, "q")], "row_key long, text_key long, title string")
+    texts = spark.createDataFrame([(5, "d x b x q"), (5, "b d"), (6, "q b x"), (7, "x y"), (None, "y"), (8, None)], "text_key long, text string")
+    vectors = spark.createDataFrame([(t,) for t in "bdxy"], "token string")
+    args = (news, vectors, ["row_key"], "title", "text_key")
+    for toks in (V.tokens_long(texts, "text_key", "text"), V.token_lists(texts, "text_key", "text")):
+        for big in (16 << 20, 0):
+            old, V.fits.__defaults__ = V.fits.__defaults__, (big,)
+            try:
+                got = sorted((r.key, *r.first) for r in V.shared_text_word_ids(*args, toks, with_first=True).collect())
+            finally:
+                V.fits.__defaults__ = old
+            assert got == [("b", 0, 1, 0), ("d", 0, 1, 0), ("x", 0, 1, 1)]
