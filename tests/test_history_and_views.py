@@ -215,3 +215,16 @@ def test_views_use_more_tasks_on_larger_tables(spark, tmp_path, monkeypatch):
     n = fx.tasks(spark, d)
     assert n > usual and fx.candidates(spark, d).rdd.getNumPartitions() == n == fx.history(spark, d).rdd.getNumPartitions()
     assert sorted(map(tuple, fx.history(spark, d).collect())) == rows
+
+
+def test_partitions_of_the_views_are_kept_where_the_session_has_more(spark, tmp_path, monkeypatch):
+    """Adaptive execution would join the session's partitions into as few as there are cores."""
+    from impressa.sources import fixtures as fx
+    d = str(tmp_path)
+    _lines_and_orders(spark, d, [(i, j, "R") for i in range(200) for j in range(3)], [(i, i % 9, f"1997-01-{1 + i % 28:02d}") for i in range(200)])
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sorted(map(tuple, fx.candidates(spark, d).collect()))
+    monkeypatch.setattr(fx, "TASK_BYTES", -(-fx.estimated_bytes(fx.table(spark, d, "lineitem")) // (usual - 1)))
+    n = fx.tasks(spark, d)
+    assert n == usual + 1 and fx.candidates(spark, d).rdd.getNumPartitions() == n
+    assert sorted(map(tuple, fx.candidates(spark, d).collect())) == rows
