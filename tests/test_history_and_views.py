@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from impressa.operators import cooccur as C
 from impressa.operators import joins as J
 from impressa.operators import metrics as M
+from impressa.operators import parse as P
 from impressa.operators import scoring as B
+from impressa.operators import skew as K
 from impressa.sources.fixtures import TABLES
 from test_oracles import _rows
 
@@ -228,3 +230,26 @@ def test_partitions_of_the_views_are_kept_where_the_session_has_more(spark, tmp_
     n = fx.tasks(spark, d)
     assert n == usual + 1 and fx.candidates(spark, d).rdd.getNumPartitions() == n
     assert sorted(map(tuple, fx.candidates(spark, d).collect())) == rows
+
+
+def test_history_and_users_are_joined_over_the_tasks(spark):
+    from impressa.operators import sample as D
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) + 3
+    hist = spark.createDataFrame([(i, h % 4) for i in range(20) for h in range(8)] + [(None, 1), (None, 1), (3, None)], "imp_id long, news_id long")
+    shown = spark.createDataFrame([(1,), (1,), (3,), (None,), (9,)], "news_id long")
+    parsed = spark.createDataFrame([(i, f"U{i % 5}" if i % 7 else None, ["N1"], [("N2", 1), ("N3", 0)]) for i in range(30)],
+                                   "imp_id long, user_id string, history array<string>, candidates array<struct<news_id:string,label:int>>")
+    users = spark.createDataFrame([("U1", 1), ("U2", 2)], "key string, idx long")
+    old, limit = K.lookup_join.__defaults__, "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(limit)
+    try:
+        K.lookup_join.__defaults__ = ("inner", 0, *old[2:])  # nothing is small
+        spark.conf.set(limit, "-1")
+        kept, rows = P.clean_history(hist, shown, tasks=n), D.eval_rows(parsed, users, n)
+        assert kept.rdd.getNumPartitions() == n == rows.rdd.getNumPartitions()
+        assert sorted(map(tuple, kept.select(F.coalesce("imp_id", F.lit(-1)), "news_id").collect())) == \
+            sorted([(i, x) for i in range(20) for x in (1, 3)] + [(-1, 1)])
+        assert sorted((r.imp_id, r.user) for r in rows.collect()) == [(i, {1: 1, 2: 2}.get(i % 5, 0) if i % 7 else 0) for i in range(30)]
+    finally:
+        K.lookup_join.__defaults__ = old
+        spark.conf.set(limit, usual)
