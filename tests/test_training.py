@@ -270,3 +270,101 @@ def test_click_rows_of_one_split_are_those_of_all(spark):
     rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     one = Q._click_rows(spark, d, "train")
     assert rows(one) == rows(Q._click_rows(spark, d).where("split = 'train'")) and one.count() > 0
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    from impressa.session import RELEASE_CONF, cut_lineage, stored
+    import glob
+    import os
+    files = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+                     for f in glob.glob(os.path.join(d.getPath(), "*", "shuffle_*.data"))}
+    df = spark.range(5000).select((F.col("id") % 37).alias("k"), "id").groupBy("k").agg(F.sum("id").alias("s"))
+    before, conf = files(), spark.conf.get(RELEASE_CONF, None)
+    for step in (stored, cut_lineage):
+        kept = step(df)
+        assert files() <= before and kept.count() == 37 and kept.agg(F.sum("s")).first()[0] == 4999 * 2500
+        before = files()
+    assert df.count() == 37 and spark.conf.get(RELEASE_CONF, None) == conf
+
+
+def _reader_rows(r):
+    hist, cands = [], []
+    for imp in range(300):  # reader 7 has half of the impressions; items 40-44 are unknown, 0-2 come twice
+        reader = 7 if imp % 2 else imp % 20
+        hist += [(reader, imp, h + 1, int(x)) for h, x in enumerate(r.integers(0, 45, size=imp % 9))]
+        cands += [(reader, imp, p, int(x) if x < 47 else None) for p, x in enumerate(r.integers(0, 48, size=imp % 4))]
+    return hist, cands + [(9000, 9000, 1, 3), (None, None, 1, 3)]
+
+
+def test_shared_scores_equal_two_joins(spark, monkeypatch):
+    from impressa.operators import skew
+    r = np.random.default_rng(6)
+    hist, cands = _reader_rows(r)
+    hist = spark.createDataFrame(hist, "reader long, imp_id long, hpos long, news_id long").repartition(5)
+    cands = spark.createDataFrame(cands, "reader long, imp_id long, pos int, news_id long").repartition(3)
+    news = spark.createDataFrame([(i % 40, r.normal(size=4).round(3).tolist()) for i in range(43)], "news_id long, vec array<float>")
+    w, b, q = r.normal(size=(3, 4)), r.normal(size=3), r.normal(size=3) * 4
+    rows = lambda df: sorted((str(x.imp_id), x.pos, str(x.news_id), round(x.score, 9) + 0.0) for x in df.collect())
+    for args in ((w, b, q), ()):
+        want = rows(B.score_candidates(cands.drop("reader"), news, B.user_vectors(hist.drop("reader"), news, *args, max_history=6)))
+        assert len(want) > 400 and rows(B.score_shared(cands, hist, news, *args, max_history=6, tasks=3)) == want
+        with monkeypatch.context() as m:
+            m.setattr(skew, "WAVE_TASKS", 2)  # two tasks at a time
+            assert rows(B.score_shared(cands, hist, news, *args, max_history=6, tasks=7)) == want
+            m.setattr(B, "LISTS_AT_ONCE", 5)
+            assert rows(B.score_shared(cands, hist, news, *args, max_history=6, tasks=3)) == want
+    none = rows(B.score_shared(cands, hist.limit(0), news, tasks=3))
+    assert len(none) == len(want) and {x[3] for x in none} == {0.0}
+
+
+def test_shared_scores_send_no_vector_to_a_candidate(spark):
+    hist, cands = _reader_rows(np.random.default_rng(6))
+    hist = spark.createDataFrame(hist, "reader long, imp_id long, hpos long, news_id long")
+    cands = spark.createDataFrame(cands, "reader long, imp_id long, pos int, news_id long")
+    news = spark.createDataFrame([(h, [float(h), 1.0]) for h in range(8)], "news_id long, vec array<float>")
+    text = B.score_shared(cands, hist, news, tasks=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.lower().count("mapinarrow") == 1 and text.splitlines()[0].startswith("MapInArrow")
+
+
+def test_waves_deal_every_key_once(spark, monkeypatch):
+    from impressa.operators import skew
+    monkeypatch.setattr(skew, "WAVE_TASKS", 3)
+    df, seen = spark.range(100).select(F.when(F.col("id") > 0, F.col("id")).alias("k")), []
+
+    def step(part, tasks):
+        seen.append(tasks)
+        return part(df).groupBy("k").count()
+
+    got = skew.in_waves(step, "k", 8).collect()
+    assert seen == [3, 3, 3] and sorted(x.k or 0 for x in got) == list(range(100)) and {x["count"] for x in got} == {1}
+    assert skew.waves(None) == skew.waves(3) == 1
+
+
+def test_click_model_reads_stored_rows(spark, monkeypatch):
+    """The fit makes several passes: none of them may build the rows again."""
+    from impressa.plans import q_scoring as Q
+    plans = []
+    fit = B.fit_click_model
+    monkeypatch.setattr(B, "fit_click_model", lambda train, cols: plans.append(train) or fit(train, cols))
+    assert Q.b12_click_model(spark, "/root/testdata/sf0.001").count() == 3
+    text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and "parquet" in text
+
+
+def test_long_term_vectors_in_the_readers_pass(spark, monkeypatch):
+    from impressa.operators import skew
+    r = np.random.default_rng(7)
+    hist, cands = _reader_rows(r)
+    hist = spark.createDataFrame(hist, "reader long, imp_id long, hpos long, news_id long")
+    imps = spark.createDataFrame([(x, i, x) for x, i in {(c[0], c[1]) for c in cands if c[0] is not None}] + [(7, 1, 5), (9001, 9001, None)],
+                                 "reader long, imp_id long, user long")
+    news = spark.createDataFrame([(i, r.normal(size=4).round(3).tolist()) for i in range(40)], "news_id long, vec array<float>")
+    users = spark.createDataFrame([(u, r.normal(size=3).round(3).tolist()) for u in (2, 5, 7)], "user long, vec array<float>")
+    rows = lambda df: sorted((x.imp_id, [round(v, 9) for v in x.user_vec]) for x in df.collect())
+    plain = rows(B.long_term_users(imps, users, B.user_vectors(hist.drop("reader"), news, max_history=5)))
+    assert len(plain) == imps.count() and {len(v) for _, v in plain} == {7}
+    for most in (64, 2):
+        monkeypatch.setattr(skew, "WAVE_TASKS", most)
+        assert rows(B.long_term_users(imps, users, None, history=hist, news_vecs=news, max_history=5, tasks=5)) == plain
+    bare = B.long_term_users(imps, users, None, history=hist.limit(0), news_vecs=news, tasks=5)
+    assert {len(v) for _, v in rows(bare)} == {3}
