@@ -368,3 +368,20 @@ def test_long_term_vectors_in_the_readers_pass(spark, monkeypatch):
         assert rows(B.long_term_users(imps, users, None, history=hist, news_vecs=news, max_history=5, tasks=5)) == plain
     bare = B.long_term_users(imps, users, None, history=hist.limit(0), news_vecs=news, tasks=5)
     assert {len(v) for _, v in rows(bare)} == {3}
+
+
+@pytest.mark.parametrize("name", ["j3_impression_view", "m11_running_means", "b3_encode_catalogue"])
+def test_waves_return_the_rows_of_one_plan(spark, monkeypatch, name):
+    from impressa.operators import skew
+    from impressa.plans import q_scoring as Q
+    from impressa.plans.registry import load_all
+    rows = lambda df: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    run, d, steps = load_all()[name][0], "/root/testdata/sf0.001", []
+    monkeypatch.setattr(skew, "WAVE_TASKS", 4)
+    monkeypatch.setattr(Q, "ARTICLES_A_TASK", 30)
+    kept = skew.stored
+    monkeypatch.setattr(skew, "stored", lambda df: steps.append(1) or kept(df))
+    waved = rows(run(spark, d))
+    assert len(steps) >= 2  # every wave's result is stored before the next one starts
+    monkeypatch.setattr(skew, "WAVE_TASKS", 1000)
+    assert waved == rows(run(spark, d)) and len(waved) > 100
